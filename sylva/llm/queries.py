@@ -4,21 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sylva.llm import exact_dedup
+from sylva.llm import exact_dedup, secret_scan, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.sql("SELECT * FROM VALUES " + ", ".join(map(repr, url_filter.RULES)) + " AS rules(host, path, verdict)")
+    return url_filter.judge(_table(spark, sf_dir, "pages"), rules)
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(_table(spark, sf_dir, "documents"))[0])
+
+
 QUERIES = {
+    "op1_url_filters": op1_url_filters,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_secret_scans": op9_secret_scans,
 }
 
 ORACLES = {
+    "op1_url_filters": url_filter.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
+    "op9_secret_scans": secret_scan.ORACLE,
 }
