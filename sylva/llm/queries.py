@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sylva.llm import decontaminate, exact_dedup, packing, quality, secret_scan, url_filter
+from sylva.llm import decontaminate, exact_dedup, packing, preference, quality, revisit, secret_scan, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,14 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.format_pairs(preference.neighbours_as_pairs(_table(spark, sf_dir, "conversations")))
+
+
+def op5_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return revisit.digest(revisit.resolve(revisit.captures(_table(spark, sf_dir, "pages"))))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.drop("items", "spans")
@@ -43,6 +51,8 @@ QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_quality_classifier": op2_quality_classifier,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_chat_formatting": op4_chat_formatting,
+    "op5_warc_revisits": op5_warc_revisits,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_secret_scans": op9_secret_scans,
@@ -50,6 +60,8 @@ QUERIES = {
 
 ORACLES = {
     "op1_url_filters": url_filter.ORACLE,
+    "op4_chat_formatting": preference.ORACLE,
+    "op5_warc_revisits": revisit.ORACLE,
     "op6_benchmark_decontamination": decontaminate.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
     "op9_secret_scans": secret_scan.ORACLE,
