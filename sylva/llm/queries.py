@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sylva.llm import decontaminate, exact_dedup, packing, preference, quality, revisit, secret_scan, url_filter
+from sylva.llm import decontaminate, exact_dedup, near_dedup, packing, preference, quality, revisit, secret_scan, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,10 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(_table(spark, sf_dir, "documents"))[0])
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.find_groups(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_quality_classifier": op2_quality_classifier,
@@ -56,6 +60,7 @@ QUERIES = {
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_secret_scans": op9_secret_scans,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
 
 ORACLES = {
