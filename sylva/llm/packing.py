@@ -22,8 +22,11 @@ packed; an empty table gives an empty result; other columns don't matter.
 from __future__ import annotations
 
 import bisect
+import json
+import re
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -32,40 +35,76 @@ from pyspark.sql import functions as F
 
 from sylva.session import shared_table, ship
 
-CACHE = 200_000  # words whose ids a task keeps
-LONGEST = 64  # characters of a word that is kept
+CACHE = 200_000  # pieces of words whose ids a worker keeps, twice: of late and of before
+LONGEST = 64  # characters of a piece that is kept
+#: Texts that the fast path takes: up to Latin Extended-A, where no normal form changes a character and case maps one to one.
+SIMPLE = re.compile("[\x00-\u012f\u0131-\u017f]*")
+#: The tokenizer's own pattern of pieces, in that range and after lower-casing.
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºÀ-ÖØ-öø-ſ]+|[0-9²³¹¼½¾]|[^\t-\r \x85\xa0a-zªµºÀ-ÖØ-öø-ſ0-9²³¹¼½¾]+")
 
 
 class WordIds:
-    """Token ids of texts by a tokenizer that never joins across blanks: each blank-separated word is encoded once and kept.
+    """Token ids of texts by a tokenizer whose pieces never cross blanks and end in tokens marked as word ends.
 
-    ids(texts) gives each text's ids as little-endian unsigned 32-bit bytes, equal to encoding the whole text.
+    ids(texts) gives each text's ids as little-endian unsigned 32-bit bytes, equal to encoding the whole text. A text is cut into
+    pieces, which are looked up; unknown pieces are encoded together, their ids being told apart by the word-end tokens. Texts outside
+    the plain range, and all texts of a tokenizer of another kind, are encoded as they are.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {"": b""}
-
-    def _encode(self, words: list[str]) -> Iterator[bytes]:
-        for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False):
-            yield np.array(e.ids, "<u4").tobytes()
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        kind = json.loads(Path(path).read_text(encoding="utf-8"))
+        suffix = kind["model"].get("end_of_word_suffix")
+        own = [p.get("pattern", {}).get("Regex") for p in (kind.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        self.fast = bool(suffix) and own[:1] == [r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"]
+        for token, i in vocab.items():
+            self.ends[i] = bool(suffix) and token.endswith(suffix)
+        self.special = [t["content"] for t in kind.get("added_tokens", [])]
+        self.late: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+
+    def _learn(self, new: list[str]) -> None:
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(part):
+                raise ValueError("a piece without a word end")
+            data, start = ids.tobytes(), 0
+            for p, end in zip(part, (4 * cuts).tolist(), strict=True):
+                self.late[p] = data[start:end]
+                start = end
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.known) > CACHE:
-            self.known = {"": b""}
-        known = self.known
-        new = list(set().union(*split).difference(known))
-        known.update(zip(new, self._encode(new), strict=True))
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
-        for w in new:
-            if len(w) > LONGEST:
-                del known[w]
+        split = [PIECES.findall(t.lower()) if self.fast and SIMPLE.fullmatch(t) and not any(x in t for x in self.special) else None for t in texts]
+        if len(self.late) > CACHE:
+            self.late, self.before = {}, self.late
+        new = set().union(*filter(None, split)).difference(self.late)
+        for p in new.intersection(self.before):
+            self.late[p] = self.before[p]
+        self._learn(list(new.difference(self.before)))
+        look = self.late.__getitem__
+        out = [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if own is None else b"".join(map(look, own)) for t, own in zip(texts, split, strict=True)]
+        for p in new:
+            if len(p) > LONGEST:
+                del self.late[p]
         return out
 
 
+_of_worker: dict[str, WordIds] = {}
+
+
+def word_ids(path: str) -> WordIds:
+    """The worker's one tokenizer: its words are known to later tasks, too."""
+    if path not in _of_worker:
+        _of_worker[path] = WordIds(path)
+    return _of_worker[path]
+
+
 def tokenise(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32 and, if asked for, ids (binary, little-endian 32-bit)."""
     ship(docs.sparkSession)
@@ -73,7 +112,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_
     end, width = np.array([end_id], "<u4").tobytes(), 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer_path)
+        words = word_ids(tokenizer_path)
         for b in batches:
             step = max(1, int(len(b) * (2 << 20) / max(1, b.nbytes)))
             for at in range(0, len(b), step):
