@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sylva.llm import decontaminate, exact_dedup, near_dedup, packing, preference, quality, revisit, secret_scan, url_filter
+from sylva.llm import decontaminate, exact_dedup, near_dedup, packing, preference, quality, revisit, secret_scan, suffix_dedup, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.drop("items", "spans")
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(_table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ QUERIES = {
     "op4_chat_formatting": op4_chat_formatting,
     "op5_warc_revisits": op5_warc_revisits,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_secret_scans": op9_secret_scans,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
