@@ -6,13 +6,15 @@ computed; a table key is a pair of one sub-key of either collection, so tables**
 0.998 at s = 0.75 and over 0.9999 at s = 0.85 with the defaults.
 
   1. Rows with equal sets are one class; the least id stands for it.
-  2. Sub-keys that only one class has can't be part of a shared table key: they are found by an aggregation and dropped before any
-     pair of sub-keys is formed, so a text without near copies emits no table key.
-  3. In every bucket (classes with one table key) each class is a candidate of the bucket's least class: no pairs within a group.
-  4. Candidates are verified on the full sets; links are closed to components.
-  5. Buckets that still hold classes of several components are gone through again: every pair of classes of different components is
-     a candidate, none is capped. Buckets above ``refine_above`` classes are first split by one more sub-key, which keeps the
-     pairs that share another sub-key. Links so found join the others, and the components are closed once more.
+  2. Sub-keys that only one class has can't be part of a shared table key, and of sub-keys of one collection that the same classes
+     share one says all: both are settled by an aggregation before any pair of sub-keys is formed, so a text without near copies
+     emits no table key and a pair of near copies emits one, not hundreds.
+  3. In rounds, every bucket (classes with one table key) picks a leader from its largest component so far, and its classes outside
+     that component become candidates of the leader, at most two leaders a class and round. Candidates are verified on the full sets,
+     and the links merge components. Buckets within one component are done.
+  4. Buckets that still hold several components after the rounds are gone through: every pair of classes of different components whose
+     sizes allow a link is a candidate, none is capped. Buckets above ``refine_above`` classes are first split by one more sub-key,
+     which keeps the pairs that share another sub-key.
 
 Defined results: words are split at ASCII blanks and A-Z is lower-cased; a text of fewer words than a shingle is one shingle; a null
 or empty text, or one of blanks, has the empty set and is linked with nothing; a row of null id gets the component of the other rows
@@ -111,10 +113,11 @@ def _sets(docs: DataFrame, shingle: int, tables: int, depth: int) -> DataFrame:
 
 def _table_keys(sub: DataFrame, tables: int) -> DataFrame:
     """key, rep: the pairs of sub-keys (rep, sub) that at least two classes have, one of either collection."""
-    flat = sub.select("rep", F.posexplode("sub").alias("at", "k"))
-    shared = flat.groupBy("k").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi").select("k")
-    own = flat.join(shared, "k").groupBy("rep").agg(*[F.collect_list(F.when(F.col("at") < tables if first else F.col("at") >= tables, F.col("k"))).alias(n) for n, first in (("left", True), ("right", False))])
-    return own.select("rep", "right", F.explode("left").alias("l")).select("rep", "l", F.explode("right").alias("r")).select(F.xxhash64("l", "r").alias("key"), "rep")
+    flat = sub.select("rep", F.posexplode("sub").alias("at", "k")).select("rep", (F.col("at") < tables).alias("left"), "k")
+    shared = flat.groupBy("left", "k").agg(F.min("rep").alias("lo"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("of")).where("n > 1")
+    kept = shared.groupBy("left", "lo", "n", "of").agg(F.min("k").alias("k")).select("left", "k")
+    own = flat.join(kept, ["left", "k"]).groupBy("rep").agg(*[F.collect_list(F.when(F.col("left") == side, F.col("k"))).alias(n) for n, side in (("l", True), ("r", False))])
+    return own.select("rep", "r", F.explode("l").alias("x")).select("rep", "x", F.explode("r").alias("y")).select(F.xxhash64("x", "y").alias("key"), "rep")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, numerator: int, denominator: int) -> DataFrame:
@@ -144,36 +147,59 @@ def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, numerator: int,
     return joined.select("a", "b", "sa", "sb").mapInArrow(test, "a bigint, b bigint")
 
 
-def find_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, numerator: int = 75, denominator: int = 100, tables: int = 13, depth: int = 3, refine_above: int = 64) -> DataFrame:
+def _merge(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """comp (rep, c, m) after links (a, b) between its classes."""
+    at = comp.select("rep", "c")
+    edges = links.join(at.withColumnsRenamed({"rep": "a", "c": "x"}), "a").join(at.withColumnsRenamed({"rep": "b", "c": "y"}), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    moved = connected(edges).withColumnRenamed("id", "c")
+    return shared_table(comp.join(moved, "c", "left").select("rep", F.coalesce("component", "c").alias("c"), "m"), "comp")
+
+
+def find_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, numerator: int = 75, denominator: int = 100, tables: int = 13, depth: int = 3, rounds: int = 6, refine_above: int = 64) -> DataFrame:
     """For every row: doc_id, n_shingles, component_id, kept. Ids are bigint."""
     ship(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = shared_table(_sets(base, shingle, tables, depth), "signatures")
     classes = rows.where("set is not null and doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("rep"))
-    reps = rows.where("doc_id is not null").join(classes, "set").where("doc_id = rep").select("rep", "sub")
-    keys = shared_table(_table_keys(reps, tables), "keys")
+    reps = rows.where("doc_id is not null").join(classes, "set").where("doc_id = rep").select("rep", "sub", F.col("n_shingles").alias("m"))
     texts = base.where("doc_id is not null").select(F.col("doc_id").alias("rep"), "text")
 
-    buckets = keys.groupBy("key").agg(F.min("rep").alias("lead"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("n")).where("lead < last")
-    stars = shared_table(keys.join(buckets.select("key", "lead"), "key").where("rep > lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")).distinct(), "stars")
-    links = shared_table(_verified(stars, texts, shingle, numerator, denominator), "links")
-
-    found = connected(links)
-    named = keys.join(buckets.where("n > 2").select("key", "n"), "key").join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    left = shared_table(named.join(mixed, "key").select("key", "rep", "component", "n"), "mixed")
+    live = shared_table(_table_keys(reps.select("rep", "sub"), tables), "keys")
+    comp = shared_table(reps.select("rep", F.col("rep").alias("c"), "m").join(live.select("rep").distinct(), "rep", "left_semi"), "comp")
+    verify = lambda pairs: shared_table(_verified(pairs, texts, shingle, numerator, denominator), "links")
+    tested: DataFrame | None = None
+    for r in range(rounds):
+        named = live.join(comp.select("rep", "c"), "rep")
+        parts = named.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"), F.min_by("rep", F.xxhash64("rep", F.lit(r)) if r else F.col("rep")).alias("lead"))
+        mixed = parts.groupBy("key").agg(F.max_by(F.struct("lead", F.col("c").alias("lc")), F.struct("n", -F.col("c"))).alias("d"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "d.lead", "d.lc")
+        rest = shared_table(named.join(mixed, "key"), "mixed")
+        live = rest.select("key", "rep")
+        order = F.xxhash64("lead", F.lit(r)) if r else F.col("lead")
+        two = rest.where("c <> lc").groupBy("rep").agg(F.array_distinct(F.array(F.min_by("lead", order), *([F.max_by("lead", order)] if r else []))).alias("leads"))
+        pairs = two.select(F.explode("leads").alias("lead"), "rep").select(F.greatest("rep", "lead").alias("a"), F.least("rep", "lead").alias("b")).distinct()
+        pairs = shared_table(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+        links = verify(pairs)
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        if not links.limit(1).count():
+            break
+        comp = _merge(comp, links)
+
+    # What is still mixed is gone through in full.
+    named = live.join(comp, "rep")
+    sizes = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("key", "n")
+    left = shared_table(named.join(sizes, "key"), "left")
     if left.limit(1).count():
         half = [F.slice("sub", 1 + i * tables, tables) for i in (0, 1)]
-        own = lambda k: F.exists(half[1], lambda r: F.xxhash64(k, r) == F.col("key")) | F.exists(half[0], lambda x: F.xxhash64(x, k) == F.col("key"))  # noqa: E731  the two that make the key up
-        large = left.where(F.col("n") > refine_above).join(reps, "rep").select("key", "rep", "component", F.explode(F.filter("sub", lambda k: ~own(k))).alias("k"))
-        large = large.select(F.xxhash64("key", "k").alias("key"), "rep", "component")
-        sides = left.where(F.col("n") <= refine_above).select("key", "rep", "component").unionByName(large)
-        a, b = (sides.select("key", F.col("rep").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-        more = a.join(b, "key").where("ca <> cb and a > b").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-        links = links.unionByName(_verified(shared_table(more, "more"), texts, shingle, numerator, denominator))
-        found = connected(links)
-
-    by_set = classes.join(found.select(F.col("id").alias("rep"), "component"), "rep", "left").select("set", F.coalesce("component", "rep").alias("component"))
+        own = lambda k: F.exists(half[1], lambda y: F.xxhash64(k, y) == F.col("key")) | F.exists(half[0], lambda x: F.xxhash64(x, k) == F.col("key"))  # noqa: E731  the two that make the key up
+        large = left.where(F.col("n") > refine_above).join(reps.select("rep", "sub"), "rep").select("key", "rep", "c", "m", F.explode(F.filter("sub", lambda k: ~own(k))).alias("k"))
+        sides = left.where(F.col("n") <= refine_above).select("key", "rep", "c", "m").unionByName(large.select(F.xxhash64("key", "k").alias("key"), "rep", "c", "m"))
+        a, b = (sides.select("key", F.col("rep").alias(x), F.col("c").alias(f"c{x}"), F.col("m").alias(f"m{x}")) for x in "ab")
+        fits = f"ca <> cb and a > b and {denominator} * least(ma, mb) >= {numerator} * greatest(ma, mb)"
+        more = a.join(b, "key").where(fits).select("a", "b").distinct()
+        more = shared_table(more if tested is None else more.join(tested, ["a", "b"], "left_anti"), "more")
+        comp = _merge(comp, verify(more))
+
+    by_set = classes.join(comp.select("rep", "c"), "rep", "left").select("set", F.coalesce("c", "rep").alias("component"))
     out = rows.select("doc_id", "n_shingles", "set").join(by_set, "set", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.col("doc_id").eqNullSafe(F.coalesce("component", "doc_id")).alias("kept"))
 
