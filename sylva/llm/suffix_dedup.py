@@ -40,7 +40,7 @@ from sylva.llm import bloom
 from sylva.session import shared_table, ship
 
 LENGTH, GRAM = 200, 48
-PORTION = 2 << 20  # bytes hashed at a time; places in a portion take 24 bits
+PORTION = 1 << 18  # bytes hashed at a time, so that the arrays stay in the processor's cache; places in a portion take 24 bits
 PLACES = 24
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -50,7 +50,7 @@ _powers: dict[str, np.ndarray] = {}
 
 def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     if "n" not in _powers or len(_powers["n"]) < n:
-        size = max(n, PORTION + (1 << 18))
+        size = max(n, 2 * PORTION)
         for name, base in (("n", BASE), ("i", INVERSE)):
             p = np.full(size, base, np.uint64)
             p[0] = 1
@@ -142,7 +142,7 @@ def _anchors(length: int, gram: int):
 SEGMENT = "d bigint, n int, a bigint, g bigint, lead int, run int, starts array<int>, seg binary"
 
 
-def _segments(filter_, bits: int, length: int, gram: int, remember: int = 200_000):
+def _segments(filter_, bits: int, length: int, gram: int, remember: int = 100_000):
     """Segments with possibly repeated anchors. Of a text that the task has had, none; of a segment that it has had, no bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
