@@ -12,9 +12,12 @@ computed; a table key is a pair of one sub-key of either collection, so tables**
   3. In rounds, every bucket (classes with one table key) picks a leader from its largest component so far, and its classes outside
      that component become candidates of the leader, at most two leaders a class and round. Candidates are verified on the full sets,
      and the links merge components. Buckets within one component are done.
-  4. Buckets that still hold several components after the rounds are gone through: every pair of classes of different components whose
-     sizes allow a link is a candidate, none is capped. Buckets above ``refine_above`` classes are first split by one more sub-key,
-     which keeps the pairs that share another sub-key.
+  4. For buckets that still hold several components a bound is taken from the sets themselves: what a class can share with classes of
+     other components is at most the number of its shingles that any of those has. Where that can't make a link, the class is done;
+     a text with many words of its own is settled so without a single pair.
+  5. Of what is left, every pair of classes of different components whose sizes allow a link is a candidate; none is capped.
+
+Only texts of classes in buckets are moved, after a Bloom filter of their ids has left the others where they are.
 
 Defined results: words are split at ASCII blanks and A-Z is lower-cased; a text of fewer words than a shingle is one shingle; a null
 or empty text, or one of blanks, has the empty set and is linked with nothing; a row of null id gets the component of the other rows
@@ -32,6 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sylva.llm import bloom
 from sylva.llm.components import connected
 from sylva.session import shared_table, ship
 
@@ -120,31 +124,59 @@ def _table_keys(sub: DataFrame, tables: int) -> DataFrame:
     return own.select("rep", "r", F.explode("l").alias("x")).select("rep", "x", F.explode("r").alias("y")).select(F.xxhash64("x", "y").alias("key"), "rep")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, numerator: int, denominator: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough: a and b are ids of texts (rep, text)."""
-    ids = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
+def _only(texts: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """The rows of texts (rep, text) whose rep is in ids (rep), and few others: what a join with ids needs to move."""
+    filter_, bits = bloom.key_filter(ids.select(F.xxhash64("rep").alias("h")), n=n)
+    return bloom.with_flag(texts.select("rep", "text", F.xxhash64("rep").alias("possible")), filter_, bits, "possible").where("possible").select("rep", "text")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        make = Shingler(shingle)
-        for b in batches:
-            for part in (b.slice(i, 500) for i in range(0, len(b), 500)):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([make(x.as_py()).tobytes() for x in part.column(1)], pa.binary())], names=["rep", "s"])
 
-    needed = shared_table(texts.join(ids, "rep").select("rep", "text").mapInArrow(sets, "rep bigint, s binary"), "sets")
-    joined = pairs.join(needed.select(F.col("rep").alias("a"), F.col("s").alias("sa")), "a").join(needed.select(F.col("rep").alias("b"), F.col("s").alias("sb")), "b")
+def _verified(pairs: DataFrame, n: int, texts: DataFrame, shingle: int, numerator: int, denominator: int) -> DataFrame:
+    """Those of the n pairs (a, b) whose full sets are similar enough; a and b are ids of texts (rep, text)."""
+    for side in "ab":
+        own = _only(texts, pairs.select(F.col(side).alias("rep")).distinct(), n).withColumnsRenamed({"rep": side, "text": f"t{side}"})
+        pairs = pairs.join(own, side)
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make, sets = Shingler(shingle), {}
+
+        def of(i: int, text: pa.Scalar) -> np.ndarray:
+            if i not in sets:
+                if len(sets) >= 64:
+                    sets.clear()
+                sets[i] = make(text.as_py())
+            return sets[i]
+
         for b in batches:
             keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+            for i, j, x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+                y, x = of(j, y), make(x.as_py())
                 both = 0
                 if denominator * min(len(x), len(y)) >= numerator * max(len(x), len(y)):
                     both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(denominator * both >= numerator * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return joined.select("a", "b", "sa", "sb").mapInArrow(test, "a bigint, b bigint")
+    return pairs.select("a", "b", "ta", "tb").mapInArrow(test, "a bigint, b bigint")
+
+
+def _may_link(left: DataFrame, texts: DataFrame, shingle: int, numerator: int, denominator: int) -> DataFrame:
+    """left (key, rep, c, m) without the classes that can't be linked with one of another component."""
+    sizes = left.groupBy("key").agg(F.min("m").alias("least"))
+    reps = shared_table(left.join(sizes, "key").groupBy("rep", "c", "m").agg(F.min("least").alias("least")), "reps")
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = Shingler(shingle)
+        for b in batches:
+            for rep, c, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                h = make(text.as_py()).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), rep)), pa.array(np.full(len(h), c)), pa.array(h)], names=["rep", "c", "h"])
+
+    flat = _only(texts, reps, reps.count()).join(reps.select("rep", "c"), "rep").select("rep", "c", "text").mapInArrow(explode, "rep bigint, c bigint, h bigint")
+    flat = shared_table(flat, "flat")
+    common = flat.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
+    shared = flat.join(common, "h").groupBy("rep").agg(F.count(F.lit(1)).alias("shared"))
+    bound = f"{numerator + denominator} * shared >= {numerator} * (m + greatest(least, cast(ceil({numerator} * m / {denominator}) as bigint)))"
+    return left.join(reps.join(shared, "rep").where(bound).select("rep"), "rep", "left_semi")
 
 
 def _merge(comp: DataFrame, links: DataFrame) -> DataFrame:
@@ -155,7 +187,13 @@ def _merge(comp: DataFrame, links: DataFrame) -> DataFrame:
     return shared_table(comp.join(moved, "c", "left").select("rep", F.coalesce("component", "c").alias("c"), "m"), "comp")
 
 
-def find_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, numerator: int = 75, denominator: int = 100, tables: int = 13, depth: int = 3, rounds: int = 6, refine_above: int = 64) -> DataFrame:
+def _mixed(named: DataFrame) -> DataFrame:
+    """The rows (key, rep, c, m) of buckets with several components; of buckets with the same classes, one."""
+    sizes = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("rep").alias("first"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("of")).where("lo < hi")
+    return named.join(sizes.groupBy("first", "n", "of").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+
+
+def find_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, numerator: int = 75, denominator: int = 100, tables: int = 13, depth: int = 3, rounds: int = 4) -> DataFrame:
     """For every row: doc_id, n_shingles, component_id, kept. Ids are bigint."""
     ship(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -166,9 +204,11 @@ def find_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     live = shared_table(_table_keys(reps.select("rep", "sub"), tables), "keys")
     comp = shared_table(reps.select("rep", F.col("rep").alias("c"), "m").join(live.select("rep").distinct(), "rep", "left_semi"), "comp")
-    verify = lambda pairs: shared_table(_verified(pairs, texts, shingle, numerator, denominator), "links")
+    if n := comp.count():
+        texts = shared_table(_only(texts, comp, n).join(comp.select("rep"), "rep", "left_semi"), "texts")
+    likeness = (shingle, numerator, denominator)
     tested: DataFrame | None = None
-    for r in range(rounds):
+    for r in range(rounds if n else 0):
         named = live.join(comp.select("rep", "c"), "rep")
         parts = named.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"), F.min_by("rep", F.xxhash64("rep", F.lit(r)) if r else F.col("rep")).alias("lead"))
         mixed = parts.groupBy("key").agg(F.max_by(F.struct("lead", F.col("c").alias("lc")), F.struct("n", -F.col("c"))).alias("d"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "d.lead", "d.lc")
@@ -178,26 +218,24 @@ def find_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         two = rest.where("c <> lc").groupBy("rep").agg(F.array_distinct(F.array(F.min_by("lead", order), *([F.max_by("lead", order)] if r else []))).alias("leads"))
         pairs = two.select(F.explode("leads").alias("lead"), "rep").select(F.greatest("rep", "lead").alias("a"), F.least("rep", "lead").alias("b")).distinct()
         pairs = shared_table(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        links = verify(pairs)
+        if not (k := pairs.count()):
+            break
+        links = shared_table(_verified(pairs, k, texts, *likeness), "links")
         tested = pairs if tested is None else tested.unionByName(pairs)
         if not links.limit(1).count():
             break
         comp = _merge(comp, links)
 
-    # What is still mixed is gone through in full.
-    named = live.join(comp, "rep")
-    sizes = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("key", "n")
-    left = shared_table(named.join(sizes, "key"), "left")
+    # What is still mixed is bounded, and the rest gone through in full.
+    left = shared_table(_mixed(live.join(comp, "rep")), "left")
     if left.limit(1).count():
-        half = [F.slice("sub", 1 + i * tables, tables) for i in (0, 1)]
-        own = lambda k: F.exists(half[1], lambda y: F.xxhash64(k, y) == F.col("key")) | F.exists(half[0], lambda x: F.xxhash64(x, k) == F.col("key"))  # noqa: E731  the two that make the key up
-        large = left.where(F.col("n") > refine_above).join(reps.select("rep", "sub"), "rep").select("key", "rep", "c", "m", F.explode(F.filter("sub", lambda k: ~own(k))).alias("k"))
-        sides = left.where(F.col("n") <= refine_above).select("key", "rep", "c", "m").unionByName(large.select(F.xxhash64("key", "k").alias("key"), "rep", "c", "m"))
-        a, b = (sides.select("key", F.col("rep").alias(x), F.col("c").alias(f"c{x}"), F.col("m").alias(f"m{x}")) for x in "ab")
+        left = shared_table(_mixed(_may_link(left, texts, *likeness)), "left")
+        a, b = (left.select("key", F.col("rep").alias(x), F.col("c").alias(f"c{x}"), F.col("m").alias(f"m{x}")) for x in "ab")
         fits = f"ca <> cb and a > b and {denominator} * least(ma, mb) >= {numerator} * greatest(ma, mb)"
         more = a.join(b, "key").where(fits).select("a", "b").distinct()
         more = shared_table(more if tested is None else more.join(tested, ["a", "b"], "left_anti"), "more")
-        comp = _merge(comp, verify(more))
+        if k := more.count():
+            comp = _merge(comp, shared_table(_verified(more, k, texts, *likeness), "links"))
 
     by_set = classes.join(comp.select("rep", "c"), "rep", "left").select("set", F.coalesce("c", "rep").alias("component"))
     out = rows.select("doc_id", "n_shingles", "set").join(by_set, "set", "left")
