@@ -52,9 +52,16 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Arrow batches of long texts are kept small: a task holds a few of them at a time. Settings of the user's own stay.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", str(4 << 20))}
+
+
 def ship(spark: SparkSession) -> None:
-    """Gives the executors this package, once for each application."""
+    """Gives the executors this package, once for each application, and bounds Arrow batches."""
     sc = spark.sparkContext
+    for key, (default, ours) in BATCH.items():
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, ours)
     if sc.applicationId in _shipped:
         return
     _shipped.add(sc.applicationId)
