@@ -26,6 +26,7 @@ def local_session(cores: int | str = "*", **extra: str) -> SparkSession:
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
     } | extra
     spark = SparkSession.builder.master(f"local[{cores}]").appName("sylva").config(map=conf).getOrCreate()
