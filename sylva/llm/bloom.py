@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 HASHES = 4
 CHUNKS = 256
+ONE_TASK = 100_000  # up to so many hashes one task fills the arrays, and there is nothing to merge
 LEVEL_ONE = 64  # how many first-level groups the tasks' arrays of one chunk are merged in
 
 
@@ -64,9 +65,12 @@ def _filter(hashes: DataFrame, column: str, n: int | None, bits_per_row: int, ma
     n = hashes.count() if n is None else n
     bits = min(max_bits, 1 << max(15, (max(1, n) * bits_per_row - 1).bit_length()))
     schema = "chunk int, salt int, once binary, twice binary"
-    parts = hashes.mapInArrow(_build(bits), schema).groupBy("chunk", "salt").applyInArrow(_merge, schema).groupBy("chunk").applyInArrow(_merge, schema)
+    if n <= ONE_TASK:
+        parts = hashes.coalesce(1).mapInArrow(_build(bits), schema)
+    else:
+        parts = hashes.mapInArrow(_build(bits), schema).groupBy("chunk", "salt").applyInArrow(_merge, schema).groupBy("chunk").applyInArrow(_merge, schema)
     out, size = np.zeros(bits // 8, np.uint8), bits // 8 // CHUNKS
-    for row in parts.select("chunk", F.col(column).alias("data")).toLocalIterator():  # max_bits in all
+    for row in parts.select("chunk", F.col(column).alias("data")).collect():  # max_bits in all
         out[row.chunk * size : (row.chunk + 1) * size] = np.frombuffer(zlib.decompress(bytes(row.data)), np.uint8)
     return out.tobytes(), bits
 
