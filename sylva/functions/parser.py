@@ -6,10 +6,12 @@ that can't be parsed becomes an ERROR node up to the next place where a statemen
 
 from __future__ import annotations
 
+import sys
+
 from sylva.functions.lexer import TRIVIA, Lexer, Token
 
 MAX_STEPS_PER_TOKEN = 400  # a guard against runaway parsing of hostile input
-MAX_DEPTH = 180
+MAX_DEPTH = 250  # of statements, expressions and types in each other
 
 
 class Node:
@@ -1867,7 +1869,12 @@ class Parser:
 def parse(source: str, kind: str = "module") -> tuple[Node, Parser]:
     """The tree of a source, numbered, and the parser with its tokens and errors. kind: 'script', 'module' or 'typescript'."""
     p = Parser(source, kind)
-    root = p.program()
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(limit, 40 * MAX_DEPTH))
+    try:
+        root = p.program()
+    finally:
+        sys.setrecursionlimit(limit)
     while not p.ended:
         p._fill(len(p.toks))
     count = 0
