@@ -21,8 +21,8 @@ Only texts of classes in buckets are moved, after a Bloom filter of their ids ha
 
 Defined results: words are split at ASCII blanks and A-Z is lower-cased; a text of fewer words than a shingle is one shingle; a null
 or empty text, or one of blanks, has the empty set and is linked with nothing; a row of null id gets the component of the other rows
-with its set (null if there are none) and is kept only if that is null; rows of one id are each linked by their own text; an empty
-table gives an empty result; other columns don't matter.
+with its set (null if there are none) and is kept only if that is null; rows of one id are each grouped by their own text, and sets
+that one id stands for are one group; an empty table gives an empty result; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -199,11 +199,11 @@ def find_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = shared_table(_sets(base, shingle, tables, depth), "signatures")
     classes = rows.where("set is not null and doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("rep"))
-    reps = rows.where("doc_id is not null").join(classes, "set").where("doc_id = rep").select("rep", "sub", F.col("n_shingles").alias("m"))
+    reps = rows.where("doc_id is not null").join(classes, "set").where("doc_id = rep").groupBy("rep", "set").agg(F.first("sub").alias("sub"), F.max("n_shingles").alias("m"))
     texts = base.where("doc_id is not null").select(F.col("doc_id").alias("rep"), "text")
 
     live = shared_table(_table_keys(reps.select("rep", "sub"), tables), "keys")
-    comp = shared_table(reps.select("rep", F.col("rep").alias("c"), "m").join(live.select("rep").distinct(), "rep", "left_semi"), "comp")
+    comp = shared_table(reps.groupBy("rep").agg(F.max("m").alias("m")).select("rep", F.col("rep").alias("c"), "m").join(live.select("rep").distinct(), "rep", "left_semi"), "comp")
     if n := comp.count():
         texts = shared_table(_only(texts, comp, n).join(comp.select("rep"), "rep", "left_semi"), "texts")
     likeness = (shingle, numerator, denominator)
