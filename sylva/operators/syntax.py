@@ -1,7 +1,6 @@
 """Table functions: sources to tokens, nodes and parse errors. The only Python on the way from a source to its findings.
 
-``files`` has file_id, kind and source. One pass parses a source once and yields all three as one nested row; with :func:`parsed` written
-to a table, tokens and nodes are column-pruned reads of it.
+``files`` has file_id, kind and source. One pass parses a source once and yields all three as flat rows.
 """
 
 from __future__ import annotations
@@ -10,13 +9,13 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from sylva.functions.lexer import tokenize
 from sylva.functions.tree import Tree
 from sylva.session import ship
 
 MAX_BYTES = 4 << 20  # a longer source is reported, not parsed
+PORTION = 2000  # rows of an Arrow batch
 
 TOKEN = "tok int, kind string, start int, end int, text string, is_trivia boolean, nl_before boolean"
 STEP = "pre int, kind string, role string, ord int, op string, name string, n int, start int, end int"
@@ -38,47 +37,52 @@ def _struct(ddl: str) -> pa.DataType:
 _NODE = pa.struct([*_struct(NODE.split(", path")[0]), pa.field("path", pa.list_(_struct(STEP))), pa.field("kids", pa.list_(_struct(KID)))])
 
 
+_TYPES = {"token": ("t", _struct(TOKEN)), "node": ("n", _NODE), "error": ("e", _struct(ERROR))}
+
+
+def _batch(file_id: int | None, what: str, rows: list[dict]) -> pa.RecordBatch:
+    columns = [pa.array(rows, t) if w == what else pa.nulls(len(rows), t) for w, (_, t) in _TYPES.items()]
+    return pa.RecordBatch.from_arrays([pa.array([file_id] * len(rows), pa.int64()), pa.array([what] * len(rows)), *columns], names=["file_id", "what", *(n for n, _ in _TYPES.values())])
+
+
 def _parse_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i in range(len(b)):
-            one = b.slice(i, 1)
-            source, kind = one.column(2)[0].as_py(), one.column(1)[0].as_py() or "module"
-            tokens, nodes, errors = [], [], []
-            if source is None:
-                source = ""
+            file_id, kind, source = (b.column(c)[i].as_py() for c in range(3))
+            source, errors, parts = source or "", [], []
             if len(source) > MAX_BYTES:
                 errors.append({"title": f"the source has more than {MAX_BYTES} characters", "start": 0, "end": 0})
             else:
                 try:
-                    tree = Tree(source, kind)
-                    tokens, nodes = tree.token_rows(), tree.node_rows()
+                    tree = Tree(source, kind or "module")
+                    parts = [("token", tree.token_rows()), ("node", tree.node_rows())]
                     errors = [{"title": t, "start": s, "end": e} for t, s, e in tree.errors()]
                 except RecursionError:
                     errors.append({"title": "nesting is too deep", "start": 0, "end": 0})
-            for n in nodes:
-                n["info"] = list(n["info"].items())
-            yield pa.RecordBatch.from_arrays(
-                [one.column(0), pa.array([tokens], pa.list_(_struct(TOKEN))), pa.array([nodes], pa.list_(_NODE)), pa.array([errors], pa.list_(_struct(ERROR)))],
-                names=["file_id", "tokens", "nodes", "errors"],
-            )
+            for what, rows in (*parts, ("error", errors)):
+                for at in range(0, len(rows), PORTION):
+                    yield _batch(file_id, what, rows[at : at + PORTION])
 
 
 def parsed(files: DataFrame) -> DataFrame:
-    """file_id, tokens, nodes, errors (arrays of rows) of every file."""
+    """Rows of tokens, nodes and errors of every file, each parsed once: file_id, what ('token', 'node' or 'error') and t, n, e.
+
+    Written with partitionBy("what"), tokens and nodes are pruned reads of flat columns.
+    """
     ship(files.sparkSession)
-    return files.select("file_id", "kind", "source").mapInArrow(_parse_rows, f"file_id bigint, tokens array<struct<{TOKEN}>>, nodes array<struct<{NODE}>>, errors array<struct<{ERROR}>>")
+    return files.select("file_id", "kind", "source").mapInArrow(_parse_rows, f"file_id bigint, what string, t struct<{TOKEN}>, n struct<{NODE}>, e struct<{ERROR}>")
 
 
 def tokens_of(trees: DataFrame) -> DataFrame:
-    return trees.select("file_id", F.explode("tokens").alias("t")).select("file_id", "t.*")
+    return trees.where("what = 'token'").select("file_id", "t.*")
 
 
 def nodes_of(trees: DataFrame) -> DataFrame:
-    return trees.select("file_id", F.explode("nodes").alias("n")).select("file_id", "n.*")
+    return trees.where("what = 'node'").select("file_id", "n.*")
 
 
 def errors_of(trees: DataFrame) -> DataFrame:
-    return trees.select("file_id", F.explode("errors").alias("e")).select("file_id", "e.*")
+    return trees.where("what = 'error'").select("file_id", "e.*")
 
 
 def _lex_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

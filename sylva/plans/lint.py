@@ -58,7 +58,7 @@ def lint(files: DataFrame, config: Config | None = None, rules: dict[str, dict]
     selected, said = ({n: ("error", o) for n, o in rules.items()}, []) if rules is not None else select_rules(config)
     if config is not None and config.source_type:
         files = files.withColumn("kind", F.lit(config.source_type))
-    trees = shared_table(parsed(files), "trees")
+    trees = shared_table(parsed(files), "trees", partition="what")
     nodes, tokens = nodes_of(trees), tokens_of(trees)
     found = R.run_rules(nodes, tokens, {n: o for n, (_, o) in selected.items()}) if selected else None
     steering = parse_directives(tokens, nodes)

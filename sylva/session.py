@@ -45,11 +45,11 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir}"
 
 
-def shared_table(df: DataFrame, name: str) -> DataFrame:
+def shared_table(df: DataFrame, name: str, partition: str | None = None) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: cuts the lineage and survives the loss of executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sylva-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(partition) if partition else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
