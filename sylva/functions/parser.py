@@ -52,6 +52,8 @@ BINARY = {
 ASSIGN = frozenset("EQ PLUSEQ MINUSEQ STAREQ SLASHEQ PERCENTEQ STAR2EQ SHLEQ SHREQ USHREQ AMPEQ PIPEEQ CARETEQ AMP2EQ PIPE2EQ QUESTION2EQ".split())
 UNARY = frozenset("DELETE_KW VOID_KW TYPEOF_KW PLUS MINUS TILDE BANG PLUS2 MINUS2".split())
 WORDS = frozenset("IDENT AWAIT_KW YIELD_KW IMPLEMENTS_KW INTERFACE_KW PACKAGE_KW PRIVATE_KW PROTECTED_KW PUBLIC_KW".split())
+ANGLES = frozenset("SHR USHR GTEQ SHREQ USHREQ".split())  # begin with an angle that may close type arguments
+RESCANNED = ANGLES | {"SLASH", "SLASHEQ", "REGEX", "ERROR_TOKEN"}
 TYPE_NAMES = {"any": "TS_ANY", "unknown": "TS_UNKNOWN", "number": "TS_NUMBER", "object": "TS_OBJECT", "boolean": "TS_BOOLEAN", "bigint": "TS_BIGINT", "string": "TS_STRING", "symbol": "TS_SYMBOL", "undefined": "TS_UNDEFINED", "never": "TS_NEVER"}
 STATEMENT_STARTS = frozenset("VAR_KW CONST_KW FUNCTION_KW CLASS_KW IF_KW FOR_KW WHILE_KW DO_KW SWITCH_KW RETURN_KW THROW_KW TRY_KW BREAK_KW CONTINUE_KW DEBUGGER_KW IMPORT_KW EXPORT_KW".split())
 MODIFIERS = frozenset("public private protected static readonly abstract declare override async".split())
@@ -90,7 +92,7 @@ class Parser:
             if t.kind in TRIVIA or t.kind == "SHEBANG":
                 self.raw.append(t)
                 continue
-            if t.kind in ("SLASH", "SLASHEQ", "REGEX", "ERROR_TOKEN"):
+            if t.kind in RESCANNED:
                 self.saved[len(self.toks)] = (len(self.raw), state)
             self.index.append(len(self.raw))
             self.raw.append(t)
@@ -130,11 +132,12 @@ class Parser:
     def split_angle(self) -> None:
         """The next token starts with > but goes on: only its first character closes type arguments."""
         t = self.peek()
-        if t.kind in ("SHR", "USHR", "GTEQ", "SHREQ", "USHREQ"):
-            raw = self.index[self.i]
+        if t.kind in ANGLES and self.i in self.saved:
+            raw, state = self.saved[self.i]
             del self.raw[raw:], self.toks[self.i :], self.index[self.i :]
             for n in [n for n in self.saved if n >= self.i]:
                 del self.saved[n]
+            self.lexer.restore(state)
             self.lexer.at, self.ended, self.lexer.line = t.start + 1, False, False
             self.lexer.before = "R_ANGLE"
             first = Token("R_ANGLE", t.start, t.start + 1, t.nl)
@@ -1892,3 +1895,16 @@ def parse(source: str, kind: str = "module") -> tuple[Node, Parser]:
         else:
             node.post = count - 1  # the last number in the subtree
     return root, p
+
+
+def parse_expression(source: str, kind: str = "module") -> tuple[Node, Parser]:
+    """The tree of one expression; what follows it is an error."""
+    p = Parser(source, kind)
+    root = Node("ERROR", 0)
+    try:
+        root = p.expression()
+        if not p.at("EOF"):
+            p.error("more than one expression")
+    except Stop:
+        root = p.close(root)
+    return root, p

@@ -532,3 +532,10 @@ def check_patterns(patterns: DataFrame) -> DataFrame:
     ship(patterns.sparkSession)
     return patterns.select("pattern", "flags").mapInArrow(_check_rows, "pattern string, flags string, ok boolean, message string, simplified string")
 
+
+
+def capture_groups(pattern: str, flags: str = "") -> tuple[int, list[str]]:
+    """How many groups capture, and the names of those that have one."""
+    reader = Reader(pattern, "u" in flags)
+    reader.parse()
+    return reader.groups, reader.names

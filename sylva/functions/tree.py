@@ -305,16 +305,20 @@ class Tree:
             out.append(row)
         return out
 
-    def token_rows(self) -> list[dict]:
-        out, line = [], False
-        for i, t in enumerate(self.parser.raw):
-            trivia = t.kind in TRIVIA
-            out.append({"tok": i, "kind": t.kind, "start": self.at(t.start), "end": self.at(t.end), "text": self.source[t.start : t.end], "is_trivia": trivia, "nl_before": line})
-            if trivia:
-                line = line or _BREAK.search(self.source, t.start, t.end) is not None and (t.kind == "WHITESPACE" or self.source.startswith("/*", t.start))
+    def token_columns(self) -> dict[str, list]:
+        """Columns of all tokens, trivia included."""
+        raw, source, nl, line = self.parser.raw, self.source, [], False
+        trivia = [t.kind in TRIVIA for t in raw]
+        for t, skip in zip(raw, trivia, strict=True):
+            nl.append(line)
+            if skip:
+                line = line or (t.kind == "WHITESPACE" or source.startswith("/*", t.start)) and _BREAK.search(source, t.start, t.end) is not None
             else:
                 line = False
-        return out
+        starts, ends = [t.start for t in raw], [t.end for t in raw]
+        if self.offsets is not None:
+            starts, ends = self.offsets[starts].tolist(), self.offsets[ends].tolist()
+        return {"tok": list(range(len(raw))), "kind": [t.kind for t in raw], "start": starts, "end": ends, "text": [source[t.start : t.end] for t in raw], "is_trivia": trivia, "nl_before": nl}
 
     def errors(self) -> list[tuple[str, int, int]]:
         seen, out = set(), []

@@ -40,9 +40,15 @@ _NODE = pa.struct([*_struct(NODE.split(", path")[0]), pa.field("path", pa.list_(
 _TYPES = {"token": ("t", _struct(TOKEN)), "node": ("n", _NODE), "error": ("e", _struct(ERROR))}
 
 
-def _batch(file_id: int | None, what: str, rows: list[dict]) -> pa.RecordBatch:
-    columns = [pa.array(rows, t) if w == what else pa.nulls(len(rows), t) for w, (_, t) in _TYPES.items()]
-    return pa.RecordBatch.from_arrays([pa.array([file_id] * len(rows), pa.int64()), pa.array([what] * len(rows)), *columns], names=["file_id", "what", *(n for n, _ in _TYPES.values())])
+def _batch(file_id: int | None, what: str, columns: dict[str, list], at: int, n: int) -> pa.RecordBatch:
+    kind = _TYPES[what][1]
+    own = pa.StructArray.from_arrays([pa.array(columns[f.name][at : at + n], f.type) for f in kind], fields=list(kind))
+    out = [own if w == what else pa.nulls(n, t) for w, (_, t) in _TYPES.items()]
+    return pa.RecordBatch.from_arrays([pa.array([file_id] * n, pa.int64()), pa.array([what] * n), *out], names=["file_id", "what", *(x for x, _ in _TYPES.values())])
+
+
+def _columns(rows: list[dict], kind: pa.DataType) -> dict[str, list]:
+    return {f.name: [r[f.name] for r in rows] for f in kind}
 
 
 def _parse_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,13 +61,14 @@ def _parse_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 try:
                     tree = Tree(source, kind or "module")
-                    parts = [("token", tree.token_rows()), ("node", tree.node_rows())]
+                    parts = [("token", tree.token_columns()), ("node", _columns(tree.node_rows(), _NODE))]
                     errors = [{"title": t, "start": s, "end": e} for t, s, e in tree.errors()]
                 except RecursionError:
                     errors.append({"title": "nesting is too deep", "start": 0, "end": 0})
-            for what, rows in (*parts, ("error", errors)):
-                for at in range(0, len(rows), PORTION):
-                    yield _batch(file_id, what, rows[at : at + PORTION])
+            for what, columns in (*parts, ("error", _columns(errors, _TYPES["error"][1]))):
+                total = len(next(iter(columns.values())))
+                for at in range(0, total, PORTION):
+                    yield _batch(file_id, what, columns, at, min(PORTION, total - at))
 
 
 def parsed(files: DataFrame) -> DataFrame:

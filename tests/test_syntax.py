@@ -68,7 +68,7 @@ def test_invalid_javascript(source):
     [
         "interface A<T extends B = C> extends D<T> { a?: string; readonly b: number[]; c(x: T): void; [k: string]: any; new (x: A): B }", "type A = { [K in keyof T]?: T[K] } & B | C extends infer U ? U : never", "enum A { B = 1, C }", "namespace A.B { export const c: number = 1 }",
         "function f(this: A, b?: string, ...c: number[]): b is string {}", "let a = <T>(b: T): T => b", "let a = b as const, c = d!.e, f = <any>g", "abstract class A<T> implements B<T> { private constructor(public a: string) { super(); } abstract f(): void }", "declare module 'a' { export default b }",
-        "let x: (a: string) => void, y: [a: string, b?: number], z: typeof import('a').b", "import type { A } from 'b'; export type { A }", "f<A<B<C>>>(d)", "function f(a: string): void;\nfunction f(a: any) {}", "@d() class A { @e f: string }",
+        "let x: (a: string) => void, y: [a: string, b?: number], z: typeof import('a').b", "import type { A } from 'b'; export type { A }", "f<A<B<C>>>(d)", "function f(a: string): void;\nfunction f(a: any) {}", "@d() class A { @e f: string }", "let f = (a: A<B<C>>) => `x${a}y` / 2; g<A<B<C>>>(`${1}`); let h: A<B>= c",
     ],
 )
 def test_valid_typescript(source):
