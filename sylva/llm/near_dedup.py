@@ -160,7 +160,7 @@ def _verified(pairs: DataFrame, n: int, texts: DataFrame, shingle: int, numerato
 
 
 def _may_link(left: DataFrame, texts: DataFrame, shingle: int, numerator: int, denominator: int) -> DataFrame:
-    """left (key, rep, c, m) without the classes that can't be linked with one of another component."""
+    """left (key, rep, c, m) without the classes that can't be linked with one of another component; shared says what they may share."""
     sizes = left.groupBy("key").agg(F.min("m").alias("least"))
     reps = shared_table(left.join(sizes, "key").groupBy("rep", "c", "m").agg(F.min("least").alias("least")), "reps")
 
@@ -176,7 +176,7 @@ def _may_link(left: DataFrame, texts: DataFrame, shingle: int, numerator: int, d
     common = flat.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
     shared = flat.join(common, "h").groupBy("rep").agg(F.count(F.lit(1)).alias("shared"))
     bound = f"{numerator + denominator} * shared >= {numerator} * (m + greatest(least, cast(ceil({numerator} * m / {denominator}) as bigint)))"
-    return left.join(reps.join(shared, "rep").where(bound).select("rep"), "rep", "left_semi")
+    return left.join(reps.join(shared, "rep").where(bound).select("rep", "shared"), "rep")
 
 
 def _merge(comp: DataFrame, links: DataFrame) -> DataFrame:
@@ -230,8 +230,11 @@ def find_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     left = shared_table(_mixed(live.join(comp, "rep")), "left")
     if left.limit(1).count():
         left = shared_table(_mixed(_may_link(left, texts, *likeness)), "left")
-        a, b = (left.select("key", F.col("rep").alias(x), F.col("c").alias(f"c{x}"), F.col("m").alias(f"m{x}")) for x in "ab")
-        fits = f"ca <> cb and a > b and {denominator} * least(ma, mb) >= {numerator} * greatest(ma, mb)"
+        # A pair is formed in the least bucket that both are in, so once.
+        left = left.join(left.groupBy("rep").agg(F.collect_list("key").alias("all")), "rep")
+        a, b = (left.select("key", F.col("rep").alias(x), *[F.col(n).alias(f"{n}{x}") for n in ("c", "m", "shared", "all")]) for x in "ab")
+        fits = f"""ca <> cb and a > b and {denominator} * least(ma, mb) >= {numerator} * greatest(ma, mb)
+            and {numerator + denominator} * least(shareda, sharedb) >= {numerator} * (ma + mb) and key = array_min(array_intersect(alla, allb))"""
         more = a.join(b, "key").where(fits).select("a", "b").distinct()
         more = shared_table(more if tested is None else more.join(tested, ["a", "b"], "left_anti"), "more")
         if k := more.count():
