@@ -24,6 +24,8 @@ class Tree:
         self.root, self.parser = parse(source, kind)
         self.offsets = byte_offsets(source)
         raw = self.parser.raw
+        self.all_words = [source[t.start : t.end] for t in self.parser.toks]
+        self._lexes: dict[tuple[int, int], tuple[str | None, str]] = {}
         self.comment_before = [0]
         for t in raw:
             self.comment_before.append(self.comment_before[-1] + (t.kind == "COMMENT"))
@@ -48,7 +50,7 @@ class Tree:
         return f"{self.at(s)}:{self.at(e)}"
 
     def words(self, node: Node) -> list[str]:
-        return [self.source[t.start : t.end] for t in self.parser.toks[node.lo : node.hi]]
+        return self.all_words[node.lo : node.hi]
 
     # Constants and control flow
 
@@ -264,14 +266,17 @@ class Tree:
     # Rows
 
     def _lex(self, node: Node) -> tuple[str | None, str]:
-        words = self.words(node)
-        return " ".join(words) if len(words) <= LEX_TOKENS else None, xxhash.xxh3_128_hexdigest("\0".join(words).encode("utf-8", "surrogatepass"))
+        key = (node.lo, node.hi)
+        if key not in self._lexes:  # a node and its only child have the same tokens
+            words = self.words(node)
+            self._lexes[key] = " ".join(words) if len(words) <= LEX_TOKENS else None, xxhash.xxh3_128_hexdigest("\0".join(words).encode("utf-8", "surrogatepass"))
+        return self._lexes[key]
 
     def node_rows(self) -> list[dict]:
         toks, p = self.parser.toks, self.parser
         rows: dict[int, dict] = {}
         ordered = sorted(self.descendants(self.root), key=lambda n: n.pre)
-        hashed = ("key", "test", "value", "lhs", "rhs", "callee", "object", "prop", "arg", "expr", "source", "extends", "tag", "element", "name", "init", "cons", "alt", "body")
+        hashed = frozenset(("key", "test", "value", "lhs", "rhs", "callee", "object", "prop", "arg", "expr", "source", "extends", "tag", "element", "name", "init", "cons", "alt", "body"))
         for n in ordered:
             s, e = self.span(n)
             short = n.hi - n.lo <= LEX_TOKENS
@@ -289,7 +294,7 @@ class Tree:
                 "op": n.op or None, "start": self.at(s), "end": self.at(e), "tok_lo": lo, "tok_hi": hi, "child_count": len(n.kids),
                 "has_comment": self.comment_before[min(hi + 1, len(self.comment_before) - 1)] > self.comment_before[lo] if n.hi > n.lo else False,
                 "parent_kind": n.parent.kind if n.parent is not None else None, "grandparent_kind": n.parent.parent.kind if n.parent is not None and n.parent.parent is not None else None,
-                "lex": lex, "lexh": lexh, "text": self.source[s:e] if e - s <= TEXT_CHARS else None, "name": name, "last": self.source[toks[n.hi - 1].start : toks[n.hi - 1].end][:TEXT_CHARS] if n.hi > n.lo else None,
+                "lex": lex, "lexh": lexh, "text": self.source[s:e] if e - s <= TEXT_CHARS else None, "name": name, "last": self.all_words[n.hi - 1][:TEXT_CHARS] if n.hi > n.lo else None,
                 "inner": (self.inner(n) or n).kind, "inner_op": (self.inner(n) or n).op or None,
                 "is_const": self.is_const(n, True) if expression else None, "truthy": self.truth(n) if expression else None,
                 "flags": sorted(f for f in n.flags if "@" not in f), "info": self.facts(n),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -40,3 +40,36 @@ def map_offsets(offsets: DataFrame, edits: DataFrame) -> DataFrame:
     moved = F.sum(F.when(F.col("_e") <= F.col("offset"), F.col("_n") - (F.col("_e") - F.col("_s"))).otherwise(0))
     inside = F.max(F.coalesce((F.col("_s") < F.col("offset")) & (F.col("offset") < F.col("_e")), F.lit(False)))
     return joined.groupBy("file_id", "offset").agg(moved.alias("_m"), inside.alias("_i")).select("file_id", "offset", F.when(~F.col("_i"), F.col("offset") + F.coalesce("_m", F.lit(0))).alias("mapped"))
+
+
+# Builders: arrays of (start, end, insert) for a rule's fixes column.
+
+
+def _one(start: Column, end: Column, insert: Column) -> Column:
+    return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), insert.alias("insert"))
+
+
+def replace(start: Column, end: Column, text: Column) -> Column:
+    return F.array(_one(start, end, text))
+
+
+def insert(at: Column, text: Column) -> Column:
+    return F.array(_one(at, at, text))
+
+
+def delete(start: Column, end: Column) -> Column:
+    return F.array(_one(start, end, F.lit("")))
+
+
+def wrap(start: Column, end: Column, before: str = "(", after: str = ")") -> Column:
+    return F.array(_one(start, start, F.lit(before)), _one(end, end, F.lit(after)))
+
+
+def unwrap(start: Column, end: Column, inner_start: Column, inner_end: Column) -> Column:
+    """Deletes what surrounds an inner range."""
+    return F.array(_one(start, inner_start, F.lit("")), _one(inner_end, end, F.lit("")))
+
+
+def unless_commented(fixes: Column, has_comment: Column) -> Column:
+    """No fixes where they would drop a comment."""
+    return F.when(has_comment, F.array().cast("array<struct<start:int,end:int,insert:string>>")).otherwise(fixes)

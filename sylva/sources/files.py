@@ -95,3 +95,9 @@ def line_array(source: Column) -> Column:
     """Byte offsets of the starts of lines, as an array."""
     zero = F.struct(F.expr("cast(array() as array<int>)").alias("out"), F.lit(0).alias("at"))
     return F.aggregate(F.split(F.coalesce(source, F.lit("")), "\n", -1), zero, lambda acc, p: F.struct(F.concat(acc["out"], F.array(acc["at"])).alias("out"), (acc["at"] + F.octet_length(p) + 1).alias("at")), lambda acc: acc["out"])
+
+
+def reload(files: DataFrame, path: str, source: str) -> DataFrame:
+    """files with the text of one path replaced; a path that isn't there changes nothing."""
+    new = F.when(F.col("path") == path, F.lit(source)).otherwise(F.col("source"))
+    return files.withColumn("source", new).withColumn("n_bytes", F.octet_length("source"))

@@ -118,3 +118,24 @@ def test_fragments():
     assert (root.kind, root.op, parser.errors) == ("BIN_EXPR", "+", [])
     assert parse_expression("a b")[1].errors and parse_expression("")[1].errors
     assert capture_groups("(a)(?:b)(?<c>d)[(]") == (2, ["c"])
+
+
+def test_edit_builders(spark):
+    from pyspark.sql import functions as F
+
+    from sylva.operators import edits as E
+
+    files = spark.createDataFrame([(1, "abcdef")], "file_id long, source string")
+    at = [F.lit(x) for x in range(7)]
+    cases = {"aXef": E.replace(at[1], at[4], F.lit("X")), "abXcdef": E.insert(at[2], F.lit("X")), "af": E.delete(at[1], at[5]), "a(bc)def": E.wrap(at[1], at[3]), "cd": E.unwrap(at[0], at[6], at[2], at[4])}
+    for want, fixes in cases.items():
+        e = files.select("file_id", F.lit("r").alias("rule"), F.explode(fixes).alias("f")).select("file_id", "rule", "f.*")
+        assert apply_edits(files, e).first().source == want
+    assert files.select(F.size(E.unless_commented(E.delete(at[0], at[1]), F.lit(True))).alias("n")).first().n == 0
+
+
+def test_reload(spark):
+    from sylva.sources.files import reload
+
+    files = files_from(spark.createDataFrame([("a.js", "x"), ("b.js", "y")], "path string, source string"))
+    assert {(r.path, r.source, r.n_bytes) for r in reload(files, "a.js", "new").collect()} == {("a.js", "new", 3), ("b.js", "y", 1)}
