@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import io
 import os
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
+from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 _ROOT = Path(__file__).resolve().parent
 _own_dir: str | None = None
 _shipped: set[str] = set()
@@ -53,6 +60,31 @@ def shared_table(df: DataFrame, name: str, partition: str | None = None) -> Data
     return spark.read.schema(df.schema).parquet(path)
 
 
+_owner = ""
+_states: dict[str, object] = {}
+
+
+def enter(owner: str) -> None:
+    """Called where a task's Python code begins: what another operator has kept in this worker goes, and freed memory returns to the system."""
+    global _owner
+    if owner != _owner:
+        _states.clear()
+        _owner = owner
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not every C library has it
+
+
+def kept(key: str, make: Callable[[], T]) -> T:
+    """What the present operator keeps in this worker between tasks."""
+    if key not in _states:
+        _states[key] = make()
+    return _states[key]
+
+
 #: Arrow batches of long texts are kept small: a task holds a few of them at a time. Settings of the user's own stay.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", str(4 << 20))}
 
