@@ -11,6 +11,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sylva.session import enter
+
 HASHES = 4
 CHUNKS = 256
 ONE_TASK = 100_000  # up to so many hashes one task fills the arrays, and there is nothing to merge
@@ -35,6 +37,7 @@ def _set(array: np.ndarray, at: np.ndarray) -> None:
 
 def _build(bits: int):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("bloom")
         once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         for b in batches:
             h, n = np.unique(b.column(0).to_numpy(), return_counts=True)
@@ -87,6 +90,7 @@ def key_filter(hashes: DataFrame, bits_per_row: int = 16, max_bits: int = 1 << 2
 
 def _flag(filter_, bits: int, column: str):
     def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("bloom")
         array = np.frombuffer(filter_.value, np.uint8)
         for b in batches:
             at = b.schema.get_field_index(column)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylva.session import ship
+from sylva.session import enter, ship
 
 #: Bytes to what they count as: letters lower-cased, digits and non-ASCII bytes as they are, all others a blank.
 TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -112,26 +112,21 @@ def _broadcast(benchmark: DataFrame, item_col: str, text_col: str, n: int, block
     return blocks
 
 
-_loaded: dict[int, Block] = {}
-
-
 def _blocks(broadcasts: list) -> Iterator[Block]:
     if len(broadcasts) == 1:
-        key = id(broadcasts[0])
-        if key not in _loaded:
-            _loaded.clear()
-            _loaded[key] = pickle.loads(broadcasts[0].value)
-        yield _loaded[key]
+        yield pickle.loads(broadcasts[0].value)
         return
     for b in broadcasts:
         with open(b._path, "rb") as f:  # not kept: one block at a time
             yield pickle.loads(b.load(f))
 
 
-def _each(broadcasts: list, texts: list[bytes]) -> Iterator[tuple[bytes, list[bytes], np.ndarray, set]]:
+def _each(broadcasts: list, texts: list[bytes], held: list) -> Iterator[tuple[bytes, list[bytes], np.ndarray, set]]:
     split = [_split(t) for t in texts]
     hits, items = [np.zeros(len(w), bool) for w in split], [set() for _ in split]
-    for block in _blocks(broadcasts):
+    if len(broadcasts) == 1 and not held:
+        held.extend(_blocks(broadcasts))
+    for block in held or _blocks(broadcasts):
         for w, h, s in zip(split, hits, items, strict=True):
             if w:
                 scan(w, block, h, s)
@@ -159,10 +154,12 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("decontaminate")
+        one: list = []
         for b in batches:
             out: list[list] = [[] for _ in range(7)]
             for texts in _portions(b.column(1)):
-                for _, words, hit, items in _each(blocks, texts):
+                for _, words, hit, items in _each(blocks, texts, one):
                     named = sorted(x for x in items if x is not None)
                     edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0])))).tolist() if hit.any() else []
                     row = (len(words), int(hit.sum()), len(named), hashlib.sha256(",".join(named).encode()).hexdigest(), bool(edges), named, [f"{s}:{e}" for s, e in zip(edges[::2], edges[1::2], strict=True)])
@@ -202,12 +199,14 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
     blocks = _broadcast(benchmark, item_col, item_text_col, n, block_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("decontaminate")
+        one: list = []
         for b in batches:
             at = b.schema.get_field_index(text_col)
             texts, keep, lengths = b.column(at).to_pylist(), [], {}
             k = 0
             for portion in _portions(b.column(at)):
-                for text, words, hit, _ in _each(blocks, portion):
+                for text, words, hit, _ in _each(blocks, portion, one):
                     keep.append(not hit.any() or hit.sum() < drop_at * len(words))
                     if keep[-1] and hit.any():
                         texts[k] = _cut(text, words, hit)

@@ -37,10 +37,10 @@ from pyspark.sql import functions as F
 
 from sylva.llm import bloom
 from sylva.llm.components import connected
-from sylva.session import shared_table, ship
+from sylva.session import enter, shared_table, ship
 
 PRIME = np.uint64(0x9E3779B97F4A7C15)
-CACHE = 300_000
+CACHE = 100_000
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -100,6 +100,7 @@ def _sets(docs: DataFrame, shingle: int, tables: int, depth: int) -> DataFrame:
     """doc_id, n_shingles, set (128-bit hash of the set), sub (array of sub-keys; null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("near_dedup")
         make, parameters = Shingler(shingle), _hash_parameters(2 * tables * depth)
         for b in batches:
             for part in (b.slice(i, 1000) for i in range(0, len(b), 1000)):
@@ -137,6 +138,7 @@ def _verified(pairs: DataFrame, n: int, texts: DataFrame, shingle: int, numerato
         pairs = pairs.join(own, side)
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("near_dedup")
         make, sets = Shingler(shingle), {}
 
         def of(i: int, text: pa.Scalar) -> np.ndarray:
@@ -165,6 +167,7 @@ def _may_link(left: DataFrame, texts: DataFrame, shingle: int, numerator: int, d
     reps = shared_table(left.join(sizes, "key").groupBy("rep", "c", "m").agg(F.min("least").alias("least")), "reps")
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("near_dedup")
         make = Shingler(shingle)
         for b in batches:
             for rep, c, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):

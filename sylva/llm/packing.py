@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sylva.session import shared_table, ship
+from sylva.session import enter, kept, shared_table, ship
 
 CACHE = 200_000  # pieces of words whose ids a worker keeps, twice: of late and of before
 LONGEST = 64  # characters of a piece that is kept
@@ -95,14 +95,10 @@ class WordIds:
         return out
 
 
-_of_worker: dict[str, WordIds] = {}
-
-
 def word_ids(path: str) -> WordIds:
     """The worker's one tokenizer: its words are known to later tasks, too."""
-    if path not in _of_worker:
-        _of_worker[path] = WordIds(path)
-    return _of_worker[path]
+    enter("packing")
+    return kept(path, lambda: WordIds(path))
 
 
 def tokenise(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:

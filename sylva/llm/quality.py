@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sylva.session import ship
+from sylva.session import enter, ship
 
 LEVEL = 3
 
@@ -148,6 +148,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("quality")
         scorer = Scorer(shared.value)
         for b in batches:
             s = [scorer.score(x.as_py()) for x in b.column(2)]
@@ -162,6 +163,7 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("quality")
         scorer = Scorer(shared.value)
         for b in batches:
             at = b.schema.get_field_index(text_col)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylva.llm import bloom
-from sylva.session import shared_table, ship
+from sylva.session import enter, shared_table, ship
 
 LENGTH, GRAM = 200, 48
 PORTION = 1 << 18  # bytes hashed at a time, so that the arrays stay in the processor's cache; places in a portion take 24 bits
@@ -131,6 +131,7 @@ def _bytes(column: pa.Array) -> list[bytes]:
 
 def _anchors(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("suffix_dedup")
         for b in batches:
             for _, _, _, (_, _, _, h) in runs_of(_bytes(b.column(0)), length, gram):
                 if len(h):
@@ -146,6 +147,7 @@ def _segments(filter_, bits: int, length: int, gram: int, remember: int = 100_00
     """Segments with possibly repeated anchors. Of a text that the task has had, none; of a segment that it has had, no bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter("suffix_dedup")
         array, had, texts_had = np.frombuffer(filter_.value, np.uint8), set(), set()
         for b in batches:
             d, n = b.column(0).to_numpy(), b.column(1).to_numpy()
