@@ -11,7 +11,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 from typing import TypeVar
 
@@ -64,18 +64,35 @@ _owner = ""
 _states: dict[str, object] = {}
 
 
+def _release() -> None:
+    """Gives freed memory back to the system: workers stay alive between tasks, and idle ones count, too."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # not every C library has it
+
+
+def in_worker(owner: str, run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run as an operator's Python task: what another operator has kept in the worker goes first, and freed memory goes at the end."""
+
+    def task(batches: Iterator) -> Iterator:
+        enter(owner)
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return task
+
+
 def enter(owner: str) -> None:
-    """Called where a task's Python code begins: what another operator has kept in this worker goes, and freed memory returns to the system."""
     global _owner
     if owner != _owner:
         _states.clear()
         _owner = owner
         gc.collect()
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (AttributeError, OSError):
-        pass  # not every C library has it
+        _release()
 
 
 def kept(key: str, make: Callable[[], T]) -> T:
