@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylva.session import enter
+from sylva.session import in_worker
 
 HASHES = 4
 CHUNKS = 256
@@ -37,7 +37,6 @@ def _set(array: np.ndarray, at: np.ndarray) -> None:
 
 def _build(bits: int):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enter("bloom")
         once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         for b in batches:
             h, n = np.unique(b.column(0).to_numpy(), return_counts=True)
@@ -69,9 +68,9 @@ def _filter(hashes: DataFrame, column: str, n: int | None, bits_per_row: int, ma
     bits = min(max_bits, 1 << max(15, (max(1, n) * bits_per_row - 1).bit_length()))
     schema = "chunk int, salt int, once binary, twice binary"
     if n <= ONE_TASK:
-        parts = hashes.coalesce(1).mapInArrow(_build(bits), schema)
+        parts = hashes.coalesce(1).mapInArrow(in_worker("bloom", _build(bits)), schema)
     else:
-        parts = hashes.mapInArrow(_build(bits), schema).groupBy("chunk", "salt").applyInArrow(_merge, schema).groupBy("chunk").applyInArrow(_merge, schema)
+        parts = hashes.mapInArrow(in_worker("bloom", _build(bits)), schema).groupBy("chunk", "salt").applyInArrow(_merge, schema).groupBy("chunk").applyInArrow(_merge, schema)
     out, size = np.zeros(bits // 8, np.uint8), bits // 8 // CHUNKS
     for row in parts.select("chunk", F.col(column).alias("data")).collect():  # max_bits in all
         out[row.chunk * size : (row.chunk + 1) * size] = np.frombuffer(zlib.decompress(bytes(row.data)), np.uint8)
@@ -90,7 +89,6 @@ def key_filter(hashes: DataFrame, bits_per_row: int = 16, max_bits: int = 1 << 2
 
 def _flag(filter_, bits: int, column: str):
     def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enter("bloom")
         array = np.frombuffer(filter_.value, np.uint8)
         for b in batches:
             at = b.schema.get_field_index(column)
@@ -107,4 +105,4 @@ def with_flag(df: DataFrame, filter_: bytes, bits: int, column: str) -> DataFram
     """df with its bigint hash column replaced by whether the hash is possibly repeated."""
     schema = df.schema
     types = ", ".join(f"`{f.name.replace('`', '``')}` {'boolean' if f.name == column else f.dataType.simpleString()}" for f in schema)
-    return df.mapInArrow(_flag(df.sparkSession.sparkContext.broadcast(filter_), bits, column), types)
+    return df.mapInArrow(in_worker("bloom", _flag(df.sparkSession.sparkContext.broadcast(filter_), bits, column)), types)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylva.session import enter, ship
+from sylva.session import in_worker, ship
 
 #: Bytes to what they count as: letters lower-cased, digits and non-ASCII bytes as they are, all others a blank.
 TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -154,7 +154,6 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enter("decontaminate")
         one: list = []
         for b in batches:
             out: list[list] = [[] for _ in range(7)]
@@ -169,7 +168,7 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(o, t) for o, t in zip(out, types, strict=True))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"])
 
     kind = base.schema["doc_id"].dataType.simpleString()
-    return base.mapInArrow(run, f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, items array<string>, spans array<string>")
+    return base.mapInArrow(in_worker("decontaminate", run), f"doc_id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, items array<string>, spans array<string>")
 
 
 def _cut(text: bytes, words: list[bytes], hit: np.ndarray) -> str:
@@ -199,7 +198,6 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
     blocks = _broadcast(benchmark, item_col, item_text_col, n, block_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enter("decontaminate")
         one: list = []
         for b in batches:
             at = b.schema.get_field_index(text_col)
@@ -219,7 +217,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_co
                 columns[i] = pa.array([lengths.get(j, x) for j, x in enumerate(columns[i].to_pylist())], b.schema.field(i).type)
             yield pa.RecordBatch.from_arrays(columns, names=b.schema.names).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(in_worker("decontaminate", run), docs.schema)
 
 
 #: Windows of every length are cut from lists of words; an item of fewer than ten words is one window.

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from sylva.llm import bloom
 from sylva.llm.components import connected
-from sylva.session import enter, shared_table, ship
+from sylva.session import in_worker, shared_table, ship
 
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 CACHE = 100_000
@@ -100,7 +100,6 @@ def _sets(docs: DataFrame, shingle: int, tables: int, depth: int) -> DataFrame:
     """doc_id, n_shingles, set (128-bit hash of the set), sub (array of sub-keys; null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enter("near_dedup")
         make, parameters = Shingler(shingle), _hash_parameters(2 * tables * depth)
         for b in batches:
             for part in (b.slice(i, 1000) for i in range(0, len(b), 1000)):
@@ -113,7 +112,7 @@ def _sets(docs: DataFrame, shingle: int, tables: int, depth: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(subs, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set", "sub"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles bigint, set binary, sub array<bigint>")
+    return docs.mapInArrow(in_worker("near_dedup", run), f"doc_id {kind}, n_shingles bigint, set binary, sub array<bigint>")
 
 
 def _table_keys(sub: DataFrame, tables: int) -> DataFrame:
@@ -138,7 +137,6 @@ def _verified(pairs: DataFrame, n: int, texts: DataFrame, shingle: int, numerato
         pairs = pairs.join(own, side)
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enter("near_dedup")
         make, sets = Shingler(shingle), {}
 
         def of(i: int, text: pa.Scalar) -> np.ndarray:
@@ -158,7 +156,7 @@ def _verified(pairs: DataFrame, n: int, texts: DataFrame, shingle: int, numerato
                 keep.append(denominator * both >= numerator * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b", "ta", "tb").mapInArrow(test, "a bigint, b bigint")
+    return pairs.select("a", "b", "ta", "tb").mapInArrow(in_worker("near_dedup", test), "a bigint, b bigint")
 
 
 def _may_link(left: DataFrame, texts: DataFrame, shingle: int, numerator: int, denominator: int) -> DataFrame:
@@ -167,14 +165,13 @@ def _may_link(left: DataFrame, texts: DataFrame, shingle: int, numerator: int, d
     reps = shared_table(left.join(sizes, "key").groupBy("rep", "c", "m").agg(F.min("least").alias("least")), "reps")
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enter("near_dedup")
         make = Shingler(shingle)
         for b in batches:
             for rep, c, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 h = make(text.as_py()).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), rep)), pa.array(np.full(len(h), c)), pa.array(h)], names=["rep", "c", "h"])
 
-    flat = _only(texts, reps, reps.count()).join(reps.select("rep", "c"), "rep").select("rep", "c", "text").mapInArrow(explode, "rep bigint, c bigint, h bigint")
+    flat = _only(texts, reps, reps.count()).join(reps.select("rep", "c"), "rep").select("rep", "c", "text").mapInArrow(in_worker("near_dedup", explode), "rep bigint, c bigint, h bigint")
     flat = shared_table(flat, "flat")
     common = flat.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
     shared = flat.join(common, "h").groupBy("rep").agg(F.count(F.lit(1)).alias("shared"))

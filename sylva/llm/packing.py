@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sylva.session import enter, kept, shared_table, ship
+from sylva.session import in_worker, kept, shared_table, ship
 
 CACHE = 200_000  # pieces of words whose ids a worker keeps, twice: of late and of before
 LONGEST = 64  # characters of a piece that is kept
@@ -97,7 +97,6 @@ class WordIds:
 
 def word_ids(path: str) -> WordIds:
     """The worker's one tokenizer: its words are known to later tasks, too."""
-    enter("packing")
     return kept(path, lambda: WordIds(path))
 
 
@@ -127,7 +126,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(source, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(held, pa.binary())], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
     kind = base.schema["doc_id"].dataType.simpleString()
-    out = base.mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary")
+    out = base.mapInArrow(in_worker("packing", run), f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, ids binary")
     return out if with_ids else out.drop("ids")
 
 

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sylva.session import enter, ship
+from sylva.session import in_worker, ship
 
 LEVEL = 3
 
@@ -148,13 +148,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enter("quality")
         scorer = Scorer(shared.value)
         for b in batches:
             s = [scorer.score(x.as_py()) for x in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
-    return base.mapInArrow(run, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
+    return base.mapInArrow(in_worker("quality", run), f"doc_id {base.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -163,10 +162,9 @@ def keep_good(docs: DataFrame, model: Model, text_col: str = "text", threshold:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enter("quality")
         scorer = Scorer(shared.value)
         for b in batches:
             at = b.schema.get_field_index(text_col)
             yield b.filter(pa.array([scorer.score(x.as_py()) >= threshold for x in b.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(in_worker("quality", run), docs.schema)

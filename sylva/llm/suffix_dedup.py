@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylva.llm import bloom
-from sylva.session import enter, shared_table, ship
+from sylva.session import in_worker, shared_table, ship
 
 LENGTH, GRAM = 200, 48
 PORTION = 1 << 18  # bytes hashed at a time, so that the arrays stay in the processor's cache; places in a portion take 24 bits
@@ -131,7 +131,6 @@ def _bytes(column: pa.Array) -> list[bytes]:
 
 def _anchors(length: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enter("suffix_dedup")
         for b in batches:
             for _, _, _, (_, _, _, h) in runs_of(_bytes(b.column(0)), length, gram):
                 if len(h):
@@ -147,7 +146,6 @@ def _segments(filter_, bits: int, length: int, gram: int, remember: int = 100_00
     """Segments with possibly repeated anchors. Of a text that the task has had, none; of a segment that it has had, no bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enter("suffix_dedup")
         array, had, texts_had = np.frombuffer(filter_.value, np.uint8), set(), set()
         for b in batches:
             d, n = b.column(0).to_numpy(), b.column(1).to_numpy()
@@ -363,8 +361,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     long_ = rows.where(F.col("n") >= length)
     total = long_.agg(F.sum("n")).first()[0] or 0
     density = 2 / (length - gram + 2)
-    filter_, bits = bloom.repeated_filter(long_.select("text").mapInArrow(_anchors(length, gram), "h bigint"), bits_per_anchor, max_bits, int(total * density))
-    found = shared_table(long_.select("d", "n", "text").mapInArrow(_segments(spark.sparkContext.broadcast(filter_), bits, length, gram), SEGMENT), "segments")
+    filter_, bits = bloom.repeated_filter(long_.select("text").mapInArrow(in_worker("suffix_dedup", _anchors(length, gram)), "h bigint"), bits_per_anchor, max_bits, int(total * density))
+    found = shared_table(long_.select("d", "n", "text").mapInArrow(in_worker("suffix_dedup", _segments(spark.sparkContext.broadcast(filter_), bits, length, gram)), SEGMENT), "segments")
 
     seen = found.select("a", "g", F.xxhash64("d", "n").alias("of"), (F.size("starts") > 1).alias("twice"))
     each = seen.groupBy("a", "g").agg(F.min("of").alias("lo"), F.max("of").alias("hi"), F.max("twice").alias("twice")).select("a", "g", (F.col("twice") | (F.col("lo") < F.col("hi"))).alias("whole"))
@@ -372,8 +370,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     groups = each.groupBy("a").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     several = found.where("seg is not null").select("a", "g", "lead", "seg").join(each.join(groups, "a"), ["a", "g"]).select("a", "g", "lead", "whole", "seg", "kinds")
     several = shared_table(several, "several")
-    built = several.where(F.col("kinds") <= most).drop("kinds").repartition("a").sortWithinPartitions("a", "g").mapInArrow(_construct(length, gram), MARK)
-    strings = several.where(F.col("kinds") > most).drop("kinds").mapInArrow(_strings(length, gram), "a bigint, g bigint, whole boolean, t int, h1 bigint, h2 bigint")
+    built = several.where(F.col("kinds") <= most).drop("kinds").repartition("a").sortWithinPartitions("a", "g").mapInArrow(in_worker("suffix_dedup", _construct(length, gram)), MARK)
+    strings = several.where(F.col("kinds") > most).drop("kinds").mapInArrow(in_worker("suffix_dedup", _strings(length, gram)), "a bigint, g bigint, whole boolean, t int, h1 bigint, h2 bigint")
     common = strings.groupBy("h1", "h2").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("h1", "h2")
     split = strings.where("not whole").join(common, ["h1", "h2"]).groupBy("a", "g").agg(F.collect_set(F.struct(F.col("t").alias("t0"), F.col("t").alias("t1"))).alias("ivs"))
     none = F.lit(None).cast("array<struct<t0:int,t1:int>>")
@@ -392,6 +390,6 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     rows, spans = repeated_spans(docs, id_col, text_col, length, max_bits=max_bits, **parameters)
     filter_, bits = bloom.key_filter(spans.select("d"), max_bits=max_bits)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    split = rows.select("doc_id", "d", "n", "text").mapInArrow(_split(docs.sparkSession.sparkContext.broadcast(filter_), bits, kind), f"doc_id {kind}, d bigint, n int, text binary, sha string")
+    split = rows.select("doc_id", "d", "n", "text").mapInArrow(in_worker("suffix_dedup", _split(docs.sparkSession.sparkContext.broadcast(filter_), bits, kind)), f"doc_id {kind}, d bigint, n int, text binary, sha string")
     joined = split.join(spans, ["d", "n"], "left").select("doc_id", "n", "text", "sha", "ivs")
-    return joined.mapInArrow(_cut, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return joined.mapInArrow(in_worker("suffix_dedup", _cut), f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
