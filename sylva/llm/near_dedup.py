@@ -247,5 +247,11 @@ def find_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters: int) -> DataFrame:
     """docs with one row of each group, the one of the least id; all columns as they were."""
     groups = shared_table(find_groups(docs, id_col, text_col, **parameters), "groups")
-    dropped = groups.where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, docs[id_col].cast("long") == dropped["doc_id"], "left_anti")
+    dropped = shared_table(groups.where("not kept").select("doc_id").distinct(), "dropped")
+    filter_ = bloom.key_filter(dropped.select(F.xxhash64("doc_id").alias("h")), n=dropped.count())
+    # Rows that the filter lets off pass straight through; only the others move.
+    held = F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]).alias("row")
+    id_ = F.col(id_col).cast("long")
+    full = bloom.with_flag(docs.select(held, id_.alias("id"), F.xxhash64(id_).alias("possible")), *filter_, "possible")
+    hit = full.where("possible").join(dropped, full["id"] == dropped["doc_id"], "left_anti")
+    return full.where("not possible").select("row").unionByName(hit.select("row")).select("row.*")
