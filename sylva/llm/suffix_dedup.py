@@ -364,7 +364,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     filter_, bits = bloom.repeated_filter(long_.select("text").mapInArrow(in_worker("suffix_dedup", _anchors(length, gram)), "h bigint"), bits_per_anchor, max_bits, int(total * density))
     found = shared_table(long_.select("d", "n", "text").mapInArrow(in_worker("suffix_dedup", _segments(spark.sparkContext.broadcast(filter_), bits, length, gram)), SEGMENT), "segments")
 
-    seen = found.select("a", "g", F.xxhash64("d", "n").alias("of"), (F.size("starts") > 1).alias("twice"))
+    # The parts of a long text have rows of their own: places are told apart, not texts.
+    seen = found.select("a", "g", F.xxhash64("d", "n", F.col("starts")[0]).alias("of"), (F.size("starts") > 1).alias("twice"))
     each = seen.groupBy("a", "g").agg(F.min("of").alias("lo"), F.max("of").alias("hi"), F.max("twice").alias("twice")).select("a", "g", (F.col("twice") | (F.col("lo") < F.col("hi"))).alias("whole"))
     each = shared_table(each, "counted")
     groups = each.groupBy("a").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")

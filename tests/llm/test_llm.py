@@ -305,6 +305,18 @@ def test_long_texts_in_parts(monkeypatch):
     assert out[1000] == out[1 << 20]
 
 
+def test_a_long_text_that_repeats_itself(spark):
+    r = random.Random(3)
+    fresh = lambda n: bytes(r.randrange(97, 123) for _ in range(n)).decode()
+    passage = fresh(5000)
+    far = fresh(10_000) + passage + fresh(485_000) + passage + fresh(95_000)  # the two are in different parts
+    near = fresh(1000) + passage[2000:2300] + fresh(1000)  # its segments are of the same groups
+    for rows, want in (([(1, far)], {1: (10_000, 2)}), ([(1, far), (2, near)], {1: (10_000, 2), 2: (300, 1)})):
+        for most in (20_000, 1):
+            got = suffix_dedup.report(docs(spark, rows), most=most).collect()
+            assert {x.doc_id: (x.n_removed, x.n_spans) for x in got} == want
+
+
 def test_columns_find_equal_strings(tmp_path):
     r = random.Random(2)
     length, gram, before = 8, 3, 5
