@@ -207,7 +207,7 @@ def find_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if n := comp.count():
         texts = shared_table(_only(texts, comp, n).join(comp.select("rep"), "rep", "left_semi"), "texts")
     likeness = (shingle, numerator, denominator)
-    tested, k = None, 1
+    tested = None
     for r in range(rounds if n else 0):
         named = live.join(comp.select("rep", "c"), "rep")
         parts = named.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"), F.min_by("rep", F.xxhash64("rep", F.lit(r)) if r else F.col("rep")).alias("lead"))
@@ -226,8 +226,8 @@ def find_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             break
         comp = _merge(comp, links)
 
-    # What may still be mixed is bounded, and the rest gone through in full.
-    if n and k:
+    # What is still mixed is bounded, and the rest gone through in full. That no new pair was left says nothing: a leader's may all be tested.
+    if n and live.join(comp, "rep").groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").limit(1).count():
         left = shared_table(_mixed(_may_link(shared_table(live.join(comp, "rep"), "left"), texts, *likeness)), "left")
         # A pair is formed in the least bucket that both are in, so once.
         left = left.join(left.groupBy("rep").agg(F.collect_list("key").alias("all")), "rep")

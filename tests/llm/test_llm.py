@@ -436,3 +436,13 @@ def test_near_dedup(spark):
     odd = near_dedup.find_groups(docs(spark, [(None, "a b c d e f"), (7, "a b c d e f"), (None, "q"), (3, "r"), (3, "r")])).collect()
     assert sorted(((x.doc_id, x.component_id, x.kept) for x in odd), key=repr) == sorted([(None, 7, False), (7, 7, True), (None, None, True), (3, 3, True), (3, 3, True)], key=repr)
     assert near_dedup.find_groups(docs(spark, [])).count() == 0
+
+
+def test_near_dedup_goes_on_while_buckets_are_mixed(spark, monkeypatch):
+    base, other = words(1, 120, 10_000), words(2, 120, 10_000)
+    rows = [(1, words(3, 120, 10_000)), (2, base), (3, base + " end"), (10, other), (11, other + " end")]
+    # Where 2 and 3 meet, 1 leads; 10 and 11 link, so there is a second round, in which all pairs with a leader are tested.
+    keys = [(100, 1), (100, 2), (100, 3), (200, 10), (200, 11)]
+    monkeypatch.setattr(near_dedup, "_table_keys", lambda sub, tables: spark.createDataFrame(keys, "key long, rep long"))
+    got = {x.doc_id: x.component_id for x in near_dedup.find_groups(docs(spark, rows)).collect()}
+    assert got == {1: 1, 2: 2, 3: 2, 10: 10, 11: 10}
