@@ -54,6 +54,15 @@ def offset_to_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return at.select("doc_id", "byte_offset", (F.size(F.filter("s", lambda x: x <= F.col("byte_offset"))) - 1).cast("long").alias("line"))
 
 
+@query("WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), p AS (SELECT doc_id, sum(strlen(p) + 1) OVER (PARTITION BY doc_id ORDER BY i) - strlen(p) - 1 AS start FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS p, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d)), q AS (SELECT doc_id, unnest([0, 1, 2]) AS k, unnest([0, strlen(t) // 2, strlen(t)])::BIGINT AS o FROM d) SELECT q.doc_id, o AS byte_offset, count(*) - 1 AS line FROM q JOIN p ON p.doc_id = q.doc_id AND p.start <= o GROUP BY q.doc_id, k, o")
+def offset_to_line_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The line of the first, middle and last byte of every document, whatever its characters; null as empty."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    n = F.octet_length("t").cast("long")
+    at = docs.select("doc_id", line_array(F.col("t")).alias("s"), F.explode(F.array(F.lit(0).cast("long"), F.floor(n / 2), n)).alias("byte_offset"))
+    return at.select("doc_id", "byte_offset", (F.size(F.filter("s", lambda x: x <= F.col("byte_offset"))) - 1).cast("long").alias("line"))
+
+
 @query(r"SELECT doc_id, length(regexp_replace(text, '[^\x{0b}\x{0c}\x{85}\x{a0}\x{1680}\x{180e}\x{feff}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]', '', 'g'))::BIGINT AS n_irregular FROM documents")
 def irregular_whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters of unusual white space in every document, counted by what is left when all else goes."""

@@ -10,6 +10,7 @@ from sylva.operators.syntax import lexed
 from sylva.plans.coverage import coverage, run
 from sylva.plans.coverage import test_files as suite_files
 from sylva.plans.lint import lint
+from sylva.plans.queries import ORACLES, QUERIES
 from sylva.sources.files import files_from
 from sylva.streaming.editor import completions, hover, quick_fixes
 
@@ -139,3 +140,14 @@ def test_reload(spark):
 
     files = files_from(spark.createDataFrame([("a.js", "x"), ("b.js", "y")], "path string, source string"))
     assert {(r.path, r.source, r.n_bytes) for r in reload(files, "a.js", "new").collect()} == {("a.js", "new", 3), ("b.js", "y", 1)}
+
+
+def test_lines_of_offsets_in_all_documents(spark, tmp_path):
+    texts = ["", None, "a\nb", "é\n" * 9, "日本\n語\n\U0001f600", "\n"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in QUERIES["offset_to_line_of_all"](spark, str(tmp_path)).collect()]
+    want = [(i, at, b[:at].count(b"\n")) for i, b in enumerate((t or "").encode() for t in texts) for at in (0, len(b) // 2, len(b))]
+    assert sorted(got) == sorted(want)
+    duckdb = pytest.importorskip("duckdb")
+    documents = duckdb.read_parquet(f"{tmp_path}/documents.parquet/*.parquet")  # noqa: F841
+    assert sorted(duckdb.sql(ORACLES["offset_to_line_of_all"]).fetchall()) == sorted(want)
