@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
@@ -511,13 +512,17 @@ def simplify(pattern: str, flags: str = "") -> str:
 
 def check(pattern: str, flags: str) -> tuple[bool, str | None, str | None]:
     """(valid, why not, what it may be written as)."""
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(limit + 20 * pattern.count("("))
     try:
         parse(pattern, flags)
+        now = simplify(pattern, flags)
     except Invalid as e:
         return False, str(e), None
     except RecursionError:
         return False, "nesting is too deep", None
-    now = simplify(pattern, flags)
+    finally:
+        sys.setrecursionlimit(limit)
     return True, None, now if now != pattern else None
 
 

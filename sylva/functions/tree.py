@@ -272,6 +272,18 @@ class Tree:
             self._lexes[key] = " ".join(words) if len(words) <= LEX_TOKENS else None, xxhash.xxh3_128_hexdigest("\0".join(words).encode("utf-8", "surrogatepass"))
         return self._lexes[key]
 
+    def _whole(self, n: Node) -> bool:
+        """Whether the text is kept whatever its length: of regular expressions, arguments of RegExp and what is compared with -0."""
+        up = n.parent
+        if n.kind == "LITERAL":
+            if n.op == "regex":
+                return True
+        elif n.kind == "ARG_LIST" and up is not None and up.kind in ("CALL_EXPR", "NEW_EXPR"):
+            c = up.get("callee")
+            if c is not None and self.words(c) == ["RegExp"]:
+                return True
+        return up is not None and up.kind == "BIN_EXPR" and any(k is not n and k.hi - k.lo == 2 and self.words(k) == ["-", "0"] for k in up.kids)
+
     def node_rows(self) -> list[dict]:
         toks, p = self.parser.toks, self.parser
         rows: dict[int, dict] = {}
@@ -294,7 +306,7 @@ class Tree:
                 "op": n.op or None, "start": self.at(s), "end": self.at(e), "tok_lo": lo, "tok_hi": hi, "child_count": len(n.kids),
                 "has_comment": self.comment_before[min(hi + 1, len(self.comment_before) - 1)] > self.comment_before[lo] if n.hi > n.lo else False,
                 "parent_kind": n.parent.kind if n.parent is not None else None, "grandparent_kind": n.parent.parent.kind if n.parent is not None and n.parent.parent is not None else None,
-                "lex": lex, "lexh": lexh, "text": self.source[s:e] if e - s <= TEXT_CHARS else None, "name": name, "last": self.all_words[n.hi - 1][:TEXT_CHARS] if n.hi > n.lo else None,
+                "lex": lex, "lexh": lexh, "text": self.source[s:e] if e - s <= TEXT_CHARS or self._whole(n) else None, "name": name, "last": self.all_words[n.hi - 1][:TEXT_CHARS] if n.hi > n.lo else None,
                 "inner": (self.inner(n) or n).kind, "inner_op": (self.inner(n) or n).op or None,
                 "is_const": self.is_const(n, True) if expression else None, "truthy": self.truth(n) if expression else None,
                 "flags": sorted(f for f in n.flags if "@" not in f), "info": self.facts(n),

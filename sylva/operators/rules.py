@@ -137,7 +137,7 @@ def no_compare_neg_zero(o: dict) -> list[str]:
     out = []
     for side, other in (("lhs", "rhs"), ("rhs", "lhs")):
         fix = f"start|end|concat('Object.is(', {kid(other)}.text, ', -0)')"
-        out.append(hit(f"op in {COMPARISONS} and {kid(side)}.lex = '- 0' and {kid(other)}.text is not null", "concat('a comparison with -0 by ', op)", fixes=fix))
+        out.append(hit(f"op in {COMPARISONS} and {kid(side)}.lex = '- 0'", "concat('a comparison with -0 by ', op)", fixes=fix))
     return out
 
 
@@ -338,10 +338,11 @@ def no_irregular_whitespace(nodes: DataFrame, tokens: DataFrame, o: dict) -> Dat
 
 def _patterns(nodes: DataFrame) -> DataFrame:
     """Regular expressions of a source: file_id, pre, start, end, pattern, flags, at (where the pattern starts; null in an escaped string)."""
-    literal = nodes.where("kind = 'LITERAL' and op = 'regex' and text is not null").select("file_id", "pre", "start", "end", F.regexp_extract("text", r"(?s)^/(.*)/([a-zA-Z]*)$", 1).alias("pattern"), F.regexp_extract("text", r"(?s)^/(.*)/([a-zA-Z]*)$", 2).alias("flags"), (F.col("start") + 1).alias("at"))
+    literal = nodes.where("kind = 'LITERAL' and op = 'regex'").select("file_id", "pre", "start", "end", F.regexp_extract("text", r"(?s)^/(.*)/([a-zA-Z]*)$", 1).alias("pattern"), F.regexp_extract("text", r"(?s)^/(.*)/([a-zA-Z]*)$", 2).alias("flags"), (F.col("start") + 1).alias("at"))
     made = nodes.where("kind in ('CALL_EXPR', 'NEW_EXPR') and name = 'RegExp'").select("file_id", "pre", "start", "end", F.expr(f"{kid('args')}").alias("a"))
     made = made.select("file_id", "pre", "start", "end", F.expr("a.text").alias("t"))
-    string = r"""('(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")"""
+    # Possessive, so that a long string takes no stack.
+    string = r"""('(?:[^'\\]|\\.)*+'|"(?:[^"\\]|\\.)*+")"""
     shape = rf"(?s)^\(\s*{string}\s*(?:,\s*{string}\s*)?\)$"
     made = made.where(F.col("t").rlike(shape)).withColumns({"s": F.regexp_extract("t", shape, 1), "f": F.regexp_extract("t", shape, 2)})
     unquote = lambda c: F.regexp_replace(F.expr(f"substring({c}, 2, greatest(length({c}) - 2, 0))"), r"\\(.)", "$1")

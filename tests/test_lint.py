@@ -187,3 +187,17 @@ def test_document_stream(spark, tmp_path):
     assert run() == {("a.js", 2, None), ("b.js", 3, "no-debugger")}
     send(3, ("b.js", 4, "close", None), ("a.js", 1, "change", "debugger;"))
     assert run() == {("a.js", 2, None), ("b.js", 4, None)}
+
+
+def test_long_texts(spark):
+    long = "a + " * 100 + "b"
+    texts = {
+        "a.js": "x = /" + "a" * 200 + "(/;", "b.js": "new RegExp('" + "a" * 20_000 + "[');", "c.js": "x = /" + "(" * 400 + "[0-9]" + ")" * 400 + "/;",
+        "d.js": f"x = (({long}) === -0);", "e.js": f"x = (-0 < f({long}));",
+    }
+    files = files_from(spark.createDataFrame(list(texts.items()), "path string, source string"))
+    run = lint(files, rules={"no-invalid-regexp": {}, "simplify-regex": {}, "no-compare-neg-zero": {}})
+    got = sorted((r.path, r.rule) for r in run.diagnostics.collect())
+    assert got == [("a.js", "no-invalid-regexp"), ("b.js", "no-invalid-regexp"), ("c.js", "simplify-regex"), ("d.js", "no-compare-neg-zero"), ("e.js", "no-compare-neg-zero")]
+    fixed = {r.path: r.source for r in fix(run).collect()}
+    assert fixed["d.js"] == f"x = (Object.is(({long}), -0));" and fixed["c.js"] == "x = /" + "(" * 400 + "\\d" + ")" * 400 + "/;"
