@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import xxhash
 
@@ -285,6 +286,10 @@ class Tree:
         return up is not None and up.kind == "BIN_EXPR" and any(k is not n and k.hi - k.lo == 2 and self.words(k) == ["-", "0"] for k in up.kids)
 
     def node_rows(self) -> list[dict]:
+        return list(self.each_node_row())
+
+    def each_node_row(self) -> Iterator[dict]:
+        """Rows in order; kids and paths are made as they are asked for."""
         toks, p = self.parser.toks, self.parser
         rows: dict[int, dict] = {}
         ordered = sorted(self.descendants(self.root), key=lambda n: n.pre)
@@ -311,16 +316,14 @@ class Tree:
                 "is_const": self.is_const(n, True) if expression else None, "truthy": self.truth(n) if expression else None,
                 "flags": sorted(f for f in n.flags if "@" not in f), "info": self.facts(n),
             }
-        out = []
         path: list[dict] = []
         for n in ordered:
             del path[n.depth :]
-            row = rows[n.pre]
+            row = rows.pop(n.pre)
             row["path"] = path[-MAX_PATH:]
             row["kids"] = [{c: rows[k.pre][c] for c in ("pre", "role", "kind", "op", "start", "end", "lex", "lexh", "text", "last", "inner", "inner_op", "is_const", "truthy", "child_count")} for k in n.kids]
             path = [*path, {"pre": n.pre, "kind": n.kind, "role": n.role, "ord": n.ord, "op": "await" if "await" in n.flags else n.op, "name": row["name"], "n": len(n.kids), "start": row["start"], "end": row["end"]}]
-            out.append(row)
-        return out
+            yield row
 
     def token_columns(self) -> dict[str, list]:
         """Columns of all tokens, trivia included."""

@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -14,7 +15,6 @@ from sylva.functions.lexer import tokenize
 from sylva.functions.tree import Tree
 from sylva.session import ship
 
-MAX_BYTES = 4 << 20  # a longer source is reported, not parsed
 PORTION = 2000  # rows of an Arrow batch
 
 TOKEN = "tok int, kind string, start int, end int, text string, is_trivia boolean, nl_before boolean"
@@ -51,21 +51,26 @@ def _columns(rows: list[dict], kind: pa.DataType) -> dict[str, list]:
     return {f.name: [r[f.name] for r in rows] for f in kind}
 
 
+def _portions(first: list[dict], rest: Iterator[dict]) -> Iterator[list[dict]]:
+    while first:
+        yield first
+        first = list(islice(rest, PORTION))
+
+
 def _parse_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i in range(len(b)):
             file_id, kind, source = (b.column(c)[i].as_py() for c in range(3))
             source, errors, parts = source or "", [], []
-            if len(source) > MAX_BYTES:
-                errors.append({"title": f"the source has more than {MAX_BYTES} characters", "start": 0, "end": 0})
-            else:
-                try:
-                    tree = Tree(source, kind or "module")
-                    parts = [("token", tree.token_columns()), ("node", _columns(tree.node_rows(), _NODE))]
-                    errors = [{"title": t, "start": s, "end": e} for t, s, e in tree.errors()]
-                except RecursionError:
-                    errors.append({"title": "nesting is too deep", "start": 0, "end": 0})
-            for what, columns in (*parts, ("error", _columns(errors, _TYPES["error"][1]))):
+            try:
+                tree = Tree(source, kind or "module")
+                nodes = tree.each_node_row()
+                first = list(islice(nodes, PORTION))  # all that may nest too deeply is done with the first row
+                parts = chain([("token", tree.token_columns())], (("node", _columns(rows, _NODE)) for rows in _portions(first, nodes)))
+                errors = [{"title": t, "start": s, "end": e} for t, s, e in tree.errors()]
+            except RecursionError:
+                errors.append({"title": "nesting is too deep", "start": 0, "end": 0})
+            for what, columns in chain(parts, [("error", _columns(errors, _TYPES["error"][1]))]):
                 total = len(next(iter(columns.values())))
                 for at in range(0, total, PORTION):
                     yield _batch(file_id, what, columns, at, min(PORTION, total - at))

@@ -201,3 +201,9 @@ def test_long_texts(spark):
     assert got == [("a.js", "no-invalid-regexp"), ("b.js", "no-invalid-regexp"), ("c.js", "simplify-regex"), ("d.js", "no-compare-neg-zero"), ("e.js", "no-compare-neg-zero")]
     fixed = {r.path: r.source for r in fix(run).collect()}
     assert fixed["d.js"] == f"x = (Object.is(({long}), -0));" and fixed["c.js"] == "x = /" + "(" * 400 + "\\d" + ")" * 400 + "/;"
+
+
+def test_a_source_of_any_length_is_parsed(spark):
+    source = "/*" + "x" * (4 << 20) + "*/\n" + "f();\n" * 3000 + "debugger;\n"
+    run = lint(files_from(spark.createDataFrame([("a.js", source)], "path string, source string")), rules={"no-debugger": {}})
+    assert [(r.phase, r.rule, r.line) for r in run.diagnostics.collect()] == [("rule", "no-debugger", 3001)]
