@@ -12,7 +12,9 @@ from sylva.functions.parser import Node, Parser, parse
 
 LEX_TOKENS = 24  # an expression of more tokens has no lex, only the hash of its tokens
 TEXT_CHARS = 160
-MAX_PATH = 512
+MAX_PATH = 512  # nearest ancestors in a path; of those above them, links of a chain are left out
+#: What the parser reads in a loop, so that only these may be in each other without a bound.
+CHAINED = frozenset(("BIN_EXPR", "CALL_EXPR", "DOT_EXPR", "BRACKET_EXPR", "PRIVATE_PROP_ACCESS", "TS_NON_NULL"))
 FUNCTIONS = ("FN_DECL", "FN_EXPR", "ARROW_EXPR", "METHOD", "GETTER", "SETTER", "CONSTRUCTOR")
 _BREAK = re.compile("[\n\r  ]")
 
@@ -317,12 +319,20 @@ class Tree:
                 "flags": sorted(f for f in n.flags if "@" not in f), "info": self.facts(n),
             }
         path: list[dict] = []
+        firm: list[tuple[int, dict]] = []
         for n in ordered:
-            del path[n.depth :]
+            path = path[: n.depth]
+            while firm and firm[-1][0] >= n.depth:
+                firm.pop()
             row = rows.pop(n.pre)
-            row["path"] = path[-MAX_PATH:]
+            if n.depth > MAX_PATH:
+                row["path"] = [x for at, x in firm if at < n.depth - MAX_PATH] + path[-MAX_PATH:]
+            else:
+                row["path"] = path
             row["kids"] = [{c: rows[k.pre][c] for c in ("pre", "role", "kind", "op", "start", "end", "lex", "lexh", "text", "last", "inner", "inner_op", "is_const", "truthy", "child_count")} for k in n.kids]
             path = [*path, {"pre": n.pre, "kind": n.kind, "role": n.role, "ord": n.ord, "op": "await" if "await" in n.flags else n.op, "name": row["name"], "n": len(n.kids), "start": row["start"], "end": row["end"]}]
+            if n.kind not in CHAINED:
+                firm.append((n.depth, path[-1]))
             yield row
 
     def token_columns(self) -> dict[str, list]:

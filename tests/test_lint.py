@@ -207,3 +207,10 @@ def test_a_source_of_any_length_is_parsed(spark):
     source = "/*" + "x" * (4 << 20) + "*/\n" + "f();\n" * 3000 + "debugger;\n"
     run = lint(files_from(spark.createDataFrame([("a.js", source)], "path string, source string")), rules={"no-debugger": {}})
     assert [(r.phase, r.rule, r.line) for r in run.diagnostics.collect()] == [("rule", "no-debugger", 3001)]
+
+
+def test_an_await_far_down_a_chain_is_in_its_loop(spark):
+    chain = " + a" * 700
+    texts = {"a.mjs": f"for (;;) {{ x = await f(){chain}; }}", "b.mjs": f"for (;;) {{ g(async () => await f(){chain}); }}", "c.mjs": f"x = await f(){chain};"}
+    run = lint(files_from(spark.createDataFrame(list(texts.items()), "path string, source string")), rules={"no-await-in-loop": {}})
+    assert [(r.path, r.rule) for r in run.diagnostics.collect()] == [("a.mjs", "no-await-in-loop")]
