@@ -12,10 +12,12 @@ computed; a table key is a pair of one sub-key of either collection, so tables**
   3. In rounds, every bucket (classes with one table key) picks a leader from its largest component so far, and its classes outside
      that component become candidates of the leader, at most two leaders a class and round. Candidates are verified on the full sets,
      and the links merge components. Buckets within one component are done.
-  4. For buckets that still hold several components a bound is taken from the sets themselves: what a class can share with classes of
-     other components is at most the number of its shingles that any of those has. Where that can't make a link, the class is done;
-     a text with many words of its own is settled so without a single pair.
-  5. Of what is left, every pair of classes of different components whose sizes allow a link is a candidate; none is capped.
+  4. The classes of buckets that still hold several components are gone through without forming the buckets' pairs. All shingles are
+     put in one order: first those that no two components share, then the shared ones from the rarest to the most frequent. Of a set
+     of m shingles, the first that it shares with a similar set stands so early that what comes from there on can still make a link;
+     that bounds the sizes of the sets it may be linked with there, and late shingles can't be first at all. Classes meet only at such
+     early shingles, so the passage that a whole group shares joins nobody: only texts that share something rare, or are nearly
+     nothing but the common passage, become candidates. No link is lost by that, and none is capped.
 
 Only texts of classes in buckets are moved, after a Bloom filter of their ids has left the others where they are.
 
@@ -32,11 +34,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylva.llm import bloom
 from sylva.llm.components import connected
+from sylva.llm.skew import join_counted
 from sylva.session import in_worker, shared_table, ship
 
 PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -96,8 +99,12 @@ def sub_keys(shingles: np.ndarray, depth: int, tables: int, parameters: tuple[np
     return h.view(np.int64)
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(text)
+
+
 def _sets(docs: DataFrame, shingle: int, tables: int, depth: int) -> DataFrame:
-    """doc_id, n_shingles, set (128-bit hash of the set), sub (array of sub-keys; null for an empty set)."""
+    """doc_id, tx, n_shingles, set (128-bit hash of the set), sub (array of sub-keys; null for an empty set). docs: doc_id, text, tx."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, parameters = Shingler(shingle), _hash_parameters(2 * tables * depth)
@@ -109,31 +116,32 @@ def _sets(docs: DataFrame, shingle: int, tables: int, depth: int) -> DataFrame:
                     n.append(len(s))
                     sets.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                     subs.append(sub_keys(s, depth, tables, parameters) if len(s) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(subs, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set", "sub"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(sets, pa.binary()), pa.array(subs, pa.list_(pa.int64()))], names=["doc_id", "tx", "n_shingles", "set", "sub"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(in_worker("near_dedup", run), f"doc_id {kind}, n_shingles bigint, set binary, sub array<bigint>")
+    return docs.mapInArrow(in_worker("near_dedup", run), f"doc_id {kind}, tx bigint, n_shingles bigint, set binary, sub array<bigint>")
 
 
 def _table_keys(sub: DataFrame, tables: int) -> DataFrame:
     """key, rep: the pairs of sub-keys (rep, sub) that at least two classes have, one of either collection."""
     flat = sub.select("rep", F.posexplode("sub").alias("at", "k")).select("rep", (F.col("at") < tables).alias("left"), "k")
     shared = flat.groupBy("left", "k").agg(F.min("rep").alias("lo"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("of")).where("n > 1")
-    kept = shared.groupBy("left", "lo", "n", "of").agg(F.min("k").alias("k")).select("left", "k")
-    own = flat.join(kept, ["left", "k"]).groupBy("rep").agg(*[F.collect_list(F.when(F.col("left") == side, F.col("k"))).alias(n) for n, side in (("l", True), ("r", False))])
+    kept = shared_table(shared.groupBy("left", "lo", "n", "of").agg(F.min("k").alias("k")).select("left", "k", "n"), "subkeys")
+    held = join_counted(flat, kept, ["left", "k"], "n", sub.count() * 2 * tables)
+    own = held.groupBy("rep").agg(*[F.collect_list(F.when(F.col("left") == side, F.col("k"))).alias(n) for n, side in (("l", True), ("r", False))])
     return own.select("rep", "r", F.explode("l").alias("x")).select("rep", "x", F.explode("r").alias("y")).select(F.xxhash64("x", "y").alias("key"), "rep")
 
 
 def _only(texts: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """The rows of texts (rep, text) whose rep is in ids (rep), and few others: what a join with ids needs to move."""
+    """The rows of texts (rep, tx, text) whose rep is in ids (rep), and few others: what a join with ids needs to move."""
     filter_, bits = bloom.key_filter(ids.select(F.xxhash64("rep").alias("h")), n=n)
-    return bloom.with_flag(texts.select("rep", "text", F.xxhash64("rep").alias("possible")), filter_, bits, "possible").where("possible").select("rep", "text")
+    return bloom.with_flag(texts.select("rep", "tx", "text", F.xxhash64("rep").alias("possible")), filter_, bits, "possible").where("possible").select("rep", "tx", "text")
 
 
 def _verified(pairs: DataFrame, n: int, texts: DataFrame, shingle: int, numerator: int, denominator: int) -> DataFrame:
     """Those of the n pairs (a, b) whose full sets are similar enough; a and b are ids of texts (rep, text)."""
     for side in "ab":
-        own = _only(texts, pairs.select(F.col(side).alias("rep")).distinct(), n).withColumnsRenamed({"rep": side, "text": f"t{side}"})
+        own = _only(texts, pairs.select(F.col(side).alias("rep")).distinct(), n).select(F.col("rep").alias(side), F.col("text").alias(f"t{side}"))
         pairs = pairs.join(own, side)
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,24 +167,34 @@ def _verified(pairs: DataFrame, n: int, texts: DataFrame, shingle: int, numerato
     return pairs.select("a", "b", "ta", "tb").mapInArrow(in_worker("near_dedup", test), "a bigint, b bigint")
 
 
-def _may_link(left: DataFrame, texts: DataFrame, shingle: int, numerator: int, denominator: int) -> DataFrame:
-    """left (key, rep, c, m) without the classes that can't be linked with one of another component; shared says what they may share."""
-    sizes = left.groupBy("key").agg(F.min("m").alias("least"))
-    reps = shared_table(left.join(sizes, "key").groupBy("rep", "c", "m").agg(F.min("least").alias("least")), "reps")
+def _early_shingles(left: DataFrame, texts: DataFrame, shingle: int, numerator: int, denominator: int) -> DataFrame:
+    """h, rep, c, m, most for the shingles h at which classes of left (rep, c, m) may first meet one of another component, of at most ``most`` shingles."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingler(shingle)
         for b in batches:
-            for rep, c, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            for rep, c, tx, text in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3), strict=True):
                 h = make(text.as_py()).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), rep)), pa.array(np.full(len(h), c)), pa.array(h)], names=["rep", "c", "h"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(h), x)) for x in (rep, c, tx, len(h))), pa.array(h)], names=["rep", "c", "tx", "m", "h"])
 
-    flat = _only(texts, reps, reps.count()).join(reps.select("rep", "c"), "rep").select("rep", "c", "text").mapInArrow(in_worker("near_dedup", explode), "rep bigint, c bigint, h bigint")
+    own = _only(texts, left, left.count()).join(left.select("rep", "c"), "rep").select("rep", "c", "tx", "text")
+    flat = own.mapInArrow(in_worker("near_dedup", explode), "rep bigint, c bigint, tx bigint, m bigint, h bigint")
     flat = shared_table(flat, "flat")
-    common = flat.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
-    shared = flat.join(common, "h").groupBy("rep").agg(F.count(F.lit(1)).alias("shared"))
-    bound = f"{numerator + denominator} * shared >= {numerator} * (m + greatest(least, cast(ceil({numerator} * m / {denominator}) as bigint)))"
-    return left.join(reps.join(shared, "rep").where(bound).select("rep", "shared"), "rep")
+    common = flat.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("df")).where("lo < hi").select("h", "df")
+    held = join_counted(flat, shared_table(common, "common"), ["h"], "df", flat.count(), keep=True)
+    own = Window.partitionBy("rep", "tx")
+    placed = held.withColumn("at", F.col("m") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("df", "h")) - 1)
+    early = placed.withColumn("most", F.floor((F.col("m") - F.col("at")) * (numerator + denominator) / numerator) - F.col("m")).where(F.col("most") * denominator >= F.col("m") * numerator)
+    return shared_table(early.select("h", "rep", "c", "m", "most"), "early")
+
+
+def _early_pairs(early: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """a, b (a > b): classes of different components that meet at an early shingle of both, their sizes allowing a link."""
+    mixed = early.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
+    early = early.join(mixed, "h", "left_semi")
+    a, b = (early.select("h", *[F.col(n).alias(f"{n}{x}") for n in ("rep", "c", "m", "most")]) for x in "ab")
+    fits = f"ca <> cb and repa > repb and mosta >= mb and mostb >= ma and {denominator} * least(ma, mb) >= {numerator} * greatest(ma, mb)"
+    return a.join(b, "h").where(fits).select(F.col("repa").alias("a"), F.col("repb").alias("b")).distinct()
 
 
 def _merge(comp: DataFrame, links: DataFrame) -> DataFrame:
@@ -187,25 +205,21 @@ def _merge(comp: DataFrame, links: DataFrame) -> DataFrame:
     return shared_table(comp.join(moved, "c", "left").select("rep", F.coalesce("component", "c").alias("c"), "m"), "comp")
 
 
-def _mixed(named: DataFrame) -> DataFrame:
-    """The rows (key, rep, c, m) of buckets with several components; of buckets with the same classes, one."""
-    sizes = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("rep").alias("first"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("rep")).alias("of")).where("lo < hi")
-    return named.join(sizes.groupBy("first", "n", "of").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
-
-
-def find_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, numerator: int = 75, denominator: int = 100, tables: int = 13, depth: int = 3, rounds: int = 4) -> DataFrame:
-    """For every row: doc_id, n_shingles, component_id, kept. Ids are bigint."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, numerator: int, denominator: int, tables: int, depth: int, rounds: int) -> DataFrame:
+    """For every row: doc_id, n_shingles, tx (hash of its text), set, component (null for a null id without others of its set), kept."""
     ship(docs.sparkSession)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), text_hash(F.col(text_col)).alias("tx"))
     rows = shared_table(_sets(base, shingle, tables, depth), "signatures")
-    classes = rows.where("set is not null and doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("rep"))
-    reps = rows.where("doc_id is not null").join(classes, "set").where("doc_id = rep").groupBy("rep", "set").agg(F.first("sub").alias("sub"), F.max("n_shingles").alias("m"))
-    texts = base.where("doc_id is not null").select(F.col("doc_id").alias("rep"), "text")
-
-    live = shared_table(_table_keys(reps.select("rep", "sub"), tables), "keys")
-    comp = shared_table(reps.groupBy("rep").agg(F.max("m").alias("m")).select("rep", F.col("rep").alias("c"), "m").join(live.select("rep").distinct(), "rep", "left_semi"), "comp")
+    n_rows = rows.count()
+    first = F.min_by(F.struct("sub", F.col("n_shingles").alias("m"), "tx"), "doc_id")
+    classes = rows.where("set is not null and doc_id is not null").groupBy("set").agg(F.min("doc_id").alias("rep"), first.alias("of"))
+    classes = shared_table(classes.select("set", "rep", "of.tx", "of.m", "of.sub"), "classes")
+    texts = base.where("doc_id is not null").select(F.col("doc_id").alias("rep"), "tx", "text")
+
+    live = shared_table(_table_keys(classes.select("rep", "sub"), tables), "keys")
+    comp = shared_table(classes.groupBy("rep").agg(F.max("m").alias("m")).select("rep", F.col("rep").alias("c"), "m").join(live.select("rep").distinct(), "rep", "left_semi"), "comp")
     if n := comp.count():
-        texts = shared_table(_only(texts, comp, n).join(comp.select("rep"), "rep", "left_semi"), "texts")
+        texts = shared_table(_only(texts, comp, n).join(classes.join(comp, "rep", "left_semi").select("rep", "tx"), ["rep", "tx"], "left_semi"), "texts")
     likeness = (shingle, numerator, denominator)
     tested = None
     for r in range(rounds if n else 0):
@@ -226,32 +240,48 @@ def find_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             break
         comp = _merge(comp, links)
 
-    # What is still mixed is bounded, and the rest gone through in full. That no new pair was left says nothing: a leader's may all be tested.
-    if n and live.join(comp, "rep").groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").limit(1).count():
-        left = shared_table(_mixed(_may_link(shared_table(live.join(comp, "rep"), "left"), texts, *likeness)), "left")
-        # A pair is formed in the least bucket that both are in, so once.
-        left = left.join(left.groupBy("rep").agg(F.collect_list("key").alias("all")), "rep")
-        a, b = (left.select("key", F.col("rep").alias(x), *[F.col(n).alias(f"{n}{x}") for n in ("c", "m", "shared", "all")]) for x in "ab")
-        fits = f"""ca <> cb and a > b and {denominator} * least(ma, mb) >= {numerator} * greatest(ma, mb)
-            and {numerator + denominator} * least(shareda, sharedb) >= {numerator} * (ma + mb) and key = array_min(array_intersect(alla, allb))"""
-        more = a.join(b, "key").where(fits).select("a", "b").distinct()
-        more = shared_table(more if tested is None else more.join(tested, ["a", "b"], "left_anti"), "more")
-        if k := more.count():
-            comp = _merge(comp, shared_table(_verified(more, k, texts, *likeness), "links"))
-
-    by_set = classes.join(comp.select("rep", "c"), "rep", "left").select("set", F.coalesce("c", "rep").alias("component"))
-    out = rows.select("doc_id", "n_shingles", "set").join(by_set, "set", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.col("doc_id").eqNullSafe(F.coalesce("component", "doc_id")).alias("kept"))
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters: int) -> DataFrame:
-    """docs with one row of each group, the one of the least id; all columns as they were."""
-    groups = shared_table(find_groups(docs, id_col, text_col, **parameters), "groups")
-    dropped = shared_table(groups.where("not kept").select("doc_id").distinct(), "dropped")
-    filter_ = bloom.key_filter(dropped.select(F.xxhash64("doc_id").alias("h")), n=dropped.count())
+    # What is still mixed is gone through. That no new pair was left says nothing: a leader's may all be tested.
+    if n:
+        named = live.join(comp, "rep")
+        mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
+        left = shared_table(named.join(mixed, "key", "left_semi").select("rep", "c").distinct(), "left")
+        if left.limit(1).count():
+            more = _early_pairs(_early_shingles(left, texts, *likeness), numerator, denominator)
+            more = shared_table(more if tested is None else more.join(tested, ["a", "b"], "left_anti"), "more")
+            if k := more.count():
+                comp = _merge(comp, shared_table(_verified(more, k, texts, *likeness), "links"))
+
+    by_set = classes.select("set", "rep").join(comp.select("rep", "c"), "rep", "left").select("set", F.coalesce("c", "rep").alias("component"))
+    sizes = rows.where("set is not null").groupBy("set").agg(F.count(F.lit(1)).alias("size"))
+    by_set = shared_table(by_set.join(sizes, "set"), "sets")
+    out = join_counted(rows.drop("sub"), by_set, ["set"], "size", n_rows, how="left")
+    component = F.coalesce("component", "doc_id")
+    return out.select("doc_id", "n_shingles", "tx", "set", component.alias("component"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def find_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, numerator: int = 75, denominator: int = 100, tables: int = 13, depth: int = 3, rounds: int = 2) -> DataFrame:
+    """For every row: doc_id, n_shingles, component_id, kept. Ids are bigint."""
+    return _grouped(docs, id_col, text_col, shingle, numerator, denominator, tables, depth, rounds).select("doc_id", "n_shingles", F.col("component").alias("component_id"), "kept")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, numerator: int = 75, denominator: int = 100, tables: int = 13, depth: int = 3, rounds: int = 2) -> DataFrame:
+    """docs with the kept rows of :func:`find_groups`, and of rows of one id and one set a single one; all columns as they were.
+
+    Rows, not ids, are dropped: another text of the same id stays if its own group keeps it. Of null ids, one row of each set that no
+    other row has stays. Rows with the empty set all stay.
+    """
+    rows = shared_table(_grouped(docs, id_col, text_col, shingle, numerator, denominator, tables, depth, rounds), "groups")
+    # Of the kept rows of one id and set, the text of the least hash stays, once.
+    kept = rows.where("kept and set is not null")
+    several = kept.groupBy(F.col("doc_id").alias("i"), F.col("set").alias("s")).agg(F.min("tx").alias("least"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    repeated = kept.join(several, F.expr("doc_id <=> i and set = s")).select("doc_id", "tx", (F.col("tx") == F.col("least")).alias("one"))
+    acts = rows.where("not kept").select("doc_id", "tx", F.lit(False).alias("one")).unionByName(repeated).distinct()
+    acts = shared_table(acts.withColumn("key", F.xxhash64("doc_id", "tx")), "dropped")
+    filter_ = bloom.key_filter(acts.select(F.col("key").alias("h")), n=acts.count())
     # Rows that the filter lets off pass straight through; only the others move.
     held = F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]).alias("row")
-    id_ = F.col(id_col).cast("long")
-    full = bloom.with_flag(docs.select(held, id_.alias("id"), F.xxhash64(id_).alias("possible")), *filter_, "possible")
-    hit = full.where("possible").join(dropped, full["id"] == dropped["doc_id"], "left_anti")
-    return full.where("not possible").select("row").unionByName(hit.select("row")).select("row.*")
+    own = (F.col(id_col).cast("long").alias("id"), text_hash(F.col(text_col)).alias("t"))
+    full = bloom.with_flag(docs.select(held, *own).withColumn("possible", F.xxhash64("id", "t")), *filter_, "possible")
+    hit = full.where("possible").withColumn("key", F.xxhash64("id", "t")).join(acts.withColumnRenamed("key", "k"), F.expr("key = k and id <=> doc_id and t = tx"), "left")
+    once = hit.where("one").groupBy("key", "id", "t").agg(F.first("row").alias("row"))
+    return full.where("not possible").select("row").unionByName(hit.where("one is null").select("row")).unionByName(once.select("row")).select("row.*")

@@ -446,3 +446,45 @@ def test_near_dedup_goes_on_while_buckets_are_mixed(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "_table_keys", lambda sub, tables: spark.createDataFrame(keys, "key long, rep long"))
     got = {x.doc_id: x.component_id for x in near_dedup.find_groups(docs(spark, rows)).collect()}
     assert got == {1: 1, 2: 2, 3: 2, 10: 10, 11: 10}
+
+
+def test_near_dedup_drops_rows_not_ids(spark):
+    x, y, z = words(1, 40), words(2, 40), words(3, 40)
+    for rows, want in (
+        ([(3, x), (5, x), (5, y), (9, y)], [(3, x), (5, y)]),
+        ([(3, x), (3, x), (3, "  " + x)], None),
+        ([(5, y), (5, z)], [(5, y), (5, z)]),
+        ([(None, x), (7, x), (None, y), (None, y), (None, z)], [(7, x), (None, y), (None, z)]),
+        ([(1, ""), (1, ""), (2, None), (2, None)], [(1, ""), (1, ""), (2, None), (2, None)]),
+    ):
+        got = [tuple(r) for r in near_dedup.drop_near_duplicates(docs(spark, rows)).collect()]
+        if want is None:
+            assert len(got) == 1 and got[0] in rows
+        else:
+            assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_near_dedup_links_what_a_leader_stands_between(spark):
+    r = random.Random(24)
+    w = [f"w{r.randrange(10**8)}" for _ in range(1000)]
+    clean = [f"c{r.randrange(10**8)}" for _ in range(400)]
+    rows = [(10, " ".join(w)), (11, " ".join(w[:748])), (12, " ".join(w[106:854])), (1, " ".join(clean)), (2, " ".join(clean[:-1] + ["last"]))]
+    want = brute_groups(rows)
+    assert {x.doc_id: x.component_id for x in near_dedup.find_groups(docs(spark, rows)).collect()} == {i: c for i, (_, c, _) in want.items()}
+
+
+def test_near_dedup_in_a_large_group_forms_few_pairs(spark, monkeypatch):
+    """Edited copies of one text: most are too far from each other, some are near copies of an edited one; no link is lost, and pairs stay few."""
+    r, base = random.Random(8), words(77, 150, 100_000).split()
+    rows = [(0, " ".join(base))]
+    for k in range(1, 300):
+        own = list(base) if k % 10 else rows[-1][1].split()
+        for _ in range(r.randint(3, 14) if k % 10 else 1):
+            own[r.randrange(150)] = f"x{r.randrange(10**6)}"
+        rows.append((k, " ".join(own)))
+    formed = []
+    plain = near_dedup._verified
+    monkeypatch.setattr(near_dedup, "_verified", lambda pairs, n, *rest: formed.append(n) or plain(pairs, n, *rest))
+    got = {x.doc_id: x.component_id for x in near_dedup.find_groups(docs(spark, rows)).collect()}
+    assert got == {i: c for i, (_, c, _) in brute_groups(rows).items()}
+    assert sum(formed) < 5 * len(rows)
