@@ -2,11 +2,14 @@
 
 Every historical version of a path is content-addressed by SHA-256. The ledger lists (blob, rule_version) pairs that are scanned;
 only blobs with an unseen pair are scanned, each once, whichever paths hold it. Findings are kept by blob and joined back to all
-paths at the end.
+paths at the end. No rule is evaluated below the join with the unseen blobs: the scanned rows carry a row number that the optimiser
+must not compute earlier, so it can't move a test of their matches before that join either.
 
-Spans of a rule come from two passes of one expression over the text: the pieces between matches, and the matches. Their lengths
-add up to code-point positions, so no position-reporting regex function is needed. A length test that a rule has besides its
-expression is applied to the matches afterwards, because a failing match still uses up its characters.
+Matches of a rule come from two passes of one expression over the text: the pieces between matches, and the matches. Each match is
+a row of three numbers (the gap before it, its length, the length that counts); running sums over a text's rows are its code-point
+positions, so no position-reporting regex function is needed, and the work grows with the number of matches, not its square. A
+length test that a rule has besides its expression is applied to the matches afterwards, because a failing match still uses up its
+characters.
 
 Defined results: a null text counts as empty and has no spans; paths may be null or repeat, each row is reported; of spans with
 equal start the rule listed first comes first; an empty table gives an empty result; other columns are not carried.
@@ -14,9 +17,10 @@ equal start the rule listed first comes first; an empty table gives an empty res
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sylva.llm.skew import join_counted
 from sylva.session import shared_table
 
 #: Kind, expression, group whose length counts, least length. A list of rules is one rule version.
@@ -30,23 +34,29 @@ RULE_VERSION = "base-1"
 _SPAN = "array<struct<start:bigint,rank:int,kind:string,end:bigint>>"
 
 
-def spans_of(text: Column, expression: str, group: int, least: int, kind: str, rank: int) -> Column:
-    """Spans of one rule: start, rank, kind, end (exclusive), in code points."""
+def matches_of(text: Column, expression: str, group: int, rank: int) -> Column:
+    """Matches of one rule in order: rank, i, gap (characters since the match before), n (its characters), m (characters that count)."""
     pattern = F.lit(expression)
     found = F.regexp_extract_all(text, pattern, F.lit(0))
-    between = F.split(text, expression, -1)
-    short = F.regexp_extract_all(text, pattern, F.lit(group)) if group else found
-    steps = F.zip_with(F.slice(between, 1, F.size(found)), F.zip_with(found, short, lambda a, b: F.struct(F.length(a).cast("long").alias("n"), F.length(b).alias("m"))), lambda gap, x: F.struct(F.length(gap).cast("long").alias("gap"), x["n"].alias("n"), x["m"].alias("m")))
-    none = F.struct(F.lit(0).cast("long").alias("at"), F.expr(f"cast(array() as {_SPAN})").alias("out"))
+    counted = F.regexp_extract_all(text, pattern, F.lit(group)) if group else found
+    between = F.slice(F.split(text, expression, -1), 1, F.size(found))
+    both = F.zip_with(found, counted, lambda a, b: F.struct(F.length(a).alias("n"), F.length(b).alias("m")))
+    numbered = F.transform(both, lambda x, i: F.struct(i.alias("i"), x["n"].alias("n"), x["m"].alias("m")))
+    rows = F.zip_with(between, numbered, lambda gap, x: F.struct(F.lit(rank).alias("rank"), x["i"].alias("i"), F.length(gap).alias("gap"), x["n"].alias("n"), x["m"].alias("m")))
+    # rlike stops at the first match, so texts without any are read once
+    return F.when(text.rlike(expression), rows).otherwise(F.expr("cast(array() as array<struct<rank:int,i:int,gap:int,n:int,m:int>>)"))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        end = start + x["n"]
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(x["m"] >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    # rlike stops at the first match, so texts without any are read once
-    return F.when(text.rlike(expression), F.aggregate(steps, none, step, lambda acc: acc["out"])).otherwise(F.expr(f"cast(array() as {_SPAN})"))
+def spans_by_blob(texts: DataFrame, rules: list) -> DataFrame:
+    """blob, spans (by start, then rule) of the texts (blob, text) with any. Rows of one blob count once."""
+    found = texts.select("blob", F.monotonically_increasing_id().alias("row"), F.concat(*[matches_of(F.col("text"), e, g, i) for i, (_, e, g, _) in enumerate(rules)]).alias("found"))
+    each = found.select("blob", "row", F.explode_outer("found").alias("x")).where("x is not null").select("blob", "row", "x.*").repartition("blob")
+    upto = Window.partitionBy("blob", "row", "rank").orderBy("i")
+    placed = each.withColumn("end", F.sum(F.col("gap").cast("long") + F.col("n")).over(upto))
+    rule = F.element_at(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(least).alias("least")) for k, _, _, least in rules]), F.col("rank") + 1)
+    span = F.struct((F.col("end") - F.col("n")).alias("start"), "rank", rule["kind"].alias("kind"), "end")
+    by_row = placed.where(F.col("m") >= rule["least"]).groupBy("blob", "row").agg(F.array_sort(F.collect_list(span)).cast(_SPAN).alias("spans"))
+    return by_row.groupBy("blob").agg(F.first("spans").alias("spans"))
 
 
 def scan(versions: DataFrame, path_col: str = "doc_id", text_col: str = "text", rules: list = RULES, rule_version: str = RULE_VERSION, ledger: DataFrame | None = None, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -55,20 +65,21 @@ def scan(versions: DataFrame, path_col: str = "doc_id", text_col: str = "text",
     ledger: blob, rule_version of earlier runs. known: the findings of those runs (blob, rule_version, spans).
     """
     blob = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    paths = versions.select(F.col(path_col).alias("path"), blob.alias("blob"))
-    unseen = paths.groupBy("blob").agg(F.min("path").alias("path"))
+    paths = shared_table(versions.select(F.col(path_col).alias("path"), blob.alias("blob")), "paths")
+    counted = paths.groupBy("blob").agg(F.min("path").alias("path"), F.count(F.lit(1)).alias("size"))
+    unseen = counted
     if ledger is not None:
         unseen = unseen.join(ledger.where(F.col("rule_version") == rule_version).select("blob").distinct(), "blob", "left_anti")
     # One row of each unseen blob is read: joined by blob and path, so that copies of one blob don't meet in one task.
     texts = versions.select(F.col(path_col).alias("p"), blob.alias("b"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("text != ''")
     chosen = texts.join(unseen, (texts["b"] == unseen["blob"]) & texts["p"].eqNullSafe(unseen["path"])).select("blob", "text")
-    spans = chosen.select("blob", F.array_sort(F.concat(*[spans_of(F.col("text"), e, g, n, k, i) for i, (k, e, g, n) in enumerate(rules)])).alias("spans"))
-    found = spans.where(F.size("spans") > 0).groupBy("blob").agg(F.first("spans").alias("spans")).withColumn("rule_version", F.lit(rule_version))
+    found = spans_by_blob(chosen, rules).withColumn("rule_version", F.lit(rule_version))
     if known is not None:
         found = found.unionByName(known.where(F.col("rule_version") == rule_version))
     found = shared_table(found.select("blob", "rule_version", "spans"), "findings")
     pairs = unseen.select("blob", F.lit(rule_version).alias("rule_version"))
-    report = paths.join(found.select("blob", "spans"), "blob", "left").select("path", "blob", F.coalesce("spans", F.expr(f"cast(array() as {_SPAN})")).alias("spans"))
+    sized = shared_table(found.select("blob", "spans").join(counted.select("blob", "size"), "blob"), "sized")
+    report = join_counted(paths, sized, ["blob"], "size", paths.count(), how="left").select("path", "blob", F.coalesce("spans", F.expr(f"cast(array() as {_SPAN})")).alias("spans"))
     return report, found, pairs if ledger is None else ledger.select("blob", "rule_version").unionByName(pairs)
 
 

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -394,6 +395,23 @@ def test_secret_scan(spark):
     assert secret_scan.scan(docs(spark, []))[0].count() == 0
 
 
+def test_secret_scan_evaluates_rules_above_the_ledger_join_only(spark):
+    texts = docs(spark, [(1, "token=abcdefgh")]).selectExpr("unhex(sha2(text, 256)) as b", "text")
+    unseen = texts.selectExpr("b as blob")
+    found = secret_scan.spans_by_blob(texts.join(unseen, texts["b"] == unseen["blob"]).select("blob", "text"), secret_scan.RULES)
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    join = min(i for i, line in enumerate(plan) if "Join" in line)
+    assert any("AKIA" in line for line in plan[:join]) and not any("AKIA" in line for line in plan[join:])
+
+
+def test_secret_scan_of_many_matches_in_one_text(spark):
+    text = "0123456789abcdef0123456789 " * 200_000
+    began = time.time()
+    row = secret_scan.digest(secret_scan.scan(docs(spark, [(1, text)]))[0]).first()
+    assert row.n_hex == 200_000 and row.spans.endswith(f"hex:{27 * 199_999}:{27 * 199_999 + 26}")
+    assert time.time() - began < 60  # a quadratic fold would take hours
+
+
 # 10
 
 
