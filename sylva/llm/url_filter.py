@@ -1,12 +1,13 @@
 """URL filters: a blocked Bloom filter in front of an exact hash join. DataFrame functions only.
 
 A rule names a host and a path prefix. It fits a URL if the URL's host is the rule's or a subdomain of it and the URL's path starts
-with the rule's. For every distinct (host, path) of the URLs the canonical keys that a rule could have are formed: each suffix of
-the host at a label border, with each prefix of the path whose length some rule has. The keys probe a blocked Bloom filter: a hash
-picks one block of 256 bits, which holds all bits of a key, so that a probe is one equality on the block number. Keys that pass go
-to an exact hash join with the rules, which removes the filter's false positives; the longest rule wins.
+with the rule's. The canonical keys that a rule could have are, for a URL, each suffix of the host at a label border with each prefix
+of the path whose length some rule has. They probe a blocked Bloom filter: a hash picks one block of 256 bits, which holds all bits
+of a key. URLs none of whose keys passes stay where they are and take the default verdict; only the others move, once for each
+distinct (host, path), to an exact hash join with the rules, which removes the filter's false positives; the longest rule wins.
 
-The blocks are broadcast only if their size, 40 bytes a block, is within ``max_broadcast_bytes``; otherwise they join by shuffle.
+The filter is one constant array of longs if it takes at most ``max_inline_bytes``. That of a longer list is a table, which the keys
+of the distinct URLs join by block; it is broadcast up to ``max_broadcast_bytes``.
 
 Defined results: a null URL or one without ``://`` has an empty host and path; no rule fits it and its verdict is the default; of
 rules of equal length the block rule wins; equal rules count once; rules with a null host, path or verdict count for nothing;
@@ -15,9 +16,15 @@ repeated rows are all kept; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sylva.llm.skew import join_counted
+from sylva.session import shared_table
+
 WORDS, PROBES = 4, 4  # longs in a block; bits of a key
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -39,18 +46,30 @@ def _block(h: Column, blocks: int) -> Column:
     return F.pmod(F.shiftrightunsigned(h, 32), F.lit(blocks).cast("long"))
 
 
-def _mask(w: int) -> str:
-    """SQL for the bits of a key's hash h that fall into word w of its block; the low half of h, which does not choose the block, gives them."""
-    bits = [f"if(pmod(shiftrightunsigned(h, {8 * i}), 256L) div 64 = {w}, shiftleft(1L, cast(pmod(shiftrightunsigned(h, {8 * i}), 64L) as int)), 0L)" for i in range(PROBES)]
-    return " | ".join(bits)
+def _mask(h: Column, w: int) -> Column:
+    """The bits of a key's hash h that fall into word w of its block; the low half of h, which does not choose the block, gives them."""
+    out = F.lit(0).cast("long")
+    for i in range(PROBES):
+        byte = F.pmod(F.shiftrightunsigned(h, 8 * i), F.lit(256).cast("long"))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(byte, F.lit(64)).cast("int"))
+        out = out.bitwiseOR(F.when(F.floor(byte / 64) == w, bit).otherwise(F.lit(0).cast("long")))
+    return out
 
 
 def bloom_blocks(keys: DataFrame, blocks: int) -> DataFrame:
     """The filter as rows (block, w0..w3); keys has a bigint column h."""
-    out = keys.select(_block(F.col("h"), blocks).alias("block"), *[F.expr(_mask(w)).alias(f"w{w}") for w in range(WORDS)])
+    out = keys.select(_block(F.col("h"), blocks).alias("block"), *[_mask(F.col("h"), w).alias(f"w{w}") for w in range(WORDS)])
     return out.groupBy("block").agg(*[F.bit_or(f"w{w}").alias(f"w{w}") for w in range(WORDS)])
 
 
+def bloom_array(filter_: DataFrame, blocks: int) -> Column:
+    """The filter's words, block by block, as a constant."""
+    words = [0] * (blocks * WORDS)
+    for row in filter_.collect():  # at most max_inline_bytes
+        words[row.block * WORDS : (row.block + 1) * WORDS] = row[1:]
+    return F.from_json(F.lit(json.dumps(words)), "array<bigint>")
+
+
 def judge(
     pages: DataFrame,
     rules: DataFrame,
@@ -58,35 +77,44 @@ def judge(
     url_col: str = "url",
     default: str = "allow",
     bits_per_key: int = 16,
+    max_inline_bytes: int = 256 << 10,
     max_broadcast_bytes: int = 32 << 20,
 ) -> DataFrame:
     """For every row of pages: page_id, host, path, rule, verdict. rules: host, path, verdict ('allow' or 'block')."""
     rules = rules.select("host", "path", "verdict").where("host is not null and path is not null and verdict is not null").distinct()
     n, lengths = rules.agg(F.count(F.lit(1)), F.collect_set(F.length("path"))).first()  # at most as many lengths as a URL has characters
     urls = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    named = urls.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
+    named = {"rule": F.lit(None).cast("string"), "verdict": F.lit(default)}
     if not n:
-        return named
+        return urls.withColumns(named)
     blocks = max(1, -(-n * bits_per_key // (64 * WORDS)))
-    listed = rules.withColumn("h", _key_hash(F.col("host"), F.col("path")))
-    filter_ = bloom_blocks(listed.select("h"), blocks)
-    if blocks * 8 * (WORDS + 1) <= max_broadcast_bytes:
-        filter_ = F.broadcast(filter_)
+    filter_ = bloom_blocks(rules.select(_key_hash(F.col("host"), F.col("path")).alias("h")), blocks)
 
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefixes = F.transform(F.filter(F.array(*[F.lit(x) for x in sorted(lengths)]), lambda x: x <= F.length("path")), lambda x: F.substring(F.col("path"), F.lit(1), x))
-    keys = (
-        urls.select("host", "path").where("host != ''").distinct()
-        .withColumn("key_host", F.explode(suffixes)).withColumn("key_path", F.explode(prefixes))
-        .withColumn("h", _key_hash(F.col("key_host"), F.col("key_path"))).withColumn("block", _block(F.col("h"), blocks))
-    )
-    fits = " and ".join(f"(w{w} & ({_mask(w)})) = ({_mask(w)})" for w in range(WORDS))
-    possible = keys.join(filter_, "block").where(fits).select("host", "path", "key_host", "key_path")
-    exact = possible.join(rules.withColumnsRenamed({"host": "key_host", "path": "key_path"}), ["key_host", "key_path"])
+    keyed = lambda df: df.withColumn("key_host", F.explode(suffixes)).withColumn("key_path", F.explode(prefixes))
+    straight = None
+    if blocks * 8 * WORDS <= max_inline_bytes:
+        words = bloom_array(filter_, blocks)
+        in_block = lambda h, w: F.element_at(words, (_block(h, blocks) * WORDS + w + 1).cast("int")).bitwiseAND(_mask(h, w)) == _mask(h, w)
+        hashes = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: _key_hash(s, p))))
+        passes = (F.col("host") != "") & F.exists(hashes, lambda h: reduce(Column.__and__, [in_block(h, w) for w in range(WORDS)]))
+        straight = urls.where(~passes).withColumns(named)
+        urls = shared_table(urls.where(passes), "possible")
+    distinct = urls.where("host != ''").groupBy("host", "path").agg(F.count(F.lit(1)).alias("size"))
+    keys = keyed(distinct)
+    if straight is None:
+        keys = keys.withColumn("h", _key_hash(F.col("key_host"), F.col("key_path"))).withColumn("block", _block(F.col("h"), blocks))
+        fits = [F.col(f"w{w}").bitwiseAND(_mask(F.col("h"), w)) == _mask(F.col("h"), w) for w in range(WORDS)]
+        small = blocks * 8 * (WORDS + 1) <= max_broadcast_bytes
+        keys = keys.join(F.broadcast(filter_) if small else filter_, "block").where(reduce(Column.__and__, fits))
+    exact = keys.join(rules.withColumnsRenamed({"host": "key_host", "path": "key_path"}), ["key_host", "key_path"])
     rank = F.struct(F.length("key_host") + F.length("key_path"), F.col("verdict") == "block", "key_host", "key_path")
-    best = exact.withColumn("rule", F.concat("key_host", "key_path")).groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), rank).alias("best"))
-    return urls.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    best = exact.withColumn("rule", F.concat("key_host", "key_path")).groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), rank).alias("best"), F.first("size").alias("size"))
+    joined = join_counted(urls, shared_table(best, "judged"), ["host", "path"], "size", urls.count(), how="left")
+    judged = joined.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    return judged if straight is None else straight.unionByName(judged)
 
 
 #: The production list as (host, path, verdict).

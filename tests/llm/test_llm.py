@@ -65,8 +65,8 @@ def test_url_filter(spark):
     urls = ["http://A.example.NET/en/x?y", "https://example.net/de/", "x://org", "x://a.org/fr/1#z", "mailto:a@b", None, "http://example.com/de/", "http://example.com/de", "http://notexample.com/de/", "http://net", "http://net/", "", "a://b://c/d"]
     pages = docs(spark, [(i, u) for i, u in enumerate(urls)] + [(None, urls[0]), (0, urls[0])], "page_id long, url string")
     rules = spark.createDataFrame([*url_filter.RULES, url_filter.RULES[0], (None, "/", "block")], "host string, path string, verdict string")
-    for limit in (32 << 20, 0):
-        got = sorted(map(tuple, url_filter.judge(pages, rules, max_broadcast_bytes=limit).collect()), key=repr)
+    for inline, limit in ((1 << 18, 0), (0, 32 << 20), (0, 0)):
+        got = sorted(map(tuple, url_filter.judge(pages, rules, max_inline_bytes=inline, max_broadcast_bytes=limit).collect()), key=repr)
         by_id = {r[0]: r[1:] for r in got if r[0] is not None}
         assert by_id[0] == ("a.example.net", "/en/x", "example.net/en/", "allow")
         assert by_id[1] == ("example.net", "/de/", "net/", "block")
@@ -81,6 +81,24 @@ def test_url_filter(spark):
     assert url_filter.judge(pages.where("false"), rules).count() == 0
 
 
+@pytest.mark.parametrize("limit", [1 << 18, 0])
+def test_url_filter_with_many_rules(spark, limit):
+    r = random.Random(3)
+    hosts = [f"{'abc'[r.randrange(3)]}.s{r.randrange(40)}.org" for _ in range(400)]
+    urls = [f"http://{h}/" + "/".join(f"p{r.randrange(3)}" for _ in range(r.randrange(4))) for h in hosts] + ["http://a.s1.org/" + "x" * 100_000] + ["http://hot.s3.org/"] * 300
+    listed = {(u.split("/")[2][r.choice((0, 2)):], "/" + "/".join(u.split("/")[3:][: r.randrange(3)])): r.choice(("allow", "block")) for u in urls[:80]}
+    pages = docs(spark, list(enumerate(urls)), "page_id long, url string").selectExpr("*", "'x' as host", "'x' as path", "'x' as block", "1 as size", "'x' as rule")
+    rules = spark.createDataFrame([(*k, v) for k, v in listed.items()], "host string, path string, verdict string")
+
+    def brute(url):
+        host, path = url.split("/")[2], "/" + "/".join(url.split("/")[3:])
+        fits = [(len(h + p), v == "block", h, p, v) for (h, p), v in listed.items() if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return (max(fits)[2] + max(fits)[3], max(fits)[4]) if fits else (None, "allow")
+
+    got = {x.page_id: (x.rule, x.verdict) for x in url_filter.judge(pages, rules, max_inline_bytes=limit).collect()}
+    assert got == {i: brute(u) for i, u in enumerate(urls)}
+
+
 # 2
 
 
