@@ -4,13 +4,15 @@ Documents are tokenised, ended with id 0 and cut into pieces of at most ``capaci
 length, so the instance is a histogram of ``capacity`` entries, whatever the number of documents: it is solved on the driver, and
 the solution, a list of bin patterns with multiplicities, is handed out by (length, rank within the length).
 
-The reduction looks at the largest remaining piece j with free space s = capacity - j and permanently fixes a set with it where that
-set provably dominates every other set that holds j (any other set can be exchanged for it without another bin):
+The reduction looks at every piece j, from the largest to the smallest, with the free space s = capacity - j, and permanently fixes a
+set with it where that set provably dominates every other set that holds j: whatever else would share a sequence with j can change
+places with the fixed partner, so no solution needs fewer sequences.
   1. nothing fits with j: {j};
   2. a piece of exactly s exists: {j, s};
   3. at most one more piece fits with j: {j, k}, k the largest that fits;
   4. at most two more fit, and no two of them together are longer than k: {j, k}.
-When no rule holds for j, best-fit decreasing takes over for the remainder: each piece goes to the fullest bin that has room.
+Where no rule holds for j, the next smaller piece is tried; fixed pieces leave fewer for the others, so passes go on until one fixes
+nothing. Best-fit decreasing takes the remainder: each piece goes to the fullest bin that has room.
 
 Ranks need no global order: pieces of one length are dealt to buckets by a hash, ranked in their bucket, and the buckets' offsets are
 running sums over the bucket counts; a frequent length is thus split over many tasks.
@@ -130,14 +132,17 @@ def tokenise(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_
     return out if with_ids else out.drop("ids")
 
 
-def reduce_and_fit(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Bin patterns (lengths, longest first) with how many bins have them; every piece is in one bin."""
+Patterns = list[tuple[tuple[int, ...], int]]
+
+
+def reduce_by_dominance(histogram: dict[int, int], capacity: int) -> tuple[Patterns, dict[int, int]]:
+    """Bin patterns that dominate all alternatives, with how many bins have them, and the histogram of what is left."""
     left = {x: n for x, n in histogram.items() if n > 0}
     lengths = sorted(left)
-    fixed: list[tuple[tuple[int, ...], int]] = []
+    fixed: Patterns = []
 
     def take(pattern: tuple[int, ...], n: int) -> None:
-        fixed.append((pattern, n))
+        fixed.append((tuple(sorted(pattern, reverse=True)), n))
         for x in pattern:
             left[x] -= n
             if not left[x]:
@@ -167,27 +172,36 @@ def reduce_and_fit(histogram: dict[int, int], capacity: int) -> list[tuple[tuple
                 lo += 1
         return best
 
-    while lengths:
-        j = lengths[-1]
+    def fix(j: int) -> bool:
         s = capacity - j
         at = bisect.bisect_right(lengths, s) - 1
         if at >= 0 and lengths[at] == j and left[j] < 2:
             at -= 1
         if at < 0:
             take((j,), left[j] if j > s else 1)
-            continue
+            return True
         k = lengths[at]
         pairs = left[j] // 2 if j == k else min(left[j], left[k])
         few = smallest(3, j)
-        if k == s or len(few) < 2 or few[0] + few[1] > s:
-            take((j, k), pairs)
-        elif (len(few) < 3 or sum(few) > s) and longest_pair(s, j) <= k:
-            take((j, k), 1)  # counts change what is the longest pair
-        else:
-            break
-
-    # Best-fit decreasing: open bins by free space, each space with groups of equal patterns.
-    bins: dict[int, list[tuple[tuple[int, ...], int]]] = {}
+        if k == s or len(few) < 2 or few[0] + few[1] > s or (len(few) < 3 or sum(few) > s) and longest_pair(s, j) <= k:
+            take((j, k), pairs)  # what is taken only leaves fewer alternatives, so the rule holds until j or k is used up
+            return True
+        return False
+
+    before = -1
+    while before != len(fixed):
+        before, below = len(fixed), capacity + 1
+        while at := bisect.bisect_left(lengths, below):
+            j = lengths[at - 1]
+            if not fix(j):
+                below = j
+    return fixed, left
+
+
+def best_fit(histogram: dict[int, int], capacity: int) -> Patterns:
+    """Best-fit decreasing. Open bins by free space, each space with groups of equal patterns."""
+    left, lengths = dict(histogram), sorted(histogram)
+    bins: dict[int, Patterns] = {}
     spaces: list[int] = []
 
     def put(space: int, pattern: tuple[int, ...], n: int) -> None:
@@ -219,7 +233,13 @@ def reduce_and_fit(histogram: dict[int, int], capacity: int) -> list[tuple[tuple
                 put(space, pattern, m - used)
             put(space - per * x, pattern + (x,) * per, used)
             n -= used * per
-    return fixed + [g for groups in bins.values() for g in groups]
+    return [g for groups in bins.values() for g in groups]
+
+
+def reduce_and_fit(histogram: dict[int, int], capacity: int) -> Patterns:
+    """Bin patterns (lengths, longest first) with how many bins have them; every piece is in one bin."""
+    fixed, left = reduce_by_dominance(histogram, capacity)
+    return fixed + best_fit(left, capacity)
 
 
 def _slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int, int]]:
