@@ -5,7 +5,8 @@ of an item; an item of fewer words, but not none, is one window. Words of a docu
 the rest become numbers, a rolling hash of each window probes the sorted hashes of the benchmark's windows, and every hit is
 verified word by word against the windows with that hash.
 
-The benchmark is broadcast in blocks of at most ``block_words`` words (the proven bound: about 100 bytes a word). With several
+The benchmark is broadcast in blocks of at most ``block_words`` words and ``block_bytes`` bytes of words (the proven bound), counted as
+the windows count them; an item longer than a block is cut into parts that overlap by n - 1 words, so each window is in one. With several
 blocks each is loaded, used for a batch of documents and dropped, so memory does not grow with the benchmark.
 
 Defined results: a null text has no words; items without words have no windows; items of equal id count as one, and a null item id
@@ -54,12 +55,10 @@ def _hash(ids: np.ndarray, n: int) -> np.ndarray:
     return h
 
 
-def build_block(items: list[tuple[str | None, str | None]], n: int) -> Block:
+def build_block(items: list[tuple[str | None, list[bytes]]], n: int) -> Block:
+    """items: names and words; an item may come in several parts."""
     block, seen, found = Block(), {}, {}
-    for name, text in items:
-        words = _split((text or "").encode("utf-8", "surrogatepass"))
-        if not words:
-            continue
+    for name, words in items:
         block.names.append(name)
         ids = [block.vocab.setdefault(w, len(block.vocab) + 1) for w in words]
         for at in range(max(1, len(ids) - n + 1)):
@@ -99,16 +98,37 @@ def scan(words: list[bytes], block: Block, hit: np.ndarray, items: set) -> None:
                 k += 1
 
 
-def _broadcast(benchmark: DataFrame, item_col: str, text_col: str, n: int, block_words: int) -> list:
-    sc, blocks, held, size = benchmark.sparkSession.sparkContext, [], [], 0
-    for row in benchmark.select(F.col(item_col).cast("string"), F.col(text_col)).toLocalIterator():
-        held.append(tuple(row))
-        size += (row[1] or "").count(" ") + 1
-        if size >= block_words:
-            blocks.append(sc.broadcast(pickle.dumps(build_block(held, n))))
-            held, size = [], 0
-    if held:
+def _parts(words: list[bytes], n: int, most: int, most_bytes: int) -> Iterator[list[bytes]]:
+    """The words in parts within both bounds (but of n words at least), each window of n words in one; of fewer words, one part."""
+    at, step, size = 0, 0, 0
+    while at < len(words):
+        step = size = 0
+        while at + step < len(words) and (step < n or step < most and size + len(words[at + step]) <= most_bytes):
+            size += len(words[at + step])
+            step += 1
+        yield words[at : at + step]
+        if at + step == len(words):
+            return
+        at += step - n + 1
+
+
+def _broadcast(benchmark: DataFrame, item_col: str, text_col: str, n: int, block_words: int, block_bytes: int) -> list:
+    sc, blocks, held, size, weight = benchmark.sparkSession.sparkContext, [], [], 0, 0
+
+    def flush() -> None:
+        nonlocal held, size, weight
         blocks.append(sc.broadcast(pickle.dumps(build_block(held, n))))
+        held, size, weight = [], 0, 0
+
+    for name, text in benchmark.select(F.col(item_col).cast("string"), F.col(text_col)).toLocalIterator():
+        for part in _parts(_split((text or "").encode("utf-8", "surrogatepass")), n, block_words, block_bytes):
+            more = sum(map(len, part))
+            if held and (size + len(part) > block_words or weight + more > block_bytes):
+                flush()
+            held.append((name, part))
+            size, weight = size + len(part), weight + more
+    if held:
+        flush()
     return blocks
 
 
@@ -147,10 +167,10 @@ def _portions(column: pa.Array, most: int = 4 << 20) -> Iterator[list[bytes]]:
         yield held
 
 
-def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 10, block_words: int = 1_000_000) -> DataFrame:
+def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 10, block_words: int = 1_000_000, block_bytes: int = 64 << 20) -> DataFrame:
     """For every row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, items, spans (of words, as start:end)."""
     ship(docs.sparkSession)
-    blocks = _broadcast(benchmark, item_col, item_text_col, n, block_words)
+    blocks = _broadcast(benchmark, item_col, item_text_col, n, block_words, block_bytes)
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,13 +209,13 @@ def _cut(text: bytes, words: list[bytes], hit: np.ndarray) -> str:
     return b"".join([*keep, text[start:]]).decode("utf-8", "surrogatepass")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 10, drop_at: float = 0.5, length_col: str | None = None, block_words: int = 1_000_000) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", n: int = 10, drop_at: float = 0.5, length_col: str | None = None, block_words: int = 1_000_000, block_bytes: int = 64 << 20) -> DataFrame:
     """docs without the hit spans; a document of which at least ``drop_at`` of the words are hit goes as a whole.
 
     All columns stay as they were but the text, and length_col, which gets the new number of characters where a span was cut.
     """
     ship(docs.sparkSession)
-    blocks = _broadcast(benchmark, item_col, item_text_col, n, block_words)
+    blocks = _broadcast(benchmark, item_col, item_text_col, n, block_words, block_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one: list = []
