@@ -10,7 +10,7 @@ hash of the id, and of a text at most ``most_bytes`` bytes in blocks spread even
 Scoring reads every whole text. Labels, ids and other columns are never inputs of a score.
 
 Defined results: null and empty texts get the share of good labels as their score; labels of null ids or null quality don't count;
-of several labels of one id each counts; without labels of both classes, every score is that share (1 if there are no labels);
+of several rows of one id fitting takes the least text, and of its labels each value once; without labels of both classes, every score is that share (1 if there are no labels);
 repeated rows are all scored; an empty table gives an empty result.
 """
 
@@ -108,9 +108,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if len(counts) < 2:
         return empty
     ranked = known.withColumn("h", F.xxhash64("id", F.lit(17)))
-    # 2 * sample ids of each class at most: a bounded broadcast
+    # 2 * sample labels of each class at most: a bounded broadcast
     chosen = ranked.where("y = 1").orderBy("h", "id").limit(2 * sample).unionByName(ranked.where("y = 0").orderBy("h", "id").limit(2 * sample))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null and text != ''").join(F.broadcast(chosen), "id")
+    # an id may have many rows: its least text counts, so no more than the chosen labels reach the driver
+    texts = texts.groupBy("id", "y", "h").agg(F.min("text").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
