@@ -1,4 +1,9 @@
-"""Bloom filters of bounded size, built without a shuffle of what they hold: every task fills its own arrays, and arrays are merged."""
+"""Bloom filters of bounded size. All bits of a hash lie in one of CHUNKS parts, and every part is filled by one task.
+
+What moves for that are the hashes, nine bytes each and equal ones of a batch once; no task sends whole arrays about. A table that needs
+more bits than a filter may have is cut into slices by another hash of its keys, each with a filter of its own (:func:`slices`), so the
+filter never gets denser as the table grows.
+"""
 
 from __future__ import annotations
 
@@ -7,23 +12,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sylva.session import in_worker
 
 HASHES = 4
 CHUNKS = 256
-ONE_TASK = 100_000  # up to so many hashes one task fills the arrays, and there is nothing to merge
-LEVEL_ONE = 64  # how many first-level groups the tasks' arrays of one chunk are merged in
+ONE_TASK = 100_000  # up to so many hashes one task fills all parts
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Hashes that were chosen for being small are spread again."""
+    h = h.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
+    h = (h ^ (h >> np.uint64(35))) * np.uint64(0x9FB21C651E98DF25)
+    return h ^ (h >> np.uint64(28))
+
+
+def _chunk(mixed: np.ndarray) -> np.ndarray:
+    return mixed >> np.uint64(56)
 
 
 def positions(h: np.ndarray, bits: int) -> np.ndarray:
-    """HASHES bit positions for each 64-bit hash, by double hashing; bits is a power of two."""
-    h = h.astype(np.uint64)
-    step = (h >> np.uint64(32)) | np.uint64(1)
-    return ((h[:, None] + step[:, None] * np.arange(HASHES, dtype=np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
+    """HASHES bit positions for each 64-bit hash, by double hashing within its part; bits is a power of two."""
+    h, part = _mixed(h), bits // CHUNKS
+    step = ((h >> np.uint64(24)) & np.uint64(0xFFFFFFFF)) | np.uint64(1)
+    within = (h[:, None] + step[:, None] * np.arange(HASHES, dtype=np.uint64)) & np.uint64(part - 1)
+    return (_chunk(h)[:, None] * np.uint64(part) + within).astype(np.int64)
 
 
 def contained(array: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -35,42 +50,49 @@ def _set(array: np.ndarray, at: np.ndarray) -> None:
     np.bitwise_or.at(array, at >> 3, np.left_shift(np.uint8(1), (at & 7).astype(np.uint8)))
 
 
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        h, n = np.unique(b.column(0).to_numpy(), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(_chunk(_mixed(h)).astype(np.int32)), pa.array(h), pa.array(n > 1)], names=["chunk", "h", "many"])
+
+
 def _build(bits: int):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # pages of other tasks' parts are never touched, so they take no memory
         once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         for b in batches:
-            h, n = np.unique(b.column(0).to_numpy(), return_counts=True)
+            h, where, n = np.unique(b.column(1).to_numpy(), return_inverse=True, return_counts=True)
             if not len(h):
                 continue
+            many = n > 1
+            many[where[b.column(2).to_numpy(zero_copy_only=False)]] = True
             at = positions(h, bits)
-            again = (n > 1) | contained(once, at)
-            _set(twice, at[again])
+            _set(twice, at[many | contained(once, at)])
             _set(once, at)
-        task, size = TaskContext.get().partitionId(), bits // 8 // CHUNKS
+        size = bits // 8 // CHUNKS
         for c in range(CHUNKS):
             if (part := once[c * size : (c + 1) * size]).any():
-                yield pa.RecordBatch.from_pydict({"chunk": pa.array([c], pa.int32()), "salt": pa.array([task % LEVEL_ONE], pa.int32()), "once": [zlib.compress(part.tobytes(), 1)], "twice": [zlib.compress(twice[c * size : (c + 1) * size].tobytes(), 1)]})
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([c], pa.int32()), "once": [zlib.compress(part.tobytes(), 1)], "twice": [zlib.compress(twice[c * size : (c + 1) * size].tobytes(), 1)]})
 
     return build
 
 
-def _merge(key: tuple, table: pa.Table) -> pa.Table:
-    """Arrays of one chunk from several tasks: a bit that two of them have seen counts as seen twice."""
-    once = twice = None
-    for a, b in zip(table["once"], table["twice"], strict=True):
-        a, b = (np.frombuffer(zlib.decompress(x.as_py()), np.uint8) for x in (a, b))
-        once, twice = (a, b) if once is None else (once | a, twice | b | (once & a))
-    return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()), "salt": pa.array([0], pa.int32()), "once": [zlib.compress(once.tobytes(), 1)], "twice": [zlib.compress(twice.tobytes(), 1)]})
+def slices(n: int, bits_per_row: int, max_bits: int) -> int:
+    """How many filters of at most max_bits n keys take."""
+    return max(1, -(-n * bits_per_row // max_bits))
+
+
+def slice_of(h: Column, k: int) -> Column:
+    """The slice of a key's hash, of k; independent of its places in a filter."""
+    return F.pmod(F.xxhash64(h, F.lit(k)), F.lit(k)).cast("int")
 
 
 def _filter(hashes: DataFrame, column: str, n: int | None, bits_per_row: int, max_bits: int) -> tuple[bytes, int]:
     n = hashes.count() if n is None else n
-    bits = min(max_bits, 1 << max(15, (max(1, n) * bits_per_row - 1).bit_length()))
-    schema = "chunk int, salt int, once binary, twice binary"
-    if n <= ONE_TASK:
-        parts = hashes.coalesce(1).mapInArrow(in_worker("bloom", _build(bits)), schema)
-    else:
-        parts = hashes.mapInArrow(in_worker("bloom", _build(bits)), schema).groupBy("chunk", "salt").applyInArrow(_merge, schema).groupBy("chunk").applyInArrow(_merge, schema)
+    bits = min(max_bits, 1 << max(17, (max(1, n) * bits_per_row - 1).bit_length()))
+    dealt = hashes.mapInArrow(in_worker("bloom", _dealt), "chunk int, h bigint, many boolean")
+    dealt = hashes.coalesce(1).mapInArrow(in_worker("bloom", _dealt), "chunk int, h bigint, many boolean") if n <= ONE_TASK else dealt.repartition("chunk")
+    parts = dealt.mapInArrow(in_worker("bloom", _build(bits)), "chunk int, once binary, twice binary")
     out, size = np.zeros(bits // 8, np.uint8), bits // 8 // CHUNKS
     for row in parts.select("chunk", F.col(column).alias("data")).collect():  # max_bits in all
         out[row.chunk * size : (row.chunk + 1) * size] = np.frombuffer(zlib.decompress(bytes(row.data)), np.uint8)

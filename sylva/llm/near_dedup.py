@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from sylva.llm import bloom
 from sylva.llm.components import connected
+from sylva.llm.rows import drop_marked
 from sylva.llm.skew import join_counted
 from sylva.session import in_worker, shared_table, ship
 
@@ -276,12 +277,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     several = kept.groupBy(F.col("doc_id").alias("i"), F.col("set").alias("s")).agg(F.min("tx").alias("least"), F.count(F.lit(1)).alias("k")).where("k > 1")
     repeated = kept.join(several, F.expr("doc_id <=> i and set = s")).select("doc_id", "tx", (F.col("tx") == F.col("least")).alias("one"))
     acts = rows.where("not kept").select("doc_id", "tx", F.lit(False).alias("one")).unionByName(repeated).distinct()
-    acts = shared_table(acts.withColumn("key", F.xxhash64("doc_id", "tx")), "dropped")
-    filter_ = bloom.key_filter(acts.select(F.col("key").alias("h")), n=acts.count())
-    # Rows that the filter lets off pass straight through; only the others move.
-    held = F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]).alias("row")
-    own = (F.col(id_col).cast("long").alias("id"), text_hash(F.col(text_col)).alias("t"))
-    full = bloom.with_flag(docs.select(held, *own).withColumn("possible", F.xxhash64("id", "t")), *filter_, "possible")
-    hit = full.where("possible").withColumn("key", F.xxhash64("id", "t")).join(acts.withColumnRenamed("key", "k"), F.expr("key = k and id <=> doc_id and t = tx"), "left")
-    once = hit.where("one").groupBy("key", "id", "t").agg(F.first("row").alias("row"))
-    return full.where("not possible").select("row").unionByName(hit.where("one is null").select("row")).unionByName(once.select("row")).select("row.*")
+    acts = shared_table(acts.select(F.col("doc_id").alias("id"), F.col("tx").alias("mark"), "one"), "dropped")
+    return drop_marked(docs, F.col(id_col).cast("long"), text_hash(F.col(text_col)), acts)

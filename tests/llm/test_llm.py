@@ -122,6 +122,8 @@ def test_quality_holds_out_and_separates(spark):
     assert (again.good, again.slope, again.share) == (model.good, model.slope, model.share)  # held-out labels change nothing
     odd = quality.score(crowded(spark, [(1, None), (2, ""), (None, "x" * 100_000), (2, "")]), model).collect()
     assert len(odd) == 4 and {r.score for r in odd if r.doc_id in (1, 2)} == {model.share}
+    many = quality.fit(d.unionByName(spark.range(2000).selectExpr("1L as doc_id", "concat('zzz', id) as text")), labels)
+    assert (many.good, many.bad, many.slope) == (model.good, model.bad, model.slope)  # an id of many rows counts once, with its least text
     kept = quality.keep_good(crowded(spark, [(1, words(1, 100)), (400, "A!! " * 300)]), model)
     assert [r.doc_id for r in kept.collect()] == [1] and kept.columns[2] == "row"
 
@@ -188,6 +190,41 @@ def fewest(lengths, capacity):
     return best[0]
 
 
+def test_decontamination_blocks_are_bounded():
+    r = random.Random(2)
+    for _ in range(200):
+        item = [b"w" * r.randint(1, 9) for _ in range(r.randint(0, 60))]
+        n, most, most_bytes = r.randint(1, 6), r.randint(1, 12), r.randint(1, 50)
+        parts = list(decontaminate._parts(item, n, most, most_bytes))
+        assert all(len(x) <= max(n, most) and (len(x) <= n or sum(map(len, x)) <= most_bytes) for x in parts)
+        windows = lambda x: [tuple(x[i : i + n]) for i in range(max(1, len(x) - n + 1))] if x else []
+        assert [w for x in parts for w in windows(x)] == windows(item)
+
+
+def test_reduction_only_fixes_what_dominates():
+    r = random.Random(6)
+    for _ in range(200):
+        capacity = r.choice([10, 20, 50])
+        lengths = sorted((r.randint(1, capacity) for _ in range(r.randint(0, 9))), reverse=True)
+        fixed, left = packing.reduce_by_dominance({x: lengths.count(x) for x in lengths}, capacity)
+        rest = sorted((x for x, n in left.items() for _ in range(n)), reverse=True)
+        assert sum(n for _, n in fixed) + fewest(rest, capacity) == fewest(lengths, capacity)
+
+
+def test_reduction_fixes_a_good_share():
+    r = random.Random(7)
+    histogram: dict[int, int] = {}
+    for _ in range(100_000):
+        x = min(2048, int(r.lognormvariate(5, 1.2)) + 1)
+        histogram[x] = histogram.get(x, 0) + 1
+    fixed, left = packing.reduce_by_dominance(dict(histogram), 2048)
+    below = [x for x, n in histogram.items() for _ in range(n) if x > 1024]
+    assert sum(n for x, n in left.items() if x > 1024) < 0.5 * len(below)  # most larger pieces have found a partner
+    together = sum(n for _, n in fixed) + sum(n for _, n in packing.best_fit(left, 2048))
+    assert together <= sum(n for _, n in packing.best_fit(histogram, 2048))
+    assert sum(n for _, n in packing.reduce_and_fit({5: 10**9, 2: 10**9, 4: 10**9}, 10)) > 0  # counts cost nothing
+
+
 def test_patterns_hold_all_pieces_and_are_few():
     r = random.Random(4)
     for _ in range(150):
@@ -260,10 +297,10 @@ def brute_hits(text, items, n=10):
     return len(w), len(hit), sorted(str(x) for x in found if x is not None)
 
 
-@pytest.mark.parametrize("block_words", [1_000_000, 5])
+@pytest.mark.parametrize("block_words", [1_000_000, 12, 5])
 def test_decontamination(spark, block_words):
-    items = [(1, words(1, 30)), (2, words(2, 12)), (3, "Short One"), (4, ""), (5, None), (None, words(3, 15)), (2, words(4, 12)), (6, words(1, 30))]
-    rows = [(1, words(1, 30)), (2, "x " + words(1, 30).upper() + ", y"), (3, words(2, 9)), (4, "SHORT, one! " * 3), (5, None), (6, ""), (7, words(3, 15) + "é"), (8, "-".join(words(3, 15).split())), (9, words(9, 20_000) + " " + words(2, 12)), (9, "clean"), (None, words(4, 12))]
+    items = [(7, words(11, 25).replace(" ", "\n")), (8, words(8, 400).replace(" ", ",")), (1, words(1, 30)), (2, words(2, 12)), (3, "Short One"), (4, ""), (5, None), (None, words(3, 15)), (2, words(4, 12)), (6, words(1, 30))]
+    rows = [(1, words(1, 30)), (2, "x " + words(1, 30).upper() + ", y"), (3, words(2, 9)), (4, "SHORT, one! " * 3), (5, None), (6, ""), (7, words(3, 15) + "é"), (8, "-".join(words(3, 15).split())), (9, words(9, 20_000) + " " + words(2, 12)), (9, "clean"), (None, words(4, 12)), (10, words(11, 25) + " and " + words(8, 400))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = sorted((r.doc_id is None, r.doc_id, r.n_words, r.n_hit, r.items, r.items_sha256, r.contaminated) for r in decontaminate.report(crowded(spark, rows), bench, block_words=block_words).collect())
     want = []
@@ -379,8 +416,18 @@ def test_exact_dedup(spark):
     assert sorted(r.text or "" for r in kept.collect()) == sorted(by)
     assert {r.doc_id for r in kept.collect()} == {max((x for x in v if x is not None), default=None) for v in by.values()}
     assert exact_dedup.find_duplicates(docs(spark, [])).count() == 0 and exact_dedup.drop_duplicates(docs(spark, [])).count() == 0
-    full = exact_dedup.find_duplicates(docs(spark, rows), max_bits=1 << 15, bits_per_row=1).collect()  # a dense filter changes nothing
-    assert sorted(map(tuple, full), key=repr) == sorted(want, key=repr)
+    for bits in (1, 16):  # a dense filter, and slices
+        assert sorted(map(tuple, exact_dedup.find_duplicates(docs(spark, rows), max_bits=1 << 12, bits_per_row=bits).collect()), key=repr) == sorted(want, key=repr)
+    assert sorted(map(repr, exact_dedup.drop_duplicates(docs(spark, rows), max_bits=1 << 12).collect())) == sorted(map(repr, kept.select("doc_id", "text").collect()))
+
+
+def test_filters_stay_sparse_as_tables_grow(spark):
+    """With a small bound on the filter's bits, the share of rows that are possibly repeated does not grow with the table."""
+    shares = []
+    for n in (1000, 8000):
+        base = spark.range(n).selectExpr("id as doc_id", "cast(id as string) as sha", "xxhash64(id) as possible")
+        shares.append(exact_dedup._marked(base, n, 16, 1 << 13).where("possible").count() / n)
+    assert max(shares) < 0.03
 
 
 # 9
