@@ -8,15 +8,21 @@ one machine for it. Here the collection is first cut into segments that can be t
 
   1. Every string gets an anchor: the leftmost least hash among its ``gram``-byte grams. Equal strings have equal anchors at equal
      places. Consecutive strings of one anchor form a segment, at most 2 * length bytes long; every string is in one segment.
-  2. A two-pass Bloom filter finds anchors that occur at least twice; all other segments are dropped where they are read.
+  2. A two-pass Bloom filter finds anchors that occur at least twice; all other segments are dropped where they are read. Where the
+     anchors need more bits than a filter may have, their hashes are counted exactly by a shuffle instead, and each text gets the list
+     of its own repeated anchors; so no more segments move as the collection grows.
   3. Equal segments are counted (those that occur twice are repeated as a whole), and one of each goes to its anchor's group.
   4. In a group the segments are aligned on the anchor, so equal strings start in one column. The construction inserts one symbol of
      every segment each round, from the last column to the first: the transform of the round before, read in order, is sorted stably
      by its symbols, and the common prefixes of new neighbours follow from the minima between their old places. Only suffixes of one
      column are compared, so a round costs the number of segments, and there are at most 2 * length rounds. Transform, order and
      common prefixes are read from and written to sequential files in the executor's scratch folder.
-  5. Groups of more than ``most`` different segments (a frequent passage with ever different surroundings) are split by the whole
-     content of each string instead: its 128-bit hash is counted by a partial aggregation.
+  5. A group of more than ``most`` different segments (a frequent passage with ever different surroundings) is split for the same
+     construction: its columns are halved, and of each half the segments go to one group for each content of the bytes that all
+     strings which start in that half share. Halves that are still too large are halved again. In the end a column stands alone and
+     its groups hold equal strings, so there is nothing left to construct.
+
+A text that occurs twice is removed as a whole without being moved.
 
 Defined results: a null text counts as empty; texts shorter than ``length`` lose nothing; equal texts of at least ``length`` bytes
 lose everything, and so do repeated rows; a null doc_id is an id like others; an empty table gives an empty result; other columns
@@ -28,6 +34,7 @@ from __future__ import annotations
 import hashlib
 import tempfile
 from collections.abc import Iterator
+from functools import reduce
 from pathlib import Path
 
 import numpy as np
@@ -37,6 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylva.llm import bloom
+from sylva.llm.skew import join_counted
 from sylva.session import in_worker, shared_table, ship
 
 LENGTH, GRAM = 200, 48
@@ -139,16 +147,43 @@ def _anchors(length: int, gram: int):
     return run
 
 
+def _own_anchors(length: int, gram: int):
+    """Rows (d, n, text) to each text's different anchors: d, n, a, and whether it has it more than once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            d, n = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for parts, _, ends, (start, _, _, h) in runs_of(_bytes(b.column(2)), length, gram):
+                if len(h):
+                    own = np.array([k for k, _ in parts])[np.searchsorted(ends, start, side="right")]
+                    kinds, counts = np.unique(np.stack((own, h)), axis=1, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(d[kinds[0]]), pa.array(n[kinds[0]]), pa.array(kinds[1]), pa.array(counts > 1)], names=["d", "n", "a", "again"])
+
+    return run
+
+
+def _repeated_anchors(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    """d, n, own: for each text (d, n) the anchors that occur in several places, if any. texts: d, n, text."""
+    places = shared_table(texts.mapInArrow(in_worker("suffix_dedup", _own_anchors(length, gram)), "d bigint, n int, a bigint, again boolean"), "places")
+    counts = places.groupBy("a").agg(F.count(F.lit(1)).alias("k"), F.max("again").alias("again")).where("again or k > 1").select("a", "k")
+    held = join_counted(places, shared_table(counts, "repeated"), ["a"], "k", places.count())
+    return held.groupBy("d", "n").agg(F.collect_set("a").alias("own"))
+
+
 SEGMENT = "d bigint, n int, a bigint, g bigint, lead int, run int, starts array<int>, seg binary"
 
 
 def _segments(filter_, bits: int, length: int, gram: int, remember: int = 100_000):
-    """Segments with possibly repeated anchors. Of a text that the task has had, none; of a segment that it has had, no bytes."""
+    """Segments with possibly repeated anchors: by the filter, or if there is none by each row's own list. Rows: d, n, text[, own].
+
+    Of a text that the task has had, none; of a segment that it has had, no bytes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        array, had, texts_had = np.frombuffer(filter_.value, np.uint8), set(), set()
+        array, had, texts_had = np.frombuffer(filter_.value, np.uint8) if filter_ else None, set(), set()
         for b in batches:
             d, n = b.column(0).to_numpy(), b.column(1).to_numpy()
+            listed = None if filter_ else np.unique(b.column(3).flatten().to_numpy())
             fresh = []
             for i, key in enumerate(zip(d.tolist(), n.tolist(), strict=True)):
                 if key not in texts_had:
@@ -158,7 +193,7 @@ def _segments(filter_, bits: int, length: int, gram: int, remember: int = 100_00
                 texts_had.clear()
             texts = _bytes(b.column(2).take(pa.array(fresh, pa.int32())))
             for parts, data, ends, (start, count, place, h) in runs_of(texts, length, gram):
-                at = np.flatnonzero(bloom.contained(array, bloom.positions(h, bits))) if len(h) else []
+                at = np.flatnonzero(np.isin(h, listed) if listed is not None else bloom.contained(array, bloom.positions(h, bits))) if len(h) else []
                 if not len(at):
                     continue
                 own = np.searchsorted(ends, start[at], side="right")
@@ -261,22 +296,20 @@ _MARK = pa.list_(pa.struct([("t0", pa.int32()), ("t1", pa.int32())]))
 
 
 def _construct(length: int, gram: int, batch: int = 20_000):
-    """Rows (a, g, lead, whole, seg) sorted by (a, g): whole groups, batch by batch."""
+    """Rows of PART sorted by (a, sub): whole groups, batch by batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
             with tempfile.TemporaryDirectory(prefix="sylva-columns-") as folder:
-                found = column_rounds([x[4] for x in held], [x[2] for x in held], folder, length, gram)
-            rows = [(x[0], x[1], _intervals(f)) for x, f in zip(held, found, strict=True) if not x[3] and f.any()]
+                found = column_rounds([x[5] for x in held], [x[3] for x in held], folder, length, gram)
+            rows = [(x[0], x[2], _intervals(f)) for x, f in zip(held, found, strict=True) if not x[4] and f.any()]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], _MARK)], names=["a", "g", "ivs"])
 
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if held and row[0] == held[-1][0] and row[1] == held[-1][1]:
-                    continue  # another task's copy
-                if len(held) >= batch and row[0] != held[-1][0]:
+                if len(held) >= batch and row[:2] != held[-1][:2]:
                     yield flush()
                     held = []
                 held.append(row)
@@ -286,26 +319,61 @@ def _construct(length: int, gram: int, batch: int = 20_000):
     return run
 
 
-def _strings(length: int, gram: int):
-    """Rows (a, g, lead, whole, seg) to a row for each string: (a, g, whole, t, h1, h2)."""
+def column_ranges(columns: int, level: int) -> list[tuple[int, int]]:
+    """The columns in 2**level ranges of about one width, from and to; ranges without a column are left out."""
+    edges = [columns * i >> level for i in range((1 << level) + 1)]
+    return [(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True) if a < b]
+
+
+PART = "a bigint, sub bigint, g bigint, lead int, whole boolean, seg binary"
+
+
+def _halved(length: int, gram: int, level: int):
+    """Rows of PART to the parts of their segments whose strings start in one range of the level; sub is the content that those strings share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = length - gram
+        ranges = column_ranges(before + 1, level)
         for b in batches:
-            for part in (b.slice(i, 200) for i in range(0, len(b), 200)):
-                out: list[list] = [[] for _ in range(6)]
-                for a, g, lead, whole, seg in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    for s in range(len(seg) - length + 1):
-                        h = xxhash.xxh3_128_intdigest(seg[s : s + length])
-                        for o, x in zip(out, (a, g, whole, length - gram - lead + s, (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)), strict=True):
-                            o.append(x)
-                types = (pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, types, strict=True)], names=["a", "g", "whole", "t", "h1", "h2"])
+            out: list[list] = [[] for _ in range(6)]
+            for a, _, g, lead, whole, seg in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                first = before - lead
+                last = first + len(seg) - length
+                for i, (lo, hi) in enumerate(ranges):
+                    c0, c1 = max(lo, first), min(hi - 1, last)
+                    if c0 > c1:
+                        continue
+                    sub = xxhash.xxh3_64_intdigest(seg[hi - 1 - first : lo + length - first], seed=i) - (1 << 63)
+                    for o, x in zip(out, (a, sub, g, before - c0, whole, seg[c0 - first : c1 + length - first]), strict=True):
+                        o.append(x)
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, types, strict=True)], names=[x.split()[0] for x in PART.split(", ")])
 
     return run
 
 
+def _in_groups(parts: DataFrame, length: int, gram: int, most: int) -> DataFrame:
+    """a, g, ivs: columns in which segments of parts (PART, a table with sub = 0) have strings in common with others of their group."""
+    marks, level, done = [], 0, column_ranges(length - gram + 1, 0)
+    while True:
+        sizes = shared_table(parts.groupBy("a", "sub").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "sizes")
+        fit = parts.join(sizes.where(F.col("kinds") <= most).drop("kinds"), ["a", "sub"])
+        marks.append(shared_table(fit.select(*[x.split()[0] for x in PART.split(", ")]).repartition("a", "sub").sortWithinPartitions("a", "sub").mapInArrow(in_worker("suffix_dedup", _construct(length, gram)), MARK), "marks"))
+        large = sizes.where(F.col("kinds") > most)
+        if not large.limit(1).count():
+            return reduce(DataFrame.unionByName, marks)
+        parts = shared_table(join_counted(parts, large, ["a", "sub"], "kinds", parts.count()), "large")
+        if all(b - a == 1 for a, b in done):  # equal strings, each several segments'
+            own = F.array(F.struct((F.lit(length - gram) - F.col("lead")).alias("t0"), (F.lit(length - gram) - F.col("lead")).alias("t1")))
+            marks.append(parts.where("not whole").select("a", "g", own.alias("ivs")).distinct())
+            return reduce(DataFrame.unionByName, marks)
+        level += 1
+        done = column_ranges(length - gram + 1, level)
+        parts = shared_table(parts.mapInArrow(in_worker("suffix_dedup", _halved(length, gram, level)), PART), "halves")
+
+
 def _split(filter_, bits: int, id_type: str):
-    """Rows (doc_id, d, n, text, sha): the text stays only where something may be removed; else the text's digest is taken."""
+    """Rows (doc_id, d, n, text, sha): the text stays only where a part may be removed; else the text's digest is taken."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         array = np.frombuffer(filter_.value, np.uint8)
@@ -336,7 +404,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         removed, spans, shas, kept = [], [], [], []
         for text, sha, ivs in zip(b.column(2), b.column(3), b.column(4), strict=True):
             if (text := text.as_py()) is None:
-                runs, sha = [], sha.as_py()
+                runs = _merged([(x["s"], x["e"]) for x in ivs.as_py() or []])  # all or nothing
+                sha = hashlib.sha256(b"").hexdigest() if runs else sha.as_py()
                 kept.append(None)
             else:
                 runs = _merged([(x["s"], x["e"]) for x in ivs.as_py() or []])
@@ -360,36 +429,43 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumns({"d": F.xxhash64("text"), "n": F.octet_length("text")})
     long_ = rows.where(F.col("n") >= length)
     total = long_.agg(F.sum("n")).first()[0] or 0
-    density = 2 / (length - gram + 2)
-    filter_, bits = bloom.repeated_filter(long_.select("text").mapInArrow(in_worker("suffix_dedup", _anchors(length, gram)), "h bigint"), bits_per_anchor, max_bits, int(total * density))
-    found = shared_table(long_.select("d", "n", "text").mapInArrow(in_worker("suffix_dedup", _segments(spark.sparkContext.broadcast(filter_), bits, length, gram)), SEGMENT), "segments")
+    anchors = int(total * 2 / (length - gram + 2))
+    texts = long_.select("d", "n", "text")
+    if bloom.slices(anchors, bits_per_anchor, max_bits) == 1:
+        filter_, bits = bloom.repeated_filter(long_.select("text").mapInArrow(in_worker("suffix_dedup", _anchors(length, gram)), "h bigint"), bits_per_anchor, max_bits, anchors)
+        filter_ = spark.sparkContext.broadcast(filter_)
+    else:
+        filter_, bits = None, 0
+        texts = texts.join(_repeated_anchors(texts, length, gram), ["d", "n"])
+    found = shared_table(texts.mapInArrow(in_worker("suffix_dedup", _segments(filter_, bits, length, gram)), SEGMENT), "segments")
 
     # The parts of a long text have rows of their own: places are told apart, not texts.
     seen = found.select("a", "g", F.xxhash64("d", "n", F.col("starts")[0]).alias("of"), (F.size("starts") > 1).alias("twice"))
-    each = seen.groupBy("a", "g").agg(F.min("of").alias("lo"), F.max("of").alias("hi"), F.max("twice").alias("twice")).select("a", "g", (F.col("twice") | (F.col("lo") < F.col("hi"))).alias("whole"))
-    each = shared_table(each, "counted")
-    groups = each.groupBy("a").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    several = found.where("seg is not null").select("a", "g", "lead", "seg").join(each.join(groups, "a"), ["a", "g"]).select("a", "g", "lead", "whole", "seg", "kinds")
-    several = shared_table(several, "several")
-    built = several.where(F.col("kinds") <= most).drop("kinds").repartition("a").sortWithinPartitions("a", "g").mapInArrow(in_worker("suffix_dedup", _construct(length, gram)), MARK)
-    strings = several.where(F.col("kinds") > most).drop("kinds").mapInArrow(in_worker("suffix_dedup", _strings(length, gram)), "a bigint, g bigint, whole boolean, t int, h1 bigint, h2 bigint")
-    common = strings.groupBy("h1", "h2").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("h1", "h2")
-    split = strings.where("not whole").join(common, ["h1", "h2"]).groupBy("a", "g").agg(F.collect_set(F.struct(F.col("t").alias("t0"), F.col("t").alias("t1"))).alias("ivs"))
+    each = seen.groupBy("a", "g").agg(F.min("of").alias("lo"), F.max("of").alias("hi"), F.max("twice").alias("twice"), F.count(F.lit(1)).alias("k"))
+    each = shared_table(each.select("a", "g", (F.col("twice") | (F.col("lo") < F.col("hi"))).alias("whole"), "k"), "counted")
+    several = each.groupBy("a").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo < hi").select("a")
+    several = each.join(several, "a").select("a", "g", "whole")
+    parts = found.where("seg is not null").select("a", "g", "lead", "seg").join(several, ["a", "g"])
+    parts = parts.groupBy("a", F.lit(0).cast("long").alias("sub"), "g").agg(*[F.first(c).alias(c) for c in ("lead", "whole", "seg")])  # tasks' copies are one
+    built = _in_groups(shared_table(parts, "several"), length, gram, most)
     none = F.lit(None).cast("array<struct<t0:int,t1:int>>")
-    marks = shared_table(each.where("whole").select("a", "g", none.alias("ivs")).unionByName(built).unionByName(split), "marks")
+    marks = each.where("whole").select("a", "g", none.alias("ivs")).unionByName(built.groupBy("a", "g").agg(F.flatten(F.collect_list("ivs")).alias("ivs")))
+    marks = shared_table(marks.join(each.select("a", "g", "k"), ["a", "g"]), "marked")
 
-    own = found.select("d", "n", "a", "g", "lead", "run", "starts").join(marks, ["a", "g"]).select("d", "n", "lead", "run", "ivs", F.explode("starts").alias("s"))
+    own = join_counted(found.select("d", "n", "a", "g", "lead", "run", "starts"), marks, ["a", "g"], "k", found.count()).select("d", "n", "lead", "run", "ivs", F.explode("starts").alias("s"))
     shift = F.col("s") + F.col("lead") - (length - gram)
     spans = own.where("ivs is null").select("d", "n", F.col("s"), (F.col("s") + F.col("run") - 1 + length).alias("e"))
     spans = spans.unionByName(own.where("ivs is not null").select("d", "n", shift.alias("s0"), F.explode("ivs").alias("i")).select("d", "n", (F.col("s0") + F.col("i.t0")).alias("s"), (F.col("s0") + F.col("i.t1") + length).alias("e")))
     copies = long_.groupBy("d", "n").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("d", "n", F.lit(0).alias("s"), F.col("n").alias("e"))
-    return rows, shared_table(spans.unionByName(copies).groupBy("d", "n").agg(F.collect_set(F.struct("s", "e")).alias("ivs")), "spans")
+    spans = spans.join(copies.select("d", "n"), ["d", "n"], "left_anti").unionByName(copies)
+    return rows, shared_table(spans.groupBy("d", "n").agg(F.collect_set(F.struct("s", "e")).alias("ivs")), "spans")
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, max_bits: int = 1 << 28, **parameters: int) -> DataFrame:
     """For every row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     rows, spans = repeated_spans(docs, id_col, text_col, length, max_bits=max_bits, **parameters)
-    filter_, bits = bloom.key_filter(spans.select("d"), max_bits=max_bits)
+    partly = spans.where("not exists(ivs, x -> x.s = 0 and x.e = n)")
+    filter_, bits = bloom.key_filter(partly.select("d"), max_bits=max_bits)
     kind = rows.schema["doc_id"].dataType.simpleString()
     split = rows.select("doc_id", "d", "n", "text").mapInArrow(in_worker("suffix_dedup", _split(docs.sparkSession.sparkContext.broadcast(filter_), bits, kind)), f"doc_id {kind}, d bigint, n int, text binary, sha string")
     joined = split.join(spans, ["d", "n"], "left").select("doc_id", "n", "text", "sha", "ivs")

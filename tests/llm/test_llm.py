@@ -334,19 +334,27 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("most", [20_000, 1])
-def test_repeated_substrings(spark, most):
+@pytest.mark.parametrize(("most", "max_bits"), [(20_000, 1 << 28), (1, 1 << 28), (4, 1 << 11)])
+def test_repeated_substrings(spark, most, max_bits):
     shared = words(1, 90)
     texts = [shared, "head é " + shared, shared[:250] + words(2, 60), words(3, 50) + shared[100:330] + words(4, 50), "ab" * 300, "xyz " * 120, None, "", "short", words(5, 100), words(5, 100), words(6, 3000)]
     texts += [words(10 + i, 30) + shared[40 + i : 320] + words(60 + i, 30) for i in range(25)] + [shared[:199], shared[7:206]]
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, words(7, 80)), (9, words(5, 100))]
-    got = suffix_dedup.report(crowded(spark, rows).repartition(5), most=most).collect()
+    got = suffix_dedup.report(crowded(spark, rows).repartition(5), most=most, max_bits=max_bits).collect()
     have = sorted((r.doc_id is None, r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got)
     want = sorted((i is None, i, *x) for (i, _), x in zip(rows, brute_repeats([t for _, t in rows], 200), strict=True))
     assert have == want
     assert suffix_dedup.report(docs(spark, [])).count() == 0
 
 
+def test_column_ranges():
+    for columns in (1, 2, 153):
+        for level in range(9):
+            ranges = suffix_dedup.column_ranges(columns, level)
+            assert [x for a, b in ranges for x in range(a, b)] == list(range(columns))
+    assert all(b - a == 1 for a, b in suffix_dedup.column_ranges(153, 8))
+
+
 def test_long_texts_in_parts(monkeypatch):
     text, out = words(1, 4000).encode(), {}
     for most in (1000, 1 << 20):
