@@ -11,7 +11,7 @@ import sys
 from sylva.functions.lexer import TRIVIA, Lexer, Token
 
 MAX_STEPS_PER_TOKEN = 400  # a guard against runaway parsing of hostile input
-MAX_DEPTH = 250  # of statements, expressions and types in each other
+MAX_DEPTH = 10_000  # of statements, expressions and types in each other
 
 
 class Node:

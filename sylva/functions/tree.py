@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable
+from functools import lru_cache
 
 import xxhash
 
 from sylva.functions.lexer import TRIVIA, byte_offsets
 from sylva.functions.parser import Node, Parser, parse
+from sylva.functions.regex_engine import check
 
 LEX_TOKENS = 24  # an expression of more tokens has no lex, only the hash of its tokens
 TEXT_CHARS = 160
@@ -19,6 +22,37 @@ FUNCTIONS = ("FN_DECL", "FN_EXPR", "ARROW_EXPR", "METHOD", "GETTER", "SETTER", "
 _BREAK = re.compile("[\n\r  ]")
 
 
+#: What one-letter escapes in strings stand for.
+ESCAPES = {"b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "v": "\v", "0": "\0"}
+_ESCAPE = re.compile(r"\\(u\{([0-9a-fA-F]+)\}|u([0-9a-fA-F]{4})|x([0-9a-fA-F]{2})|\r\n|.)", re.S)
+
+
+def string_value(literal: str) -> str:
+    """What a string literal stands for; halves of a surrogate pair are joined."""
+
+    def one(m: re.Match) -> str:
+        if code := m[2] or m[3] or m[4]:
+            return chr(int(code, 16)) if int(code, 16) <= 0x10FFFF else ""
+        if m[1] in ("\n", "\r", "\r\n", "\u2028", "\u2029"):
+            return ""
+        return ESCAPES.get(m[1], m[1])
+
+    out = _ESCAPE.sub(one, literal[1:-1])
+    return out.encode("utf-16", "surrogatepass").decode("utf-16", "replace") if any("\ud800" <= c <= "\udfff" for c in out) else out
+
+
+checked = lru_cache(4096)(check)  # each pattern once in a worker
+
+
+#: Facts of a node, in the order of their columns.
+NODE_FACTS = (
+    "pre", "post", "parent", "depth", "ord", "role", "kind", "op", "start", "end", "tok_lo", "tok_hi", "child_count", "has_comment", "parent_kind",
+    "grandparent_kind", "lex", "lexh", "text", "name", "last", "inner", "inner_op", "is_const", "truthy", "flags", "info",
+)
+HASHED = frozenset(("key", "test", "value", "lhs", "rhs", "callee", "object", "prop", "arg", "expr", "source", "extends", "tag", "element", "name", "init", "cons", "alt", "body"))
+VALUED = frozenset(("test", "lhs", "rhs", "arg", "expr", "value", "init", "cons", "alt", "body", "update"))
+
+
 class Tree:
     """A parsed source; everything it yields is in byte offsets."""
 
@@ -29,6 +63,9 @@ class Tree:
         raw = self.parser.raw
         self.all_words = [source[t.start : t.end] for t in self.parser.toks]
         self._lexes: dict[tuple[int, int], tuple[str | None, str]] = {}
+        self._consts: dict[tuple[int, bool], bool] = {}
+        self._truths: dict[int, bool | None] = {}
+        self._returns: dict[tuple[int, str], bool] = {}
         self.comment_before = [0]
         for t in raw:
             self.comment_before.append(self.comment_before[-1] + (t.kind == "COMMENT"))
@@ -66,18 +103,31 @@ class Tree:
         """Whether an expression has the same value at each run; condition: only its truth counts."""
         if node is None:
             return False
+        key = (node.pre, condition)
+        if key not in self._consts:
+            self._consts[key] = self._is_const(node, condition)
+        return self._consts[key]
+
+    def _all_const(self, nodes: list[Node | None], condition: bool) -> bool:
+        for n in nodes:  # no generator: those take C stack
+            if not self.is_const(n, condition):
+                return False
+        return True
+
+    def _is_const(self, node: Node, condition: bool) -> bool:
         k = node.kind
         if k in ("LITERAL", "OBJECT_EXPR", "FN_EXPR", "ARROW_EXPR"):
             return True
         if k == "NAME_REF":
             return self.text(node) in ("NaN", "Infinity", "undefined")
         if k == "TEMPLATE":
-            return condition and self.has_chunk(node) or all(self.is_const(e.get("expr"), condition) for e in node.all("element")) and node.get("tag") is None
+            return condition and self.has_chunk(node) or self._all_const([e.get("expr") for e in node.all("element")], condition) and node.get("tag") is None
         if k == "GROUPING_EXPR":
             return self.is_const(node.get("expr"), condition)
         if k == "ARRAY_EXPR":
             if node.parent is not None and node.parent.kind == "BIN_EXPR" and node.parent.op == "+":
-                return all(e.kind != "SPREAD_ELEMENT" and self.is_const(e, condition) for e in node.all("element"))
+                elements = node.all("element")
+                return "SPREAD_ELEMENT" not in [e.kind for e in elements] and self._all_const(elements, condition)
             return True
         if k == "UNARY_EXPR":
             return node.op == "void" or node.op == "typeof" and condition or self.is_const(node.get("arg"), condition)
@@ -112,6 +162,11 @@ class Tree:
         """The truth of an expression where it can be told; unknown in either operand is unknown."""
         if node is None:
             return None
+        if node.pre not in self._truths:
+            self._truths[node.pre] = self._truth(node)
+        return self._truths[node.pre]
+
+    def _truth(self, node: Node) -> bool | None:
         k = node.kind
         if k == "LITERAL":
             text = self.text(node)
@@ -140,16 +195,24 @@ class Tree:
 
     def returns(self, node: Node, how: str) -> bool:
         """how: 'all' and 'implicit' ask for a return on all branches, 'value' for one with a value on any."""
+        key = (node.pre, how)
+        if key not in self._returns:
+            self._returns[key] = self._find_return(node, how)
+        return self._returns[key]
+
+    def _find_return(self, node: Node, how: str) -> bool:
         if node.kind == "RETURN_STMT":
             return how == "implicit" or bool(node.kids)
-        if node.kind == "BLOCK_STMT":
-            return any(self.returns(k, how) for k in node.kids)
-        if node.kind == "SWITCH_STMT":
-            return any(self.returns(s, how) for c in node.all("case") for s in c.all("item"))
         if node.kind == "IF_STMT":
-            arms = [node.get("cons"), node.get("alt")]
-            found = [a is not None and self.returns(a, how) for a in arms]
-            return any(found) if how == "value" else all(found)
+            arms = (node.get("cons"), node.get("alt"))
+            found = 0
+            for a in arms:
+                found += a is not None and self.returns(a, how)
+            return found > 0 if how == "value" else found == 2
+        inside = node.kids if node.kind == "BLOCK_STMT" else [x for c in node.all("case") for x in c.all("item")] if node.kind == "SWITCH_STMT" else []
+        for k in inside:
+            if self.returns(k, how):
+                return True
         return False
 
     # Facts
@@ -193,8 +256,30 @@ class Tree:
         elif k == "IMPORT_DECL" or k in ("EXPORT_NAMED", "EXPORT_WILDCARD"):
             if (s := node.get("source")) is not None:
                 info["source"] = self.text(s)[1:-1]
+        if k == "LITERAL" and node.op == "regex" or k in ("CALL_EXPR", "NEW_EXPR"):
+            self.regex_facts(node, info)
         return info
 
+    def regex_facts(self, node: Node, info: dict[str, str]) -> None:
+        """What is wrong with a regular expression, and what a literal may be written as. Those made by RegExp of strings count, too."""
+        if node.kind == "LITERAL":
+            text = self.text(node)
+            close = text.rindex("/")
+            pattern, flags = text[1:close], text[close + 1 :]
+        else:
+            callee, args = node.get("callee"), node.get("args")
+            if callee is None or args is None or self.words(callee) != ["RegExp"] or not 1 <= len(args.kids) <= 2:
+                return
+            values = [string_value(self.text(a)) if a.kind == "LITERAL" and a.op == "string" else None for a in args.kids]
+            if None in values:
+                return
+            pattern, flags = values[0], (values + [""])[1]
+        ok, message, short = checked(pattern, flags)
+        if not ok:
+            info["regex_error"] = message or ""
+        elif short is not None and node.kind == "LITERAL":
+            info["regex_short"], info["regex"] = short, pattern
+
     def class_facts(self, node: Node, info: dict[str, str]) -> None:
         if (parent := node.get("extends")) is not None:
             info["extends"] = self.bytes_of(parent)
@@ -276,64 +361,76 @@ class Tree:
         return self._lexes[key]
 
     def _whole(self, n: Node) -> bool:
-        """Whether the text is kept whatever its length: of regular expressions, arguments of RegExp and what is compared with -0."""
+        """Whether text and tokens are kept whatever their length: of regular expressions, what is compared with -0, and arguments of an index search."""
         up = n.parent
-        if n.kind == "LITERAL":
-            if n.op == "regex":
-                return True
-        elif n.kind == "ARG_LIST" and up is not None and up.kind in ("CALL_EXPR", "NEW_EXPR"):
+        if n.kind == "LITERAL" and n.op == "regex":
+            return True
+        if n.kind == "ARG_LIST" and up is not None and up.kind == "CALL_EXPR":
             c = up.get("callee")
-            if c is not None and self.words(c) == ["RegExp"]:
-                return True
+            return c is not None and self.all_words[c.hi - 1] in ("indexOf", "lastIndexOf")
         return up is not None and up.kind == "BIN_EXPR" and any(k is not n and k.hi - k.lo == 2 and self.words(k) == ["-", "0"] for k in up.kids)
 
     def node_rows(self) -> list[dict]:
-        return list(self.each_node_row())
-
-    def each_node_row(self) -> Iterator[dict]:
-        """Rows in order; kids and paths are made as they are asked for."""
-        toks, p = self.parser.toks, self.parser
-        rows: dict[int, dict] = {}
-        ordered = sorted(self.descendants(self.root), key=lambda n: n.pre)
-        hashed = frozenset(("key", "test", "value", "lhs", "rhs", "callee", "object", "prop", "arg", "expr", "source", "extends", "tag", "element", "name", "init", "cons", "alt", "body"))
+        """The nodes' own facts, in order."""
+        columns = self.node_columns()
+        names = list(columns)
+        return [dict(zip(names, values, strict=True)) for values in zip(*columns.values(), strict=True)]
+
+    def node_columns(self, wanted: Callable[[Node], bool] | None = None) -> dict[str, list]:
+        """A list for each fact, in order of pre. Costly facts are left out of nodes that are neither wanted nor children of such."""
+        self.ordered = ordered = sorted(self.descendants(self.root), key=lambda n: n.pre)
+        limit = sys.getrecursionlimit()
+        sys.setrecursionlimit(max(limit, limit + 8 * max(n.depth for n in ordered)))
+        try:
+            return self._node_columns(ordered, wanted)
+        finally:
+            sys.setrecursionlimit(limit)
+
+    def _node_columns(self, ordered: list[Node], wanted: Callable[[Node], bool] | None) -> dict[str, list]:
+        p, before = self.parser, self.comment_before
+        rows: list[tuple] = []
+        last_index, last_comment = len(p.index) - 1, len(before) - 1
         for n in ordered:
+            up, kids = n.parent, n.kids
             s, e = self.span(n)
-            short = n.hi - n.lo <= LEX_TOKENS
-            lex, lexh = (self._lex(n) if n.role in hashed and not (n.kind == "BLOCK_STMT") or short else (None, None))
+            width = n.hi - n.lo
+            lo, hi = p.index[min(n.lo, last_index)], p.index[min(max(n.hi - 1, n.lo), last_index)]
             name = None
             if n.kind in ("CALL_EXPR", "NEW_EXPR"):
                 c = n.get("callee")
                 name = " ".join(self.words(c)) if c is not None and c.hi - c.lo <= LEX_TOKENS else None
             elif (key := n.get("key")) is not None:
                 name = self.text(key)[:TEXT_CHARS]
-            lo, hi = p.index[min(n.lo, len(p.index) - 1)], p.index[min(max(n.hi - 1, n.lo), len(p.index) - 1)]
-            expression = n.role in ("test", "lhs", "rhs", "arg", "expr", "value", "init", "cons", "alt", "body", "update")
-            rows[n.pre] = {
-                "pre": n.pre, "post": n.post, "parent": n.parent.pre if n.parent is not None else -1, "depth": n.depth, "ord": n.ord, "role": n.role, "kind": n.kind,
-                "op": n.op or None, "start": self.at(s), "end": self.at(e), "tok_lo": lo, "tok_hi": hi, "child_count": len(n.kids),
-                "has_comment": self.comment_before[min(hi + 1, len(self.comment_before) - 1)] > self.comment_before[lo] if n.hi > n.lo else False,
-                "parent_kind": n.parent.kind if n.parent is not None else None, "grandparent_kind": n.parent.parent.kind if n.parent is not None and n.parent.parent is not None else None,
-                "lex": lex, "lexh": lexh, "text": self.source[s:e] if e - s <= TEXT_CHARS or self._whole(n) else None, "name": name, "last": self.all_words[n.hi - 1][:TEXT_CHARS] if n.hi > n.lo else None,
-                "inner": (self.inner(n) or n).kind, "inner_op": (self.inner(n) or n).op or None,
-                "is_const": self.is_const(n, True) if expression else None, "truthy": self.truth(n) if expression else None,
-                "flags": sorted(f for f in n.flags if "@" not in f), "info": self.facts(n),
-            }
-        path: list[dict] = []
-        firm: list[tuple[int, dict]] = []
-        for n in ordered:
-            path = path[: n.depth]
-            while firm and firm[-1][0] >= n.depth:
-                firm.pop()
-            row = rows.pop(n.pre)
-            if n.depth > MAX_PATH:
-                row["path"] = [x for at, x in firm if at < n.depth - MAX_PATH] + path[-MAX_PATH:]
-            else:
-                row["path"] = path
-            row["kids"] = [{c: rows[k.pre][c] for c in ("pre", "role", "kind", "op", "start", "end", "lex", "lexh", "text", "last", "inner", "inner_op", "is_const", "truthy", "child_count")} for k in n.kids]
-            path = [*path, {"pre": n.pre, "kind": n.kind, "role": n.role, "ord": n.ord, "op": "await" if "await" in n.flags else n.op, "name": row["name"], "n": len(n.kids), "start": row["start"], "end": row["end"]}]
-            if n.kind not in CHAINED:
-                firm.append((n.depth, path[-1]))
-            yield row
+            lex = lexh = text = last = is_const = truthy = None
+            inner, flags, info = n, [], None
+            if mine := wanted is None or wanted(n):
+                flags, info = sorted(f for f in n.flags if "@" not in f), self.facts(n)
+            if mine or up is not None and wanted(up):
+                whole = self._whole(n)
+                if n.role in HASHED and n.kind != "BLOCK_STMT" or width <= LEX_TOKENS:
+                    lex, lexh = self._lex(n)
+                if whole and lex is None:
+                    lex = " ".join(self.words(n))
+                text = self.source[s:e] if e - s <= TEXT_CHARS or whole else None
+                last = self.all_words[n.hi - 1][:TEXT_CHARS] if width > 0 else None
+                inner = self.inner(n) or n
+                if n.role in VALUED:
+                    is_const, truthy = self.is_const(n, True), self.truth(n)
+            comment = before[min(hi + 1, last_comment)] > before[lo] if width > 0 else False
+            row = (n.pre, n.post, up.pre if up is not None else -1, n.depth, n.ord, n.role, n.kind, n.op or None, self.at(s), self.at(e), lo, hi, len(kids), comment, up.kind if up is not None else None,
+                   up.parent.kind if up is not None and up.parent is not None else None, lex, lexh, text, name, last, inner.kind, inner.op or None, is_const, truthy, flags, info)
+            rows.append(row)
+        return dict(zip(NODE_FACTS, map(list, zip(*rows, strict=True)), strict=True))
+
+    def path_of(self, n: Node) -> list[int]:
+        """Ancestors (pre), the root first; of those beyond MAX_PATH, links of a chain are left out."""
+        out, up = [], n.parent
+        while up is not None:
+            if len(out) < MAX_PATH or up.kind not in CHAINED:
+                out.append(up.pre)
+            up = up.parent
+        out.reverse()
+        return out
 
     def token_columns(self) -> dict[str, list]:
         """Columns of all tokens, trivia included."""

@@ -1,6 +1,6 @@
 """Comments that steer the rules: ``// sylva-ignore no-empty, no-debugger``.
 
-The word before the command is ``sylva`` or any word that ends in ``lint``. Commands: ``ignore [rules] [until eof|N]``, ``disable [rules]`` and
+Only comments that begin with ``sylva-`` are read; those of other tools mean nothing here. Commands: ``ignore [rules] [until eof|N]``, ``disable [rules]`` and
 ``enable``; only ignore has an effect. A comment before the first statement that stands at byte 0 or is set off by a blank line concerns
 the file; any other concerns the statement that follows it.
 """
@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sylva.functions.names import best_match
-from sylva.operators.rules import RULES
+from sylva.functions.names import name_distance
+from sylva.operators.rules import RULES, STEERING
 
-PREFIX = r"(?:sylva|[a-z]*lint)-"
+PREFIX = STEERING
 COMMANDS = ("ignore", "disable", "enable")
 
 
@@ -41,16 +41,26 @@ def parse_directives(tokens: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def directive_errors(directives: DataFrame, active: list[str]) -> DataFrame:
-    """Unknown or missing commands and rules that aren't active: file_id, title, start, end."""
+    """Unknown or missing commands and rules that aren't active, with the name that was most likely meant: file_id, title, start, end."""
     command = F.when(F.col("command") == "", F.lit("a directive without a command")).when(~F.col("command").isin(*COMMANDS), F.concat(F.lit("there is no directive "), "command"))
-    a = directives.select("file_id", command.alias("title"), "start", "end").where("title is not null")
+    a = directives.select("file_id", command.alias("title"), F.col("command").alias("said"), F.lit(list(COMMANDS)).alias("names"), "start", "end").where("title is not null")
     bad = directives.where(F.col("command").isin(*COMMANDS)).select("file_id", F.explode("rules").alias("rule"), "start", "end").where(~F.col("rule").isin(*active) if active else F.lit(True))
-    return a.unionByName(bad.select("file_id", F.concat(F.lit("there is no active rule "), "rule").alias("title"), "start", "end"))
+    both = a.unionByName(bad.select("file_id", F.concat(F.lit("there is no active rule "), "rule").alias("title"), F.col("rule").alias("said"), F.lit(sorted(RULES)).alias("names"), "start", "end"))
+    # the names are a short fixed list: the nearest comes from a fold over it
+    near = F.array_min(F.transform("names", lambda n: F.struct(name_distance(n, F.col("said")).alias("d"), n.alias("n"))))
+    meant = F.array_min(F.filter(F.transform("names", lambda n: F.struct(name_distance(n, F.col("said")).alias("d"), n.alias("n"))), lambda x: x["d"].isNotNull() & (x["d"] > 0)))
+    title = F.when(near.isNotNull() & meant.isNotNull() & (F.col("said") != ""), F.concat("title", F.lit(", did you mean "), meant["n"], F.lit("?"))).otherwise(F.col("title"))
+    return both.select("file_id", title.alias("title"), "start", "end")
 
 
-def suggestion(name: str) -> str | None:
-    """The rule that a misspelt name most likely means."""
-    return best_match(list(RULES), name)
+def redundant(directives: DataFrame, found: DataFrame) -> DataFrame:
+    """Ignores that take nothing out, as an outer one of the file already does: rules named again, and any after one that names none."""
+    ignores = directives.where("command = 'ignore'")
+    whole = ignores.where("scope = 'file' and size(rules) = 0").groupBy("file_id").agg(F.min("start").alias("_first"))
+    named = ignores.where("scope = 'file'").select("file_id", F.explode("rules").alias("rule"), "start").groupBy("file_id", "rule").agg(F.min("start").alias("_first"))
+    after = ignores.join(whole, "file_id").where("start > _first").select("file_id", F.lit("this is redundant: the file is ignored as a whole").alias("title"), "start", "end")
+    each = ignores.select("file_id", F.explode("rules").alias("rule"), "start", "end").join(named, ["file_id", "rule"]).where("start > _first")
+    return after.unionByName(each.select("file_id", F.concat(F.lit("this is redundant: the file already ignores "), "rule").alias("title"), "start", "end")).distinct()
 
 
 def apply_ignores(diagnostics: DataFrame, directives: DataFrame) -> DataFrame:

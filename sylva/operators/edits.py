@@ -24,13 +24,16 @@ def without_conflicts(edits: DataFrame) -> DataFrame:
 
 
 def apply_edits(files: DataFrame, edits: DataFrame) -> DataFrame:
-    """files (file_id, source, …) with their edits applied: source is the new text; files without edits stay out."""
+    """files (file_id, source, …) with their edits applied: source is the new text; files without edits stay out.
+
+    The new text is put together once, of what lies between the edits and what they insert.
+    """
     sorted_ = edits.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", "insert"))).alias("_e"))
-    data = "cast(source as binary)"
-    spliced = f"""aggregate(_e, named_struct('at', 0, 'out', cast('' as binary)),
-        (acc, e) -> named_struct('at', e.end, 'out', concat(acc.out, substring({data}, acc.at + 1, e.start - acc.at), cast(e.insert as binary))),
-        acc -> cast(concat(acc.out, substring({data}, acc.at + 1, greatest(octet_length(source) - acc.at, 0))) as string))"""
-    return files.join(sorted_, "file_id").withColumn("source", F.expr(spliced)).drop("_e")
+    joined = files.join(sorted_, "file_id").withColumn("_b", F.col("source").cast("binary"))
+    gap = "substring(_b, coalesce(get(_e, i - 1).end, 0) + 1, greatest(e.start - coalesce(get(_e, i - 1).end, 0), 0))"
+    parts = F.expr(f"transform(_e, (e, i) -> concat(cast({gap} as string), e.insert))")
+    rest = F.expr("cast(substring(_b, element_at(_e, -1).end + 1, greatest(octet_length(_b) - element_at(_e, -1).end, 0)) as string)")
+    return joined.withColumn("source", F.concat(F.array_join(parts, ""), rest)).drop("_e", "_b")
 
 
 def map_offsets(offsets: DataFrame, edits: DataFrame) -> DataFrame:

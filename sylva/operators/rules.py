@@ -13,8 +13,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sylva.functions.regex_engine import check_patterns
+from sylva.operators.syntax import Needs
 
+#: What a comment that steers the rules begins with.
+STEERING = "sylva-"
 FIXES = "array<struct<start:int,end:int,insert:string>>"
 DIAGNOSTIC = f"rule string, start int, end int, title string, label string, fixes {FIXES}"
 
@@ -29,14 +31,15 @@ class Rule:
     kinds: tuple[str, ...] = ()
     matches: Callable[[dict], list[str]] | None = None  # per-row expressions
     frame: Callable[[DataFrame, DataFrame, dict], DataFrame] | None = None  # nodes, tokens, options
+    roles: tuple[str, ...] = ()  # of nodes that a frame looks at, with their paths
 
 
 RULES: dict[str, Rule] = {}
 
 
-def rule(name: str, group: str, docs: str, kinds: str = "", recommended: bool = True, frame: bool = False, **options):
+def rule(name: str, group: str, docs: str, kinds: str = "", recommended: bool = True, frame: bool = False, roles: str = "", **options):
     def register(f):
-        RULES[name] = Rule(name, group, docs, recommended, options, tuple(kinds.split()), None if frame else f, f if frame else None)
+        RULES[name] = Rule(name, group, docs, recommended, options, tuple(kinds.split()), None if frame else f, f if frame else None, tuple(roles.split()))
         return f
 
     return register
@@ -298,20 +301,20 @@ def _repeated(rows: DataFrame, keys: list[str], title: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).where("_n > 1").select("file_id", "pre", "start", "end", F.expr(title).alias("title"), F.lit("").alias("label"), none.alias("fixes"))
 
 
-@rule("no-dupe-keys", "errors", "An object literal with equal keys.", "NAME LITERAL COMPUTED_PROPERTY_NAME", frame=True)
+@rule("no-dupe-keys", "errors", "An object literal with equal keys.", frame=True, roles="key")
 def no_dupe_keys(nodes: DataFrame, tokens: DataFrame, o: dict) -> DataFrame:
     keys = nodes.where("role = 'key' and grandparent_kind = 'OBJECT_EXPR' and parent_kind in ('LITERAL_PROP', 'METHOD', 'GETTER', 'SETTER', 'IDENT_PROP')")
     keys = keys.withColumn("_of", F.expr(f"{up(2)}.pre"))
     return _repeated(keys, ["_of", "lexh"], "concat('the key ', coalesce(text, '…'), ' was there before')")
 
 
-@rule("no-duplicate-cases", "errors", "A switch with equal cases.", frame=True)
+@rule("no-duplicate-cases", "errors", "A switch with equal cases.", frame=True, roles="test")
 def no_duplicate_cases(nodes: DataFrame, tokens: DataFrame, o: dict) -> DataFrame:
     tests = nodes.where("role = 'test' and parent_kind = 'CASE_CLAUSE'").withColumn("_of", F.expr(f"{up(2)}.pre"))
     return _repeated(tests, ["_of", "lexh"], "concat('the case ', coalesce(text, '…'), ' was there before')")
 
 
-@rule("no-duplicate-imports", "errors", "A module imported twice.", frame=True, include_exports=False)
+@rule("no-duplicate-imports", "errors", "A module imported twice.", "IMPORT_DECL EXPORT_NAMED EXPORT_WILDCARD", frame=True, include_exports=False)
 def no_duplicate_imports(nodes: DataFrame, tokens: DataFrame, o: dict) -> DataFrame:
     kinds = "('IMPORT_DECL', 'EXPORT_NAMED', 'EXPORT_WILDCARD')" if o["include_exports"] else "('IMPORT_DECL')"
     rows = nodes.where(f"kind in {kinds} and depth = 1 and {info('source')} is not null").withColumns({"_from": F.expr(info("source")), "_type": F.expr("array_contains(flags, 'type')")})
@@ -336,34 +339,14 @@ def no_irregular_whitespace(nodes: DataFrame, tokens: DataFrame, o: dict) -> Dat
     return runs.select("file_id", F.col("tok").alias("pre"), (end - F.octet_length(last)).alias("start"), end.alias("end"), F.lit("an unusual white space character").alias("title"), F.format_string("U+%04X", F.ascii(last)).alias("label"), F.expr(f"cast(array() as {FIXES})").alias("fixes"))
 
 
-def _patterns(nodes: DataFrame) -> DataFrame:
-    """Regular expressions of a source: file_id, pre, start, end, pattern, flags, at (where the pattern starts; null in an escaped string)."""
-    literal = nodes.where("kind = 'LITERAL' and op = 'regex'").select("file_id", "pre", "start", "end", F.regexp_extract("text", r"(?s)^/(.*)/([a-zA-Z]*)$", 1).alias("pattern"), F.regexp_extract("text", r"(?s)^/(.*)/([a-zA-Z]*)$", 2).alias("flags"), (F.col("start") + 1).alias("at"))
-    made = nodes.where("kind in ('CALL_EXPR', 'NEW_EXPR') and name = 'RegExp'").select("file_id", "pre", "start", "end", F.expr(f"{kid('args')}").alias("a"))
-    made = made.select("file_id", "pre", "start", "end", F.expr("a.text").alias("t"))
-    # Possessive, so that a long string takes no stack.
-    string = r"""('(?:[^'\\]|\\.)*+'|"(?:[^"\\]|\\.)*+")"""
-    shape = rf"(?s)^\(\s*{string}\s*(?:,\s*{string}\s*)?\)$"
-    made = made.where(F.col("t").rlike(shape)).withColumns({"s": F.regexp_extract("t", shape, 1), "f": F.regexp_extract("t", shape, 2)})
-    unquote = lambda c: F.regexp_replace(F.expr(f"substring({c}, 2, greatest(length({c}) - 2, 0))"), r"\\(.)", "$1")
-    made = made.where("not s rlike '\\\\\\\\[bfnrtvux0-9]'").select("file_id", "pre", "start", "end", unquote("s").alias("pattern"), unquote("f").alias("flags"), F.lit(None).cast("int").alias("at"))
-    return literal.unionByName(made)
+@rule("no-invalid-regexp", "regex", "A regular expression that can't be parsed.", "LITERAL CALL_EXPR NEW_EXPR")
+def no_invalid_regexp(o: dict) -> list[str]:
+    return [hit(f"{info('regex_error')} is not null", f"concat('an invalid regular expression: ', {info('regex_error')})")]
 
 
-def _checked(nodes: DataFrame) -> DataFrame:
-    found = _patterns(nodes)
-    return found.join(check_patterns(found.select("pattern", "flags").distinct()), ["pattern", "flags"])
-
-
-@rule("no-invalid-regexp", "regex", "A regular expression that can't be parsed.", frame=True)
-def no_invalid_regexp(nodes: DataFrame, tokens: DataFrame, o: dict) -> DataFrame:
-    return _checked(nodes).where("not ok").select("file_id", "pre", "start", "end", F.concat(F.lit("an invalid regular expression: "), "message").alias("title"), F.lit("").alias("label"), F.expr(f"cast(array() as {FIXES})").alias("fixes"))
-
-
-@rule("simplify-regex", "regex", "A regular expression that can be written shorter.", recommended=False, frame=True)
-def simplify_regex(nodes: DataFrame, tokens: DataFrame, o: dict) -> DataFrame:
-    fix = F.expr("array(named_struct('start', at, 'end', cast(at + octet_length(pattern) as int), 'insert', simplified))")
-    return _checked(nodes).where("ok and at is not null and simplified is not null").select("file_id", "pre", "start", "end", F.concat(F.lit("this can be written as "), "simplified").alias("title"), F.lit("").alias("label"), fix.cast(FIXES).alias("fixes"))
+@rule("simplify-regex", "regex", "A regular expression that can be written shorter.", "LITERAL", recommended=False)
+def simplify_regex(o: dict) -> list[str]:
+    return [hit(f"{info('regex_short')} is not null", f"concat('this can be written as ', {info('regex_short')})", fixes=f"start + 1|start + 1 + octet_length({info('regex')})|{info('regex_short')}")]
 
 
 # Evaluation
@@ -380,7 +363,23 @@ def options_of(r: Rule, given: dict | None) -> dict:
     return out
 
 
-def run_rules(nodes: DataFrame, tokens: DataFrame, selected: dict[str, dict] | None = None) -> DataFrame:
+def needs_of(selected: dict[str, dict]) -> Needs:
+    """What the selected rules look at."""
+    kinds, roles, path, kids, regexes = set(), set(), set(), set(), False
+    for name, given in selected.items():
+        r = RULES[name]
+        own = set(r.kinds)
+        roles.update(r.roles)
+        if r.group == "regex":
+            regexes, own = True, own - {"LITERAL"}
+        kinds |= own
+        text = " ".join(r.matches(options_of(r, given))) if r.matches is not None else ""
+        path |= own if "path" in text else set()
+        kids |= own if "kids" in text else set()
+    return Needs(*map(frozenset, (kinds, roles, path, kids)), regexes, STEERING, f"[{''.join(map(chr, IRREGULAR))}]" if "no-irregular-whitespace" in selected else "(?!)")
+
+
+def run_rules(nodes: DataFrame, tokens: DataFrame | None, selected: dict[str, dict] | None = None) -> DataFrame:
     """Findings of the selected rules (name to options; all if None): file_id, rule, pre, start, end, title, label, fixes."""
     selected = {n: {} for n in RULES} if selected is None else selected
     one_scan, frames, kinds = [], [], set()
@@ -391,7 +390,7 @@ def run_rules(nodes: DataFrame, tokens: DataFrame, selected: dict[str, dict] | N
             kinds.update(r.kinds)
             tests = " or ".join(f"kind = {q(k)}" for k in r.kinds)
             one_scan += [f"if({tests}, named_struct('rule', {q(name)}, 'm', {m}), null)" for m in r.matches(o)]
-        else:
+        elif tokens is not None or r.roles or r.kinds:  # without tokens nothing is found by a rule over tokens alone
             frames.append(r.frame(nodes, tokens, o).withColumn("rule", F.lit(name)))
     columns = ["file_id", "rule", "pre", "start", "end", "title", "label", "fixes"]
     out: DataFrame | None = None
@@ -400,8 +399,6 @@ def run_rules(nodes: DataFrame, tokens: DataFrame, selected: dict[str, dict] | N
         out = found.select("file_id", F.col("x.rule").alias("rule"), "pre", "x.m.*").select(columns)
     for f in frames:
         out = f.select(columns) if out is None else out.unionByName(f.select(columns))
-    if out is None:
-        raise ValueError("no rule is selected")
-    return out
+    return nodes.limit(0).selectExpr("file_id", "'' as rule", "pre", "start", "end", "'' as title", "'' as label", f"cast(array() as {FIXES}) as fixes") if out is None else out
 
 

@@ -5,17 +5,24 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
-from itertools import chain, islice
+from dataclasses import dataclass
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sylva.functions.lexer import tokenize
+from sylva.functions.parser import Node
 from sylva.functions.tree import Tree
 from sylva.session import ship
+from sylva.sources.files import BLOCK
 
 PORTION = 2000  # rows of an Arrow batch
+STEPS = 200_000  # entries of paths and children in one
 
 TOKEN = "tok int, kind string, start int, end int, text string, is_trivia boolean, nl_before boolean"
 STEP = "pre int, kind string, role string, ord int, op string, name string, n int, start int, end int"
@@ -34,55 +41,121 @@ def _struct(ddl: str) -> pa.DataType:
     return pa.struct([(n, _ARROW[t]) for n, t in (x.split(" ") for x in ddl.split(", "))])
 
 
-_NODE = pa.struct([*_struct(NODE.split(", path")[0]), pa.field("path", pa.list_(_struct(STEP))), pa.field("kids", pa.list_(_struct(KID)))])
-
-
-_TYPES = {"token": ("t", _struct(TOKEN)), "node": ("n", _NODE), "error": ("e", _struct(ERROR))}
-
-
-def _batch(file_id: int | None, what: str, columns: dict[str, list], at: int, n: int) -> pa.RecordBatch:
-    kind = _TYPES[what][1]
-    own = pa.StructArray.from_arrays([pa.array(columns[f.name][at : at + n], f.type) for f in kind], fields=list(kind))
-    out = [own if w == what else pa.nulls(n, t) for w, (_, t) in _TYPES.items()]
-    return pa.RecordBatch.from_arrays([pa.array([file_id] * n, pa.int64()), pa.array([what] * n), *out], names=["file_id", "what", *(x for x, _ in _TYPES.values())])
-
-
-def _columns(rows: list[dict], kind: pa.DataType) -> dict[str, list]:
-    return {f.name: [r[f.name] for r in rows] for f in kind}
-
-
-def _portions(first: list[dict], rest: Iterator[dict]) -> Iterator[list[dict]]:
-    while first:
-        yield first
-        first = list(islice(rest, PORTION))
-
-
-def _parse_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for i in range(len(b)):
-            file_id, kind, source = (b.column(c)[i].as_py() for c in range(3))
-            source, errors, parts = source or "", [], []
-            try:
-                tree = Tree(source, kind or "module")
-                nodes = tree.each_node_row()
-                first = list(islice(nodes, PORTION))  # all that may nest too deeply is done with the first row
-                parts = chain([("token", tree.token_columns())], (("node", _columns(rows, _NODE)) for rows in _portions(first, nodes)))
-                errors = [{"title": t, "start": s, "end": e} for t, s, e in tree.errors()]
-            except RecursionError:
-                errors.append({"title": "nesting is too deep", "start": 0, "end": 0})
-            for what, columns in chain(parts, [("error", _columns(errors, _TYPES["error"][1]))]):
-                total = len(next(iter(columns.values())))
-                for at in range(0, total, PORTION):
-                    yield _batch(file_id, what, columns, at, min(PORTION, total - at))
-
-
-def parsed(files: DataFrame) -> DataFrame:
-    """Rows of tokens, nodes and errors of every file, each parsed once: file_id, what ('token', 'node' or 'error') and t, n, e.
-
-    Written with partitionBy("what"), tokens and nodes are pruned reads of flat columns.
+_FACTS, _STEP, _KID = _struct(NODE.split(", path")[0]), _struct(STEP), _struct(KID)
+_NODE = pa.struct([*_FACTS, pa.field("path", pa.list_(_STEP)), pa.field("kids", pa.list_(_KID))])
+FILE = "path string, lines array<int>, tops array<int>"
+_FILE = pa.struct([pa.field("path", pa.string()), pa.field("lines", pa.list_(pa.int32())), pa.field("tops", pa.list_(pa.int32()))])
+
+_TYPES = {"token": ("t", _struct(TOKEN)), "node": ("n", _NODE), "error": ("e", _struct(ERROR)), "file": ("f", _FILE)}
+
+
+@dataclass(frozen=True)
+class Needs:
+    """What is asked of nodes: rows of which kinds and roles, with whose path and children. Tokens: those of files with steering comments, or with a character of ``chars``."""
+
+    kinds: frozenset[str]
+    roles: frozenset[str]
+    path: frozenset[str]
+    kids: frozenset[str]
+    regexes: bool
+    steering: str
+    chars: str
+
+    def wants(self, n: Node) -> bool:
+        return n.kind in self.kinds or n.role in self.roles or self.regexes and n.kind == "LITERAL" and n.op == "regex"
+
+    def path_of(self, n: Node) -> bool:
+        return n.kind in self.path or n.role in self.roles
+
+
+def _batch(file_id: int | None, what: str, own: pa.StructArray) -> pa.RecordBatch:
+    out = [own if w == what else pa.nulls(len(own), t) for w, (_, t) in _TYPES.items()]
+    return pa.RecordBatch.from_arrays([pa.array([file_id] * len(own), pa.int64()), pa.array([what] * len(own)), *out], names=["file_id", "what", *(x for x, _ in _TYPES.values())])
+
+
+def _array(columns: dict[str, list], kind: pa.DataType) -> pa.StructArray:
+    return pa.StructArray.from_arrays([pa.array(columns[f.name], f.type) for f in kind], fields=list(kind))
+
+
+def _lists(lengths: list[int], values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), values)
+
+
+def _node_arrays(tree: Tree, needs: Needs | None, steering: bool) -> Iterator[pa.StructArray]:
+    """Portions of the wanted nodes: facts are made once for each, paths and children are picked from them by number."""
+    wanted = None if needs is None else (lambda n: needs.wants(n) or steering and (n.role == "item" or n.depth == 1))
+    columns = tree.node_columns(wanted)
+    ordered = tree.ordered
+    facts = {f.name: pa.array(columns[f.name], f.type) for f in _FACTS}
+    op = pa.array(["await" if "await" in n.flags else o for n, o in zip(ordered, columns["op"], strict=True)], pa.string())
+    steps = pa.StructArray.from_arrays([facts["child_count"] if f.name == "n" else op if f.name == "op" else facts[f.name] for f in _STEP], fields=list(_STEP))
+    kids = pa.StructArray.from_arrays([facts[f.name] for f in _KID], fields=list(_KID))
+    keep = list(range(len(ordered))) if wanted is None else [i for i, n in enumerate(ordered) if wanted(n)]
+    at = 0
+    while at < len(keep):
+        own, paths, down, room = [], [], [], STEPS
+        while at < len(keep) and len(own) < PORTION and (room > 0 or not own):  # long paths make short portions
+            n = ordered[keep[at]]
+            own.append(keep[at])
+            paths.append(tree.path_of(n) if needs is None or needs.path_of(n) else [])
+            down.append([k.pre for k in n.kids] if needs is None or n.kind in needs.kids else [])
+            room -= len(paths[-1]) + len(down[-1])
+            at += 1
+        rows = pa.array(own, pa.int32())
+        path, kid = (_lists([len(x) for x in of], values.take(pa.array([i for x in of for i in x], pa.int32()))) for of, values in ((paths, steps), (down, kids)))
+        yield pa.StructArray.from_arrays([*(facts[f.name].take(rows) for f in _FACTS), path, kid], fields=list(_NODE))
+
+
+def _parse_rows(needs: Needs | None):
+    steered, odd = (re.compile(needs.steering), re.compile(needs.chars)) if needs else (None, None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(len(b)):
+                file_id, path, kind, source = (b.column(c)[i].as_py() for c in range(4))
+                source = source or ""
+                lines = np.concatenate(([0], np.flatnonzero(np.frombuffer(source.encode("utf-8", "surrogatepass"), np.uint8) == 10) + 1)).tolist()
+                yield _batch(file_id, "file", _array({"path": [path], "lines": [lines], "tops": [lines[::BLOCK]]}, _FILE))
+                steering = needs is None or steered.search(source) is not None
+                try:
+                    tree = Tree(source, kind or "module")
+                    nodes = _node_arrays(tree, needs, steering)
+                    first = next(nodes, None)  # all that may nest too deeply is done with the first portion
+                except RecursionError:
+                    yield _batch(file_id, "error", _array({"title": ["nesting is too deep"], "start": [0], "end": [0]}, _TYPES["error"][1]))
+                    continue
+                if steering or odd.search(source):
+                    tokens = tree.token_columns()
+                    for at in range(0, len(tokens["tok"]), PORTION):
+                        yield _batch(file_id, "token", _array({c: x[at : at + PORTION] for c, x in tokens.items()}, _TYPES["token"][1]))
+                if first is not None:
+                    for own in chain([first], nodes):
+                        yield _batch(file_id, "node", own)
+                if errors := tree.errors():
+                    yield _batch(file_id, "error", _array(dict(zip(("title", "start", "end"), zip(*errors, strict=True), strict=True)), _TYPES["error"][1]))
+
+    return run
+
+
+def spread(files: DataFrame) -> DataFrame:
+    """files over at least as many partitions as there are cores, so that a few large input partitions don't parse alone."""
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    return files.repartition(cores, "file_id") if files.rdd.getNumPartitions() < cores else files
+
+
+def parsed(files: DataFrame, needs: Needs | None = None) -> DataFrame:
+    """Rows of tokens, nodes, errors and of the file itself, each file parsed once: file_id, what ('token', 'node', 'error', 'file') and t, n, e, f.
+
+    Written with partitionBy("what"), tokens and nodes are pruned reads of flat columns. needs: leaves out what nobody asks for.
     """
     ship(files.sparkSession)
-    return files.select("file_id", "kind", "source").mapInArrow(_parse_rows, f"file_id bigint, what string, t struct<{TOKEN}>, n struct<{NODE}>, e struct<{ERROR}>")
+    path = F.col("path") if "path" in files.columns else F.lit(None).cast("string").alias("path")
+    return spread(files.select("file_id", path, "kind", "source")).mapInArrow(_parse_rows(needs), f"file_id bigint, what string, t struct<{TOKEN}>, n struct<{NODE}>, e struct<{ERROR}>, f struct<{FILE}>")
+
+
+def lines_of(trees: DataFrame) -> DataFrame:
+    """file_id, path, lines (byte offsets of their starts), tops (every BLOCK-th of them)."""
+    return trees.where("what = 'file'").select("file_id", "f.*")
 
 
 def tokens_of(trees: DataFrame) -> DataFrame:

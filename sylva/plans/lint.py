@@ -4,23 +4,26 @@
     run.diagnostics, run.outcomes      # DataFrames
     fixed = fix(run)                   # file_id, path, source, passes
 
-A source is parsed once; the parsed rows are written as a table of the shared folder, and every rule reads only the columns it needs.
+A source is parsed once, in one pass that keeps the nodes which the selected rules look at, and the starts of lines; these rows are
+written as a table of the shared folder, and every rule reads only the columns it needs. All tokens and nodes are another pass, made
+when they are asked for.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylva.operators import rules as R
-from sylva.operators.directives import apply_ignores, directive_errors, parse_directives
+from sylva.operators.directives import apply_ignores, directive_errors, parse_directives, redundant
 from sylva.operators.edits import apply_edits, without_conflicts
-from sylva.operators.syntax import errors_of, nodes_of, parsed, tokens_of
+from sylva.operators.syntax import errors_of, lines_of, nodes_of, parsed, tokens_of
 from sylva.session import shared_table
 from sylva.sources.config import Config, select_rules
-from sylva.sources.files import line_array
+from sylva.sources.files import line_at
 
 PASSES = 11  # how often fixing goes round at most
 
@@ -28,21 +31,29 @@ PASSES = 11  # how often fixing goes round at most
 @dataclass
 class LintRun:
     files: DataFrame
-    trees: DataFrame
-    tokens: DataFrame
-    nodes: DataFrame
     directives: DataFrame
     diagnostics: DataFrame  # file_id, path, phase, rule, severity, title, label, start, end, line, col, fixes
     outcomes: DataFrame  # file_id, path, outcome, n_error, n_warning
     selected: dict[str, tuple[str, dict]] = field(default_factory=dict)
     warnings: list[str] = field(default_factory=list)
 
+    @cached_property
+    def trees(self) -> DataFrame:
+        """All rows of the files, parsed anew."""
+        return shared_table(parsed(self.files), "trees", partition="what")
 
-def with_lines(found: DataFrame, files: DataFrame) -> DataFrame:
-    """found (file_id, start, …) with path, line and col, counted from 0: the last line that starts at or before the byte."""
-    starts = files.select("file_id", "path", line_array(F.col("source")).alias("_lines"))
-    line = F.size(F.filter("_lines", lambda s: s <= F.col("start"))) - 1
-    return found.join(starts, "file_id").withColumn("line", line).withColumn("col", F.col("start") - F.get("_lines", F.col("line"))).drop("_lines")
+    @property
+    def tokens(self) -> DataFrame:
+        return tokens_of(self.trees)
+
+    @property
+    def nodes(self) -> DataFrame:
+        return nodes_of(self.trees)
+
+
+def with_lines(found: DataFrame, lines: DataFrame) -> DataFrame:
+    """found (file_id, start, …) with path, line and col, counted from 0: the last line that starts at or before the byte. lines: as of lines_of."""
+    return found.join(lines, "file_id").withColumn("line", line_at("lines", "tops", "start")).withColumn("col", F.col("start") - F.get("lines", F.col("line"))).drop("lines", "tops")
 
 
 def outcomes_of(diagnostics: DataFrame, files: DataFrame) -> DataFrame:
@@ -58,24 +69,26 @@ def lint(files: DataFrame, config: Config | None = None, rules: dict[str, dict]
     selected, said = ({n: ("error", o) for n, o in rules.items()}, []) if rules is not None else select_rules(config)
     if config is not None and config.source_type:
         files = files.withColumn("kind", F.lit(config.source_type))
-    trees = shared_table(parsed(files), "trees", partition="what")
+    rules_ = {n: o for n, (_, o) in selected.items()}
+    trees = shared_table(parsed(files, R.needs_of(rules_)), "findings", partition="what")
     nodes, tokens = nodes_of(trees), tokens_of(trees)
-    found = R.run_rules(nodes, tokens, {n: o for n, (_, o) in selected.items()}) if selected else None
-    steering = parse_directives(tokens, nodes)
     none = F.expr(f"cast(array() as {R.FIXES})")
-    parts = [errors_of(trees).select("file_id", F.lit("parse").alias("phase"), F.lit(None).cast("string").alias("rule"), F.lit("error").alias("severity"), "title", F.lit("").alias("label"), "start", "end", none.alias("fixes"))]
-    if found is not None:
+    about = lambda phase, df, severity="error": df.select("file_id", F.lit(phase).alias("phase"), F.lit(None).cast("string").alias("rule"), F.lit(severity).alias("severity"), "title", F.lit("").alias("label"), "start", "end", none.alias("fixes"))
+    parts = [about("parse", errors_of(trees))]
+    steering = parse_directives(tokens, nodes)
+    any_tokens = tokens.limit(1).count() > 0  # only files with steering comments or odd characters have tokens here
+    if selected:
+        found = R.run_rules(nodes, tokens if any_tokens else None, rules_)
         levels = F.create_map(*[F.lit(x) for n, (level, _) in selected.items() for x in (n, level)])
-        kept = (apply_ignores(found, steering) if directives else found).dropDuplicates(["file_id", "rule", "start", "end", "title"])
+        kept = (apply_ignores(found, steering) if directives and any_tokens else found).dropDuplicates(["file_id", "rule", "start", "end", "title"])
         parts.append(kept.select("file_id", F.lit("rule").alias("phase"), "rule", levels[F.col("rule")].alias("severity"), "title", "label", "start", "end", "fixes"))
-    if directives:
-        bad = directive_errors(steering, sorted(selected))
-        parts.append(bad.select("file_id", F.lit("directive").alias("phase"), F.lit(None).cast("string").alias("rule"), F.lit("error").alias("severity"), "title", F.lit("").alias("label"), "start", "end", none.alias("fixes")))
-    all_ = parts[0]
-    for p in parts[1:]:
-        all_ = all_.unionByName(p)
-    diagnostics = shared_table(with_lines(all_, files), "diagnostics")
-    return LintRun(files, trees, tokens, nodes, steering, diagnostics, outcomes_of(diagnostics, files), selected, said)
+    if directives and any_tokens:
+        parts.append(about("directive", directive_errors(steering, sorted(selected))))
+        if selected:
+            parts.append(about("directive", redundant(steering, found), "warning"))
+    lines = lines_of(trees)
+    diagnostics = shared_table(with_lines(reduce(DataFrame.unionByName, parts), lines), "diagnostics")
+    return LintRun(files, steering, diagnostics, outcomes_of(diagnostics, lines), selected, said)
 
 
 def edits_of(diagnostics: DataFrame) -> DataFrame:

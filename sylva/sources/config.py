@@ -11,7 +11,7 @@ from sylva.functions.names import best_match
 from sylva.operators.rules import RULES
 
 #: Names of configuration files, the first found in a folder counts.
-FILE_NAMES = ("sylva.json", "sylva.toml", "[a-z]*lintrc.json", "[a-z]*lintrc.toml")
+FILE_NAMES = ("sylva.json", "sylva.toml")
 
 
 @dataclass
@@ -65,13 +65,13 @@ def parse_config(text: str, is_json: bool | None = None) -> Config:
     return out
 
 
-def find_config(folder: str | Path, config_dir: str | Path | None = None) -> Config | None:
-    """The configuration of a folder, of the nearest folder above it, or of a user's configuration folder if one is given."""
+def find_config(folder: str | Path, config_dir: str | Path | None = None, names: tuple[str, ...] = FILE_NAMES) -> Config | None:
+    """The configuration of a folder, of the nearest folder above it, or of a user's configuration folder if one is given. names: of its file."""
     start = Path(folder).resolve()
     places = [start, *start.parents] + ([Path(config_dir)] if config_dir is not None else [])
     for place in places:
-        for name in FILE_NAMES:
-            for found in sorted(place.glob(name)) if place.is_dir() else []:
+        for name in names:
+            if (found := place / name).is_file():
                 return parse_config(found.read_text(encoding="utf-8"), found.suffix == ".json")
     return None
 

@@ -105,6 +105,39 @@ def test_directives(spark):
     assert got == [("b.js", "rule", "no-empty", 2), ("c.js", "rule", "no-debugger", 3), ("d.js", "rule", "no-debugger", 3), ("e.js", "directive", "", 0), ("e.js", "directive", "", 1)]
 
 
+def test_comments_of_other_tools_mean_nothing(spark):
+    files = sources(spark, a_js="// eslint-disable-next-line no-console\nf();", b_js="/* jslint-ignore */ f();", c_js="// sylva-ignore no-debuger\n// sylva-ignoer no-empty\nf();", d_js="// sylva-ignore no-empty\n\n// sylva-ignore no-empty\nif (a) {}")
+    got = sorted((r.path, r.severity, r.title) for r in lint(files).diagnostics.collect())
+    assert got == [
+        ("c.js", "error", "there is no active rule no-debuger, did you mean no-debugger?"),
+        ("c.js", "error", "there is no directive ignoer, did you mean ignore?"),
+        ("d.js", "warning", "this is redundant: the file already ignores no-empty"),
+    ]
+
+
+def test_long_texts_have_findings_like_short_ones(spark):
+    a, many = "a" * 10_000, ", ".join(f"b{i}" for i in range(3000))
+    snippets = {
+        "no-compare-neg-zero": f"{a} == -0;", "no-invalid-regexp": f"/{a}(/; new RegExp('{a}['); RegExp('\\u005b\\n');", "use-isnan": f"x.indexOf(NaN, {many}); {a} == NaN;",
+        "no-debugger": "if (a) {" * 3000 + "debugger;" + "}" * 3000, "no-await-in-loop": "async () => { while (a) { " + "if (b) {" * 300 + f"x = await c + {' + '.join(['d'] * 2000)};" + "}" * 300 + " } }",
+        "simplify-regex": f"/{a}[0-9]/",
+    }
+    files = files_from(spark.createDataFrame([(f"{n}.mjs", s) for n, s in snippets.items()], "path string, source string"))
+    run = lint(files, rules={n: {"enforce_for_index_of": True} if n == "use-isnan" else {} for n in snippets})
+    counts: dict = {}
+    for r in run.diagnostics.collect():
+        counts[r.path[:-4], r.rule] = counts.get((r.path[:-4], r.rule), 0) + 1
+    assert counts == {(n, n): {"no-invalid-regexp": 3, "use-isnan": 2}.get(n, 1) for n in snippets}
+
+
+def test_many_lines_and_edits(spark):
+    source = "debugger;\n" * 60_000 + "new Symbol();\n" * 2000
+    run = lint(sources(spark, a_mjs=source), rules={"no-new-symbol": {}})
+    rows = run.diagnostics.orderBy("start").collect()
+    assert [(r.line, r.col) for r in rows] == [(60_000 + i, 0) for i in range(2000)]
+    assert fix(run).first().source == source.replace("new ", "")
+
+
 def test_configuration_precedence():
     text = '[rules]\ngroups = ["style"]\nallowed = ["no-empty"]\n[rules.errors]\nno-empty = {}\nnoDebugger = {}\n[rules.warnings]\nno-debugger = {}\nnoCondAssign = { allowParens = false }\nno-debuger = {}\n'
     selected, said = select_rules(parse_config(text))

@@ -92,7 +92,11 @@ def test_errors_stay_in_their_statement():
 
 def test_deep_nesting_is_an_error_not_a_crash():
     assert parse("(" * 3000)[1].errors
-    assert parse("[" * 3000 + "]" * 3000)[1].errors
+    assert not parse("[" * 3000 + "]" * 3000)[1].errors
+    root, parser = parse("if (a) {" * 5000 + "debugger;" + "}" * 5000)
+    assert not parser.errors
+    assert sum(r["kind"] == "DEBUGGER_STMT" for r in Tree("if (a) {" * 500 + "debugger;" + "}" * 500, "module").node_rows()) == 1
+    assert parse("if (a) {" * 20_000 + "}" * 20_000)[1].errors  # beyond the guard
 
 
 def test_lines():
