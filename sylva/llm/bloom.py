@@ -50,25 +50,35 @@ def _set(array: np.ndarray, at: np.ndarray) -> None:
     np.bitwise_or.at(array, at >> 3, np.left_shift(np.uint8(1), (at & 7).astype(np.uint8)))
 
 
-def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The different hashes of each batch, and which of them it has several times."""
     for b in batches:
         h, n = np.unique(b.column(0).to_numpy(), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(_chunk(_mixed(h)).astype(np.int32)), pa.array(h), pa.array(n > 1)], names=["chunk", "h", "many"])
+        yield h, n > 1
+
+
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for h, many in _hashes(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(_chunk(_mixed(h)).astype(np.int32)), pa.array(h), pa.array(many)], names=["chunk", "h", "many"])
 
 
-def _build(bits: int):
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for b in batches:
+        h, where, n = np.unique(b.column(1).to_numpy(), return_inverse=True, return_counts=True)
+        many = n > 1
+        many[where[b.column(2).to_numpy(zero_copy_only=False)]] = True
+        yield h, many
+
+
+def _build(bits: int, read):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # pages of other tasks' parts are never touched, so they take no memory
         once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
-        for b in batches:
-            h, where, n = np.unique(b.column(1).to_numpy(), return_inverse=True, return_counts=True)
-            if not len(h):
-                continue
-            many = n > 1
-            many[where[b.column(2).to_numpy(zero_copy_only=False)]] = True
-            at = positions(h, bits)
-            _set(twice, at[many | contained(once, at)])
-            _set(once, at)
+        for h, many in read(batches):
+            if len(h):
+                at = positions(h, bits)
+                _set(twice, at[many | contained(once, at)])
+                _set(once, at)
         size = bits // 8 // CHUNKS
         for c in range(CHUNKS):
             if (part := once[c * size : (c + 1) * size]).any():
@@ -90,9 +100,12 @@ def slice_of(h: Column, k: int) -> Column:
 def _filter(hashes: DataFrame, column: str, n: int | None, bits_per_row: int, max_bits: int) -> tuple[bytes, int]:
     n = hashes.count() if n is None else n
     bits = min(max_bits, 1 << max(17, (max(1, n) * bits_per_row - 1).bit_length()))
-    dealt = hashes.mapInArrow(in_worker("bloom", _dealt), "chunk int, h bigint, many boolean")
-    dealt = hashes.coalesce(1).mapInArrow(in_worker("bloom", _dealt), "chunk int, h bigint, many boolean") if n <= ONE_TASK else dealt.repartition("chunk")
-    parts = dealt.mapInArrow(in_worker("bloom", _build(bits)), "chunk int, once binary, twice binary")
+    schema = "chunk int, once binary, twice binary"
+    if n <= ONE_TASK:
+        parts = hashes.coalesce(1).mapInArrow(in_worker("bloom", _build(bits, _hashes)), schema)
+    else:
+        dealt = hashes.mapInArrow(in_worker("bloom", _dealt), "chunk int, h bigint, many boolean").repartition("chunk")
+        parts = dealt.mapInArrow(in_worker("bloom", _build(bits, _gathered)), schema)
     out, size = np.zeros(bits // 8, np.uint8), bits // 8 // CHUNKS
     for row in parts.select("chunk", F.col(column).alias("data")).collect():  # max_bits in all
         out[row.chunk * size : (row.chunk + 1) * size] = np.frombuffer(zlib.decompress(bytes(row.data)), np.uint8)

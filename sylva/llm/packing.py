@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 
 from sylva.session import in_worker, kept, shared_table, ship
 
-CACHE = 200_000  # pieces of words whose ids a worker keeps, twice: of late and of before
+CACHE = 150_000  # pieces of words whose ids a worker keeps, twice: of late and of before
+PART = 512 << 10  # bytes of texts that are taken apart at a time
 LONGEST = 64  # characters of a piece that is kept
 #: Texts that the fast path takes: up to Latin Extended-A, where no normal form changes a character and case maps one to one.
 SIMPLE = re.compile("[\x00-\u012f\u0131-\u017f]*")
@@ -111,7 +112,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(tokenizer_path)
         for b in batches:
-            step = max(1, int(len(b) * (2 << 20) / max(1, b.nbytes)))
+            step = max(1, int(len(b) * PART / max(1, b.nbytes)))
             for at in range(0, len(b), step):
                 part = b.slice(at, step)
                 source, piece, start, length, crc, held = [], [], [], [], [], []
