@@ -294,31 +294,31 @@ def block_spacing(o: dict) -> list[str]:
 # Rules over several rows
 
 
-def _repeated(rows: DataFrame, keys: list[str], title: str) -> DataFrame:
-    """All but the first of the rows with equal keys in a file; a key's rows are few: those of one object, switch or file."""
+def repeated(rows: DataFrame, keys: list[str], title: str) -> DataFrame:
+    """All but the first of the rows with equal keys in a file, with where the first starts; a key's rows are few: those of one object, switch or file."""
     w = Window.partitionBy("file_id", *keys).orderBy("pre")
     none = F.expr(f"cast(array() as {FIXES})")
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n > 1").select("file_id", "pre", "start", "end", F.expr(title).alias("title"), F.lit("").alias("label"), none.alias("fixes"))
+    return rows.withColumns({"_n": F.row_number().over(w), "first": F.first("start").over(w)}).where("_n > 1").select("file_id", "pre", "start", "end", "first", F.expr(title).alias("title"), F.lit("").alias("label"), none.alias("fixes"))
 
 
 @rule("no-dupe-keys", "errors", "An object literal with equal keys.", frame=True, roles="key")
 def no_dupe_keys(nodes: DataFrame, tokens: DataFrame, o: dict) -> DataFrame:
     keys = nodes.where("role = 'key' and grandparent_kind = 'OBJECT_EXPR' and parent_kind in ('LITERAL_PROP', 'METHOD', 'GETTER', 'SETTER', 'IDENT_PROP')")
     keys = keys.withColumn("_of", F.expr(f"{up(2)}.pre"))
-    return _repeated(keys, ["_of", "lexh"], "concat('the key ', coalesce(text, '…'), ' was there before')")
+    return repeated(keys, ["_of", "lexh"], "concat('the key ', coalesce(text, '…'), ' was there before')")
 
 
 @rule("no-duplicate-cases", "errors", "A switch with equal cases.", frame=True, roles="test")
 def no_duplicate_cases(nodes: DataFrame, tokens: DataFrame, o: dict) -> DataFrame:
     tests = nodes.where("role = 'test' and parent_kind = 'CASE_CLAUSE'").withColumn("_of", F.expr(f"{up(2)}.pre"))
-    return _repeated(tests, ["_of", "lexh"], "concat('the case ', coalesce(text, '…'), ' was there before')")
+    return repeated(tests, ["_of", "lexh"], "concat('the case ', coalesce(text, '…'), ' was there before')")
 
 
 @rule("no-duplicate-imports", "errors", "A module imported twice.", "IMPORT_DECL EXPORT_NAMED EXPORT_WILDCARD", frame=True, include_exports=False)
 def no_duplicate_imports(nodes: DataFrame, tokens: DataFrame, o: dict) -> DataFrame:
     kinds = "('IMPORT_DECL', 'EXPORT_NAMED', 'EXPORT_WILDCARD')" if o["include_exports"] else "('IMPORT_DECL')"
     rows = nodes.where(f"kind in {kinds} and depth = 1 and {info('source')} is not null").withColumns({"_from": F.expr(info("source")), "_type": F.expr("array_contains(flags, 'type')")})
-    return _repeated(rows, ["_from", "_type"], "concat('the module ', _from, ' was imported before')")
+    return repeated(rows, ["_from", "_type"], "concat('the module ', _from, ' was imported before')")
 
 
 #: Code points of unusual white space.
@@ -330,13 +330,12 @@ def no_irregular_whitespace(nodes: DataFrame, tokens: DataFrame, o: dict) -> Dat
     skipped = [k for k, on in (("STRING", o["skip_strings"]), ("COMMENT", o["skip_comments"]), ("REGEX", o["skip_regex"]), ("TEMPLATE_CHUNK", o["skip_templates"])) if on]
     chars = "".join(f"\\x{{{c:x}}}" for c in IRREGULAR)
     found = tokens.where(~F.col("kind").isin(skipped) & F.col("text").rlike(f"[{chars}]")) if skipped else tokens.where(F.col("text").rlike(f"[{chars}]"))
-    # Pieces between the characters: each one's place is what lies before it, in bytes.
-    pieces = found.select("file_id", "tok", "start", F.split("text", f"(?<=[{chars}])", -1).alias("p"))
-    runs = pieces.select("file_id", "tok", "start", F.posexplode("p").alias("n", "piece"), "p").where(F.col("piece").rlike(f"[{chars}]$"))
-    before = F.expr("cast(aggregate(slice(p, 1, n), 0, (a, x) -> a + octet_length(x)) as int)")
+    # Pieces that each end in such a character: a piece ends where the lengths up to it, in bytes, add up to.
+    pieces = found.select("file_id", "tok", "start", F.posexplode(F.split("text", f"(?<=[{chars}])", -1)).alias("n", "piece"))
+    upto = Window.partitionBy("file_id", "tok").orderBy("n")
+    runs = pieces.withColumn("end", (F.col("start") + F.sum(F.octet_length("piece")).over(upto)).cast("int")).where(F.col("piece").rlike(f"[{chars}]$"))
     last = F.expr("substring(piece, -1, 1)")
-    end = F.col("start") + before + F.octet_length("piece")
-    return runs.select("file_id", F.col("tok").alias("pre"), (end - F.octet_length(last)).alias("start"), end.alias("end"), F.lit("an unusual white space character").alias("title"), F.format_string("U+%04X", F.ascii(last)).alias("label"), F.expr(f"cast(array() as {FIXES})").alias("fixes"))
+    return runs.select("file_id", F.col("tok").alias("pre"), (F.col("end") - F.octet_length(last)).alias("start"), "end", F.lit("an unusual white space character").alias("title"), F.format_string("U+%04X", F.ascii(last)).alias("label"), F.expr(f"cast(array() as {FIXES})").alias("fixes"))
 
 
 @rule("no-invalid-regexp", "regex", "A regular expression that can't be parsed.", "LITERAL CALL_EXPR NEW_EXPR")

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylva.functions.names import name_distance
 from sylva.functions.regex_engine import check_patterns
+from sylva.operators.directives import apply_ignores
 from sylva.operators.edits import map_offsets, overlapping, without_conflicts
+from sylva.operators.navigation import siblings
+from sylva.operators.rules import RULES, options_of, repeated
 from sylva.operators.syntax import lexed, nodes_of, parsed
+from sylva.plans.coverage import coverage
 from sylva.plans.infer import infer_block_spacing, mode_largest
-from sylva.plans.lint import fix, lint
-from sylva.plans.report import short_report, totals
-from sylva.sources.files import files_from, line_array, line_starts, scripts_of
+from sylva.plans.lint import fix, lint, outcomes_of
+from sylva.plans.report import padded, short_report, totals
+from sylva.sources.config import merged_levels, parse_config, with_levels
+from sylva.sources.files import files_from, line_array, line_at, line_starts, line_tops, scripts_of
 from sylva.streaming.documents import latest
 
 QUERIES, ORACLES = {}, {}
@@ -46,28 +51,23 @@ def line_starts_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_starts(table(spark, sf_dir, "documents"), "doc_id", "text").select(F.col("file_id").alias("doc_id"), F.col("line").cast("long").alias("line"), "start")
 
 
-@query("SELECT doc_id, o AS byte_offset, (strlen(p) - strlen(replace(p, chr(10), '')))::BIGINT AS line FROM (SELECT doc_id, o, decode(encode(text)[1:o])  AS p FROM (SELECT doc_id, text, n_chars, unnest([0, n_chars // 2, n_chars]) AS o FROM documents WHERE strlen(text) = length(text)))")
-def offset_to_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The line of the first, middle and last byte of every ASCII document, by as-of lookup in its line starts."""
-    docs = table(spark, sf_dir, "documents").where("octet_length(text) = length(text)")
-    at = docs.select("doc_id", line_array(F.col("text")).alias("s"), F.explode(F.array(F.lit(0).cast("long"), F.floor(F.col("n_chars") / 2), F.col("n_chars"))).alias("byte_offset"))
-    return at.select("doc_id", "byte_offset", (F.size(F.filter("s", lambda x: x <= F.col("byte_offset"))) - 1).cast("long").alias("line"))
-
-
 @query("WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), p AS (SELECT doc_id, sum(strlen(p) + 1) OVER (PARTITION BY doc_id ORDER BY i) - strlen(p) - 1 AS start FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS p, generate_subscripts(string_split(t, chr(10)), 1) AS i FROM d)), q AS (SELECT doc_id, unnest([0, 1, 2]) AS k, unnest([0, strlen(t) // 2, strlen(t)])::BIGINT AS o FROM d) SELECT q.doc_id, o AS byte_offset, count(*) - 1 AS line FROM q JOIN p ON p.doc_id = q.doc_id AND p.start <= o GROUP BY q.doc_id, k, o")
-def offset_to_line_of_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def offset_to_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The line of the first, middle and last byte of every document, whatever its characters; null as empty."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
     n = F.octet_length("t").cast("long")
-    at = docs.select("doc_id", line_array(F.col("t")).alias("s"), F.explode(F.array(F.lit(0).cast("long"), F.floor(n / 2), n)).alias("byte_offset"))
-    return at.select("doc_id", "byte_offset", (F.size(F.filter("s", lambda x: x <= F.col("byte_offset"))) - 1).cast("long").alias("line"))
+    lines = docs.select("doc_id", line_array(F.col("t")).alias("lines"), n.alias("n")).withColumn("tops", line_tops(F.col("lines")))
+    at = lines.withColumn("byte_offset", F.explode(F.array(F.lit(0).cast("long"), F.floor(F.col("n") / 2), F.col("n"))))
+    return at.select("doc_id", "byte_offset", line_at("lines", "tops", "byte_offset").cast("long").alias("line"))
 
 
-@query(r"SELECT doc_id, length(regexp_replace(text, '[^\x{0b}\x{0c}\x{85}\x{a0}\x{1680}\x{180e}\x{feff}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]', '', 'g'))::BIGINT AS n_irregular FROM documents")
+@query(r"SELECT doc_id, length(regexp_replace(coalesce(text, ''), '[^\x{0b}\x{0c}\x{85}\x{a0}\x{1680}\x{180e}\x{feff}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]', '', 'g'))::BIGINT AS n_irregular FROM documents")
 def irregular_whitespace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Characters of unusual white space in every document, counted by what is left when all else goes."""
-    chars = r"[^\x{b}\x{c}\x{85}\x{a0}\x{1680}\x{180e}\x{feff}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(F.regexp_replace("text", chars, "")).cast("long").alias("n_irregular"))
+    """The rule over tokens, with every document as one token: how many findings it has."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    tokens = docs.where("text is not null").select(F.col("doc_id").alias("file_id"), F.lit(0).alias("tok"), F.lit("IDENT").alias("kind"), F.lit(0).alias("start"), "text")
+    found = RULES["no-irregular-whitespace"].frame(tokens, tokens, options_of(RULES["no-irregular-whitespace"], None)).groupBy("file_id").agg(F.count(F.lit(1)).alias("n_irregular"))
+    return docs.join(found, docs["doc_id"] == found["file_id"], "left").select("doc_id", F.coalesce("n_irregular", F.lit(0)).cast("long").alias("n_irregular"))
 
 
 LEVELS = "CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'error' WHEN 'click' THEN 'warning' ELSE 'note' END"
@@ -75,18 +75,17 @@ LEVELS = "CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'error'
 
 @query(f"WITH u AS (SELECT user_id, CASE WHEN bool_or(s = 'error') THEN 'failure' WHEN bool_or(s = 'warning') THEN 'warning' ELSE 'success' END AS outcome FROM (SELECT user_id, event_id % 50 AS part, {LEVELS} AS s FROM events) GROUP BY 1, part) SELECT outcome, count(*) AS n FROM u GROUP BY 1")
 def outcome_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A1-A3: the worst severity of each user's events, and how many users have which."""
-    rows = table(spark, sf_dir, "events").select("user_id", (F.col("event_id") % 50).alias("part"), F.expr(LEVELS).alias("s"))
-    folded = rows.groupBy("user_id", "part").agg(F.when(F.bool_or(F.col("s") == "error"), "failure").when(F.bool_or(F.col("s") == "warning"), "warning").otherwise("success").alias("outcome"))
-    return folded.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+    """A1-A3: the worst severity of each of a user's files, and how many files have which outcome."""
+    rows = table(spark, sf_dir, "events").select(F.concat_ws("/", "user_id", F.col("event_id") % 50).alias("path"), F.expr(LEVELS).alias("severity")).withColumn("file_id", F.xxhash64("path"))
+    return outcomes_of(rows, rows.select("file_id", "path").distinct()).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"WITH l(event_type, level) AS (VALUES ('purchase', 'warning'), ('click', 'error')) SELECT severity, count(*) AS n FROM (SELECT CASE WHEN s = 'error' THEN coalesce(level, 'error') ELSE s END AS severity FROM (SELECT event_type, {LEVELS} AS s FROM events) LEFT JOIN l USING (event_type)) GROUP BY 1")
 def severity_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors of a type listed as a warning are demoted; nothing is promoted."""
-    levels = spark.sql("SELECT * FROM VALUES ('purchase', 'warning'), ('click', 'error') AS l(event_type, level)")
-    rows = table(spark, sf_dir, "events").select("event_type", F.expr(LEVELS).alias("s")).join(F.broadcast(levels), "event_type", "left")
-    return rows.select(F.when(F.col("s") == "error", F.coalesce("level", F.lit("error"))).otherwise(F.col("s")).alias("severity")).groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
+    levels = spark.sql("SELECT * FROM VALUES ('purchase', 'warning'), ('click', 'error') AS l(rule, level)")
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("rule"), F.expr(LEVELS).alias("severity"))
+    return with_levels(rows, levels).groupBy("severity").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("WITH e AS (SELECT p_partkey AS k, 'error' AS level FROM part WHERE p_size > 25), w AS (SELECT p_partkey AS k, 'warning' AS level FROM part WHERE p_size > 10), u AS (SELECT * FROM e UNION ALL SELECT * FROM w WHERE k NOT IN (SELECT k FROM e)) SELECT level, count(*) AS n, sum(k)::BIGINT AS total FROM u WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = k AND l_quantity >= 50) GROUP BY 1")
@@ -95,16 +94,14 @@ def allow_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     first, second = (part.where(f"p_size > {n}").select(F.col("p_partkey").alias("k"), F.lit(level).alias("level")) for n, level in ((25, "error"), (10, "warning")))
     allowed = table(spark, sf_dir, "lineitem").where("l_quantity >= 50").select(F.col("l_partkey").alias("k"))
-    union = first.unionByName(second.join(first.select("k"), "k", "left_anti")).join(allowed, "k", "left_anti")
-    return union.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("total"))
+    return merged_levels([first, second], allowed, "k").groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("total"))
 
 
 @query("SELECT o_custkey, o_orderkey, f AS first_orderkey FROM (SELECT *, row_number() OVER w AS n, first_value(o_orderkey) OVER w AS f FROM orders WINDOW w AS (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey)) WHERE n > 1")
 def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Later occurrences of a key with the first one."""
-    w = Window.partitionBy("o_custkey", "o_orderpriority").orderBy("o_orderkey")
-    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.row_number().over(w).alias("n"), F.first("o_orderkey").over(w).alias("first_orderkey"))
-    return rows.where("n > 1").drop("n")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("file_id"), F.col("o_orderkey").alias("pre"), "o_orderpriority", F.col("o_orderkey").alias("start"), F.col("o_orderkey").alias("end"))
+    return repeated(rows, ["o_orderpriority"], "'a key that was there before'").select(F.col("file_id").alias("o_custkey"), F.col("pre").alias("o_orderkey"), F.col("first").alias("first_orderkey"))
 
 
 @query("SELECT l_suppkey, max(s).b AS returnflag FROM (SELECT l_suppkey, {'a': count(*), 'b': l_returnflag} AS s FROM lineitem GROUP BY l_suppkey, l_returnflag) GROUP BY 1")
@@ -145,11 +142,10 @@ def apply_edits_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH r AS (SELECT user_id, event_id AS lo, event_id + 2000 AS hi FROM events WHERE event_type = 'error' OR event_id % 97 = 0) SELECT user_id, count(*) AS n FROM events e WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.user_id = e.user_id AND e.event_id BETWEEN lo AND hi) GROUP BY 1")
 def containment_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows outside all intervals of their key: an anti-join by equality with a residual containment."""
-    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
-    r = events.where("event_type = 'error' or event_id % 97 = 0").select(F.col("user_id").alias("_u"), F.col("event_id").alias("_lo"), (F.col("event_id") + 2000).alias("_hi"))
-    inside = (F.col("user_id") == F.col("_u")) & F.col("event_id").between(F.col("_lo"), F.col("_hi"))
-    return events.join(r, inside, "left_anti").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    """Findings that no ignored range of their file holds."""
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("file_id"), F.col("event_type").alias("rule"), F.col("event_id").alias("start"), F.col("event_id").alias("end"))
+    where = events.where("rule = 'error' or start % 97 = 0").select("file_id", F.lit("ignore").alias("command"), F.lit("node").alias("scope"), F.expr("cast(array() as array<string>)").alias("rules"), F.col("start").alias("node_start"), (F.col("start") + 2000).alias("node_end"))
+    return apply_ignores(events, where).groupBy(F.col("file_id").alias("user_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("WITH m AS (SELECT n_nationkey AS k, substr(n_name, 2) || 'x' AS wrong FROM nation), d AS (SELECT k, wrong, n_name, levenshtein(n_name, wrong) AS dist, greatest(length(wrong), 3) // 3 AS most FROM m, nation) SELECT k, wrong, arg_min(n_name, (dist, n_name)) AS nearest, min(dist)::BIGINT AS distance FROM d WHERE dist <= most GROUP BY 1, 2")
@@ -173,15 +169,15 @@ def case_insensitive_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, rpad(event_type, max(length(event_type)) OVER (PARTITION BY user_id)::INT, ' ') || '|' AS line FROM events")
 def report_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns padded to the widest of their group."""
-    rows = table(spark, sf_dir, "events").select("event_id", "event_type", F.max(F.length("event_type")).over(Window.partitionBy("user_id")).alias("w"))
-    return rows.select("event_id", F.concat(F.expr("rpad(event_type, w, ' ')"), F.lit("|")).alias("line"))
+    rows = padded(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), ["event_type"], ["user_id"])
+    return rows.select("event_id", F.concat("event_type", F.lit("|")).alias("line"))
 
 
-@query("SELECT count(*) FILTER (quality = 1) AS passed, count(*) FILTER (quality = 0) AS failed, count(*) FILTER (toxic = 1) AS panicked, round(100.0 * count(*) FILTER (quality = 1) / count(*), 2)::DOUBLE AS percentage FROM labels")
+@query("WITH o AS (SELECT CASE WHEN toxic = 1 THEN 'panicked' WHEN quality = 1 THEN 'passed' ELSE 'failed' END AS o FROM labels) SELECT count(*) FILTER (o = 'passed') AS passed, count(*) FILTER (o = 'failed') AS failed, count(*) FILTER (o = 'panicked') AS panicked, round(100.0 * count(*) FILTER (o = 'passed') / count(*), 2)::DOUBLE AS percentage FROM o")
 def coverage_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Passed, failed and their share."""
-    q = F.col("quality")
-    return table(spark, sf_dir, "labels").agg(F.count_if(q == 1).alias("passed"), F.count_if(q == 0).alias("failed"), F.count_if(F.col("toxic") == 1).alias("panicked"), F.round(100 * F.count_if(q == 1) / F.count(F.lit(1)), 2).alias("percentage"))
+    """Passed, failed, panicked and the share that passed."""
+    outcome = F.when(F.col("toxic") == 1, "panicked").when(F.col("quality") == 1, "passed").otherwise("failed")
+    return coverage(table(spark, sf_dir, "labels").select(outcome.alias("outcome")))
 
 
 @query("SELECT conv_id, max(turn) AS seq, arg_max(text, turn) AS text FROM conversations GROUP BY 1")
@@ -194,53 +190,81 @@ def latest_document(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT user_id, event_id, lag(event_type) OVER w AS before, lead(event_type) OVER w AS after FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
 def sibling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Previous and next sibling."""
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    return table(spark, sf_dir, "events").select("user_id", "event_id", F.lag("event_type").over(w).alias("before"), F.lead("event_type").over(w).alias("after"))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("file_id"), F.lit(0).alias("parent"), F.col("event_id").alias("ord"), F.col("event_id").alias("pre"), F.col("event_type").alias("kind"))
+    return siblings(rows).select(F.col("file_id").alias("user_id"), F.col("pre").alias("event_id"), F.col("prev_kind").alias("before"), F.col("next_kind").alias("after"))
 
 
-# Every inline script of the pages has one shape, `var t="</p>";track(N);`, so its tokens can be written down in SQL.
+# Every inline script of the pages has one shape, `var t="</p>";track(N);`. One of five lines is added to each, by the page's number,
+# so what is found in which page can be written down in SQL.
 SCRIPT = r"(SELECT page_id, regexp_extract(html, '(?is)<script(?:\s[^>]*)?>(.*?)</script\s*>', 1) AS s FROM pages WHERE regexp_matches(html, '(?is)<script'))"
+ADDED = ("", "\ndebugger;", "\nif (a) {}", "\nx === NaN; y == -0;", "\n// sylva-ignore no-empty\nif (a) {}")
+
+
+def planted_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = scripts_of(table(spark, sf_dir, "pages"))
+    added = F.element_at(F.array(*map(F.lit, ADDED)), (page_of(F.col("path")) % 5 + 1).cast("int"))
+    return files_from(files.select("path", F.concat("source", added).alias("source")))
 
 
-@query(f"WITH k(kind, n, extra) AS (VALUES ('VAR_KW', 1, 3), ('WHITESPACE', 1, 1), ('IDENT', 2, 6), ('EQ', 1, 1), ('STRING', 1, 6), ('SEMICOLON', 2, 2), ('L_PAREN', 1, 1), ('NUMBER', 1, -20), ('R_PAREN', 1, 1)) SELECT kind, sum(n)::BIGINT AS n, sum(CASE WHEN extra < 0 THEN length(s) + extra - 1 ELSE extra END)::BIGINT AS bytes FROM {SCRIPT}, k GROUP BY 1")
+def page_of(path: Column) -> Column:
+    return F.get(F.split(path, "/"), 1).cast("long")
+
+
+@query(f"""WITH k(line, kind, n, extra) AS (VALUES (-1, 'VAR_KW', 1, 3), (-1, 'WHITESPACE', 1, 1), (-1, 'IDENT', 2, 6), (-1, 'EQ', 1, 1), (-1, 'STRING', 1, 6), (-1, 'SEMICOLON', 2, 2), (-1, 'L_PAREN', 1, 1), (-1, 'NUMBER', 1, -20), (-1, 'R_PAREN', 1, 1),
+  (1, 'WHITESPACE', 1, 1), (1, 'DEBUGGER_KW', 1, 8), (1, 'SEMICOLON', 1, 1), (2, 'WHITESPACE', 3, 3), (2, 'IF_KW', 1, 2), (2, 'L_PAREN', 1, 1), (2, 'IDENT', 1, 1), (2, 'R_PAREN', 1, 1), (2, 'L_CURLY', 1, 1), (2, 'R_CURLY', 1, 1),
+  (3, 'WHITESPACE', 6, 6), (3, 'IDENT', 3, 5), (3, 'EQ3', 1, 3), (3, 'EQ2', 1, 2), (3, 'SEMICOLON', 2, 2), (3, 'MINUS', 1, 1), (3, 'NUMBER', 1, 1), (4, 'WHITESPACE', 4, 4), (4, 'COMMENT', 1, 24), (4, 'IF_KW', 1, 2), (4, 'L_PAREN', 1, 1), (4, 'IDENT', 1, 1), (4, 'R_PAREN', 1, 1), (4, 'L_CURLY', 1, 1), (4, 'R_CURLY', 1, 1))
+SELECT kind, sum(n)::BIGINT AS n, sum(CASE WHEN extra < 0 THEN length(s) + extra - 1 ELSE extra END)::BIGINT AS bytes FROM {SCRIPT}, k WHERE line = -1 OR line = page_id % 5 GROUP BY 1""")
 def js_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of all scripts by kind."""
-    toks = lexed(scripts_of(table(spark, sf_dir, "pages")))
+    toks = lexed(planted_scripts(spark, sf_dir))
     return toks.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("bytes"))
 
 
-@query(f"WITH k(kind, n) AS (VALUES ('SCRIPT', 1), ('VAR_DECL', 1), ('DECLARATOR', 1), ('SINGLE_PATTERN', 1), ('NAME', 1), ('LITERAL', 2), ('EXPR_STMT', 1), ('CALL_EXPR', 1), ('NAME_REF', 1), ('ARG_LIST', 1)) SELECT kind, sum(n)::BIGINT AS n FROM {SCRIPT}, k GROUP BY 1")
+@query(f"""WITH k(line, kind, n) AS (VALUES (-1, 'SCRIPT', 1), (-1, 'VAR_DECL', 1), (-1, 'DECLARATOR', 1), (-1, 'SINGLE_PATTERN', 1), (-1, 'NAME', 1), (-1, 'LITERAL', 2), (-1, 'EXPR_STMT', 1), (-1, 'CALL_EXPR', 1), (-1, 'NAME_REF', 1), (-1, 'ARG_LIST', 1),
+  (1, 'DEBUGGER_STMT', 1), (2, 'IF_STMT', 1), (2, 'CONDITION', 1), (2, 'NAME_REF', 1), (2, 'BLOCK_STMT', 1), (3, 'EXPR_STMT', 2), (3, 'BIN_EXPR', 2), (3, 'NAME_REF', 3), (3, 'UNARY_EXPR', 1), (3, 'LITERAL', 1), (4, 'IF_STMT', 1), (4, 'CONDITION', 1), (4, 'NAME_REF', 1), (4, 'BLOCK_STMT', 1))
+SELECT kind, sum(n)::BIGINT AS n FROM {SCRIPT}, k WHERE line = -1 OR line = page_id % 5 GROUP BY 1""")
 def js_nodes_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P5: nodes of all scripts by kind."""
-    return nodes_of(parsed(scripts_of(table(spark, sf_dir, "pages")))).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return nodes_of(parsed(planted_scripts(spark, sf_dir))).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
 
+CONFIG = '[rules]\ngroups = ["errors"]\n[rules.warnings]\nno-empty = {}\n'
 
-@query(f"SELECT page_id, 'success' AS outcome, 0::BIGINT AS n_error, 0::BIGINT AS n_warning FROM {SCRIPT}")
+
+@query(f"SELECT page_id, CASE page_id % 5 WHEN 1 THEN 'failure' WHEN 2 THEN 'warning' WHEN 3 THEN 'failure' ELSE 'success' END AS outcome, CASE page_id % 5 WHEN 1 THEN 1 WHEN 3 THEN 2 ELSE 0 END::BIGINT AS n_error, CASE page_id % 5 WHEN 2 THEN 1 ELSE 0 END::BIGINT AS n_warning FROM {SCRIPT}")
 def lint_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole run over the pages' scripts: outcome per page."""
-    run = lint(scripts_of(table(spark, sf_dir, "pages")))
-    return run.outcomes.select(F.get(F.split("path", "/"), 1).cast("long").alias("page_id"), "outcome", "n_error", "n_warning")
+    run = lint(planted_scripts(spark, sf_dir), parse_config(CONFIG))
+    return run.outcomes.select(page_of(F.col("path")).alias("page_id"), "outcome", "n_error", "n_warning")
 
 
+#: A source, the rule that finds something in it, and what it finds.
 SNIPPETS = (
-    "debugger;", "if (a) {}", "foo();;", "new Symbol();", "!a in b;", "x == -0;", "x === NaN;", "typeof x === 'strnig';", "var a = [,1];", "a = { b: 1, b: 2 };", "switch (a) { case 1: case 1: }",
-    "for (let i = 0; i < 9; i--) { f(i); }", "class A extends B { constructor() { this.a = 1; super(); } }", "while (true) { f(); }", "if (!!a) { f(); }", "new RegExp('(');", "try { a(); } finally { throw b; }",
-    "foo.hasOwnProperty('a');", "if (a = b) { f(); }", "for (const a of b) { await a; }",
+    ("debugger;", "no-debugger", "debugger;"), ("if (a) {}", "no-empty", "{}"), ("foo();;", "no-extra-semi", ";"), ("new Symbol();", "no-new-symbol", "new Symbol()"), ("!a in b;", "no-unsafe-negation", "!a"), ("x == -0;", "no-compare-neg-zero", "x == -0"),
+    ("x === NaN;", "use-isnan", "x === NaN"), ("typeof x === 'strnig';", "valid-typeof", "'strnig'"), ("var a = [,1];", "no-sparse-arrays", "[,1]"), ("a = { b: 1, b: 2 };", "no-dupe-keys", "b"), ("switch (a) { case 1: case 1: }", "no-duplicate-cases", "1"),
+    ("for (let i = 0; i < 9; i--) { f(i); }", "for-direction", "for (let i = 0; i < 9; i--) { f(i); }"), ("class A extends B { constructor() { this.a = 1; super(); } }", "no-this-before-super", "this"), ("while (true) { f(); }", "no-constant-condition", "true"),
+    ("if (!!a) { f(); }", "no-extra-boolean-cast", "!"), ("new RegExp('(');", "no-invalid-regexp", "new RegExp('(')"), ("try { a(); } finally { throw b; }", "no-unsafe-finally", "throw b;"), ("foo.hasOwnProperty('a');", "no-prototype-builtins", "foo.hasOwnProperty('a')"),
+    ("if (a = b) { f(); }", "no-cond-assign", "(a = b)"), ("for (const a of b) { await a; }", "no-await-in-loop", "await a"), ("class A extends B { constructor() { f(); } }", "constructor-super", "constructor() { f(); }"), ("a = { get b() { f(); } };", "getter-return", "{ f(); }"),
+    ("new Promise(async () => f());", "no-async-promise-executor", "async () => f()"), ("a => b ? c : d;", "no-confusing-arrow", "a => b ? c : d"), ("import a from 'x'; import b from 'x';", "no-duplicate-imports", "import b from 'x';"), ("if (a) { function b() { f(); } }", "no-inner-declarations", "function b() { f(); }"),
+    ("a = { set b(c) { return c; } };", "no-setter-return", "{ return c; }"), ("a\n(b);", "no-unexpected-multiline", "a\n(b)"), ("f(1, 2);", "no-irregular-whitespace", " "), ("function* a() { f(); }", "require-yield", "function* a() { f(); }"), ("a = /[0-9]/;", "simplify-regex", "/[0-9]/"), ("if (a) {f(); }", "block-spacing", "{f(); }"),
 )
-HITS = {
-    0: "no-debugger", 1: "no-empty", 2: "no-extra-semi", 3: "no-new-symbol", 4: "no-unsafe-negation", 5: "no-compare-neg-zero", 6: "use-isnan", 7: "valid-typeof", 8: "no-sparse-arrays", 9: "no-dupe-keys", 10: "no-duplicate-cases",
-    11: "for-direction", 12: "no-this-before-super", 13: "no-constant-condition", 14: "no-extra-boolean-cast", 15: "no-invalid-regexp", 16: "no-unsafe-finally", 17: "no-prototype-builtins", 18: "no-cond-assign", 19: "no-await-in-loop",
-}
 
 
 def snippet_files(spark: SparkSession) -> DataFrame:
-    return files_from(spark.createDataFrame([(f"{i:03d}.mjs", s) for i, s in enumerate(SNIPPETS)], "path string, source string"))
+    return files_from(spark.createDataFrame([(f"{i:03d}.mjs", s) for i, (s, _, _) in enumerate(SNIPPETS)], "path string, source string"))
+
+
+def sql_text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{i:03d}.mjs', '{r}')" for i, r in HITS.items()) + ") t(path, rule)")
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{i:03d}.mjs', '{r}', {sql_text(t)})" for i, (_, r, t) in enumerate(SNIPPETS)) + ") t(path, rule, found)")
 def rule_hits_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """2.5: findings of the recommended rules in snippets."""
-    return lint(snippet_files(spark)).diagnostics.where("phase = 'rule'").select("path", "rule")
+    """2.5: every rule, and what of a source it finds."""
+    files = snippet_files(spark)
+    found = lint(files, rules={n: {} for n in RULES}).diagnostics
+    text = F.expr("cast(substring(cast(source as binary), start + 1, end - start) as string)")
+    return found.join(files.select("file_id", "source"), "file_id").select("path", "rule", text.alias("found"))
 
 
 PATTERNS = (("(a*)*", "(a*)"), ("[a-zA-Z0-9_]", "[\\w]"), ("[0-9]", "\\d"), ("a{0,}", "a*"), ("a{1,}", "a+"), ("aaa", "a{3}"), ("abc", None))
@@ -267,14 +291,14 @@ def inferred_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infer_block_spacing(nodes_of(parsed(files)))
 
 
-@query("SELECT '000.mjs' AS path, '1:1  error  a debugger statement  no-debugger' AS text")
+@query("SELECT * FROM (VALUES ('000.mjs', '1:1  error  a debugger statement  no-debugger'), ('001.mjs', '1:8  error  an empty block  no-empty'), ('002.mjs', '1:7  error  an unneeded semicolon  no-extra-semi'), ('003.mjs', '1:1  error  Symbol can not be called with new  no-new-symbol'), ('008.mjs', '1:9  error  an array literal with holes  no-sparse-arrays'), ('010.mjs', '1:27  error  the case 1 was there before  no-duplicate-cases')) t(path, text)")
 def short_report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K2: the short report."""
-    files = snippet_files(spark).where("path = '000.mjs'")
+    files = snippet_files(spark).where("path in ('000.mjs', '001.mjs', '002.mjs', '003.mjs', '008.mjs', '010.mjs')")
     return short_report(lint(files).diagnostics).select("path", "text")
 
 
-@query(f"SELECT 0::BIGINT AS failed, 0::BIGINT AS warned, count(*) AS succeeded FROM {SCRIPT}")
+@query(f"SELECT count(*) FILTER (page_id % 5 IN (1, 3)) AS failed, count(*) FILTER (page_id % 5 = 2) AS warned, count(*) FILTER (page_id % 5 IN (0, 4)) AS succeeded FROM {SCRIPT}")
 def outcome_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K4: totals of a run over the pages' scripts."""
-    return totals(lint(scripts_of(table(spark, sf_dir, "pages"))).outcomes).drop("text")
+    return totals(lint(planted_scripts(spark, sf_dir), parse_config(CONFIG)).outcomes).drop("text")

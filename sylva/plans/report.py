@@ -11,15 +11,19 @@ from sylva.operators.rules import RULES
 FORMATTERS = ("long", "short")
 
 
+def padded(rows: DataFrame, columns: list[str], per: list[str]) -> DataFrame:
+    """rows with text columns filled up with blanks to the widest of their group."""
+    own = Window.partitionBy(*per)
+    wide = rows.withColumns({f"_w_{c}": F.max(F.length(c)).over(own) for c in columns})
+    return wide.withColumns({c: F.rpad(c, F.col(f"_w_{c}"), " ") for c in columns}).drop(*[f"_w_{c}" for c in columns])
+
+
 def short_report(diagnostics: DataFrame) -> DataFrame:
     """path, line_no, text: a line a diagnostic, its columns padded to the widest of the file; lines and columns count from 1."""
-    where = F.concat_ws(":", F.col("line") + 1, F.col("col") + 1)
-    own = Window.partitionBy("path")
-    rows = diagnostics.withColumns({"_at": where, "_rule": F.coalesce("rule", "phase")})
-    rows = rows.withColumns({"_w1": F.max(F.length("_at")).over(own), "_w2": F.max(F.length("severity")).over(own), "_w3": F.max(F.length("title")).over(own)})
-    text = F.concat(F.expr("rpad(_at, _w1, ' ')"), F.lit("  "), F.expr("rpad(severity, _w2, ' ')"), F.lit("  "), F.expr("rpad(title, _w3, ' ')"), F.lit("  "), "_rule")
     order = Window.partitionBy("path").orderBy("start", "end", "_rule", "title")
-    return rows.select("path", F.row_number().over(order).alias("line_no"), text.alias("text"))
+    rows = diagnostics.withColumns({"_at": F.concat_ws(":", F.col("line") + 1, F.col("col") + 1), "_rule": F.coalesce("rule", "phase")})
+    rows = padded(rows.withColumn("line_no", F.row_number().over(order)), ["_at", "severity", "title"], ["path"])
+    return rows.select("path", "line_no", F.concat_ws("  ", "_at", "severity", "title", "_rule").alias("text"))
 
 
 def long_report(diagnostics: DataFrame, files: DataFrame) -> DataFrame:

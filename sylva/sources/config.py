@@ -7,6 +7,9 @@ import tomllib
 from dataclasses import dataclass, field
 from pathlib import Path
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from sylva.functions.names import best_match
 from sylva.operators.rules import RULES
 
@@ -98,3 +101,17 @@ def select_rules(config: Config | None) -> tuple[dict[str, tuple[str, dict]], li
             del out[name]
     # A rule in warnings is demoted even where errors list it, too.
     return {n: ("warning" if n in config.warnings else level, o) for n, (level, o) in out.items()}, said
+
+
+def merged_levels(tables: list[DataFrame], allowed: DataFrame, key: str = "rule") -> DataFrame:
+    """Tables of (key, level) as one, in which an earlier table's key wins, without the keys of allowed."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t.join(out.select(key), key, "left_anti"))
+    return out.join(allowed.select(key), key, "left_anti")
+
+
+def with_levels(found: DataFrame, levels: DataFrame) -> DataFrame:
+    """found (rule, severity, …) with errors of rules that levels (rule, level; a short table) lists at that level; nothing is promoted."""
+    joined = found.join(F.broadcast(levels.select("rule", F.col("level").alias("_level"))), "rule", "left")
+    return joined.withColumn("severity", F.when(F.col("severity") == "error", F.coalesce("_level", F.lit("error"))).otherwise(F.col("severity"))).drop("_level")

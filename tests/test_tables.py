@@ -145,9 +145,9 @@ def test_reload(spark):
 def test_lines_of_offsets_in_all_documents(spark, tmp_path):
     texts = ["", None, "a\nb", "é\n" * 9, "日本\n語\n\U0001f600", "\n"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = [tuple(r) for r in QUERIES["offset_to_line_of_all"](spark, str(tmp_path)).collect()]
+    got = [tuple(r) for r in QUERIES["offset_to_line"](spark, str(tmp_path)).collect()]
     want = [(i, at, b[:at].count(b"\n")) for i, b in enumerate((t or "").encode() for t in texts) for at in (0, len(b) // 2, len(b))]
     assert sorted(got) == sorted(want)
     duckdb = pytest.importorskip("duckdb")
     documents = duckdb.read_parquet(f"{tmp_path}/documents.parquet/*.parquet")  # noqa: F841
-    assert sorted(duckdb.sql(ORACLES["offset_to_line_of_all"]).fetchall()) == sorted(want)
+    assert sorted(duckdb.sql(ORACLES["offset_to_line"]).fetchall()) == sorted(want)
