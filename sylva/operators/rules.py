@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,15 +32,16 @@ class Rule:
     kinds: tuple[str, ...] = ()
     matches: Callable[[dict], list[str]] | None = None  # per-row expressions
     frame: Callable[[DataFrame, DataFrame, dict], DataFrame] | None = None  # nodes, tokens, options
-    roles: tuple[str, ...] = ()  # of nodes that a frame looks at, with their paths
+    repeats: Callable[[DataFrame, dict], DataFrame] | None = None  # nodes, options: rows of which one may repeat another
+    roles: tuple[str, ...] = ()  # of nodes that repeats looks at, with their paths
 
 
 RULES: dict[str, Rule] = {}
 
 
-def rule(name: str, group: str, docs: str, kinds: str = "", recommended: bool = True, frame: bool = False, roles: str = "", **options):
+def rule(name: str, group: str, docs: str, kinds: str = "", recommended: bool = True, frame: bool = False, repeats: bool = False, roles: str = "", **options):
     def register(f):
-        RULES[name] = Rule(name, group, docs, recommended, options, tuple(kinds.split()), None if frame else f, f if frame else None, tuple(roles.split()))
+        RULES[name] = Rule(name, group, docs, recommended, options, tuple(kinds.split()), None if frame or repeats else f, f if frame else None, f if repeats else None, tuple(roles.split()))
         return f
 
     return register
@@ -298,27 +300,32 @@ def repeated(rows: DataFrame, keys: list[str], title: str) -> DataFrame:
     """All but the first of the rows with equal keys in a file, with where the first starts; a key's rows are few: those of one object, switch or file."""
     w = Window.partitionBy("file_id", *keys).orderBy("pre")
     none = F.expr(f"cast(array() as {FIXES})")
-    return rows.withColumns({"_n": F.row_number().over(w), "first": F.first("start").over(w)}).where("_n > 1").select("file_id", "pre", "start", "end", "first", F.expr(title).alias("title"), F.lit("").alias("label"), none.alias("fixes"))
+    kept = [c for c in ("rule",) if c in rows.columns]
+    return rows.withColumns({"_n": F.row_number().over(w), "first": F.first("start").over(w)}).where("_n > 1").select("file_id", *kept, "pre", "start", "end", "first", F.expr(title).alias("title"), F.lit("").alias("label"), none.alias("fixes"))
 
 
-@rule("no-dupe-keys", "errors", "An object literal with equal keys.", frame=True, roles="key")
-def no_dupe_keys(nodes: DataFrame, tokens: DataFrame, o: dict) -> DataFrame:
+def _keyed(rows: DataFrame, key: str, title: str) -> DataFrame:
+    """Rows that may repeat each other, for one window over all such rules: key and title are SQL."""
+    return rows.select("file_id", "pre", "start", "end", F.expr(f"cast({key} as string)").alias("_key"), F.expr(title).alias("_title"))
+
+
+@rule("no-dupe-keys", "errors", "An object literal with equal keys.", repeats=True, roles="key")
+def no_dupe_keys(nodes: DataFrame, o: dict) -> DataFrame:
     keys = nodes.where("role = 'key' and grandparent_kind = 'OBJECT_EXPR' and parent_kind in ('LITERAL_PROP', 'METHOD', 'GETTER', 'SETTER', 'IDENT_PROP')")
-    keys = keys.withColumn("_of", F.expr(f"{up(2)}.pre"))
-    return repeated(keys, ["_of", "lexh"], "concat('the key ', coalesce(text, '…'), ' was there before')")
+    return _keyed(keys, f"concat_ws(' ', {up(2)}.pre, lexh)", "concat('the key ', coalesce(text, '…'), ' was there before')")
 
 
-@rule("no-duplicate-cases", "errors", "A switch with equal cases.", frame=True, roles="test")
-def no_duplicate_cases(nodes: DataFrame, tokens: DataFrame, o: dict) -> DataFrame:
-    tests = nodes.where("role = 'test' and parent_kind = 'CASE_CLAUSE'").withColumn("_of", F.expr(f"{up(2)}.pre"))
-    return repeated(tests, ["_of", "lexh"], "concat('the case ', coalesce(text, '…'), ' was there before')")
+@rule("no-duplicate-cases", "errors", "A switch with equal cases.", repeats=True, roles="test")
+def no_duplicate_cases(nodes: DataFrame, o: dict) -> DataFrame:
+    tests = nodes.where("role = 'test' and parent_kind = 'CASE_CLAUSE'")
+    return _keyed(tests, f"concat_ws(' ', {up(2)}.pre, lexh)", "concat('the case ', coalesce(text, '…'), ' was there before')")
 
 
-@rule("no-duplicate-imports", "errors", "A module imported twice.", "IMPORT_DECL EXPORT_NAMED EXPORT_WILDCARD", frame=True, include_exports=False)
-def no_duplicate_imports(nodes: DataFrame, tokens: DataFrame, o: dict) -> DataFrame:
+@rule("no-duplicate-imports", "errors", "A module imported twice.", "IMPORT_DECL EXPORT_NAMED EXPORT_WILDCARD", repeats=True, include_exports=False)
+def no_duplicate_imports(nodes: DataFrame, o: dict) -> DataFrame:
     kinds = "('IMPORT_DECL', 'EXPORT_NAMED', 'EXPORT_WILDCARD')" if o["include_exports"] else "('IMPORT_DECL')"
-    rows = nodes.where(f"kind in {kinds} and depth = 1 and {info('source')} is not null").withColumns({"_from": F.expr(info("source")), "_type": F.expr("array_contains(flags, 'type')")})
-    return repeated(rows, ["_from", "_type"], "concat('the module ', _from, ' was imported before')")
+    rows = nodes.where(f"kind in {kinds} and depth = 1 and {info('source')} is not null")
+    return _keyed(rows, f"concat(array_contains(flags, 'type'), ' ', {info('source')})", f"concat('the module ', {info('source')}, ' was imported before')")
 
 
 #: Code points of unusual white space.
@@ -378,26 +385,39 @@ def needs_of(selected: dict[str, dict]) -> Needs:
     return Needs(*map(frozenset, (kinds, roles, path, kids)), regexes, STEERING, f"[{''.join(map(chr, IRREGULAR))}]" if "no-irregular-whitespace" in selected else "(?!)")
 
 
-def run_rules(nodes: DataFrame, tokens: DataFrame | None, selected: dict[str, dict] | None = None) -> DataFrame:
-    """Findings of the selected rules (name to options; all if None): file_id, rule, pre, start, end, title, label, fixes."""
-    selected = {n: {} for n in RULES} if selected is None else selected
-    one_scan, frames, kinds = [], [], set()
+COLUMNS = ["file_id", "rule", "pre", "start", "end", "title", "label", "fixes"]
+
+
+def row_findings(nodes: DataFrame, selected: dict[str, dict]) -> DataFrame | None:
+    """Findings of the rules over single rows: one scan, no shuffle."""
+    tests, kinds = [], set()
     for name in sorted(selected):
-        r = RULES[name]
-        o = options_of(r, selected[name])
-        if r.matches is not None:
+        if (r := RULES[name]).matches is not None:
             kinds.update(r.kinds)
-            tests = " or ".join(f"kind = {q(k)}" for k in r.kinds)
-            one_scan += [f"if({tests}, named_struct('rule', {q(name)}, 'm', {m}), null)" for m in r.matches(o)]
-        elif tokens is not None or r.roles or r.kinds:  # without tokens nothing is found by a rule over tokens alone
-            frames.append(r.frame(nodes, tokens, o).withColumn("rule", F.lit(name)))
-    columns = ["file_id", "rule", "pre", "start", "end", "title", "label", "fixes"]
-    out: DataFrame | None = None
-    if one_scan:
-        found = nodes.where(F.col("kind").isin(sorted(kinds))).select("file_id", "pre", F.explode(F.expr(f"filter(array({', '.join(one_scan)}), x -> x.m is not null)")).alias("x"))
-        out = found.select("file_id", F.col("x.rule").alias("rule"), "pre", "x.m.*").select(columns)
-    for f in frames:
-        out = f.select(columns) if out is None else out.unionByName(f.select(columns))
-    return nodes.limit(0).selectExpr("file_id", "'' as rule", "pre", "start", "end", "'' as title", "'' as label", f"cast(array() as {FIXES}) as fixes") if out is None else out
+            own = " or ".join(f"kind = {q(k)}" for k in r.kinds)
+            tests += [f"if({own}, named_struct('rule', {q(name)}, 'm', {m}), null)" for m in r.matches(options_of(r, selected[name]))]
+    if not tests:
+        return None
+    found = nodes.where(F.col("kind").isin(sorted(kinds))).select("file_id", "pre", F.explode(F.expr(f"filter(array({', '.join(tests)}), x -> x.m is not null)")).alias("x"))
+    return found.select("file_id", F.col("x.rule").alias("rule"), "pre", "x.m.*").select(COLUMNS)
 
 
+def other_findings(nodes: DataFrame, tokens: DataFrame | None, selected: dict[str, dict]) -> list[DataFrame]:
+    """Findings of the rules that compare rows, by one window over the rows of all of them, and of those over tokens, if there are any."""
+    rows, out = [], []
+    for name in sorted(selected):
+        r = RULES[name]
+        if r.repeats is not None:
+            rows.append(r.repeats(nodes, options_of(r, selected[name])).withColumn("rule", F.lit(name)))
+        elif r.frame is not None and tokens is not None:
+            out.append(r.frame(nodes, tokens, options_of(r, selected[name])).withColumn("rule", F.lit(name)).select(COLUMNS))
+    if rows:
+        out.append(repeated(reduce(DataFrame.unionByName, rows), ["rule", "_key"], "_title").select(COLUMNS))
+    return out
+
+
+def run_rules(nodes: DataFrame, tokens: DataFrame | None, selected: dict[str, dict] | None = None) -> DataFrame:
+    """Findings of the selected rules (name to options; all if None): file_id, rule, pre, start, end, title, label, fixes."""
+    selected = {n: {} for n in RULES} if selected is None else selected
+    parts = [x for x in (row_findings(nodes, selected), *other_findings(nodes, tokens, selected)) if x is not None]
+    return reduce(DataFrame.unionByName, parts)

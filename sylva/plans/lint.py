@@ -25,6 +25,7 @@ from sylva.session import shared_table
 from sylva.sources.config import Config, select_rules
 from sylva.sources.files import line_at
 
+NONE = (("file_id", "bigint"), ("rule", "string"), ("pre", "int"), ("start", "int"), ("end", "int"), ("title", "string"), ("label", "string"), ("fixes", R.FIXES))
 PASSES = 11  # how often fixing goes round at most
 
 
@@ -75,10 +76,15 @@ def lint(files: DataFrame, config: Config | None = None, rules: dict[str, dict]
     none = F.expr(f"cast(array() as {R.FIXES})")
     about = lambda phase, df, severity="error": df.select("file_id", F.lit(phase).alias("phase"), F.lit(None).cast("string").alias("rule"), F.lit(severity).alias("severity"), "title", F.lit("").alias("label"), "start", "end", none.alias("fixes"))
     parts = [about("parse", errors_of(trees))]
-    steering = parse_directives(tokens, nodes)
     any_tokens = tokens.limit(1).count() > 0  # only files with steering comments or odd characters have tokens here
+    steering = parse_directives(tokens, nodes)
+    if any_tokens:
+        steering = shared_table(steering, "directives")
     if selected:
-        found = R.run_rules(nodes, tokens if any_tokens else None, rules_)
+        # The large expressions of the row rules run by themselves, in a job without a shuffle.
+        single = R.row_findings(nodes, rules_)
+        several = R.other_findings(nodes, tokens if any_tokens else None, rules_)
+        found = reduce(DataFrame.unionByName, [*([] if single is None else [shared_table(single, "hits")]), *several]) if several or single is not None else nodes.limit(0).select(*[F.lit(None).cast(t).alias(c) for c, t in NONE])
         levels = F.create_map(*[F.lit(x) for n, (level, _) in selected.items() for x in (n, level)])
         kept = (apply_ignores(found, steering) if directives and any_tokens else found).dropDuplicates(["file_id", "rule", "start", "end", "title"])
         parts.append(kept.select("file_id", F.lit("rule").alias("phase"), "rule", levels[F.col("rule")].alias("severity"), "title", "label", "start", "end", "fixes"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ def files_from(sources: DataFrame, path_col: str = "path", source_col: str = "so
     return sources.select(F.xxhash64(path).alias("file_id"), path.alias("path"), F.element_at(F.split(path, "/"), -1).alias("name"), kind_of(path, override).alias("kind"), source.alias("source"), F.octet_length(source).alias("n_bytes"))
 
 
-def load_files(spark: SparkSession, paths: str | list[str], ignore: list[str] | None = None, override: str | None = None, root: str = "", hidden: bool = False) -> DataFrame:
+def load_files(spark: SparkSession, paths: str | list[str], ignore: list[str] | list[tuple[str, bool]] | None = None, override: str | None = None, root: str = "", hidden: bool = False) -> DataFrame:
     """js, mjs and ts files below the paths (globs allowed). ignore: patterns as in an ignore file; hidden files are skipped unless asked for."""
     glob = "*.{" + ",".join(EXTENSIONS) + "}"
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(paths)
@@ -69,11 +70,32 @@ def pattern_regex(pattern: str) -> tuple[str, bool] | None:
     return ("^" if anchored else "^(?:.*/)?") + out + ("/.*$" if only_folders else "(?:/.*)?$"), negated
 
 
-def ignored(path: Column, patterns: list[str]) -> Column:
+#: Names of the files that say what to leave out; later ones count more.
+IGNORE_FILES = (".gitignore", ".ignore", ".sylvaignore")
+
+
+def ignore_rules(root: str | Path) -> list[tuple[str, bool]]:
+    """The lines of all ignore files in a folder and those below it, as (regular expression of paths relative to it, negated).
+
+    A line of a nested folder concerns paths in that folder only, and counts more than those of the folders above. The files are read
+    by the driver: there are as many as folders with one.
+    """
+    root, out = Path(root), []
+    found = [(p.parent, p) for n in IGNORE_FILES for p in root.rglob(n) if p.is_file()]
+    for folder, p in sorted(found, key=lambda x: (len(x[0].parts), x[0], IGNORE_FILES.index(x[1].name))):
+        inside = folder.relative_to(root).as_posix()
+        prefix = "" if inside == "." else re.escape(inside) + "/"
+        for line in p.read_text(encoding="utf-8", errors="replace").splitlines():
+            if (made := pattern_regex(line)) is not None:
+                out.append(("^" + prefix + made[0][1:], made[1]))
+    return out
+
+
+def ignored(path: Column, patterns: list[str] | list[tuple[str, bool]]) -> Column:
     """Whether the last matching pattern takes a path out; patterns with ! take it back in."""
     out = F.lit(False)
     for p in patterns:
-        if (made := pattern_regex(p)) is not None:
+        if (made := pattern_regex(p) if isinstance(p, str) else p) is not None:
             out = F.when(path.rlike(made[0]), F.lit(not made[1])).otherwise(out)
     return out
 

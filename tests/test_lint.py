@@ -247,3 +247,29 @@ def test_an_await_far_down_a_chain_is_in_its_loop(spark):
     texts = {"a.mjs": f"for (;;) {{ x = await f(){chain}; }}", "b.mjs": f"for (;;) {{ g(async () => await f(){chain}); }}", "c.mjs": f"x = await f(){chain};"}
     run = lint(files_from(spark.createDataFrame(list(texts.items()), "path string, source string")), rules={"no-await-in-loop": {}})
     assert [(r.path, r.rule) for r in run.diagnostics.collect()] == [("a.mjs", "no-await-in-loop")]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import io
+
+    from sylva.__main__ import main
+    from sylva.sources.files import ignore_rules
+
+    for name, text in {"a.js": "debugger;;\n", "sub/b.mjs": "if (a) { f(); }\n", "dist/c.js": "debugger;", "sub/keep.js": "debugger;", "sub/drop.js": "debugger;", ".gitignore": "dist/\n*drop.js\n", "sub/.sylvaignore": "/keep.js\n", "sylva.toml": "[rules]\ngroups = ['errors']\n[errors]\nformatter = 'short'\n"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    assert [n for _, n in ignore_rules(tmp_path)] == [False] * 3
+    out = io.StringIO()
+    assert main(["lint", str(tmp_path)], spark, out) == 1
+    text = out.getvalue()
+    assert "a debugger statement" in text and "dist" not in text and "keep" not in text and "drop" not in text and "Outcome: 1 fail, 0 warn, 1 success" in text
+    out = io.StringIO()
+    assert main(["fix", "--formatter", "long", str(tmp_path)], spark, out) == 1
+    assert (tmp_path / "a.js").read_text() == "debugger;\n" and "fixed 1 problems" in out.getvalue()
+    out = io.StringIO()
+    assert main(["infer", str(tmp_path)], spark, out) == 0 and 'style = "always"' in out.getvalue()
+    assert main(["explain", "no-debugger"], spark, out) == 0 and "Recommended: yes" in out.getvalue()
+    assert main(["explain", "no-debuger"], spark, out) == 2 and "did you mean no-debugger" in capsys.readouterr().err
+    assert main(["rules"], spark, out) == 0 and "valid-typeof" in out.getvalue()
+    (tmp_path / "none").mkdir()
+    assert main(["lint", "--no-config", str(tmp_path / "none")], spark, out) == 2
