@@ -268,7 +268,9 @@ def assign(pieces: DataFrame, capacity: int = 2048, rows_per_bucket: int = 20_00
     counts = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_bucket")) - F.col("_n"))
     histogram = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most capacity rows
     slots = _slots(reduce_and_fit(histogram, capacity))
-    slots = spark.createDataFrame(slots or [(0, 0, 0, 0, 1, 0)], "length long, _first long, _ranks long, _sequence long, _per long, _at long").orderBy("length", "_first")
+    names = ("length", "_first", "_ranks", "_sequence", "_per", "_at")
+    columns = np.array(slots or [(0, 0, 0, 0, 1, 0)], np.int64).T
+    slots = spark.createDataFrame(pa.table(dict(zip(names, map(pa.array, columns), strict=True))))  # a local table, which takes no Python worker
     by_length = slots.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("_first", "_ranks", "_sequence", "_per", "_at"))).alias("_slots"))
     ranked = (
         salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("_hash", "doc_id", "piece")) - 1)
