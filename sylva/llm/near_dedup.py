@@ -144,12 +144,12 @@ def _verified(pairs: DataFrame, n: int, texts: DataFrame, shingle: int, numerato
     for side in "ab":
         # A table of its own: a stage that reads texts in Python and compares them in Python would take twice the workers.
         own = shared_table(_only(texts, pairs.select(F.col(side).alias("rep")).distinct(), n), "sides")
-        pairs = pairs.join(own.select(F.col("rep").alias(side), F.col("text").alias(f"t{side}")), side)
+        pairs = pairs.join(own.select(F.col("rep").alias(side), F.col("tx").alias(f"x{side}"), F.col("text").alias(f"t{side}")), side)
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make, sets = Shingler(shingle), {}
 
-        def of(i: int, text: pa.Scalar) -> np.ndarray:
+        def of(i: tuple[int, int], text: pa.Scalar) -> np.ndarray:  # an id may stand for several texts
             if i not in sets:
                 if len(sets) >= 64:
                     sets.clear()
@@ -158,7 +158,7 @@ def _verified(pairs: DataFrame, n: int, texts: DataFrame, shingle: int, numerato
 
         for b in batches:
             keep = []
-            for i, j, x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+            for j, x, y in zip(zip(b.column(1).to_pylist(), b.column(4).to_pylist(), strict=True), b.column(2), b.column(3), strict=True):
                 y, x = of(j, y), make(x.as_py())
                 both = 0
                 if denominator * min(len(x), len(y)) >= numerator * max(len(x), len(y)):
@@ -166,7 +166,7 @@ def _verified(pairs: DataFrame, n: int, texts: DataFrame, shingle: int, numerato
                 keep.append(denominator * both >= numerator * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b", "ta", "tb").mapInArrow(in_worker("near_dedup", test), "a bigint, b bigint")
+    return pairs.select("a", "b", "ta", "tb", "xb").mapInArrow(in_worker("near_dedup", test), "a bigint, b bigint")
 
 
 def _early_shingles(left: DataFrame, texts: DataFrame, shingle: int, numerator: int, denominator: int) -> DataFrame:

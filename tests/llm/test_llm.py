@@ -544,7 +544,7 @@ def test_near_dedup_drops_rows_not_ids(spark):
     for rows, want in (
         ([(3, x), (5, x), (5, y), (9, y)], [(3, x), (5, y)]),
         ([(3, x), (3, x), (3, "  " + x)], None),
-        ([(5, y), (5, z)], [(5, y), (5, z)]),
+        ([(5, y), (5, z), (6, z + " end")], [(5, y), (5, z)]),
         ([(None, x), (7, x), (None, y), (None, y), (None, z)], [(7, x), (None, y), (None, z)]),
         ([(1, ""), (1, ""), (2, None), (2, None)], [(1, ""), (1, ""), (2, None), (2, None)]),
     ):
