@@ -7,11 +7,13 @@ import ctypes
 import gc
 import io
 import os
+import re
 import shutil
 import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 from typing import TypeVar
 
@@ -42,20 +44,41 @@ def local_session(cores: int | str = "*", **extra: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset (tests), a folder of our own."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; in local mode (tests), where it may be unset, a folder of our own."""
     global _own_dir
     if where := spark.sparkContext.getConf().get("spark.checkpoint.dir"):
         return where.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is unset: on a cluster it has to name a folder that driver and executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="sylva-")
         atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
     return f"file://{_own_dir}"
 
 
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the shared tables that are made inside, at its end: results have to be written (or collected) before."""
+    own: list[str] = []
+    _scratch.append(own)
+    try:
+        yield
+    finally:
+        _scratch.remove(own)
+        for name in own:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shared_table(df: DataFrame, name: str, partition: str | None = None) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back: cuts the lineage and survives the loss of executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/sylva-{name}-{uuid.uuid4().hex}"
+    for held in _scratch:
+        held.append(path)
     (df.write.partitionBy(partition) if partition else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -1,8 +1,9 @@
 """Editor mode: a stream of document events (uri, seq, event, text) and the current findings of every open document.
 
 ``open`` and ``change`` carry the whole text, of which the last by sequence number counts; ``close`` takes the findings back. Each micro-batch
-keeps the last event of every document it touches, lints the open ones and upserts into the table of findings: exactly once by
-(uri, seq), because an event that is not newer than what the table holds is dropped.
+keeps the last event of every document it touches, lints the open ones and writes their findings as its own version: exactly once by
+(uri, seq), because an event that is not newer than what the versions hold is dropped. Only touched documents are written; of a document
+the latest version counts, and :func:`compact` puts the versions together when a reader has too many of them.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ def findings_of(events: DataFrame, rules: dict[str, dict] | None = None) -> Data
 
 
 def publish(events: DataFrame, folder: str, publish_batch: Callable[[DataFrame, int], None] | None = None, rules: dict[str, dict] | None = None, checkpoint: str | None = None) -> StreamingQuery:
-    """Runs over a streaming DataFrame of events; ``folder`` holds the versions of the findings table, one folder a batch.
+    """Runs over a streaming DataFrame of events; ``folder`` holds the findings of each batch in a folder of its own.
 
     publish_batch gets what changed: the findings of the touched documents and, for closed or clean ones, a row with a null rule.
     """
@@ -48,28 +49,42 @@ def publish(events: DataFrame, folder: str, publish_batch: Callable[[DataFrame,
             known = before.groupBy("uri").agg(F.max("seq").alias("known"))
             last = last.join(known, "uri", "left").where("known is null or seq > known").drop("known")
         last = last.persist()
-        found = findings_of(last, rules)
-        touched = last.select("uri", "seq").join(found.drop("seq"), "uri", "left")
-        if before is not None:
-            touched = before.join(last.select("uri"), "uri", "left_anti").unionByName(touched)
-        touched.write.mode("overwrite").parquet(f"{folder}/batch-{number:09d}")
+        touched = last.select("uri", "seq").join(findings_of(last, rules).drop("seq"), "uri", "left")
+        touched.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/batch-{number:09d}")
         if publish_batch is not None:
-            publish_batch(current(spark, folder, number).join(last.select("uri"), "uri", "left_semi"), number)
+            publish_batch(spark.read.parquet(f"{folder}/batch-{number:09d}").drop("batch"), number)
         last.unpersist()
 
     writer = events.writeStream.foreachBatch(batch).outputMode("update").trigger(availableNow=True)
     return writer.option("checkpointLocation", checkpoint or f"{folder}/checkpoint").start()
 
 
-def current(spark: SparkSession, folder: str, number: int | None = None) -> DataFrame | None:
-    """The findings table after a batch (the last one if no number is given); a row with a null rule says that a document has none."""
+def _versions(spark: SparkSession, folder: str, number: int | None) -> list[str]:
+    """The newest compacted table up to a batch, and the batches after it."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(path):
+        return []
+    found = [(int(n.split("-")[1]), n) for s in fs.listStatus(path) if (n := PurePosixPath(s.getPath().toString()).name).startswith(("batch-", "base-"))]
+    found = [(k, n) for k, n in found if number is None or k <= number]
+    base = max((x for x in found if x[1].startswith("base-") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{x[1]}/_SUCCESS"))), default=(-1, ""))
+    return [n for k, n in sorted(found) if n == base[1] or n.startswith("batch-") and k > base[0]]
+
+
+def current(spark: SparkSession, folder: str, number: int | None = None) -> DataFrame | None:
+    """The findings after a batch (the last one if no number is given); a row with a null rule says that a document has none."""
+    if not (names := _versions(spark, folder, number)):
         return None
-    names = sorted(PurePosixPath(s.getPath().toString()).name for s in fs.listStatus(path))
-    names = [n for n in names if n.startswith("batch-") and (number is None or int(n[6:]) <= number)]
-    return spark.read.parquet(f"{folder}/{names[-1]}") if names else None
+    rows = spark.read.parquet(*[f"{folder}/{n}" for n in names])
+    newest = rows.groupBy("uri").agg(F.max("batch").alias("batch"))
+    return rows.join(newest, ["uri", "batch"]).drop("batch")
+
+
+def compact(spark: SparkSession, folder: str) -> None:
+    """Writes the findings after the last batch as one table, from which later readers start; the batches may be removed afterwards."""
+    if names := _versions(spark, folder, None):
+        last = int(names[-1].split("-")[1])
+        current(spark, folder, last).withColumn("batch", F.lit(last)).write.mode("overwrite").parquet(f"{folder}/base-{last:09d}")
 
 
 def actions(findings: DataFrame, offset: int) -> DataFrame:

@@ -8,7 +8,7 @@ from sylva.plans.lint import edits_of, exit_code, fix, lint
 from sylva.plans.report import config_schema, dump_tree, explain, problems_fixed, report, rule_table, rules_markdown, totals
 from sylva.sources.config import parse_config, select_rules
 from sylva.sources.files import files_from, ignored, load_files, scripts_of
-from sylva.streaming.documents import actions, current, publish
+from sylva.streaming.documents import actions, compact, current, publish
 
 #: rule, options, number of findings, source
 SNIPPETS = [
@@ -220,6 +220,11 @@ def test_document_stream(spark, tmp_path):
     assert run() == {("a.js", 2, None), ("b.js", 3, "no-debugger")}
     send(3, ("b.js", 4, "close", None), ("a.js", 1, "change", "debugger;"))
     assert run() == {("a.js", 2, None), ("b.js", 4, None)}
+    assert spark.read.parquet(f"{folder}/batch-{2:09d}").select("uri").distinct().count() == 1  # only what a batch touches is written
+    compact(spark, folder)
+    assert run() == {("a.js", 2, None), ("b.js", 4, None)}
+    send(4, ("a.js", 3, "change", "debugger;"))
+    assert run() == {("a.js", 3, "no-debugger"), ("b.js", 4, None)}
 
 
 def test_long_texts(spark):

@@ -151,3 +151,15 @@ def test_lines_of_offsets_in_all_documents(spark, tmp_path):
     duckdb = pytest.importorskip("duckdb")
     documents = duckdb.read_parquet(f"{tmp_path}/documents.parquet/*.parquet")  # noqa: F841
     assert sorted(duckdb.sql(ORACLES["offset_to_line"]).fetchall()) == sorted(want)
+
+
+def test_scratch_tables_are_removed(spark):
+    from pathlib import Path
+
+    from sylva.session import scratch, shared_dir, shared_table
+
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    with scratch(spark):
+        assert shared_table(spark.range(3), "scratch-test").count() == 3
+        assert list(folder.glob("sylva-scratch-test-*"))
+    assert not list(folder.glob("sylva-scratch-test-*"))
