@@ -34,8 +34,10 @@ from __future__ import annotations
 import hashlib
 import tempfile
 from collections.abc import Iterator
+from contextlib import ExitStack
 from functools import reduce
 from pathlib import Path
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
@@ -233,6 +235,11 @@ def _range_minima(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return out
 
 
+def _read(f: BinaryIO, n: int, kind: type) -> np.ndarray:
+    f.seek(0)
+    return np.frombuffer(f.read(n * np.dtype(kind).itemsize), kind).copy() if n else np.zeros(0, kind)
+
+
 def column_rounds(segments: list[bytes], leads: list[int], folder: str, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
     """For each segment and column whether the string of ``length`` bytes that starts there is another segment's, too.
 
@@ -247,28 +254,30 @@ def column_rounds(segments: list[bytes], leads: list[int], folder: str, length:
     where = Path(folder)
     with open(where / "symbols", "wb") as f:
         f.write(np.ascontiguousarray(grid.T[::-1]).data)
-    names = [where / x for x in ("order", "transform", "prefixes")]
-    for p in names:
-        p.write_bytes(b"")
+    kept = 0  # entries in the files of the latest round
     by_end = np.argsort(end, kind="stable")
     ends = end[by_end]
     found = np.zeros((m, before + 1), bool)
-    with open(where / "symbols", "rb") as symbols:
+    with ExitStack() as stack:
+        symbols = stack.enter_context(open(where / "symbols", "rb", buffering=1 << 20))
+        # Opened once and written over in place: cutting them to nothing each round would make the file system flush them each time.
+        files = [(stack.enter_context(open(where / x, "w+b", buffering=0)), d) for x, d in (("order", np.uint32), ("transform", np.uint8), ("prefixes", np.uint8))]
         ahead = np.frombuffer(symbols.read(m), np.uint8)
         for t in range(width - 1, -1, -1):
             column, ahead = ahead, np.frombuffer(symbols.read(m), np.uint8) if t else None
-            order, transform, lcp = (np.fromfile(p, d) for p, d in zip(names, (np.uint32, np.uint8, np.uint8), strict=True))
+            order, transform, lcp = (_read(f, kept, d) for f, d in files)
             if len(gone := np.flatnonzero(start[order] > t)):
-                kept = np.delete(np.arange(len(order)), gone)
-                if len(kept):
-                    lcp = np.minimum.reduceat(lcp[: kept[-1] + 1], np.concatenate(([0], kept[:-1] + 1)))
+                stay = np.delete(np.arange(len(order)), gone)
+                if len(stay):
+                    lcp = np.minimum.reduceat(lcp[: stay[-1] + 1], np.concatenate(([0], stay[:-1] + 1)))
                 else:
                     lcp = lcp[:0]
-                order, transform = order[kept], transform[kept]
+                order, transform = order[stay], transform[stay]
             fresh = by_end[np.searchsorted(ends, t + 1) : np.searchsorted(ends, t + 2)].astype(np.uint32)
             if len(fresh):  # their suffixes were empty: they come before all others
                 order, transform, lcp = np.concatenate((fresh, order)), np.concatenate((column[fresh], transform)), np.concatenate((np.zeros(len(fresh), np.uint8), lcp))
-            if not len(order):
+            kept = len(order)
+            if not kept:
                 continue
             lcp[0] = 0
             perm = np.argsort(transform, kind="stable")
@@ -281,8 +290,9 @@ def column_rounds(segments: list[bytes], leads: list[int], folder: str, length:
                 full = now == length
                 full[:-1] |= full[1:]
                 found[order[full], t] = True
-            for p, x in zip(names, (order, ahead[order] if t else symbol, now), strict=True):
-                x.tofile(p)
+            for (f, d), x in zip(files, (order, ahead[order] if t else symbol, now), strict=True):
+                f.seek(0)
+                f.write(np.ascontiguousarray(x, d).data)
     return found
 
 
