@@ -138,7 +138,12 @@ def _parse_rows(needs: Needs | None):
 
 
 def spread(files: DataFrame) -> DataFrame:
-    """files over at least as many partitions as there are cores, so that a few large input partitions don't parse alone."""
+    """files over at least as many partitions as there are cores, so that a few large input partitions don't parse alone.
+
+    What comes out of a shuffle is dealt out already, and asking it for its partitions would run it.
+    """
+    if "Exchange" in files._jdf.queryExecution().executedPlan().toString():
+        return files
     cores = files.sparkSession.sparkContext.defaultParallelism
     return files.repartition(cores, "file_id") if files.rdd.getNumPartitions() < cores else files
 
