@@ -1,6 +1,7 @@
 """The command line: ``python -m sylva lint PATH...``, ``fix``, ``rules``, ``explain RULE...``, ``infer PATH...``.
 
-Exit codes: 0 without errors, 1 with any, 2 if no file is found or a command can't be carried out.
+Exit codes: 0 without errors, 1 with any, 2 if no file is found or a command can't be carried out,
+3 after a fault, which is reported with its trace.
 """
 
 from __future__ import annotations
@@ -8,8 +9,10 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+import traceback
 from pathlib import Path
 
+import pyspark
 from pyspark.sql import DataFrame, SparkSession
 
 from sylva.operators.rules import RULES
@@ -99,6 +102,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
     except (ValueError, OSError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 2
+    except Exception:
+        print(f"sylva stopped because of a fault of its own.\ncommand: {args.command}\npython: {sys.version.split()[0]}, spark: {pyspark.__version__}\n{traceback.format_exc()}", file=sys.stderr)
+        return 3
 
 
 if __name__ == "__main__":

@@ -76,3 +76,21 @@ def unwrap(start: Column, end: Column, inner_start: Column, inner_end: Column) -
 def unless_commented(fixes: Column, has_comment: Column) -> Column:
     """No fixes where they would drop a comment."""
     return F.when(has_comment, F.array().cast("array<struct<start:int,end:int,insert:string>>")).otherwise(fixes)
+
+
+def disjoint(edits: DataFrame) -> DataFrame:
+    """file_id, disjoint: whether no edit of a file overlaps another."""
+    return overlapping(edits).groupBy("file_id").agg((F.count_if("clash") == 0).alias("disjoint"))
+
+
+def eating_whitespace(edits: DataFrame, tokens: DataFrame, before: bool = True, after: bool = True) -> DataFrame:
+    """edits whose ranges also take the white space token that ends where they start, or starts where they end."""
+    blanks = tokens.where("kind = 'WHITESPACE'")
+    out = edits
+    if before:
+        left = blanks.select("file_id", F.col("start").alias("_s"), F.col("end").alias("start"))
+        out = out.join(left, ["file_id", "start"], "left").withColumn("start", F.coalesce("_s", "start")).drop("_s")
+    if after:
+        right = blanks.select("file_id", F.col("start").alias("end"), F.col("end").alias("_e"))
+        out = out.join(right, ["file_id", "end"], "left").withColumn("end", F.coalesce("_e", "end")).drop("_e")
+    return out.select(*edits.columns)

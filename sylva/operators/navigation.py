@@ -105,3 +105,58 @@ def comments(tokens: DataFrame) -> DataFrame:
     kind = F.when(F.col("text").startswith("//"), "line").when(F.col("text").rlike(r"^/\*\*(?!/)"), "doc").otherwise("block")
     content = F.regexp_replace("text", r"(?s)^(//|/\*\*?(?=[^/]|$))|\*/$", "")
     return tokens.where("kind = 'COMMENT'").select("file_id", "tok", kind.alias("kind"), content.alias("content"))
+
+
+def siblings_towards(nodes: DataFrame, of: DataFrame, forward: bool = True) -> DataFrame:
+    """The siblings after (or before) each row of ``of`` (file_id, pre, parent, ord): file_id, pre, distance, sibling, kind."""
+    mine = of.select("file_id", "parent", F.col("pre").alias("_of"), F.col("ord").alias("_ord"))
+    distance = F.col("ord") - F.col("_ord") if forward else F.col("_ord") - F.col("ord")
+    beside = nodes.where("parent >= 0").join(mine, ["file_id", "parent"]).withColumn("distance", distance).where("distance > 0")
+    return beside.select("file_id", F.col("_of").alias("pre"), "distance", F.col("pre").alias("sibling"), "kind")
+
+
+def is_loop(kind: Column) -> Column:
+    return kind.isin("FOR_STMT", "FOR_IN_STMT", "FOR_OF_STMT", "WHILE_STMT", "DO_WHILE_STMT")
+
+
+def readable_name(kind: Column) -> Column:
+    """The kind of a node in words."""
+    spelt = F.lower(F.regexp_replace(F.regexp_replace(kind, "_", " "), r"\bFN\b", "FUNCTION"))
+    for short, long in (("stmt", "statement"), ("expr", "expression"), ("decl", "declaration"), ("prop", "property")):
+        spelt = F.regexp_replace(spelt, rf"\b{short}\b", long)
+    return spelt
+
+
+def running_positions(lexed: DataFrame) -> DataFrame:
+    """Tokens by lexing alone (file_id, tok, len) with start and end: running sums of their lengths."""
+    upto = Window.partitionBy("file_id").orderBy("tok")
+    return lexed.withColumn("end", F.sum(F.col("len").cast("long")).over(upto)).withColumn("start", F.col("end") - F.col("len"))
+
+
+def with_trivia(tokens: DataFrame) -> DataFrame:
+    """Tokens that are no trivia with ``leading`` and ``trailing``, the trivia (tok, kind, text) on either side up to the next such token."""
+    before = Window.partitionBy("file_id").orderBy("tok").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = tokens.withColumn("_n", F.coalesce(F.count_if(~F.col("is_trivia")).over(before), F.lit(0)))
+    held = F.struct("tok", "kind", "text")
+    # trivia numbered n stand before the n-th token that is none (from 0), and after the one before it
+    gaps = numbered.where("is_trivia").groupBy("file_id", "_n").agg(F.array_sort(F.collect_list(held)).alias("_t"))
+    none = F.expr("cast(array() as array<struct<tok:int,kind:string,text:string>>)")
+    firm = numbered.where("not is_trivia")
+    lead = gaps.select("file_id", "_n", F.col("_t").alias("leading"))
+    trail = gaps.select("file_id", (F.col("_n") - 1).alias("_n"), F.col("_t").alias("trailing"))
+    joined = firm.join(lead, ["file_id", "_n"], "left").join(trail, ["file_id", "_n"], "left")
+    return joined.withColumns({c: F.coalesce(c, none) for c in ("leading", "trailing")}).drop("_n")
+
+
+def until_comment(trivia: str, nearest_first: bool) -> Column:
+    """The trivia of an array up to the first comment, seen from the token."""
+    seen = F.reverse(trivia) if nearest_first else F.col(trivia)
+    at = F.expr(f"array_position(transform({'reverse(' + trivia + ')' if nearest_first else trivia}, t -> t.kind), 'COMMENT')")
+    return F.when(at == 0, seen).otherwise(F.slice(seen, F.lit(1), F.greatest(at.cast("int") - 1, F.lit(0))))
+
+
+def assigned_values(nodes: DataFrame) -> DataFrame:
+    """file_id, pre, value: the text that an assignment evaluates to, a compound one written out; null where a side's text isn't kept."""
+    side = lambda role: F.expr(f"get(filter(kids, k -> k.role = '{role}'), 0).text")
+    value = F.when(F.col("op") == "=", side("rhs")).otherwise(F.concat_ws(" ", side("lhs"), F.expr("substring(op, 1, length(op) - 1)"), side("rhs")))
+    return nodes.where("kind = 'ASSIGN_EXPR'").select("file_id", "pre", F.when(side("lhs").isNotNull() & side("rhs").isNotNull(), value).alias("value"))

@@ -106,3 +106,17 @@ def config_schema() -> dict:
             "parser": {"type": "object", "properties": {"source-type": {"enum": ["script", "module", "typescript", "auto"]}}},
         },
     }
+
+
+def files_with_findings(diagnostics: DataFrame) -> DataFrame:
+    """path of every file that a diagnostic points into."""
+    return diagnostics.where("start is not null").select("path").distinct()
+
+
+def with_children(diagnostics: DataFrame) -> DataFrame:
+    """diagnostics with ``children``: those of the same file that lie within them, by start, the widest first."""
+    inner = diagnostics.select(F.col("file_id").alias("_file"), F.struct("start", (-F.col("end")).alias("wide"), "end", F.coalesce("rule", "phase").alias("rule"), "title").alias("_d"))
+    key = ["file_id", "phase", "rule", "start", "end", "title"]
+    inside = (F.col("file_id") == F.col("_file")) & (F.col("_d.start") >= F.col("start")) & (F.col("_d.end") <= F.col("end")) & ((F.col("_d.start") > F.col("start")) | (F.col("_d.end") < F.col("end")))
+    rows = diagnostics.join(inner, inside, "left")
+    return rows.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list("_d")), lambda d: F.struct(d["start"].alias("start"), d["end"].alias("end"), d["rule"].alias("rule"), d["title"].alias("title"))).alias("children"))

@@ -52,6 +52,41 @@ def test_navigation(spark, tree):
     assert nodes.where(N.child_with_kind("ARG_LIST").isNotNull()).count() == 2
 
 
+def test_neighbours_and_trivia(spark, tree):
+    nodes, tokens = tree.nodes, tree.tokens
+    root = nodes.where("depth = 1").orderBy("ord").collect()
+    first = nodes.where(f"pre = {root[0].pre}")
+    assert [(r.distance, r.sibling) for r in N.siblings_towards(nodes, first).orderBy("distance").collect()] == [(i, r.pre) for i, r in enumerate(root) if i]
+    assert N.siblings_towards(nodes, first, forward=False).count() == 0
+    assert {r.name for r in nodes.where("kind in ('IF_STMT', 'CALL_EXPR')").select(N.readable_name(nodes["kind"]).alias("name")).collect()} == {"if statement", "call expression"}
+    assert nodes.where(N.is_loop(nodes["kind"])).count() == 0
+    rows = N.with_trivia(tokens).collect()
+    assert [t.text for r in rows if r.text == "}" for t in r.trailing] == [" ", "// c", "\n"]
+    held = N.with_trivia(tokens).where("text = '}'").select(N.until_comment("trailing", False).alias("near"), N.until_comment("leading", True).alias("before")).first()
+    assert [t.text for t in held.near] == [" "] and [t.text for t in held.before] == [" "]
+
+
+def test_assigned_values_and_children(spark):
+    from sylva.operators.edits import disjoint, eating_whitespace
+    from sylva.plans.report import files_with_findings, with_children
+
+    run_ = lint(files_from(spark.createDataFrame([("a.js", "x += f(1);  y = 2;"), ("b.js", "if (a = b) { debugger; ; }")], "path string, source string")), rules={"no-cond-assign": {}, "no-debugger": {}, "no-extra-semi": {}})
+    assert {r.value for r in N.assigned_values(run_.nodes.where("kind = 'ASSIGN_EXPR'")).collect()} >= {"x + f(1)", "2"}
+    assert [r.path for r in files_with_findings(run_.diagnostics).collect()] == ["b.js"]
+    d = spark.createDataFrame([(1, "rule", "a", 0, 9, "t"), (1, "rule", "b", 2, 3, "u"), (1, "rule", "c", 2, 8, "v"), (2, "rule", "d", 2, 3, "w")], "file_id long, phase string, rule string, start int, end int, title string")
+    assert {r.rule: [c.rule for c in r.children] for r in with_children(d).collect()} == {"a": ["c", "b"], "b": [], "c": ["b"], "d": []}
+    e = spark.createDataFrame([(1, "r", 0, 2, ""), (1, "r", 1, 3, ""), (2, "r", 10, 11, "")], "file_id long, rule string, start int, end int, insert string")
+    assert {r.file_id: r.disjoint for r in disjoint(e).collect()} == {1: False, 2: True}
+    source = run_.files.where("path = 'a.js'").first()
+    cut = spark.createDataFrame([(source.file_id, "r", 9, 10, "")], "file_id long, rule string, start int, end int, insert string")
+    assert [(r.start, r.end) for r in eating_whitespace(cut, run_.tokens).collect()] == [(9, 12)]
+
+
+def test_running_positions(spark):
+    rows = N.running_positions(lexed(spark.createDataFrame([(1, "é = 'x'")], "file_id long, source string"))).orderBy("tok").collect()
+    assert [(r.start, r.end) for r in rows] == [(0, 2), (2, 3), (3, 4), (4, 5), (5, 8)]
+
+
 def test_lexed_lengths(spark):
     rows = lexed(spark.createDataFrame([(1, "é = 'x'"), (2, None)], "file_id long, source string")).orderBy("tok").collect()
     assert [(r.kind, r.len) for r in rows] == [("IDENT", 2), ("WHITESPACE", 1), ("EQ", 1), ("WHITESPACE", 1), ("STRING", 3)]
