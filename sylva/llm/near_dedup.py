@@ -261,12 +261,12 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, numerato
     return out.select("doc_id", "n_shingles", "tx", "set", component.alias("component"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def find_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, numerator: int = 75, denominator: int = 100, tables: int = 16, depth: int = 3, rounds: int = 2) -> DataFrame:
+def find_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, numerator: int = 75, denominator: int = 100, tables: int = 16, depth: int = 3, rounds: int = 3) -> DataFrame:
     """For every row: doc_id, n_shingles, component_id, kept. Ids are bigint."""
     return _grouped(docs, id_col, text_col, shingle, numerator, denominator, tables, depth, rounds).select("doc_id", "n_shingles", F.col("component").alias("component_id"), "kept")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, numerator: int = 75, denominator: int = 100, tables: int = 16, depth: int = 3, rounds: int = 2) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, numerator: int = 75, denominator: int = 100, tables: int = 16, depth: int = 3, rounds: int = 3) -> DataFrame:
     """docs with the kept rows of :func:`find_groups`, and of rows of one id and one set a single one; all columns as they were.
 
     Rows, not ids, are dropped: another text of the same id stays if its own group keeps it. Of null ids, one row of each set that no
