@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sylva.llm import decontaminate, exact_dedup, near_dedup, packing, preference, quality, revisit, secret_scan, suffix_dedup, url_filter
+from sylva.llm import decontaminate, exact_dedup, filter_audit, language, near_dedup, packing, preference, quality, revisit, secret_scan, suffix_dedup, url_filter, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,19 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.find_groups(_table(spark, sf_dir, "documents"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language.predict(docs, language.fit(docs))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_quality_classifier": op2_quality_classifier,
@@ -66,6 +79,9 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_secret_scans": op9_secret_scans,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_language_id": op11_language_id,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_filter_interaction_audit": op13_filter_interaction_audit,
 }
 
 ORACLES = {
@@ -75,4 +91,5 @@ ORACLES = {
     "op6_benchmark_decontamination": decontaminate.ORACLE,
     "op8_exact_dedup": exact_dedup.ORACLE,
     "op9_secret_scans": secret_scan.ORACLE,
+    "op13_filter_interaction_audit": filter_audit.ORACLE,
 }
