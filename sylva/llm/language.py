@@ -168,13 +168,13 @@ class Model:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = 300, spots: int = 4, window: int = 64, **training: int) -> Model:
     """Learns from at most ``sample`` documents a language and ``spots`` windows of each."""
     ship(docs.sparkSession)
-    own = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), held_out(F.col(id_col)).alias("held")).where("lang is not null and not held")
-    counts = {r.lang: r.n for r in own.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a language
+    own = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), held_out(F.col(id_col)).alias("held")).where("lang is not null and not held and text rlike '\\\\p{L}'")
+    counts = {r.lang: r.n for r in own.groupBy("lang").agg(F.approx_count_distinct("id").alias("n")).collect()}  # one row a language
     if not counts:
         return Model([], None, window)
     # rows of the least hashes of each language, about twice as many as needed; an id of many rows counts once before rows meet
-    share = docs.sparkSession.createDataFrame([(k, min(1 << 62, int(2 * sample / n * (1 << 62)))) for k, n in counts.items()], "lang string, upto bigint")
-    hashed = own.where("text rlike '\\\\p{L}'").withColumn("h", F.expr("shiftrightunsigned(xxhash64(id, 29), 2)"))
+    share = docs.sparkSession.createDataFrame([(k, min(1 << 62, int(2 * sample / max(1, n) * (1 << 62)))) for k, n in counts.items()], "lang string, upto bigint")
+    hashed = own.withColumn("h", F.expr("shiftrightunsigned(xxhash64(id, 29), 2)"))
     texts = hashed.join(F.broadcast(share), "lang").where("h <= upto").groupBy("lang", "h").agg(F.min("text").alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
