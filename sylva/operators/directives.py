@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sylva.functions.names import name_distance
 from sylva.operators.rules import RULES, STEERING
+from sylva.operators.spans import covered
 
 PREFIX = STEERING
 COMMANDS = ("ignore", "disable", "enable")
@@ -68,7 +69,8 @@ def apply_ignores(diagnostics: DataFrame, directives: DataFrame) -> DataFrame:
     ignores = directives.where("command = 'ignore'")
     whole = ignores.where("scope = 'file' and size(rules) = 0").select("file_id").distinct()
     by_rule = ignores.where("scope = 'file'").select("file_id", F.explode("rules").alias("rule")).distinct()
-    ranges = ignores.where("scope = 'node' and node_end is not null").select(F.col("file_id").alias("_file"), "rules", "node_start", "node_end")
+    ranges = ignores.where("scope = 'node' and node_end is not null").select("file_id", "rules", F.col("node_start").alias("_lo"), F.col("node_end").alias("_hi"))
     left = diagnostics.join(whole, "file_id", "left_anti").join(by_rule, ["file_id", "rule"], "left_anti")
-    inside = (F.col("file_id") == F.col("_file")) & (F.col("start") >= F.col("node_start")) & (F.col("end") <= F.col("node_end")) & ((F.size("rules") == 0) | F.array_contains("rules", F.col("rule")))
-    return left.join(ranges, inside, "left_anti")
+    left = covered(left, ranges.where("size(rules) = 0"), ["file_id"], flag="_any")
+    left = covered(left, ranges.withColumn("rule", F.explode("rules")), ["file_id", "rule"], flag="_own")
+    return left.where("not _any and not _own").drop("_any", "_own")

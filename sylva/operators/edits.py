@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sylva.operators.spans import running
+
 
 def overlapping(edits: DataFrame, neighbours_only: bool = False) -> DataFrame:
     """edits with ``clash``: whether an edit starts before one ahead of it, by (start, end, rule), has ended.
@@ -36,13 +38,33 @@ def apply_edits(files: DataFrame, edits: DataFrame) -> DataFrame:
     return joined.withColumn("source", F.concat(F.array_join(parts, ""), rest)).drop("_e", "_b")
 
 
-def map_offsets(offsets: DataFrame, edits: DataFrame) -> DataFrame:
-    """offsets (file_id, offset) with ``mapped``: where the byte is after the edits, null inside a deletion."""
-    e = edits.select("file_id", F.col("start").alias("_s"), F.col("end").alias("_e"), F.octet_length("insert").alias("_n"))
-    joined = offsets.join(e, "file_id", "left")
-    moved = F.sum(F.when(F.col("_e") <= F.col("offset"), F.col("_n") - (F.col("_e") - F.col("_s"))).otherwise(0))
-    inside = F.max(F.coalesce((F.col("_s") < F.col("offset")) & (F.col("offset") < F.col("_e")), F.lit(False)))
-    return joined.groupBy("file_id", "offset").agg(moved.alias("_m"), inside.alias("_i")).select("file_id", "offset", F.when(~F.col("_i"), F.col("offset") + F.coalesce("_m", F.lit(0))).alias("mapped"))
+def map_offsets(offsets: DataFrame, edits: DataFrame, width: int | None = None) -> DataFrame:
+    """offsets (file_id, offset, …) with ``mapped``: where the byte is after the edits, null inside a deletion.
+
+    One sort of the ends of edits, offsets and starts of edits: what the edits that end by then add is a running sum, and an offset lies
+    inside an edit if the furthest end of those begun before it is beyond it.
+    """
+    side = F.struct(*[F.col(f"`{c}`") for c in offsets.columns])
+    kind = offsets.select(side.alias("_row")).schema["_row"].dataType
+    grown = F.octet_length("insert").cast("long") - (F.col("end") - F.col("start"))
+    none = F.lit(None)
+    event = lambda df, at, order, grown, end, row: df.select("file_id", at.cast("long").alias("_at"), F.lit(order).alias("_order"), grown.cast("long").alias("_grown"), end.cast("long").alias("_end"), row.cast(kind).alias("_row"))
+    ends = event(edits, F.col("end"), 0, grown, none, none)
+    here = event(offsets, F.col("offset"), 1, none, none, side)
+    starts = event(edits, F.col("start"), 2, none, F.col("end"), none)
+    passed = running(ends.unionByName(here).unionByName(starts), ["file_id"], ["_at", "_order"], {"_moved": ("sum", F.col("_grown")), "_far": ("max", F.col("_end"))}, width)
+    mapped = F.when(~F.coalesce(F.col("_far") > F.col("_at"), F.lit(False)), F.col("_at") + F.coalesce("_moved", F.lit(0)))
+    return passed.where("_order = 1").select("_row.*", mapped.alias("mapped"))
+
+
+def moved(spans: DataFrame, edits: DataFrame) -> DataFrame:
+    """Rows with a file_id, start and end, such as findings, where they are after the edits; those that an edit cuts into are left out. Equal rows count once."""
+    span = F.struct(*[F.col(f"`{c}`") for c in spans.columns])
+    sides = F.explode(F.array(*[F.struct(F.col(c).alias("offset"), F.lit(c).alias("side")) for c in ("start", "end")]))
+    at = map_offsets(spans.select("file_id", span.alias("_span"), sides.alias("_x")).select("file_id", "_span", "_x.*"), edits)
+    both = at.groupBy("_span").agg(*[F.max(F.when(F.col("side") == c, F.col("mapped"))).alias(f"_{c}") for c in ("start", "end")])
+    whole = both.where("_start is not null and _end is not null and _end - _start = _span.end - _span.start")
+    return whole.select("_span.*", "_start", "_end").withColumns({c: F.col(f"_{c}").cast(spans.schema[c].dataType) for c in ("start", "end")}).drop("_start", "_end")
 
 
 # Builders: arrays of (start, end, insert) for a rule's fixes column.

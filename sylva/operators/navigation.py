@@ -1,6 +1,7 @@
 """Moving about in syntax trees, as DataFrame operations on nodes (pre and post number a subtree as an interval).
 
-Ancestors come from the path column without a join; other relations are joins by file and an equality or interval within it.
+Ancestors come from the path column without a join; intervals are met by the lookups and joins of :mod:`sylva.operators.spans`, which pair no
+row of a file with all others; other relations are joins by equality.
 """
 
 from __future__ import annotations
@@ -8,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sylva.operators.spans import as_of, covered, inside
+
 
 def parents(nodes: DataFrame) -> DataFrame:
     """Every node but the roots with its parent's columns as parent_*."""
@@ -40,14 +43,14 @@ def siblings(nodes: DataFrame) -> DataFrame:
 
 def descendants(nodes: DataFrame, of: DataFrame) -> DataFrame:
     """Rows of nodes below the rows of ``of`` (file_id, pre, post), with the upper one as ``top``."""
-    upper = of.select("file_id", F.col("pre").alias("top"), F.col("post").alias("_post"))
-    return nodes.join(upper, "file_id").where("pre > top and pre <= _post").drop("_post")
+    upper = of.select("file_id", F.col("pre").alias("top"), (F.col("pre") + 1).alias("_lo"), F.col("post").alias("_hi"))
+    return inside(nodes, upper, ["file_id"], "pre").drop("_lo", "_hi")
 
 
 def pruned(nodes: DataFrame, at: DataFrame) -> DataFrame:
     """nodes without the subtrees below the rows of ``at`` (file_id, pre, post); the rows themselves stay."""
-    cut = at.select(F.col("file_id").alias("_f"), F.col("pre").alias("_top"), F.col("post").alias("_post"))
-    return nodes.join(cut, (F.col("file_id") == F.col("_f")) & (F.col("pre") > F.col("_top")) & (F.col("pre") <= F.col("_post")), "left_anti")
+    cut = at.where("pre < post").select("file_id", (F.col("pre") + 1).alias("_lo"), F.col("post").alias("_hi"))
+    return covered(nodes, cut, ["file_id"], "pre", "pre", "_cut").where("not _cut").drop("_cut")
 
 
 def preorder(nodes: DataFrame) -> DataFrame:
@@ -58,21 +61,36 @@ def preorder(nodes: DataFrame) -> DataFrame:
 
 
 def covering(nodes: DataFrame, ranges: DataFrame) -> DataFrame:
-    """For ranges (file_id, range_id, lo, hi), the smallest node that covers each: range_id, pre, kind."""
-    inside = nodes.join(ranges, "file_id").where("start <= lo and end >= hi")
-    best = inside.groupBy("file_id", "range_id").agg(F.min_by(F.struct("pre", "kind"), F.struct(F.col("end") - F.col("start"), -F.col("depth"))).alias("b"))
-    return best.select("file_id", "range_id", "b.*")
+    """For ranges (file_id, range_id, lo, hi), the smallest node that covers each, of equally small ones the deepest: file_id, range_id, pre, kind.
+
+    It is the last node that starts at or before the range, or one above that. What ends where an empty range is, or lies there empty, is not above the last one, so
+    the last one before it and the deepest empty node there are looked at as well.
+    """
+    step = lambda at: F.struct((at["end"] - at["start"]).alias("wide"), at["start"].alias("start"), at["end"].alias("end"), at["pre"].alias("pre"), at["kind"].alias("kind"))
+    own = F.struct("start", "end", "pre", "kind")
+    marks = nodes.select("file_id", F.col("start").alias("_at"), F.struct("pre", F.concat(F.transform("path", step), F.array(step(own))).alias("chain")).alias("_mark"))
+    held = as_of(ranges.select("file_id", "range_id", "lo", "hi"), marks, ["file_id"], "lo", "_a")
+    held = as_of(held, marks, ["file_id"], "lo", "_b", strictly=True)
+    empty = nodes.where("start = end").groupBy("file_id", F.col("start").alias("lo")).agg(F.max_by(F.array(step(own)), F.struct("depth", "pre")).alias("_c"))
+    held = held.join(empty, ["file_id", "lo"], "left")
+    none = F.array().cast(held.schema["_c"].dataType)
+    chains = F.flatten(F.transform(F.array(F.coalesce("_a.chain", none), F.coalesce("_b.chain", none), F.coalesce("_c", none)), lambda c: F.filter(c, lambda x: (x["start"] <= F.col("lo")) & (x["end"] >= F.col("hi")))))
+    best = held.withColumn("_best", F.array_min(F.transform(chains, lambda x: F.struct(x["wide"].alias("wide"), (-x["pre"]).alias("pre"), x["kind"].alias("kind")))))
+    return best.where("_best is not null").select("file_id", "range_id", (-F.col("_best.pre")).alias("pre"), "_best.kind")
 
 
 def tokens_at(tokens: DataFrame, offsets: DataFrame) -> DataFrame:
-    """For offsets (file_id, offset), the tokens that hold or touch each."""
-    return tokens.join(offsets, "file_id").where("start <= offset and offset <= end")
+    """For offsets (file_id, offset), the tokens that hold or touch each: the last that starts before it, and those that start there."""
+    marks = tokens.select("file_id", F.col("start").alias("_at"), F.struct(*[c for c in tokens.columns if c != "file_id"]).alias("_mark"))
+    before = as_of(offsets, marks, ["file_id"], "offset", "_t", strictly=True).where("_t.end >= offset").select("file_id", "_t.*", *[c for c in offsets.columns if c != "file_id"])
+    there = tokens.withColumn("offset", F.col("start")).join(offsets, ["file_id", "offset"])
+    return before.unionByName(there.select(before.columns))
 
 
 def tokens_in(tokens: DataFrame, of: DataFrame, trivia: bool = True) -> DataFrame:
     """Tokens of the rows of ``of`` (file_id, pre, tok_lo, tok_hi), with pre; without trivia if asked for."""
     rows = tokens if trivia else tokens.where("not is_trivia")
-    return rows.join(of.select("file_id", "pre", "tok_lo", "tok_hi"), "file_id").where("tok >= tok_lo and tok <= tok_hi").drop("tok_lo", "tok_hi")
+    return inside(rows, of.select("file_id", "pre", "tok_lo", "tok_hi"), ["file_id"], "tok", "tok_lo", "tok_hi").drop("tok_lo", "tok_hi")
 
 
 def lossy(tokens: DataFrame) -> DataFrame:

@@ -43,10 +43,11 @@ def _struct(ddl: str) -> pa.DataType:
 
 _FACTS, _STEP, _KID = _struct(NODE.split(", path")[0]), _struct(STEP), _struct(KID)
 _NODE = pa.struct([*_FACTS, pa.field("path", pa.list_(_STEP)), pa.field("kids", pa.list_(_KID))])
-FILE = "path string, lines array<int>, tops array<int>"
-_FILE = pa.struct([pa.field("path", pa.string()), pa.field("lines", pa.list_(pa.int32())), pa.field("tops", pa.list_(pa.int32()))])
+FILE = "path string"
+LINES = "line int, starts array<int>, path string"
+_LINES = pa.struct([pa.field("line", pa.int32()), pa.field("starts", pa.list_(pa.int32())), pa.field("path", pa.string())])
 
-_TYPES = {"token": ("t", _struct(TOKEN)), "node": ("n", _NODE), "error": ("e", _struct(ERROR)), "file": ("f", _FILE)}
+_TYPES = {"token": ("t", _struct(TOKEN)), "node": ("n", _NODE), "error": ("e", _struct(ERROR)), "file": ("f", _struct(FILE)), "lines": ("l", _LINES)}
 
 
 @dataclass(frozen=True)
@@ -115,7 +116,9 @@ def _parse_rows(needs: Needs | None):
                 file_id, path, kind, source = (b.column(c)[i].as_py() for c in range(4))
                 source = source or ""
                 lines = np.concatenate(([0], np.flatnonzero(np.frombuffer(source.encode("utf-8", "surrogatepass"), np.uint8) == 10) + 1)).tolist()
-                yield _batch(file_id, "file", _array({"path": [path], "lines": [lines], "tops": [lines[::BLOCK]]}, _FILE))
+                yield _batch(file_id, "file", _array({"path": [path]}, _struct(FILE)))
+                firsts = range(0, len(lines), BLOCK)
+                yield _batch(file_id, "lines", _array({"line": list(firsts), "starts": [lines[n : n + BLOCK] for n in firsts], "path": [path] * len(firsts)}, _LINES))
                 steering = needs is None or steered.search(source) is not None
                 try:
                     tree = Tree(source, kind or "module")
@@ -149,20 +152,25 @@ def spread(files: DataFrame) -> DataFrame:
 
 
 def parsed(files: DataFrame, needs: Needs | None = None) -> DataFrame:
-    """Rows of tokens, nodes, errors and of the file itself, each file parsed once: file_id, what ('token', 'node', 'error', 'file') and t, n, e, f.
+    """Rows of tokens, nodes, errors and of the file itself, each file parsed once: file_id, what ('token', 'node', 'error', 'file', 'lines') and t, n, e, f, l.
 
     Written with partitionBy("what"), tokens and nodes are pruned reads of flat columns. needs: leaves out what nobody asks for.
     """
     ship(files.sparkSession)
     path = F.col("path") if "path" in files.columns else F.lit(None).cast("string").alias("path")
-    return spread(files.select("file_id", path, "kind", "source")).mapInArrow(_parse_rows(needs), f"file_id bigint, what string, t struct<{TOKEN}>, n struct<{NODE}>, e struct<{ERROR}>, f struct<{FILE}>")
+    return spread(files.select("file_id", path, "kind", "source")).mapInArrow(_parse_rows(needs), f"file_id bigint, what string, t struct<{TOKEN}>, n struct<{NODE}>, e struct<{ERROR}>, f struct<{FILE}>, l struct<{LINES}>")
 
 
-def lines_of(trees: DataFrame) -> DataFrame:
-    """file_id, path, lines (byte offsets of their starts), tops (every BLOCK-th of them)."""
+def paths_of(trees: DataFrame) -> DataFrame:
+    """file_id, path."""
     return trees.where("what = 'file'").select("file_id", "f.*")
 
 
+def lines_of(trees: DataFrame) -> DataFrame:
+    """file_id, line (from 0), starts (byte offsets of that line and those after it, BLOCK at most), path."""
+    return trees.where("what = 'lines'").select("file_id", "l.*")
+
+
 def tokens_of(trees: DataFrame) -> DataFrame:
     return trees.where("what = 'token'").select("file_id", "t.*")
 

@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 from sylva.operators import rules as R
 from sylva.operators.directives import apply_ignores, directive_errors, parse_directives, redundant
 from sylva.operators.edits import apply_edits, without_conflicts
-from sylva.operators.syntax import errors_of, lines_of, nodes_of, parsed, tokens_of
+from sylva.operators.syntax import errors_of, lines_of, nodes_of, parsed, paths_of, tokens_of
 from sylva.session import shared_table
 from sylva.sources.config import Config, select_rules
-from sylva.sources.files import line_at
+from sylva.sources.files import located
 
 NONE = (("file_id", "bigint"), ("rule", "string"), ("pre", "int"), ("start", "int"), ("end", "int"), ("title", "string"), ("label", "string"), ("fixes", R.FIXES))
 PASSES = 11  # how often fixing goes round at most
@@ -52,11 +52,6 @@ class LintRun:
         return nodes_of(self.trees)
 
 
-def with_lines(found: DataFrame, lines: DataFrame) -> DataFrame:
-    """found (file_id, start, …) with path, line and col, counted from 0: the last line that starts at or before the byte. lines: as of lines_of."""
-    return found.join(lines, "file_id").withColumn("line", line_at("lines", "tops", "start")).withColumn("col", F.col("start") - F.get("lines", F.col("line"))).drop("lines", "tops")
-
-
 def outcomes_of(diagnostics: DataFrame, files: DataFrame) -> DataFrame:
     """Per file: failure if any diagnostic is an error, else warning if any is one, else success."""
     counts = diagnostics.groupBy("file_id").agg(F.count_if(F.col("severity") == "error").alias("n_error"), F.count_if(F.col("severity") == "warning").alias("n_warning"))
@@ -92,9 +87,10 @@ def lint(files: DataFrame, config: Config | None = None, rules: dict[str, dict]
         parts.append(about("directive", directive_errors(steering, sorted(selected))))
         if selected:
             parts.append(about("directive", redundant(steering, found), "warning"))
+    found = reduce(DataFrame.unionByName, parts)
     lines = lines_of(trees)
-    diagnostics = shared_table(with_lines(reduce(DataFrame.unionByName, parts), lines), "diagnostics")
-    return LintRun(files, steering, diagnostics, outcomes_of(diagnostics, lines), selected, said)
+    diagnostics = shared_table(located(found, lines), "diagnostics")
+    return LintRun(files, steering, diagnostics, outcomes_of(diagnostics, paths_of(trees)), selected, said)
 
 
 def edits_of(diagnostics: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from sylva.plans.infer import infer_block_spacing, mode_largest
 from sylva.plans.lint import fix, lint, outcomes_of
 from sylva.plans.report import padded, short_report, totals
 from sylva.sources.config import merged_levels, parse_config, with_levels
-from sylva.sources.files import files_from, line_array, line_at, line_starts, line_tops, scripts_of
+from sylva.sources.files import files_from, line_starts, located, scripts_of
 from sylva.streaming.documents import latest
 
 QUERIES, ORACLES = {}, {}
@@ -56,9 +56,9 @@ def offset_to_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The line of the first, middle and last byte of every document, whatever its characters; null as empty."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
     n = F.octet_length("t").cast("long")
-    lines = docs.select("doc_id", line_array(F.col("t")).alias("lines"), n.alias("n")).withColumn("tops", line_tops(F.col("lines")))
-    at = lines.withColumn("byte_offset", F.explode(F.array(F.lit(0).cast("long"), F.floor(F.col("n") / 2), F.col("n"))))
-    return at.select("doc_id", "byte_offset", line_at("lines", "tops", "byte_offset").cast("long").alias("line"))
+    at = docs.select(F.col("doc_id").alias("file_id"), F.explode(F.array(F.lit(0).cast("long"), F.floor(n / 2), n)).alias("byte_offset"))
+    lines = line_starts(docs, "doc_id", "t").select("file_id", "line", F.array("start").alias("starts"), F.lit("").alias("path"))
+    return located(at, lines, "byte_offset").select(F.col("file_id").alias("doc_id"), "byte_offset", F.col("line").cast("long").alias("line"))
 
 
 @query(r"SELECT doc_id, length(regexp_replace(coalesce(text, ''), '[^\x{0b}\x{0c}\x{85}\x{a0}\x{1680}\x{180e}\x{feff}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]', '', 'g'))::BIGINT AS n_irregular FROM documents")

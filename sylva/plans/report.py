@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sylva.functions.names import best_match
 from sylva.operators.rules import RULES
+from sylva.operators.spans import inside
 
 FORMATTERS = ("long", "short")
 
@@ -115,8 +116,10 @@ def files_with_findings(diagnostics: DataFrame) -> DataFrame:
 
 def with_children(diagnostics: DataFrame) -> DataFrame:
     """diagnostics with ``children``: those of the same file that lie within them, by start, the widest first."""
-    inner = diagnostics.select(F.col("file_id").alias("_file"), F.struct("start", (-F.col("end")).alias("wide"), "end", F.coalesce("rule", "phase").alias("rule"), "title").alias("_d"))
     key = ["file_id", "phase", "rule", "start", "end", "title"]
-    inside = (F.col("file_id") == F.col("_file")) & (F.col("_d.start") >= F.col("start")) & (F.col("_d.end") <= F.col("end")) & ((F.col("_d.start") > F.col("start")) | (F.col("_d.end") < F.col("end")))
-    rows = diagnostics.join(inner, inside, "left")
+    child = F.struct("start", (-F.col("end")).alias("wide"), "end", F.coalesce("rule", "phase").alias("rule"), "title")
+    inner = diagnostics.select("file_id", F.col("start").alias("_at"), child.alias("_d"))
+    outer = diagnostics.select(*key)
+    pairs = inside(inner, outer.withColumns({"_lo": F.col("start"), "_hi": F.col("end")}), ["file_id"], "_at").where("_d.end <= end and (_d.start > start or _d.end < end)")
+    rows = outer.withColumn("_d", F.lit(None).cast(pairs.schema["_d"].dataType)).unionByName(pairs.select(*key, "_d"))
     return rows.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list("_d")), lambda d: F.struct(d["start"].alias("start"), d["end"].alias("end"), d["rule"].alias("rule"), d["title"].alias("title"))).alias("children"))

@@ -8,6 +8,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sylva.operators.spans import as_of
+
 EXTENSIONS = ("js", "mjs", "ts")
 
 
@@ -113,34 +115,20 @@ def line_starts(files: DataFrame, id_col: str = "file_id", source_col: str = "so
     return pieces.select("file_id", "line", F.octet_length("p").cast("long").alias("n")).select("file_id", "line", F.coalesce(F.sum(F.col("n") + 1).over(before), F.lit(0)).cast("long").alias("start"))
 
 
-BLOCK = 256  # lines that are summed up at a time, and between two tops
-
-
-def line_array(source: Column) -> Column:
-    """Byte offsets of the starts of lines, as an array. Sums grow by blocks, so the work is about in proportion to the text."""
-    lengths = F.transform(F.split(F.coalesce(source, F.lit("")), "\n", -1), lambda p: F.octet_length(p) + 1)
-    # every block with the offset it begins at, and then the offsets within it
-    cut = lambda x: F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / BLOCK).cast("int")), lambda i: F.slice(x, i * BLOCK + 1, BLOCK))
-    none = F.struct(F.expr("cast(array() as array<struct<at:int,own:array<int>>>)").alias("out"), F.lit(0).alias("at"))
-
-    def block(acc: Column, own: Column) -> Column:
-        return F.struct(F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), own.alias("own")))).alias("out"), (acc["at"] + F.aggregate(own, F.lit(0), lambda a, x: a + x)).alias("at"))
+BLOCK = 256  # lines of which the starts go together
 
-    def inside(b: Column) -> Column:
-        start = F.struct(F.expr("cast(array() as array<int>)").alias("out"), b["at"].alias("at"))
-        return F.aggregate(b["own"], start, lambda acc, x: F.struct(F.concat(acc["out"], F.array(acc["at"])).alias("out"), (acc["at"] + x).alias("at")), lambda acc: acc["out"])
 
-    return F.flatten(F.transform(F.aggregate(cut(lengths), none, block, lambda acc: acc["out"]), inside))
+def located(found: DataFrame, lines: DataFrame, at: str = "start") -> DataFrame:
+    """found (file_id, …) with path, line and col of byte ``at``, counted from 0: the last line that starts at or before it.
 
-
-def line_tops(lines: Column) -> Column:
-    """Every BLOCK-th of the starts of lines."""
-    return F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / BLOCK).cast("int")), lambda i: F.get(lines, i * BLOCK))
-
-
-def line_at(lines: str, tops: str, offset: str) -> Column:
-    """The line, from 0, that holds a byte: its block among the tops first."""
-    return F.expr(f"(size(filter({tops}, x -> x <= {offset})) - 1) * {BLOCK} + size(filter(slice({lines}, (size(filter({tops}, x -> x <= {offset})) - 1) * {BLOCK} + 1, {BLOCK}), x -> x <= {offset})) - 1")
+    lines: blocks of the starts of lines (file_id, line, starts, path). Findings and blocks are sorted together, so a finding takes along
+    its own block and nothing that grows with the file.
+    """
+    marks = lines.select("file_id", F.get("starts", 0).alias("_at"), F.struct("line", "starts", "path").alias("_mark"))
+    held = as_of(found, marks, ["file_id"], at, "_b")
+    own = F.expr(f"filter(_b.starts, s -> s <= `{at}`)")
+    out = held.withColumns({"path": F.col("_b.path"), "line": F.col("_b.line") + F.size(own) - 1, "col": F.col(at) - F.get(own, F.size(own) - 1)})
+    return out.drop("_b")
 
 
 def reload(files: DataFrame, path: str, source: str) -> DataFrame:
