@@ -19,7 +19,9 @@ from sylva.operators.syntax import Needs
 #: What a comment that steers the rules begins with.
 STEERING = "sylva-"
 FIXES = "array<struct<start:int,end:int,insert:string>>"
-DIAGNOSTIC = f"rule string, start int, end int, title string, label string, fixes {FIXES}"
+LABELS = "array<struct<start:int,end:int,text:string>>"
+#: What a diagnostic says besides its own span: further spans with a text each, and notes.
+MORE = (("labels", LABELS), ("notes", "array<string>"))
 
 
 @dataclass
@@ -54,10 +56,24 @@ def q(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def hit(when: str, title: str, start: str = "start", end: str = "end", label: str = "''", fixes: str = "") -> str:
-    """A match where ``when`` holds. title and label are SQL; fixes: 'start|end|insert' SQL triples joined by ';;'."""
-    made = ", ".join("named_struct('start', cast({} as int), 'end', cast({} as int), 'insert', {})".format(*f.split("|", 2)) for f in fixes.split(";;") if f)
-    return f"if({when}, named_struct('start', cast({start} as int), 'end', cast({end} as int), 'title', {title}, 'label', {label}, 'fixes', cast(array({made}) as {FIXES})), null)"
+def _spans(triples: str, name: str) -> str:
+    return ", ".join(f"named_struct('start', cast({s} as int), 'end', cast({e} as int), '{name}', {x})" for s, e, x in (f.split("|", 2) for f in triples.split(";;") if f))
+
+
+def hit(when: str, title: str, start: str = "start", end: str = "end", label: str = "''", fixes: str = "", also: str = "", note: str = "") -> str:
+    """A match where ``when`` holds. title, label and note are SQL; fixes: 'start|end|insert' SQL triples joined by ';;', also: further labels, 'start|end|text'.
+
+    A label without a start and a null note are left out.
+    """
+    labels = f"filter(cast(array({_spans(also, 'text')}) as {LABELS}), x -> x.start is not null)" if also else f"cast(array() as {LABELS})"
+    notes = f"array_compact(array(cast({note} as string)))" if note else "cast(array() as array<string>)"
+    made = f"'start', cast({start} as int), 'end', cast({end} as int), 'title', {title}, 'label', {label}, 'fixes', cast(array({_spans(fixes, 'insert')}) as {FIXES}), 'labels', {labels}, 'notes', {notes}"
+    return f"if({when}, named_struct({made}), null)"
+
+
+def span(of: str, text: str) -> str:
+    """A label of a node's span."""
+    return f"{of}.start|{of}.end|{text}"
 
 
 def kid(role: str, n: int = 0) -> str:
@@ -90,7 +106,7 @@ LOOPS = "('FOR_STMT', 'FOR_IN_STMT', 'FOR_OF_STMT', 'WHILE_STMT', 'DO_WHILE_STMT
 @rule("constructor-super", "errors", "The constructor of a derived class must call super; that of any other class must not.", "CLASS_DECL")
 def constructor_super(o: dict) -> list[str]:
     return [
-        hit(f"{info('ctor')} is not null and {info('extends')} is not null and {info('super')} is null", "'the constructor of a derived class never calls super'", at("ctor", 0), at("ctor", 1)),
+        hit(f"{info('ctor')} is not null and {info('extends')} is not null and {info('super')} is null", "'the constructor of a derived class never calls super'", at("ctor", 0), at("ctor", 1), also=f"{at('extends', 0)}|{at('extends', 1)}|'the class is derived from this'", note="'this is undefined until super has returned'"),
         hit(f"{info('extends')} is null and {info('super')} is not null", "'super is called in a class that extends nothing'", at("super", 0), at("super", 1)),
     ]
 
@@ -124,7 +140,7 @@ def no_setter_return(o: dict) -> list[str]:
 
 @rule("no-async-promise-executor", "errors", "The executor of a promise must not be async.", "FN_EXPR ARROW_EXPR")
 def no_async_promise_executor(o: dict) -> list[str]:
-    return [hit(f"array_contains(flags, 'async') and get({OUTER}, 0).kind = 'ARG_LIST' and get({OUTER}, 1).kind = 'NEW_EXPR' and get({OUTER}, 1).name = 'Promise' and {up(1)}.kind in ('ARG_LIST', 'GROUPING_EXPR') and if({up(1)}.kind = 'ARG_LIST', ord, get(filter(path, p -> p.kind = 'GROUPING_EXPR'), 0).ord) = 0", "'this promise executor is async'")]
+    return [hit(f"array_contains(flags, 'async') and get({OUTER}, 0).kind = 'ARG_LIST' and get({OUTER}, 1).kind = 'NEW_EXPR' and get({OUTER}, 1).name = 'Promise' and {up(1)}.kind in ('ARG_LIST', 'GROUPING_EXPR') and if({up(1)}.kind = 'ARG_LIST', ord, get(filter(path, p -> p.kind = 'GROUPING_EXPR'), 0).ord) = 0", "'this promise executor is async'", note="'what it throws is lost: the promise is not rejected'")]
 
 
 @rule("no-await-in-loop", "errors", "An await in a loop's body runs one at a time.", "AWAIT_EXPR")
@@ -134,7 +150,7 @@ def no_await_in_loop(o: dict) -> list[str]:
         "(acc, p) -> named_struct('loop', p.kind in " + LOOPS + " and not (p.kind = 'FOR_OF_STMT' and coalesce(p.op, '') = 'await'), 'in', "
         "case when p.kind in ('FN_DECL', 'FN_EXPR', 'ARROW_EXPR') or (p.kind = 'FOR_OF_STMT' and p.op = 'await') then false when acc.loop and p.role = 'body' then true else acc.in end)"
     )
-    return [hit(f"aggregate({chain}, named_struct('loop', false, 'in', false), {step}, acc -> acc.in)", "'this await runs anew in each round of a loop'")]
+    return [hit(f"aggregate({chain}, named_struct('loop', false, 'in', false), {step}, acc -> acc.in)", "'this await runs anew in each round of a loop'", also=span(f"get(filter(reverse(path), p -> p.kind in {LOOPS}), 0)", "'each round of this loop waits for the one before'"), note="'collect the promises and await all of them together'")]
 
 
 @rule("no-compare-neg-zero", "errors", "A comparison with -0 is true for 0, too.", "BIN_EXPR")
@@ -189,8 +205,8 @@ def no_extra_boolean_cast(o: dict) -> list[str]:
     implicit = f"({a1}.kind in ('CONDITION', 'FOR_STMT_TEST') and {a2}.kind in ('IF_STMT', 'WHILE_STMT', 'DO_WHILE_STMT', 'FOR_STMT', 'COND_EXPR'))"
     context = f"({explicit} or {implicit} or ({a1}.kind = 'UNARY_EXPR' and {a1}.op = '!'))"
     return [
-        hit(f"kind = 'UNARY_EXPR' and op = '!' and {kid('arg')}.inner = 'UNARY_EXPR' and {kid('arg')}.inner_op = '!' and {context}", "'a double negation that changes nothing'", end="start + 1"),
-        hit(f"kind = 'CALL_EXPR' and name = 'Boolean' and {context}", "'a call of Boolean that changes nothing'"),
+        hit(f"kind = 'UNARY_EXPR' and op = '!' and {kid('arg')}.inner = 'UNARY_EXPR' and {kid('arg')}.inner_op = '!' and {context}", "'a double negation that changes nothing'", end="start + 1", also=span(a1, "'a boolean is made of this anyway'")),
+        hit(f"kind = 'CALL_EXPR' and name = 'Boolean' and {context}", "'a call of Boolean that changes nothing'", also=span(a1, "'a boolean is made of this anyway'")),
     ]
 
 
@@ -219,12 +235,12 @@ def no_prototype_builtins(o: dict) -> list[str]:
 
 @rule("no-sparse-arrays", "errors", "Array literals with holes.", "ARRAY_EXPR")
 def no_sparse_arrays(o: dict) -> list[str]:
-    return [hit("array_contains(flags, 'hole')", "'an array literal with holes'")]
+    return [hit("array_contains(flags, 'hole')", "'an array literal with holes'", note="'a comma without a value before it leaves a hole'")]
 
 
 @rule("no-this-before-super", "errors", "this and super can't be used before super is called.", "CLASS_DECL")
 def no_this_before_super(o: dict) -> list[str]:
-    return [hit(f"{info('early')} is not null", f"concat({info('early_name')}, ' is used before super is called')", at("early", 0), at("early", 1))]
+    return [hit(f"{info('early')} is not null", f"concat({info('early_name')}, ' is used before super is called')", at("early", 0), at("early", 1), also=f"{at('super', 0)}|{at('super', 1)}|'super is called here only'")]
 
 
 @rule("no-unexpected-multiline", "errors", "A line break that looks like the end of a statement but isn't.", "CALL_EXPR TEMPLATE BRACKET_EXPR BIN_EXPR")
@@ -235,13 +251,13 @@ def no_unexpected_multiline(o: dict) -> list[str]:
 
 @rule("no-unsafe-finally", "errors", "Leaving a finally block drops what the try block was about to do.", "BREAK_STMT CONTINUE_STMT THROW_STMT RETURN_STMT")
 def no_unsafe_finally(o: dict) -> list[str]:
-    return [hit("grandparent_kind = 'FINALIZER'", f"concat('a ', {info('what')}, ' in a finally block')")]
+    return [hit("grandparent_kind = 'FINALIZER'", f"concat('a ', {info('what')}, ' in a finally block')", also=span(up(2), "'it leaves this block, and what the try block throws or returns is dropped'"))]
 
 
 @rule("no-unsafe-negation", "errors", "A negation left of in or instanceof negates only the operand.", "BIN_EXPR")
 def no_unsafe_negation(o: dict) -> list[str]:
     left = kid("lhs")
-    return [hit(f"op in ('in', 'instanceof') and {left}.kind = 'UNARY_EXPR' and {left}.op = '!'", "concat('the operand of ', op, ' is negated')", f"{left}.start", f"{left}.end", fixes="start + 1|start + 1|'(';;end|end|')'")]
+    return [hit(f"op in ('in', 'instanceof') and {left}.kind = 'UNARY_EXPR' and {left}.op = '!'", "concat('the operand of ', op, ' is negated')", f"{left}.start", f"{left}.end", fixes="start + 1|start + 1|'(';;end|end|')'", also=span(kid("rhs"), "concat('what the operand is tested with by ', op, ' is not negated')"))]
 
 
 @rule("require-yield", "errors", "A generator without a yield.", "FN_DECL", recommended=False)
@@ -251,10 +267,10 @@ def require_yield(o: dict) -> list[str]:
 
 @rule("use-isnan", "errors", "Nothing equals NaN.", "BIN_EXPR SWITCH_STMT CASE_CLAUSE CALL_EXPR CONDITION", enforce_for_switch_case=True, enforce_for_index_of=False)
 def use_isnan(o: dict) -> list[str]:
-    out = [hit(f"kind = 'BIN_EXPR' and op in {COMPARISONS} and ({kid('lhs')}.lex = 'NaN' or {kid('rhs')}.lex = 'NaN')", "concat('a comparison with NaN by ', op)")]
+    out = [hit(f"kind = 'BIN_EXPR' and op in {COMPARISONS} and ({kid('lhs')}.lex = 'NaN' or {kid('rhs')}.lex = 'NaN')", "concat('a comparison with NaN by ', op)", note="'nothing equals NaN, not even NaN itself: ask Number.isNaN'")]
     if o["enforce_for_switch_case"]:
-        out.append(hit("kind = 'CONDITION' and parent_kind = 'SWITCH_STMT' and get(kids, 0).lex = 'NaN'", "'a switch over NaN'"))
-        out.append(hit(f"kind = 'CASE_CLAUSE' and {kid('test')}.lex = 'NaN'", "'a case of NaN'"))
+        out.append(hit("kind = 'CONDITION' and parent_kind = 'SWITCH_STMT' and get(kids, 0).lex = 'NaN'", "'a switch over NaN'", note="'no case is ever equal to NaN'"))
+        out.append(hit(f"kind = 'CASE_CLAUSE' and {kid('test')}.lex = 'NaN'", "'a case of NaN'", note="'no value is ever equal to NaN'"))
     if o["enforce_for_index_of"]:
         names = "('Array . prototype . indexOf', 'Array . prototype . lastIndexOf', 'String . prototype . indexOf', 'String . prototype . lastIndexOf')"
         args = f"{kid('args')}.lex"
@@ -263,13 +279,25 @@ def use_isnan(o: dict) -> list[str]:
     return out
 
 
+#: What typeof yields.
+TYPES = ("undefined", "object", "boolean", "number", "string", "function", "symbol", "bigint")
+
+
 @rule("valid-typeof", "errors", "typeof yields one of eight names.", "BIN_EXPR", require_string_literals=False)
 def valid_typeof(o: dict) -> list[str]:
-    names = ", ".join(q(m + n + m) for n in ("undefined", "object", "boolean", "number", "string", "function", "symbol", "bigint") for m in ("'", '"'))
+    names = ", ".join(q(m + n + m) for n in TYPES for m in ("'", '"'))
+    known = f"array({', '.join(map(q, TYPES))})"
+
+    def meant(text: str) -> str:
+        """The nearest of the eight names, if it is within a third of the length."""
+        said = f"substring({text}, 2, length({text}) - 2)"
+        near = f"array_min(transform({known}, n -> named_struct('d', levenshtein(n, {said}), 'n', n)))"
+        return f"if({near}.d <= floor(greatest(length({said}), 3) / 3), concat('did you mean ', {near}.n, '?'), null)"
+
     out = []
     for side, other in (("lhs", "rhs"), ("rhs", "lhs")):
         typeof = f"op in {COMPARISONS} and {kid(side)}.inner = 'UNARY_EXPR' and {kid(side)}.inner_op = 'typeof'"
-        out.append(hit(f"{typeof} and {kid(other)}.kind = 'LITERAL' and {kid(other)}.op = 'string' and coalesce({kid(other)}.text not in ({names}), true)", "'no type is called so'", f"{kid(other)}.start", f"{kid(other)}.end"))
+        out.append(hit(f"{typeof} and {kid(other)}.kind = 'LITERAL' and {kid(other)}.op = 'string' and coalesce({kid(other)}.text not in ({names}), true)", "'no type is called so'", f"{kid(other)}.start", f"{kid(other)}.end", note=meant(f"{kid(other)}.text")))
         if o["require_string_literals"]:
             out.append(hit(f"{typeof} and not ({kid(other)}.kind = 'LITERAL' and {kid(other)}.op = 'string') and not ({kid(other)}.inner = 'UNARY_EXPR' and {kid(other)}.inner_op = 'typeof')", "'a type compared with something that is no string'", f"{kid(other)}.start", f"{kid(other)}.end"))
     return out
@@ -301,7 +329,9 @@ def repeated(rows: DataFrame, keys: list[str], title: str) -> DataFrame:
     w = Window.partitionBy("file_id", *keys).orderBy("pre")
     none = F.expr(f"cast(array() as {FIXES})")
     kept = [c for c in ("rule",) if c in rows.columns]
-    return rows.withColumns({"_n": F.row_number().over(w), "first": F.first("start").over(w)}).where("_n > 1").select("file_id", *kept, "pre", "start", "end", "first", F.expr(title).alias("title"), F.lit("").alias("label"), none.alias("fixes"))
+    there = F.array(F.struct(F.col("first").cast("int").alias("start"), F.col("_end").cast("int").alias("end"), F.lit("it is here first").alias("text")))
+    later = rows.withColumns({"_n": F.row_number().over(w), "first": F.first("start").over(w), "_end": F.first("end").over(w)}).where("_n > 1")
+    return later.select("file_id", *kept, "pre", "start", "end", "first", F.expr(title).alias("title"), F.lit("").alias("label"), none.alias("fixes"), there.alias("labels"), F.expr("cast(array() as array<string>)").alias("notes"))
 
 
 def _keyed(rows: DataFrame, key: str, title: str) -> DataFrame:
@@ -342,7 +372,7 @@ def no_irregular_whitespace(nodes: DataFrame, tokens: DataFrame, o: dict) -> Dat
     upto = Window.partitionBy("file_id", "tok").orderBy("n")
     runs = pieces.withColumn("end", (F.col("start") + F.sum(F.octet_length("piece")).over(upto)).cast("int")).where(F.col("piece").rlike(f"[{chars}]$"))
     last = F.expr("substring(piece, -1, 1)")
-    return runs.select("file_id", F.col("tok").alias("pre"), (F.col("end") - F.octet_length(last)).alias("start"), "end", F.lit("an unusual white space character").alias("title"), F.format_string("U+%04X", F.ascii(last)).alias("label"), F.expr(f"cast(array() as {FIXES})").alias("fixes"))
+    return runs.select("file_id", F.col("tok").alias("pre"), (F.col("end") - F.octet_length(last)).alias("start"), "end", F.lit("an unusual white space character").alias("title"), F.format_string("U+%04X", F.ascii(last)).alias("label"), F.expr(f"cast(array() as {FIXES})").alias("fixes"), *[F.expr(f"cast(array() as {t})").alias(c) for c, t in MORE])
 
 
 @rule("no-invalid-regexp", "regex", "A regular expression that can't be parsed.", "LITERAL CALL_EXPR NEW_EXPR")
@@ -385,7 +415,7 @@ def needs_of(selected: dict[str, dict]) -> Needs:
     return Needs(*map(frozenset, (kinds, roles, path, kids)), regexes, STEERING, f"[{''.join(map(chr, IRREGULAR))}]" if "no-irregular-whitespace" in selected else "(?!)")
 
 
-COLUMNS = ["file_id", "rule", "pre", "start", "end", "title", "label", "fixes"]
+COLUMNS = ["file_id", "rule", "pre", "start", "end", "title", "label", "fixes", *(c for c, _ in MORE)]
 
 
 def row_findings(nodes: DataFrame, selected: dict[str, dict]) -> DataFrame | None:
@@ -417,7 +447,7 @@ def other_findings(nodes: DataFrame, tokens: DataFrame | None, selected: dict[st
 
 
 def run_rules(nodes: DataFrame, tokens: DataFrame | None, selected: dict[str, dict] | None = None) -> DataFrame:
-    """Findings of the selected rules (name to options; all if None): file_id, rule, pre, start, end, title, label, fixes."""
+    """Findings of the selected rules (name to options; all if None): file_id, rule, pre, start, end, title, label, fixes, labels, notes."""
     selected = {n: {} for n in RULES} if selected is None else selected
     parts = [x for x in (row_findings(nodes, selected), *other_findings(nodes, tokens, selected)) if x is not None]
     return reduce(DataFrame.unionByName, parts)

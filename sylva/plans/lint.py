@@ -25,7 +25,7 @@ from sylva.session import shared_table
 from sylva.sources.config import Config, select_rules
 from sylva.sources.files import located
 
-NONE = (("file_id", "bigint"), ("rule", "string"), ("pre", "int"), ("start", "int"), ("end", "int"), ("title", "string"), ("label", "string"), ("fixes", R.FIXES))
+NONE = (("file_id", "bigint"), ("rule", "string"), ("pre", "int"), ("start", "int"), ("end", "int"), ("title", "string"), ("label", "string"), ("fixes", R.FIXES), *R.MORE)
 PASSES = 11  # how often fixing goes round at most
 
 
@@ -33,7 +33,7 @@ PASSES = 11  # how often fixing goes round at most
 class LintRun:
     files: DataFrame
     directives: DataFrame
-    diagnostics: DataFrame  # file_id, path, phase, rule, severity, title, label, start, end, line, col, fixes
+    diagnostics: DataFrame  # file_id, path, phase, rule, severity, title, label, start, end, fixes, labels (start, end, text), notes, line, col
     outcomes: DataFrame  # file_id, path, outcome, n_error, n_warning
     selected: dict[str, tuple[str, dict]] = field(default_factory=dict)
     warnings: list[str] = field(default_factory=list)
@@ -68,8 +68,8 @@ def lint(files: DataFrame, config: Config | None = None, rules: dict[str, dict]
     rules_ = {n: o for n, (_, o) in selected.items()}
     trees = shared_table(parsed(files, R.needs_of(rules_)), "findings", partition="what")
     nodes, tokens = nodes_of(trees), tokens_of(trees)
-    none = F.expr(f"cast(array() as {R.FIXES})")
-    about = lambda phase, df, severity="error": df.select("file_id", F.lit(phase).alias("phase"), F.lit(None).cast("string").alias("rule"), F.lit(severity).alias("severity"), "title", F.lit("").alias("label"), "start", "end", none.alias("fixes"))
+    none = [F.expr(f"cast(array() as {t})").alias(c) for c, t in (("fixes", R.FIXES), *R.MORE)]
+    about = lambda phase, df, severity="error": df.select("file_id", F.lit(phase).alias("phase"), F.lit(None).cast("string").alias("rule"), F.lit(severity).alias("severity"), "title", F.lit("").alias("label"), "start", "end", *none)
     parts = [about("parse", errors_of(trees))]
     any_tokens = tokens.limit(1).count() > 0  # only files with steering comments or odd characters have tokens here
     steering = parse_directives(tokens, nodes)
@@ -82,7 +82,7 @@ def lint(files: DataFrame, config: Config | None = None, rules: dict[str, dict]
         found = reduce(DataFrame.unionByName, [*([] if single is None else [shared_table(single, "hits")]), *several]) if several or single is not None else nodes.limit(0).select(*[F.lit(None).cast(t).alias(c) for c, t in NONE])
         levels = F.create_map(*[F.lit(x) for n, (level, _) in selected.items() for x in (n, level)])
         kept = (apply_ignores(found, steering) if directives and any_tokens else found).dropDuplicates(["file_id", "rule", "start", "end", "title"])
-        parts.append(kept.select("file_id", F.lit("rule").alias("phase"), "rule", levels[F.col("rule")].alias("severity"), "title", "label", "start", "end", "fixes"))
+        parts.append(kept.select("file_id", F.lit("rule").alias("phase"), "rule", levels[F.col("rule")].alias("severity"), "title", "label", "start", "end", "fixes", "labels", "notes"))
     if directives and any_tokens:
         parts.append(about("directive", directive_errors(steering, sorted(selected))))
         if selected:

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sylva.functions.names import name_distance
 from sylva.functions.regex_engine import check_patterns
 from sylva.operators.directives import apply_ignores
 from sylva.operators.edits import map_offsets, overlapping, without_conflicts
-from sylva.operators.navigation import siblings
+from sylva.operators.navigation import covering, siblings
 from sylva.operators.rules import RULES, options_of, repeated
+from sylva.operators.spans import inside, tracks
 from sylva.operators.syntax import lexed, nodes_of, parsed
 from sylva.plans.coverage import coverage
 from sylva.plans.infer import infer_block_spacing, mode_largest
 from sylva.plans.lint import fix, lint, outcomes_of
 from sylva.plans.report import padded, short_report, totals
+from sylva.plans.snippets import long_report
 from sylva.sources.config import merged_levels, parse_config, with_levels
 from sylva.sources.files import files_from, line_starts, located, scripts_of
 from sylva.streaming.documents import latest
@@ -302,3 +304,83 @@ def short_report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def outcome_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K4: totals of a run over the pages' scripts."""
     return totals(lint(planted_scripts(spark, sf_dir), parse_config(CONFIG)).outcomes).drop("text")
+
+
+# Spans of line items: a supplier is a file, an item lies from the day it is shipped to the day it is received.
+
+
+def shipments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = lambda c: F.datediff(F.col(c).cast("date"), F.lit("1990-01-01")).cast("long")
+    return table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_quantity", day("l_shipdate").alias("s"), (day("l_shipdate") + F.col("l_quantity").cast("long")).alias("e"))
+
+
+SHIPMENTS = "x AS (SELECT l_suppkey, l_orderkey, l_linenumber, l_quantity, date_diff('day', DATE '1990-01-01', l_shipdate::DATE) AS s, date_diff('day', DATE '1990-01-01', l_shipdate::DATE) + l_quantity::BIGINT AS e FROM lineitem)"
+
+
+@query(f"""WITH RECURSIVE {SHIPMENTS}, n AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY s, e, l_orderkey, l_linenumber) AS n FROM x),
+r AS (SELECT l_suppkey, 0::BIGINT AS n, 0::BIGINT AS l_orderkey, 0::BIGINT AS l_linenumber, -1::BIGINT AS track, []::BIGINT[] AS ends FROM (SELECT DISTINCT l_suppkey FROM x)
+  UNION ALL SELECT l_suppkey, n, l_orderkey, l_linenumber, t AS track, list_concat(ends[1:t], [e], ends[t + 2:]) AS ends
+  FROM (SELECT r.l_suppkey, n.n, n.l_orderkey, n.l_linenumber, n.e, r.ends, coalesce(list_position([z <= n.s FOR z IN r.ends], true) - 1, len(r.ends))::BIGINT AS t FROM r JOIN n ON n.l_suppkey = r.l_suppkey AND n.n = r.n + 1))
+SELECT l_orderkey, l_linenumber::INT AS l_linenumber, l_suppkey, track FROM r WHERE n > 0""")
+def label_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1: the rails of the long report: every span of a file on the lowest track that is free."""
+    rows = tracks(shipments(spark, sf_dir), ["l_suppkey"], "s", "e", ["l_orderkey", "l_linenumber"])
+    return rows.select("l_orderkey", "l_linenumber", "l_suppkey", F.col("track").cast("long").alias("track"))
+
+
+@query(f"WITH {SHIPMENTS}, o AS (SELECT * FROM x WHERE l_quantity >= 45) SELECT o.l_orderkey, o.l_linenumber, count(*) AS n, sum(i.l_quantity)::BIGINT AS quantity FROM o JOIN x i ON i.l_suppkey = o.l_suppkey AND i.s BETWEEN o.s AND o.e AND i.e <= o.e GROUP BY 1, 2")
+def spans_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What lies within each of a file's wide spans."""
+    rows = shipments(spark, sf_dir)
+    outer = rows.where("l_quantity >= 45").select("l_suppkey", "l_orderkey", "l_linenumber", F.col("s").alias("_lo"), F.col("e").alias("_hi"))
+    found = inside(rows.select("l_suppkey", "s", "e", "l_quantity"), outer, ["l_suppkey"], "s").where("e <= _hi")
+    return found.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").cast("long").alias("quantity"))
+
+
+# A tree a region: nations, customers and orders, of which each is as wide as the orders below it.
+LEVELS_OF_TREE = ("region", "nation", "customer", "order")
+
+
+def sales_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = {"n_regionkey": "file_id", "n_nationkey": "nation", "c_custkey": "customer", "o_orderkey": "order"}
+    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.expr("o_custkey = c_custkey")).join(table(spark, sf_dir, "nation"), F.expr("c_nationkey = n_nationkey")).select(*[F.col(a).alias(b) for a, b in names.items()])
+    rows = rows.withColumn("at", F.row_number().over(Window.partitionBy("file_id").orderBy("nation", "customer", "order")) - 1)
+    keys = [["file_id"], ["file_id", "nation"], ["file_id", "nation", "customer"], ["file_id", "nation", "customer", "order"]]
+    spans = {f"x{d}": F.struct(F.lit(kind).alias("kind"), F.min("at").over(Window.partitionBy(*k)).alias("start"), (F.max("at").over(Window.partitionBy(*k)) + 1).alias("end")) for d, (kind, k) in enumerate(zip(LEVELS_OF_TREE, keys, strict=True))}
+    step = lambda d: F.struct((F.col(f"x{d}.start") * 4 + d).alias("pre"), f"x{d}.kind", f"x{d}.start", f"x{d}.end")
+    wide = rows.withColumns(spans)
+    levels = [F.struct(step(d).alias("own"), F.lit(d).alias("depth"), F.array(*map(step, range(d))).cast("array<struct<pre:int,kind:string,start:int,end:int>>").alias("path")) for d in range(4)]
+    # of each node the row of its first order
+    return wide.select("file_id", "at", F.explode(F.array(*levels)).alias("x")).where("x.own.start = at").select("file_id", "x.own.*", "x.depth", "x.path")
+
+
+@query("""WITH o AS (SELECT n_regionkey AS f, n_nationkey AS n, c_custkey AS c, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey, c_custkey, o_orderkey) - 1 AS p FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+t AS (SELECT f, 'region' AS kind, 0 AS depth, min(p) AS s, max(p) + 1 AS e FROM o GROUP BY f UNION ALL SELECT f, 'nation', 1, min(p), max(p) + 1 FROM o GROUP BY f, n UNION ALL SELECT f, 'customer', 2, min(p), max(p) + 1 FROM o GROUP BY f, n, c UNION ALL SELECT f, 'order', 3, p, p + 1 FROM o),
+r AS (SELECT user_id % 5 AS f, event_id, event_id * 37 % 2500 AS lo, event_id * 37 % 2500 + event_id % 97 AS hi FROM events),
+j AS (SELECT event_id, r.f, kind, s * 4 + depth AS pre, row_number() OVER (PARTITION BY event_id ORDER BY e - s, depth DESC, s DESC) AS k FROM r JOIN t ON t.f = r.f AND s <= lo AND e >= hi)
+SELECT event_id, f::BIGINT AS region, pre::BIGINT AS pre, kind FROM j WHERE k = 1""")
+def covering_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The smallest node that covers each of many ranges."""
+    at = F.col("event_id") * 37 % 2500
+    ranges = table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("file_id"), F.col("event_id").alias("range_id"), at.alias("lo"), (at + F.col("event_id") % 97).alias("hi"))
+    found = covering(sales_tree(spark, sf_dir).withColumn("file_id", F.col("file_id").cast("long")), ranges.withColumn("file_id", F.col("file_id").cast("long")))
+    return found.select(F.col("range_id").alias("event_id"), F.col("file_id").alias("region"), F.col("pre").cast("long").alias("pre"), "kind")
+
+
+#: Lines added to the scripts of pages, by the page's number, and what the long report says of them after its head.
+REPORTED = (
+    ("", None, None),
+    ("\ndebugger;", "no-debugger]: a debugger statement\n  --> page/{}/0.js:2:1", "2 | debugger;\n  | ^^^^^^^^^"),
+    ("\nx = { a: 1, a: 2 };", "no-dupe-keys]: the key a was there before\n  --> page/{}/0.js:2:13", "2 | x = { a: 1, a: 2 };\n  |       - it is here first\n  |             ^"),
+    ("\ntry { a(); } finally {\n  throw b;\n}", "no-unsafe-finally]: a throw in a finally block\n  --> page/{}/0.js:3:3", "2 | / try { a(); } finally {\n3 | |   throw b;\n  | |   ^^^^^^^^\n4 | | }\n  | \\_- it leaves this block, and what the try block throws or returns is dropped"),
+    ("\nif (typeof a === 'strnig') { a(); }", "valid-typeof]: no type is called so\n  --> page/{}/0.js:2:18", "2 | if (typeof a === 'strnig') { a(); }\n  |                  ^^^^^^^^\n  = note: did you mean string?"),
+)
+
+
+@query(f"""SELECT page_id, CASE page_id % 5 {' '.join(f"WHEN {k} THEN {sql_text('error[' + head.split('{}')[0])} || page_id || {sql_text(head.split('{}')[1] + chr(10) + body)}" for k, (_, head, body) in enumerate(REPORTED) if head)} END AS text FROM {SCRIPT} WHERE page_id % 5 > 0""")
+def long_report_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1: the long report of planted faults: labels on one line, over several lines, and notes."""
+    files = scripts_of(table(spark, sf_dir, "pages"))
+    added = F.element_at(F.array(*[F.lit(x) for x, _, _ in REPORTED]), (page_of(F.col("path")) % 5 + 1).cast("int"))
+    files = files_from(files.select("path", F.concat("source", added).alias("source")))
+    return long_report(lint(files).diagnostics, files).select(page_of(F.col("path")).alias("page_id"), "text")

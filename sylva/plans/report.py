@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sylva.functions.names import best_match
 from sylva.operators.rules import RULES
 from sylva.operators.spans import inside
+from sylva.plans.snippets import long_report
 
 FORMATTERS = ("long", "short")
 
@@ -27,20 +28,6 @@ def short_report(diagnostics: DataFrame) -> DataFrame:
     return rows.select("path", "line_no", F.concat_ws("  ", "_at", "severity", "title", "_rule").alias("text"))
 
 
-def long_report(diagnostics: DataFrame, files: DataFrame) -> DataFrame:
-    """path, start, text: head, place and the source line with the span marked."""
-    joined = diagnostics.join(files.select("file_id", "source"), "file_id")
-    line = F.get(F.split("source", "\n", -1), F.col("line"))
-    before = F.expr("length(cast(substring(cast(_line as binary), 1, col) as string))")
-    wide = F.expr("greatest(1, length(cast(substring(cast(_line as binary), col + 1, least(end - start, octet_length(_line) - col)) as string)))")
-    text = F.concat(
-        F.concat("severity", F.lit("["), F.coalesce("rule", "phase"), F.lit("]: "), "title", F.lit("\n")),
-        F.concat(F.lit("  --> "), "path", F.lit(":"), (F.col("line") + 1).cast("string"), F.lit(":"), (F.col("col") + 1).cast("string"), F.lit("\n")),
-        F.concat(F.lit("   | "), "_line", F.lit("\n   | "), F.expr("repeat(' ', _pad)"), F.expr("repeat('^', _wide)"), F.when(F.col("label") != "", F.concat(F.lit(" "), "label")).otherwise("")),
-    )
-    return joined.withColumn("_line", line).withColumns({"_pad": before, "_wide": wide}).select("path", "start", text.alias("text"))
-
-
 def report(diagnostics: DataFrame, files: DataFrame, formatter: str = "long") -> DataFrame:
     if formatter not in FORMATTERS:
         near = best_match(list(FORMATTERS), formatter)

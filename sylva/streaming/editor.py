@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylva.operators.directives import COMMANDS
+from sylva.operators.edits import moved
 from sylva.operators.rules import RULES
 
 
@@ -34,3 +35,11 @@ def quick_fixes(diagnostics: DataFrame, files: DataFrame, path: str, start: int,
     ignore = mine.select("file_id", "rule").distinct().join(files.select("file_id", "source"), "file_id")
     ignore = ignore.select(F.concat(F.lit("ignore "), "rule", F.lit(" in this file")).alias("title"), F.octet_length(first).alias("start"), F.octet_length(first).alias("end"), F.concat(F.lit("// sylva-ignore "), "rule", F.lit("\n\n")).alias("insert"))
     return own.unionByName(ignore)
+
+
+def after_fix(diagnostics: DataFrame, edits: DataFrame) -> DataFrame:
+    """The findings that are left once edits (file_id, start, end, insert) are made, at their new places, without linting anew: those not cut into by an edit.
+
+    line and col are those of before and go, as an edit may add lines.
+    """
+    return moved(diagnostics.drop("line", "col"), edits)

@@ -175,7 +175,7 @@ def test_reports(spark):
     short = [r.text for r in report(run.diagnostics, run.files, "short").orderBy("path", "line_no").collect()]
     assert short == ["2:3  error  a debugger statement  no-debugger", "3:8  error  an empty block        no-empty"]
     long_ = report(run.diagnostics, run.files).orderBy("start").first().text
-    assert long_ == "error[no-debugger]: a debugger statement\n  --> a.js:2:3\n   |   debugger;\n   |   ^^^^^^^^^"
+    assert long_ == "error[no-debugger]: a debugger statement\n  --> a.js:2:3\n2 |   debugger;\n  |   ^^^^^^^^^"
     with pytest.raises(ValueError, match="did you mean short"):
         report(run.diagnostics, run.files, "shrt")
     assert dump_tree(run.nodes).orderBy("pre").first().text == "SCRIPT@0..26"
