@@ -29,6 +29,7 @@ class Config:
     source_type: str | None = None
     has_rules: bool = False
     problems: list[str] = field(default_factory=list)
+    unreadable: bool = False
 
 
 def _rule_name(name: str) -> str:
@@ -54,6 +55,7 @@ def parse_config(text: str, is_json: bool | None = None) -> Config:
         data = json.loads(text) if (text.lstrip().startswith("{") if is_json is None else is_json) else tomllib.loads(text)
     except ValueError as e:
         out.problems.append(f"the configuration can't be read: {e}")
+        out.unreadable = True
         return out
     rules = data.get("rules")
     if rules is not None:
