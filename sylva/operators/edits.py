@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,19 @@ def without_conflicts(edits: DataFrame) -> DataFrame:
     return edits.join(clashing, ["file_id", "rule"], "left_anti")
 
 
+def union_disjoint(*edits: DataFrame) -> DataFrame:
+    """All edits (file_id, rule, start, end, insert) of several tables; running it fails where two of them overlap, naming the file, both spans and rules.
+
+    Equal edits are one. The check is a running maximum within the plan, so nothing is collected for it.
+    """
+    both = reduce(DataFrame.unionByName, [e.select("file_id", "rule", "start", "end", "insert") for e in edits]).distinct()
+    order = Window.partitionBy("file_id").orderBy("start", "end", "rule", "insert").rowsBetween(Window.unboundedPreceding, -1)
+    furthest = F.max(F.struct("end", "start", "rule")).over(order)
+    said = F.format_string("file %s: the edit of %s at %s..%s overlaps that of %s at %s..%s", *[F.col(c).cast("string") for c in ("file_id", "rule", "start", "end", "_f.rule", "_f.start", "_f.end")])
+    checked = F.when(F.col("_f.end") > F.col("start"), F.raise_error(said).cast("int")).otherwise(F.col("start"))
+    return both.withColumn("_f", furthest).withColumn("start", checked.cast(both.schema["start"].dataType)).select(both.columns)
+
+
 def apply_edits(files: DataFrame, edits: DataFrame) -> DataFrame:
     """files (file_id, source, …) with their edits applied: source is the new text; files without edits stay out.
 

@@ -166,6 +166,25 @@ def with_trivia(tokens: DataFrame) -> DataFrame:
     return joined.withColumns({c: F.coalesce(c, none) for c in ("leading", "trailing")}).drop("_n")
 
 
+def reach(rows: DataFrame, keys: list[str], order: list[str], holds: Column) -> DataFrame:
+    """rows with ``back`` and ``ahead``: how many rows directly before and after each one ``holds`` is true of, up to the first where it fails.
+
+    A row's number and that of the last failure before it, or of the first after it, are all it takes: a window each way, no array of neighbours.
+    """
+    way = Window.partitionBy(*keys).orderBy(*order)
+    numbered = rows.withColumns({"_n": F.row_number().over(way), "_fails": ~F.coalesce(holds, F.lit(False))})
+    failed = F.when(F.col("_fails"), F.col("_n"))
+    before = F.max(failed).over(way.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.min(failed).over(way.rowsBetween(1, Window.unboundedFollowing))
+    total = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    return numbered.withColumns({"back": F.col("_n") - 1 - F.coalesce(before, F.lit(0)), "ahead": (F.coalesce(after, total + 1) - F.col("_n") - 1)}).drop("_n", "_fails")
+
+
+def trivia_around(tokens: DataFrame) -> DataFrame:
+    """Tokens with ``back`` and ``ahead``: how many pieces of white space and comments lie directly before and after each."""
+    return reach(tokens, ["file_id"], ["tok"], F.col("is_trivia"))
+
+
 def until_comment(trivia: str, nearest_first: bool) -> Column:
     """The trivia of an array up to the first comment, seen from the token."""
     seen = F.reverse(trivia) if nearest_first else F.col(trivia)

@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 from sylva.functions.names import name_distance
 from sylva.functions.regex_engine import check_patterns
 from sylva.operators.directives import apply_ignores
-from sylva.operators.edits import map_offsets, overlapping, without_conflicts
-from sylva.operators.navigation import covering, siblings
+from sylva.operators.edits import map_offsets, overlapping, union_disjoint, without_conflicts
+from sylva.operators.navigation import covering, reach, siblings
 from sylva.operators.rules import RULES, options_of, repeated
 from sylva.operators.spans import inside, tracks
 from sylva.operators.syntax import lexed, nodes_of, parsed
 from sylva.plans.coverage import coverage
-from sylva.plans.infer import infer_block_spacing, mode_largest
+from sylva.plans.infer import infer_block_spacing, merged, mode_largest, votes, winners
 from sylva.plans.lint import fix, lint, outcomes_of
 from sylva.plans.report import padded, short_report, totals
 from sylva.plans.snippets import long_report
@@ -384,3 +384,37 @@ def long_report_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     added = F.element_at(F.array(*[F.lit(x) for x, _, _ in REPORTED]), (page_of(F.col("path")) % 5 + 1).cast("int"))
     files = files_from(files.select("path", F.concat("source", added).alias("source")))
     return long_report(lint(files).diagnostics, files).select(page_of(F.col("path")).alias("page_id"), "text")
+
+
+@query("""WITH n AS (SELECT *, row_number() OVER w AS n, count(*) OVER (PARTITION BY user_id) AS total, event_type <> 'error' AS ok FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+f AS (SELECT *, max(CASE WHEN NOT ok THEN n END) OVER (PARTITION BY user_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b, min(CASE WHEN NOT ok THEN n END) OVER (PARTITION BY user_id ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS a FROM n)
+SELECT event_id, (n - 1 - coalesce(b, 0))::BIGINT AS back, (coalesce(a, total + 1) - n - 1)::BIGINT AS ahead FROM f""")
+def look_around(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many events without an error lie directly before and after each of a user's."""
+    rows = reach(table(spark, sf_dir, "events"), ["user_id"], ["event_id"], F.col("event_type") != "error")
+    return rows.select("event_id", F.col("back").cast("long").alias("back"), F.col("ahead").cast("long").alias("ahead"))
+
+
+@query("""WITH v AS (SELECT l_suppkey, o, v, count(*) AS n FROM (SELECT l_suppkey, 'flag' AS o, l_returnflag AS v FROM lineitem UNION ALL SELECT l_suppkey, 'line', l_linenumber::VARCHAR FROM lineitem UNION ALL SELECT l_suppkey, 'status', l_linestatus FROM lineitem WHERE l_quantity > 25) WHERE v IS NOT NULL GROUP BY 1, 2, 3),
+b AS (SELECT l_suppkey, o, max({'n': n, 'v': v}).v AS v FROM v GROUP BY 1, 2)
+SELECT l_suppkey, max(CASE WHEN o = 'flag' THEN v END) AS flag, max(CASE WHEN o = 'line' THEN v END) AS line, max(CASE WHEN o = 'status' THEN v END) AS status FROM b GROUP BY 1""")
+def several_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several options voted in one pass, of histograms that were made apart and merged."""
+    rows = table(spark, sf_dir, "lineitem")
+    options = {"flag": F.col("l_returnflag"), "line": F.col("l_linenumber"), "status": F.when(F.col("l_quantity") > 25, F.col("l_linestatus"))}
+    parts = [votes(rows.where(f"l_orderkey % 2 = {k}"), ["l_suppkey"], options) for k in (0, 1)]
+    found = winners(merged(parts[0].unionByName(parts[1]), ["l_suppkey"]), ["l_suppkey"])
+    return found.select("l_suppkey", *[F.col("options")[o].alias(o) for o in options])
+
+
+UNION = "x AS (SELECT DISTINCT l_orderkey AS file_id, l_linenumber AS k, l_linenumber * 100 AS s, l_linenumber * 100 + l_quantity::BIGINT AS e, l_returnflag AS r FROM lineitem)"
+
+
+@query(f"WITH {UNION}, a AS (SELECT file_id, min(s) AS s, max(e) AS e FROM x GROUP BY file_id, k) SELECT file_id, count(*) AS n, sum(e - s)::BIGINT AS bytes FROM a GROUP BY 1")
+def union_of_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits of two rules put together, with overlaps as faults; here those of one place are made one before."""
+    start = (F.col("l_linenumber") * 100).cast("long")
+    place = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("file_id"), "l_linenumber", start.alias("start"), (start + F.col("l_quantity").cast("long")).alias("end"))
+    edits = place.groupBy("file_id", "l_linenumber").agg(F.min("start").alias("start"), F.max("end").alias("end")).withColumn("insert", F.lit(""))
+    parts = [edits.where(f"l_linenumber % 2 = {k}").withColumn("rule", F.lit(f"r{k}")) for k in (0, 1)]
+    return union_disjoint(*parts).groupBy("file_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end") - F.col("start")).alias("bytes"))

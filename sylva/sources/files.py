@@ -27,18 +27,23 @@ def files_from(sources: DataFrame, path_col: str = "path", source_col: str = "so
 
 
 def load_files(spark: SparkSession, paths: str | list[str], ignore: list[str] | list[tuple[str, bool]] | None = None, override: str | None = None, root: str = "", hidden: bool = False) -> DataFrame:
-    """js, mjs and ts files below the paths (globs allowed). ignore: patterns as in an ignore file; hidden files are skipped unless asked for."""
+    """js, mjs and ts files below the paths (globs allowed). ignore: patterns as in an ignore file; hidden files are skipped unless asked for.
+
+    Patterns are filters of the listed paths, which Spark applies when it plans the scan: a file that is left out is never opened. What is
+    read is dealt out by size.
+    """
     glob = "*.{" + ",".join(EXTENSIONS) + "}"
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(paths)
-    named = raw.select(F.regexp_replace("path", "^[a-z]+:/*(?=/)", "").alias("path"), F.col("content").cast("string").alias("source"))
-    relative = F.col("path")
+    # the path of a listed file as a URL; a plus sign in it is one
+    path = F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), "^[a-z]+:/*(?=/)", "")
     if root:
         prefix = root.rstrip("/") + "/"
-        relative = F.when(F.col("path").startswith(prefix), F.substring(F.col("path"), F.lit(len(prefix) + 1), F.length("path"))).otherwise(F.col("path"))
+        path = F.when(path.startswith(prefix), F.substring(path, F.lit(len(prefix) + 1), F.length(path))).otherwise(path)
     if not hidden:
-        named = named.where(~relative.rlike(r"(^|/)\.[^/.]"))
+        raw = raw.where(~path.rlike(r"(^|/)\.[^/.]"))
     if ignore:
-        named = named.where(~ignored(relative, ignore))
+        raw = raw.where(~ignored(path, ignore))
+    named = raw.select(F.regexp_replace("path", "^[a-z]+:/*(?=/)", "").alias("path"), F.col("content").cast("string").alias("source"))
     return files_from(named, override=override)
 
 

@@ -198,3 +198,51 @@ def test_scratch_tables_are_removed(spark):
         assert shared_table(spark.range(3), "scratch-test").count() == 3
         assert list(folder.glob("sylva-scratch-test-*"))
     assert not list(folder.glob("sylva-scratch-test-*"))
+
+
+def test_union_of_edits_fails_on_overlap(spark):
+    from sylva.operators.edits import union_disjoint
+
+    schema = "file_id long, rule string, start int, end int, insert string"
+    a = spark.createDataFrame([(1, "a", 0, 9, ""), (2, "a", 0, 4, "")], schema)
+    fits = spark.createDataFrame([(1, "b", 9, 12, "x"), (2, "a", 0, 4, ""), (2, "b", 4, 4, "y")], schema)
+    assert union_disjoint(a, fits).count() == 4 and union_disjoint(a, fits).schema == a.schema
+    for clash in ((1, "b", 8, 9, ""), (1, "b", 3, 4, "")):
+        with pytest.raises(Exception, match=rf"file 1: the edit of b at {clash[2]}..{clash[3]} overlaps that of a at 0..9"):
+            union_disjoint(a, spark.createDataFrame([clash], schema)).collect()
+
+
+def test_reach(spark):
+    rows = spark.createDataFrame([(1, i, x) for i, x in enumerate("t.tt..ttt")] + [(2, 0, "t"), (3, 0, None), (3, 1, "t")], "k int, n int, x string")
+    got = sorted((r.k, r.n, r.back, r.ahead) for r in N.reach(rows, ["k"], ["n"], rows["x"] == "t").collect())
+    text = "t.tt..ttt"
+    back = [len(text[:i]) - len(text[:i].rstrip("t")) for i in range(9)]
+    ahead = [len(text[i + 1 :]) - len(text[i + 1 :].lstrip("t")) for i in range(9)]
+    assert got == [(1, i, back[i], ahead[i]) for i in range(9)] + [(2, 0, 0, 0), (3, 0, 0, 1), (3, 1, 0, 0)]
+    tokens = spark.createDataFrame([(1, 0, False), (1, 1, True), (1, 2, True), (1, 3, False)], "file_id long, tok int, is_trivia boolean")
+    assert sorted((r.tok, r.back, r.ahead) for r in N.trivia_around(tokens).collect()) == [(0, 0, 2), (1, 0, 1), (2, 1, 0), (3, 2, 0)]
+
+
+def test_votes_merge(spark):
+    from sylva.plans.infer import merged, votes, winners
+
+    rows = spark.createDataFrame([("r", "a", 1), ("r", "b", 2), ("r", "b", None), ("r", None, 2), ("s", "a", 1), ("s", "b", 3)], "rule string, x string, y int")
+    options = {"x": rows["x"], "y": rows["y"]}
+    whole = {r.rule: r.options for r in winners(votes(rows, ["rule"], options), ["rule"]).collect()}
+    assert whole == {"r": {"x": "b", "y": "2"}, "s": {"x": "b", "y": "3"}}
+    parts = [votes(rows.where(f"coalesce(y, 0) % 2 = {k}"), ["rule"], options) for k in (0, 1)]
+    assert {r.rule: r.options for r in winners(merged(parts[0].unionByName(parts[1]), ["rule"]), ["rule"]).collect()} == whole
+
+
+def test_files_that_are_left_out_are_never_opened(spark, tmp_path):
+    from sylva.sources.files import load_files
+
+    for n in range(40):
+        for folder in ("node_modules/x", "src", ".git"):
+            (tmp_path / folder).mkdir(parents=True, exist_ok=True)
+            (tmp_path / folder / f"f {n}+%.js").write_text("x" * 100)
+    files = load_files(spark, str(tmp_path), ignore=["node_modules/", "f 1*"], root=str(tmp_path))
+    assert {r.name for r in files.collect()} == {f"f {n}+%.js" for n in range(40) if not str(n).startswith("1")}
+    leaves = files._jdf.queryExecution().executedPlan().collectLeaves()
+    files._jdf.queryExecution().executedPlan().executeCollect()
+    assert [leaves.apply(i).metrics().apply("numFiles").value() for i in range(leaves.size())] == [29]
