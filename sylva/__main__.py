@@ -45,11 +45,17 @@ def arguments() -> argparse.ArgumentParser:
     return top
 
 
-def _files(spark: SparkSession, given: list[str], no_ignore: bool) -> DataFrame:
+def _root(given: list[str]) -> Path:
+    """The folder that all given paths lie in."""
     root = Path(os.path.commonpath([str(Path(p).absolute()) for p in given]))
     root = root if root.is_dir() else root.parent
     while "*" in str(root):
         root = root.parent
+    return root
+
+
+def _files(spark: SparkSession, given: list[str], no_ignore: bool) -> DataFrame:
+    root = _root(given)
     paths = [f"file://{Path(p).absolute()}" for p in given]
     return load_files(spark, paths, ignore=None if no_ignore else ignore_rules(root), root=str(root))
 
@@ -70,7 +76,7 @@ def _checked(args: argparse.Namespace, spark: SparkSession, out) -> int:
     if args.command == "fix":
         before = run.diagnostics
         fixed = fix(run, dirty=args.dirty)
-        write_sources(fixed, "", in_place=True)
+        write_sources(fixed, str(_root(args.paths)), in_place=True)
         run = lint(_files(spark, args.paths, args.no_ignore), config)
         print(f"fixed {problems_fixed(before, run.diagnostics).first().fixed} problems", file=out)
     for said in run.warnings:

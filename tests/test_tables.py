@@ -246,3 +246,22 @@ def test_files_that_are_left_out_are_never_opened(spark, tmp_path):
     leaves = files._jdf.queryExecution().executedPlan().collectLeaves()
     files._jdf.queryExecution().executedPlan().executeCollect()
     assert [leaves.apply(i).metrics().apply("numFiles").value() for i in range(leaves.size())] == [29]
+
+
+def test_a_failing_task_leaves_every_target_as_it_was(spark, tmp_path):
+    from sylva.plans.sinks import write_sources
+
+    (tmp_path / "sub").mkdir()
+    for n in range(6):
+        (tmp_path / "sub" / f"{n}.js").write_text("old")
+    rows = spark.createDataFrame([(f"{tmp_path}/sub/{n}.js", f"new {n}") for n in range(6)], "path string, source string").repartition(6, "path")
+    failing = rows.selectExpr("path", "if(path like '%/3.js', cast(raise_error('no') as string), source) as source")
+    with pytest.raises(Exception, match="no"):
+        write_sources(failing, str(tmp_path), in_place=True)
+    assert {p.read_text() for p in (tmp_path / "sub").iterdir()} == {"old"}
+    write_sources(rows, str(tmp_path), in_place=True)
+    assert {p.name: p.read_text() for p in (tmp_path / "sub").iterdir()} == {f"{n}.js": f"new {n}" for n in range(6)}
+    assert len([p for p in tmp_path.iterdir() if p.name != "sub"]) <= 1  # of the failed job at most
+    write_sources(spark.createDataFrame([("a/é.js", "ü\n"), ("/b.js", None)], "path string, source string"), f"file://{tmp_path}/out")
+    assert (tmp_path / "out/a/é.js").read_text() == "ü\n" and (tmp_path / "out/b.js").read_text() == ""
+    write_sources(rows.limit(0), str(tmp_path / "out"))
