@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sylva.functions.names import name_distance
+from sylva.functions.names import name_distance, nearest_names
 from sylva.functions.regex_engine import check_patterns
 from sylva.operators.directives import apply_ignores
 from sylva.operators.edits import map_offsets, overlapping, union_disjoint, without_conflicts
@@ -418,3 +418,14 @@ def union_of_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
     edits = place.groupBy("file_id", "l_linenumber").agg(F.min("start").alias("start"), F.max("end").alias("end")).withColumn("insert", F.lit(""))
     parts = [edits.where(f"l_linenumber % 2 = {k}").withColumn("rule", F.lit(f"r{k}")) for k in (0, 1)]
     return union_disjoint(*parts).groupBy("file_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end") - F.col("start")).alias("bytes"))
+
+
+@query("""WITH a AS (SELECT DISTINCT p_name || ' ' || p_brand AS name FROM part), s AS (SELECT DISTINCT substr(p_name, 2) || 'x' || substr(p_brand, 3) AS said FROM part),
+d AS (SELECT said, name, levenshtein(said, name) AS d FROM s, a WHERE abs(length(said) - length(name)) <= length(said) // 3)
+SELECT said, min({'d': d, 'n': name}).n AS nearest, min(d)::BIGINT AS distance FROM d WHERE d <= greatest(length(said), 3) // 3 GROUP BY said""")
+def nearest_part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest of many names to misspelt ones, by segments that are equal."""
+    part = table(spark, sf_dir, "part")
+    names = part.select(F.concat("p_name", F.lit(" "), "p_brand").alias("name"))
+    said = part.select(F.concat(F.expr("substring(p_name, 2)"), F.lit("x"), F.expr("substring(p_brand, 3)")).alias("said"))
+    return nearest_names(said, names).select("said", "nearest", F.col("distance").cast("long").alias("distance"))

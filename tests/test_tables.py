@@ -265,3 +265,23 @@ def test_a_failing_task_leaves_every_target_as_it_was(spark, tmp_path):
     write_sources(spark.createDataFrame([("a/é.js", "ü\n"), ("/b.js", None)], "path string, source string"), f"file://{tmp_path}/out")
     assert (tmp_path / "out/a/é.js").read_text() == "ü\n" and (tmp_path / "out/b.js").read_text() == ""
     write_sources(rows.limit(0), str(tmp_path / "out"))
+
+
+def test_nearest_of_many_names_is_exact(spark):
+    import random
+
+    from sylva.functions.names import levenshtein, nearest_names
+
+    r = random.Random(3)
+    names = ["", "a", "ab", "é", "abc"] + ["".join(r.choices("abcé", k=r.randrange(1, 16))) for _ in range(150)]
+    said = ["", "b", "ba", "xyz"] + ["".join(r.choices("abcé", k=r.randrange(0, 18))) for _ in range(80)] + names[:20]
+    frames = [spark.createDataFrame([(x,) for x in (*values, None)], f"{c} string") for values, c in ((said, "said"), (names, "name"))]
+    found = nearest_names(*frames)
+    want = {}
+    for s in said:
+        near = [(d, n) for n in names if (d := levenshtein(s, n)) <= max(len(s), 3) // 3]
+        if near:
+            want[s] = min(near)
+    assert {x.said: (x.distance, x.nearest) for x in found.collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
