@@ -7,6 +7,7 @@ expression rules parse each distinct pattern once. Option values are substituted
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -57,7 +58,9 @@ def q(text: str) -> str:
 
 
 def _spans(triples: str, name: str) -> str:
-    return ", ".join(f"named_struct('start', cast({s} as int), 'end', cast({e} as int), '{name}', {x})" for s, e, x in (f.split("|", 2) for f in triples.split(";;") if f))
+    """The triples as structs; their parts are set off by a single |, as || may stand in SQL."""
+    parts = (re.split(r"(?<!\|)\|(?!\|)", f, maxsplit=2) for f in triples.split(";;") if f)
+    return ", ".join(f"named_struct('start', cast({s} as int), 'end', cast({e} as int), '{name}', {x})" for s, e, x in parts)
 
 
 def hit(when: str, title: str, start: str = "start", end: str = "end", label: str = "''", fixes: str = "", also: str = "", note: str = "") -> str:
