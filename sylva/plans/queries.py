@@ -252,52 +252,64 @@ SNIPPETS = (
 )
 
 
-def snippet_files(spark: SparkSession) -> DataFrame:
-    return files_from(spark.createDataFrame([(f"{i:03d}.mjs", s) for i, (s, _, _) in enumerate(SNIPPETS)], "path string, source string"))
+def planted(spark: SparkSession, sf_dir: str, pieces: list[str], suffix: str = "js") -> DataFrame:
+    """The pages' scripts, each followed by one of the pieces, by the page's number."""
+    files = scripts_of(table(spark, sf_dir, "pages"))
+    own = F.element_at(F.array(*map(F.lit, pieces)), (page_of(F.col("path")) % len(pieces) + 1).cast("int"))
+    return files_from(files.select(F.regexp_replace("path", "js$", suffix).alias("path"), F.concat("source", F.lit("\n"), own).alias("source")))
 
 
 def sql_text(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{i:03d}.mjs', '{r}', {sql_text(t)})" for i, (_, r, t) in enumerate(SNIPPETS)) + ") t(path, rule, found)")
+def sql_rows(rows) -> str:
+    return ", ".join("(" + ", ".join(str(x) if isinstance(x, int) else sql_text(x) for x in r) + ")" for r in rows)
+
+
+@query(f"WITH t(k, rule, found) AS (VALUES {sql_rows((i, r, t) for i, (_, r, t) in enumerate(SNIPPETS))}) SELECT page_id, rule, found FROM {SCRIPT} JOIN t ON page_id % {len(SNIPPETS)} = k")
 def rule_hits_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """2.5: every rule, and what of a source it finds."""
-    files = snippet_files(spark)
+    """2.5: every rule, and what of a page's script it finds."""
+    files = planted(spark, sf_dir, [x for x, _, _ in SNIPPETS], "mjs")
     found = lint(files, rules={n: {} for n in RULES}).diagnostics
     text = F.expr("cast(substring(cast(source as binary), start + 1, end - start) as string)")
-    return found.join(files.select("file_id", "source"), "file_id").select("path", "rule", text.alias("found"))
+    return found.join(files.select("file_id", "source"), "file_id").select(page_of(F.col("path")).alias("page_id"), "rule", text.alias("found"))
 
 
-PATTERNS = (("(a*)*", "(a*)"), ("[a-zA-Z0-9_]", "[\\w]"), ("[0-9]", "\\d"), ("a{0,}", "a*"), ("a{1,}", "a+"), ("aaa", "a{3}"), ("abc", None))
+@query("""SELECT CASE p_partkey % 3 WHEN 0 THEN 'a{' || p_size || ',}' WHEN 1 THEN '[0-9]-' || p_size % 10 ELSE '[a-zA-Z0-9_]-' || p_size % 10 END AS pattern,
+CASE p_partkey % 3 WHEN 0 THEN CASE p_size WHEN 0 THEN 'a*' WHEN 1 THEN 'a+' END WHEN 1 THEN '\\d-' || p_size % 10 ELSE '[\\w]-' || p_size % 10 END AS simplified FROM part""")
+def simplify_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2.15: regular expressions made of parts, written shorter."""
+    one = F.expr("case p_partkey % 3 when 0 then concat('a{', p_size, ',}') when 1 then concat('[0-9]-', p_size % 10) else concat('[a-zA-Z0-9_]-', p_size % 10) end")
+    return check_patterns(table(spark, sf_dir, "part").select(one.alias("pattern"), F.lit("").alias("flags"))).select("pattern", "simplified")
 
 
-@query("SELECT pattern, simplified FROM (VALUES " + ", ".join(f"('{p}', {'NULL' if s is None else chr(39) + s + chr(39)})" for p, s in PATTERNS) + ") t(pattern, simplified)")
-def simplify_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """2.15: the six rewrites."""
-    patterns = spark.createDataFrame([(p, "") for p, _ in PATTERNS], "pattern string, flags string")
-    return check_patterns(patterns).select("pattern", "simplified")
+#: Sources, and what fixing makes of them.
+FIXED = (("if (a) {f()};;\n", "if (a) { f() }\n"), ("new Symbol();x == -0;", "Symbol();Object.is(x, -0);"), ("f();", None))
 
 
-@query("SELECT * FROM (VALUES ('a.mjs', 'if (a) { f() }' || chr(10)), ('b.mjs', 'Symbol();Object.is(x, -0);')) t(path, source)")
+@query(f"SELECT page_id, s || chr(10) || CASE page_id % 3 {' '.join(f'WHEN {k} THEN ' + ' || chr(10) || '.join(map(sql_text, new.split(chr(10)))) for k, (_, new) in enumerate(FIXED) if new)} END AS source FROM {SCRIPT} WHERE page_id % 3 < 2")
 def autofix_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """2.16: sources after fixing until nothing changes."""
-    files = files_from(spark.createDataFrame([("a.mjs", "if (a) {f()};;\n"), ("b.mjs", "new Symbol();x == -0;"), ("c.mjs", "f();")], "path string, source string"))
-    return fix(lint(files, rules={n: {} for n in ("no-extra-semi", "no-new-symbol", "no-compare-neg-zero", "block-spacing")})).select("path", "source")
+    """2.16: pages' scripts after fixing until nothing changes."""
+    files = planted(spark, sf_dir, [x for x, _ in FIXED])
+    fixed = fix(lint(files, rules={n: {} for n in ("no-extra-semi", "no-new-symbol", "no-compare-neg-zero", "block-spacing")}))
+    return fixed.select(page_of(F.col("path")).alias("page_id"), "source")
 
 
-@query("SELECT 'block-spacing' AS rule, 'always' AS style")
+@query(f"SELECT 'block-spacing' AS rule, CASE WHEN count(*) FILTER (page_id % 3 <> 1) > count(*) FILTER (page_id % 3 = 1) THEN 'always' ELSE 'never' END AS style FROM {SCRIPT}")
 def inferred_options(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Options inferred by votes."""
-    files = files_from(spark.createDataFrame([("a.js", "if (a) { b() }"), ("b.js", "if (a) {b()}"), ("c.js", "for (;;) { c() }")], "path string, source string"))
-    return infer_block_spacing(nodes_of(parsed(files)))
+    """Options inferred by the votes of all pages' scripts."""
+    return infer_block_spacing(nodes_of(parsed(planted(spark, sf_dir, ["if (a) { b() }", "if (a) {b()}", "for (;;) { c() }"]))))
+
+
+#: Sources, and their lines of the short report.
+SHORT = (("debugger;", "2:1  error  a debugger statement  no-debugger"), ("if (a) {}", "2:8  error  an empty block  no-empty"), ("foo();;", "2:7  error  an unneeded semicolon  no-extra-semi"), ("new Symbol();", "2:1  error  Symbol can not be called with new  no-new-symbol"), ("var a = [,1];", "2:9  error  an array literal with holes  no-sparse-arrays"), ("switch (a) { case 1: case 1: }", "2:27  error  the case 1 was there before  no-duplicate-cases"))
 
 
-@query("SELECT * FROM (VALUES ('000.mjs', '1:1  error  a debugger statement  no-debugger'), ('001.mjs', '1:8  error  an empty block  no-empty'), ('002.mjs', '1:7  error  an unneeded semicolon  no-extra-semi'), ('003.mjs', '1:1  error  Symbol can not be called with new  no-new-symbol'), ('008.mjs', '1:9  error  an array literal with holes  no-sparse-arrays'), ('010.mjs', '1:27  error  the case 1 was there before  no-duplicate-cases')) t(path, text)")
+@query(f"WITH t(k, text) AS (VALUES {sql_rows((i, t) for i, (_, t) in enumerate(SHORT))}) SELECT page_id, text FROM {SCRIPT} JOIN t ON page_id % {len(SHORT)} = k")
 def short_report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K2: the short report."""
-    files = snippet_files(spark).where("path in ('000.mjs', '001.mjs', '002.mjs', '003.mjs', '008.mjs', '010.mjs')")
-    return short_report(lint(files).diagnostics).select("path", "text")
+    """K2: the short report of the pages' scripts."""
+    return short_report(lint(planted(spark, sf_dir, [x for x, _ in SHORT])).diagnostics).select(page_of(F.col("path")).alias("page_id"), "text")
 
 
 @query(f"SELECT count(*) FILTER (page_id % 5 IN (1, 3)) AS failed, count(*) FILTER (page_id % 5 = 2) AS warned, count(*) FILTER (page_id % 5 IN (0, 4)) AS succeeded FROM {SCRIPT}")
