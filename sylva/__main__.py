@@ -9,6 +9,7 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+import time
 import traceback
 from pathlib import Path
 
@@ -23,7 +24,7 @@ from sylva.plans.report import explain, problems_fixed, report, totals
 from sylva.plans.sinks import write_sources
 from sylva.session import local_session
 from sylva.sources.config import Config, find_config, parse_config
-from sylva.sources.files import ignore_rules, load_files
+from sylva.sources.files import IGNORE_FILES, ignore_rules, load_files
 
 
 def arguments() -> argparse.ArgumentParser:
@@ -33,7 +34,10 @@ def arguments() -> argparse.ArgumentParser:
         c = commands.add_parser(name, help=what)
         c.add_argument("paths", nargs="*", default=["."], help="files, folders or globs")
         c.add_argument("--no-ignore", action="store_true", help="read files that ignore files leave out, too")
-        c.add_argument("--cores", default="*", help="how many cores a local session takes")
+        c.add_argument("--ignore-file", action="append", default=[], metavar="FILE", help="a further file of ignore patterns, which counts more than those found (may be given again)")
+        c.add_argument("--use-gitignore", action=argparse.BooleanOptionalAction, default=True, help="whether .gitignore files count")
+        c.add_argument("--cores", "--max-threads", default="*", help="how many cores a local session takes")
+        c.add_argument("--verbose", action="store_true", help="say how many files were read, by which rules, and how long it took")
         if name != "infer":
             c.add_argument("--config", help="a configuration file instead of the nearest one")
             c.add_argument("--no-config", action="store_true", help="the recommended rules, whatever is configured")
@@ -54,10 +58,12 @@ def _root(given: list[str]) -> Path:
     return root
 
 
-def _files(spark: SparkSession, given: list[str], no_ignore: bool) -> DataFrame:
-    root = _root(given)
+def _files(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+    given, root = args.paths, _root(args.paths)
+    names = IGNORE_FILES if args.use_gitignore else tuple(n for n in IGNORE_FILES if n != ".gitignore")
+    left_out = ignore_rules(root, args.ignore_file, () if args.no_ignore else names)
     paths = [f"file://{Path(p).absolute()}" for p in given]
-    return load_files(spark, paths, ignore=None if no_ignore else ignore_rules(root), root=str(root))
+    return load_files(spark, paths, ignore=left_out, root=str(root))
 
 
 def _config(args: argparse.Namespace) -> Config | None:
@@ -70,14 +76,15 @@ def _config(args: argparse.Namespace) -> Config | None:
 
 
 def _checked(args: argparse.Namespace, spark: SparkSession, out) -> int:
-    files = _files(spark, args.paths, args.no_ignore)
+    began = time.time()
+    files = _files(spark, args)
     config = _config(args)
     run = lint(files, config)
     if args.command == "fix":
         before = run.diagnostics
         fixed = fix(run, dirty=args.dirty)
         write_sources(fixed, str(_root(args.paths)), in_place=True)
-        run = lint(_files(spark, args.paths, args.no_ignore), config)
+        run = lint(_files(spark, args), config)
         print(f"fixed {problems_fixed(before, run.diagnostics).first().fixed} problems", file=out)
     for said in run.warnings:
         print(f"warning: {said}", file=sys.stderr)
@@ -85,6 +92,8 @@ def _checked(args: argparse.Namespace, spark: SparkSession, out) -> int:
     for row in shown.orderBy("path", "line_no" if "line_no" in shown.columns else "start").toLocalIterator():
         print(f"{row.path}: {row.text}" if "line_no" in shown.columns else row.text, file=out)
     print(totals(run.outcomes).first().text, file=out)
+    if args.verbose:
+        print(f"{run.files.count()} files, {len(run.selected)} rules, {time.time() - began:.1f} s", file=sys.stderr)
     return exit_code(run)
 
 
@@ -102,7 +111,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
             return 0
         spark = spark or local_session(args.cores)
         if args.command == "infer":
-            print(as_toml(infer_block_spacing(nodes_of(parsed(_files(spark, args.paths, args.no_ignore))))), end="", file=out)
+            print(as_toml(infer_block_spacing(nodes_of(parsed(_files(spark, args))))), end="", file=out)
             return 0
         return _checked(args, spark, out)
     except (ValueError, OSError) as e:

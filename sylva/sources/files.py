@@ -81,15 +81,18 @@ def pattern_regex(pattern: str) -> tuple[str, bool] | None:
 IGNORE_FILES = (".gitignore", ".ignore", ".sylvaignore")
 
 
-def ignore_rules(root: str | Path) -> list[tuple[str, bool]]:
+def ignore_rules(root: str | Path, more: list[str] | None = None, names: tuple[str, ...] = IGNORE_FILES) -> list[tuple[str, bool]]:
     """The lines of all ignore files in a folder and those below it, as (regular expression of paths relative to it, negated).
 
+    more: further files of patterns of that folder, which count more than those found. names: which files are looked for.
+
     A line of a nested folder concerns paths in that folder only, and counts more than those of the folders above. The files are read
     by the driver: there are as many as folders with one.
     """
     root, out = Path(root), []
-    found = [(p.parent, p) for n in IGNORE_FILES for p in root.rglob(n) if p.is_file()]
-    for folder, p in sorted(found, key=lambda x: (len(x[0].parts), x[0], IGNORE_FILES.index(x[1].name))):
+    found = [(p.parent, p) for n in names for p in root.rglob(n) if p.is_file()]
+    found = sorted(found, key=lambda x: (len(x[0].parts), x[0], names.index(x[1].name)))
+    for folder, p in [*found, *((root, Path(m)) for m in more or [])]:
         inside = folder.relative_to(root).as_posix()
         prefix = "" if inside == "." else re.escape(inside) + "/"
         for line in p.read_text(encoding="utf-8", errors="replace").splitlines():

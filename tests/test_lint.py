@@ -278,3 +278,9 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["rules"], spark, out) == 0 and "valid-typeof" in out.getvalue()
     (tmp_path / "none").mkdir()
     assert main(["lint", "--no-config", str(tmp_path / "none")], spark, out) == 2
+    (tmp_path / "more").write_text("a.js\n!keep.js\n")
+    out = io.StringIO()
+    assert main(["lint", "--ignore-file", str(tmp_path / "more"), "--no-use-gitignore", "--verbose", "--max-threads", "2", str(tmp_path)], spark, out) == 1
+    text = out.getvalue()
+    assert "a.js" not in text and all(f"{n}.js" in text for n in ("c", "keep", "drop")) and "4 files, " in capsys.readouterr().err
+    assert main(["lint", "--ignore-file", str(tmp_path / "missing"), str(tmp_path)], spark, out) == 2
