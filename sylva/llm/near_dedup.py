@@ -12,12 +12,14 @@ computed; a table key is a pair of one sub-key of either collection, so tables**
   3. In rounds, every bucket (classes with one table key) picks a leader from its largest component so far, and its classes outside
      that component become candidates of the leader, at most two leaders a class and round. Candidates are verified on the full sets,
      and the links merge components. Buckets within one component are done.
-  4. The classes of buckets that still hold several components are gone through without forming the buckets' pairs. All shingles are
-     put in one order: first those that no two components share, then the shared ones from the rarest to the most frequent. Of a set
-     of m shingles, the first that it shares with a similar set stands so early that what comes from there on can still make a link;
-     that bounds the sizes of the sets it may be linked with there, and late shingles can't be first at all. Classes meet only at such
-     early shingles, so the passage that a whole group shares joins nobody: only texts that share something rare, or are nearly
-     nothing but the common passage, become candidates. No link is lost by that, and none is capped.
+  4. The classes of buckets that still hold several components are described by their differences from the common part of their group
+     (classes whose buckets are connected): shingles of it that they lack, and shared ones beyond it. What two sets share follows
+     exactly from their sizes, from how much each lacks and from how many differences they have in common, so a passage or text that a
+     whole group shares no longer makes its texts alike. Sets that lack so little that they are similar without a common difference
+     are all linked with the one that lacks least. The others meet the leaders of buckets of deep keys of their differences, in rounds
+     in which components merge. What then is still in different components is tested where it may be similar by an exact bound: in the
+     order from the rarest to the most frequent difference, the first common one stands so early that enough can follow in both. That
+     goes in turns, between which components merge too. No link is lost by step 4, and none is capped.
 
 Only texts of classes in buckets are moved, after a Bloom filter of their ids has left the others where they are.
 
@@ -45,6 +47,10 @@ from sylva.session import in_worker, shared_table, ship
 
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 CACHE = 100_000
+#: Keys of differences: two texts of which 43 % of the differences are common to both share one of the keys with a probability of 0.89.
+DEEP, DEEP_TABLES = 4, 64
+#: What is left is tested in so many turns, between which components merge.
+TURNS = 3
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -169,34 +175,95 @@ def _verified(pairs: DataFrame, n: int, texts: DataFrame, shingle: int, numerato
     return pairs.select("a", "b", "ta", "tb", "xb").mapInArrow(in_worker("near_dedup", test), "a bigint, b bigint")
 
 
-def _early_shingles(left: DataFrame, texts: DataFrame, shingle: int, numerator: int, denominator: int) -> DataFrame:
-    """h, rep, c, m, most for the shingles h at which classes of left (rep, c, m) may first meet one of another component, of at most ``most`` shingles."""
+def _differences(left: DataFrame, texts: DataFrame, shingle: int, numerator: int, denominator: int) -> DataFrame:
+    """A row for each text of left (rep, c, g) that shares a shingle with another component of its group g: rep, c, g, u, els, keys, least, reach.
+
+    What more than half of a group's texts hold is its common part L. els is how a text differs from L, so far as texts of another
+    component may differ alike: shingles of L that it lacks and shared ones beyond L, the rarest differences first. Two texts are
+    similar enough exactly where they have i differences in common with 2 * s * i >= u + u', s being numerator + denominator.
+    keys: deep keys of els. least: the group's least u; reach: its largest 2 * s * size(els) - u.
+    """
+    s = numerator + denominator
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingler(shingle)
         for b in batches:
-            for rep, c, tx, text in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3), strict=True):
+            for *own, text in zip(*(b.column(i).to_pylist() for i in range(5)), b.column(5), strict=True):
                 h = make(text.as_py()).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(h), x)) for x in (rep, c, tx, len(h))), pa.array(h)], names=["rep", "c", "tx", "m", "h"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(h), x)) for x in (*own, len(h))), pa.array(h)], names=["rep", "tx", "c", "g", "ng", "m", "h"])
 
-    own = shared_table(_only(texts, left, left.count()), "sides").join(left.select("rep", "c"), "rep").select("rep", "c", "tx", "text")
-    flat = own.mapInArrow(in_worker("near_dedup", explode), "rep bigint, c bigint, tx bigint, m bigint, h bigint")
-    flat = shared_table(flat, "flat")
-    common = flat.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("df")).where("lo < hi").select("h", "df")
-    held = join_counted(flat, shared_table(common, "common"), ["h"], "df", flat.count(), keep=True)
-    own = Window.partitionBy("rep", "tx")
-    placed = held.withColumn("at", F.col("m") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("df", "h")) - 1)
-    early = placed.withColumn("most", F.floor((F.col("m") - F.col("at")) * (numerator + denominator) / numerator) - F.col("m")).where(F.col("most") * denominator >= F.col("m") * numerator)
-    return shared_table(early.select("h", "rep", "c", "m", "most"), "early")
+    def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parameters = _hash_parameters(DEEP_TABLES * DEEP)
+        column = lambda x, n: x.values.field(n).to_numpy() if x.values is not None else np.zeros(0, np.int64)
+        for b in batches:
+            us, els, keys = [], [], []
+            for m, has, beyond, ref in zip(b.column(3).to_pylist(), b.column(4), b.column(5), b.column(6), strict=True):
+                all_, lacks = column(ref, "h"), 0
+                gone = ~np.isin(all_, has.values.to_numpy(zero_copy_only=False))
+                lacks = int(gone.sum())
+                h = np.concatenate([all_[gone], column(beyond, "h")])
+                df = np.concatenate([column(ref, "df")[gone], column(beyond, "df")])
+                h = h[np.lexsort((h, df))]
+                us.append(2 * (numerator * m + s * lacks) - s * len(all_))
+                els.append(h)
+                keys.append(_deep_keys(h.view(np.uint64), parameters) if len(h) else np.zeros(0, np.int64))
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (els, keys)]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array(us, pa.int64()), *lists], names=["rep", "c", "g", "u", "els", "keys"])
+
+    own = shared_table(_only(texts, left, left.count()).join(left, "rep").select("rep", "tx", "c", "g", "text"), "sides")
+    sizes = shared_table(own.groupBy("g").agg(F.count(F.lit(1)).alias("ng")), "sizes")
+    own = join_counted(own, sizes, ["g"], "ng", own.count(), keep=True).select("rep", "tx", "c", "g", "ng", "text")
+    flat = shared_table(own.mapInArrow(in_worker("near_dedup", explode), "rep bigint, tx bigint, c bigint, g bigint, ng bigint, m bigint, h bigint"), "flat")
+    common = flat.groupBy("g", "h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("df"), F.max("ng").alias("ng")).where("lo < hi")
+    common = shared_table(common.select("g", "h", "df", "ng", F.expr("2 * df > ng").alias("most")), "common")
+    held = join_counted(flat, common.drop("ng"), ["g", "h"], "df", flat.count(), keep=True)
+    lists = [F.collect_list(F.when(F.col("most"), F.col("h"))).alias("has"), F.collect_list(F.when(~F.col("most"), F.struct("df", "h"))).alias("beyond")]
+    sets = held.groupBy("rep", "tx", "c", "g", "ng", "m").agg(*lists)
+    # L has at most twice the mean size of the group's sets; one copy of it goes to every thousand texts.
+    copies = F.floor(F.col("ng") / 1000) + 1
+    ref = common.where("most").groupBy("g").agg(F.max("ng").alias("ng"), F.collect_list(F.struct((F.col("ng") - F.col("df")).alias("df"), "h")).alias("ref"))
+    ref = ref.select("g", "ref", F.explode(F.sequence(F.lit(1).cast("bigint"), copies)).alias("copy"))
+    sets = sets.withColumn("copy", F.pmod(F.xxhash64("rep", "tx"), copies) + 1).join(ref, ["g", "copy"], "left")
+    sets = shared_table(sets.select("rep", "c", "g", "m", "has", "beyond", F.coalesce("ref", F.array().cast("array<struct<df:bigint,h:bigint>>")).alias("ref")), "sets")
+    diff = shared_table(sets.mapInArrow(in_worker("near_dedup", differ), "rep bigint, c bigint, g bigint, u bigint, els array<bigint>, keys array<bigint>"), "differences")
+    bounds = diff.groupBy("g").agg(F.min("u").alias("least"), F.max(2 * s * F.size("els") - F.col("u")).alias("reach"), F.min_by("rep", "u").alias("nearest"), F.count(F.lit(1)).alias("k"))
+    diff = join_counted(diff, shared_table(bounds, "bounds"), ["g"], "k", diff.count())
+    return shared_table(diff, "differences")
+
+
+def _deep_keys(els: np.ndarray, parameters: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Keys of DEEP minhashes each, of a set that isn't empty."""
+    m = minhashes(els, *parameters).reshape(DEEP_TABLES, DEEP)
+    h = np.arange(1, DEEP_TABLES + 1, dtype=np.uint64)
+    for i in range(DEEP):
+        h = mix(h * PRIME + m[:, i])
+    return h.view(np.int64)
 
 
-def _early_pairs(early: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """a, b (a > b): classes of different components that meet at an early shingle of both, their sizes allowing a link."""
-    mixed = early.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h")
-    early = early.join(mixed, "h", "left_semi")
-    a, b = (early.select("h", *[F.col(n).alias(f"{n}{x}") for n in ("rep", "c", "m", "most")]) for x in "ab")
-    fits = f"ca <> cb and repa > repb and mosta >= mb and mostb >= ma and {denominator} * least(ma, mb) >= {numerator} * greatest(ma, mb)"
-    return a.join(b, "h").where(fits).select(F.col("repa").alias("a"), F.col("repb").alias("b")).distinct()
+def _able(diff: DataFrame, s: int) -> DataFrame:
+    """Rows of differences that may be similar to a text of their group by the differences, not only by lacking few of them."""
+    return diff.where(f"2 * {s} * size(els) >= u + least and u <= reach")
+
+
+def _early(diff: DataFrame, s: int) -> DataFrame:
+    """g, h, rep, u, rest: differences h that stand early enough to be the first that two texts have in common; rest counts them and what follows."""
+    flat = _able(diff, s).select("g", "rep", "u", "least", F.size("els").alias("d"), F.posexplode("els").alias("at", "h"))
+    return shared_table(flat.where(f"2 * {s} * (d - at) >= u + least").select("g", "h", "rep", "u", (F.col("d") - F.col("at")).alias("rest")), "early")
+
+
+def _early_pairs(early: DataFrame, comp: DataFrame, s: int, turn: int) -> DataFrame:
+    """a, b (a > b): the pairs of one turn of TURNS whose texts are of different components and have an early difference in common, the rest allowing a link.
+
+    A turn is a hash of the pair, and takes three times as many as all before it. All turns together lose no link.
+    """
+    early = early.join(comp.select("rep", "c"), "rep")
+    mixed = early.groupBy("g", "h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("g", "h")
+    early = early.join(mixed, ["g", "h"], "left_semi")
+    a, b = (early.select("g", "h", *[F.col(n).alias(f"{n}{x}") for n in ("rep", "c", "u", "rest")]) for x in "ab")
+    of = f"pmod(xxhash64(repa, repb), {4 ** (TURNS - 1)})"
+    own = f"{of} < {4 ** turn}" + (f" and {of} >= {4 ** (turn - 1)}" if turn else "")
+    fits = f"ca <> cb and repa > repb and 2 * {s} * least(resta, restb) >= ua + ub and {own}"
+    return a.join(b, ["g", "h"]).where(fits).select(F.col("repa").alias("a"), F.col("repb").alias("b")).distinct()
 
 
 def _merge(comp: DataFrame, links: DataFrame) -> DataFrame:
@@ -207,6 +274,45 @@ def _merge(comp: DataFrame, links: DataFrame) -> DataFrame:
     return shared_table(comp.join(moved, "c", "left").select("rep", F.coalesce("component", "c").alias("c"), "m"), "comp")
 
 
+def _tested(pairs: DataFrame, comp: DataFrame, texts: DataFrame, tested: DataFrame | None, likeness: tuple[int, int, int]) -> tuple[DataFrame, DataFrame | None, bool]:
+    """comp after those of pairs (a, b) that weren't tested, all that have been tested now, and whether any was a link."""
+    pairs = shared_table(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+    if not (k := pairs.count()):
+        return comp, tested, False
+    links = shared_table(_verified(pairs, k, texts, *likeness), "links")
+    tested = pairs if tested is None else tested.unionByName(pairs)
+    if not links.limit(1).count():
+        return comp, tested, False
+    return _merge(comp, links), tested, True
+
+
+def _led(live: DataFrame, comp: DataFrame, texts: DataFrame, tested: DataFrame | None, rounds: int, likeness: tuple[int, int, int], limits: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """live (key, rep) of buckets that may still be mixed, comp and tested, after rounds in which classes meet leaders of their buckets.
+
+    A class meets two leaders a round; with limits (rep, u in half differences, d) all leaders whose d allows a link.
+    """
+    for r in range(rounds):
+        named = live.join(comp.select("rep", "c"), "rep")
+        parts = named.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"), F.min_by("rep", F.xxhash64("rep", F.lit(r)) if r else F.col("rep")).alias("lead"))
+        mixed = parts.groupBy("key").agg(F.max_by(F.struct("lead", F.col("c").alias("lc")), F.struct("n", -F.col("c"))).alias("d"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "d.lead", "d.lc")
+        rest = shared_table(named.join(mixed, "key"), "mixed")
+        live = rest.select("key", "rep")
+        order = F.xxhash64("lead", F.lit(r)) if r else F.col("lead")
+        met = rest.where("c <> lc").select("lead", "rep")
+        if limits is None:
+            two = met.groupBy("rep").agg(F.array_distinct(F.array(F.min_by("lead", order), *([F.max_by("lead", order)] if r else []))).alias("leads"))
+            met = two.select(F.explode("leads").alias("lead"), "rep")
+        pairs = met.select(F.greatest("rep", "lead").alias("a"), F.least("rep", "lead").alias("b")).distinct()
+        if limits is not None:
+            for side in "ab":
+                pairs = pairs.join(limits.withColumnsRenamed({"rep": side, "u": f"u{side}", "d": f"d{side}"}), side)
+            pairs = pairs.where("2 * least(da, db) >= ua + ub").select("a", "b")
+        comp, tested, any_ = _tested(pairs, comp, texts, tested, likeness)
+        if not any_:
+            break
+    return live, comp, tested
+
+
 def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, numerator: int, denominator: int, tables: int, depth: int, rounds: int) -> DataFrame:
     """For every row: doc_id, n_shingles, tx (hash of its text), set, component (null for a null id without others of its set), kept."""
     ship(docs.sparkSession)
@@ -223,35 +329,26 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, numerato
     if n := comp.count():
         texts = shared_table(_only(texts, comp, n).join(classes.join(comp, "rep", "left_semi").select("rep", "tx"), ["rep", "tx"], "left_semi"), "texts")
     likeness = (shingle, numerator, denominator)
-    tested = None
-    for r in range(rounds if n else 0):
-        named = live.join(comp.select("rep", "c"), "rep")
-        parts = named.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"), F.min_by("rep", F.xxhash64("rep", F.lit(r)) if r else F.col("rep")).alias("lead"))
-        mixed = parts.groupBy("key").agg(F.max_by(F.struct("lead", F.col("c").alias("lc")), F.struct("n", -F.col("c"))).alias("d"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", "d.lead", "d.lc")
-        rest = shared_table(named.join(mixed, "key"), "mixed")
-        live = rest.select("key", "rep")
-        order = F.xxhash64("lead", F.lit(r)) if r else F.col("lead")
-        two = rest.where("c <> lc").groupBy("rep").agg(F.array_distinct(F.array(F.min_by("lead", order), *([F.max_by("lead", order)] if r else []))).alias("leads"))
-        pairs = two.select(F.explode("leads").alias("lead"), "rep").select(F.greatest("rep", "lead").alias("a"), F.least("rep", "lead").alias("b")).distinct()
-        pairs = shared_table(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        if not (k := pairs.count()):
-            break
-        links = shared_table(_verified(pairs, k, texts, *likeness), "links")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        if not links.limit(1).count():
-            break
-        comp = _merge(comp, links)
-
-    # What is still mixed is gone through. That no new pair was left says nothing: a leader's may all be tested.
     if n:
+        live, comp, tested = _led(live, comp, texts, None, rounds, likeness)
+        # What is still mixed is gone through. That no new pair was left says nothing: a leader's may all be tested.
         named = live.join(comp, "rep")
-        mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-        left = shared_table(named.join(mixed, "key", "left_semi").select("rep", "c").distinct(), "left")
+        mixed = named.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("rep").alias("first")).where("lo < hi").select("key", "first")
+        near = shared_table(named.select("key", "rep", "c").join(mixed, "key"), "left")
+        left = shared_table(near.select("rep", "c").distinct(), "left")
         if left.limit(1).count():
-            more = _early_pairs(_early_shingles(left, texts, *likeness), numerator, denominator)
-            more = shared_table(more if tested is None else more.join(tested, ["a", "b"], "left_anti"), "more")
-            if k := more.count():
-                comp = _merge(comp, shared_table(_verified(more, k, texts, *likeness), "links"))
+            groups = connected(near.select(F.col("rep").alias("a"), F.col("first").alias("b")))
+            diff = _differences(left.join(groups.select(F.col("id").alias("rep"), F.col("component").alias("g")), "rep"), texts, *likeness)
+            # All that lack little of the common part are linked with the one that lacks least; then leaders of deep keys, then what is left.
+            star = diff.where("u + least <= 0 and rep <> nearest").select(F.greatest("rep", "nearest").alias("a"), F.least("rep", "nearest").alias("b")).distinct()
+            comp, tested = _tested(star, comp, texts, tested, likeness)[:2]
+            deep = _able(diff, numerator + denominator).select("rep", F.explode("keys").alias("k"), "g").select(F.xxhash64("g", "k").alias("key"), "rep")
+            deep = shared_table(deep.distinct(), "keys")
+            limits = shared_table(diff.groupBy("rep").agg((F.min("u") / (numerator + denominator)).alias("u"), F.max(F.size("els")).alias("d")), "limits")
+            _, comp, tested = _led(deep, comp, texts, tested, rounds, likeness, limits)
+            early = _early(diff, numerator + denominator)
+            for turn in range(TURNS):
+                comp, tested, _ = _tested(_early_pairs(early, comp, numerator + denominator, turn), comp, texts, tested, likeness)
 
     by_set = classes.select("set", "rep").join(comp.select("rep", "c"), "rep", "left").select("set", F.coalesce("c", "rep").alias("component"))
     sizes = rows.where("set is not null").groupBy("set").agg(F.count(F.lit(1)).alias("size"))

@@ -579,3 +579,21 @@ def test_near_dedup_in_a_large_group_forms_few_pairs(spark, monkeypatch):
     got = {x.doc_id: x.component_id for x in near_dedup.find_groups(docs(spark, rows)).collect()}
     assert got == {i: c for i, (_, c, _) in brute_groups(rows).items()}
     assert sum(formed) < 5 * len(rows)
+
+
+def test_near_dedup_of_copies_that_are_mostly_too_far_apart(spark, monkeypatch):
+    """Copies of a text that isn't among them, each with 4 of 200 words edited: a pair in a hundred is a link, and few of the others are tested."""
+    n, r = 400, random.Random(400)
+    base = [f"w{r.randrange(10**8)}" for _ in range(200)]
+    rows = []
+    for k in range(n):
+        own = list(base)
+        for i in r.sample(range(200), 4):
+            own[i] = f"x{r.randrange(10**9)}"
+        rows.append((k, " ".join(own)))
+    formed = []
+    plain = near_dedup._verified
+    monkeypatch.setattr(near_dedup, "_verified", lambda pairs, n, *rest: formed.append(n) or plain(pairs, n, *rest))
+    got = {x.doc_id: x.component_id for x in near_dedup.find_groups(docs(spark, rows)).collect()}
+    assert got == {i: c for i, (_, c, _) in brute_groups(rows).items()}
+    assert sum(formed) < n * (n - 1) / 2 / 5
