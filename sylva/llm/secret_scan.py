@@ -2,8 +2,10 @@
 
 Every historical version of a path is content-addressed by SHA-256. The ledger lists (blob, rule_version) pairs that are scanned;
 only blobs with an unseen pair are scanned, each once, whichever paths hold it. Findings are kept by blob and joined back to all
-paths at the end. No rule is evaluated below the join with the unseen blobs: the scanned rows carry a row number that the optimiser
-must not compute earlier, so it can't move a test of their matches before that join either.
+paths at the end. Blobs are counted by their hashes alone. Those of several rows, or scanned before, fill a blocked Bloom filter; texts that
+miss it are single and unseen and are scanned where they are, the others are settled by row numbers, and one row of each unseen blob is
+scanned. No rule is evaluated below the filter or that join: the scanned rows carry a row number that the optimiser must not compute
+earlier, so it can't move a test of their matches before them either.
 
 Matches of a rule come from two passes of one expression over the text: the pieces between matches, and the matches. Each match is
 a row of three numbers (the gap before it, its length, the length that counts); running sums over a text's rows are its code-point
@@ -17,10 +19,13 @@ equal start the rule listed first comes first; an empty table gives an empty res
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylva.llm.skew import join_counted
+from sylva.llm.url_filter import WORDS, block_of, bloom_blocks, mask_of
 from sylva.session import shared_table
 
 #: Kind, expression, group whose length counts, least length. A list of rules is one rule version.
@@ -31,6 +36,8 @@ RULES = [
 ]
 RULE_VERSION = "base-1"
 
+BLOBS_A_BLOCK = 16  # of 256 bits
+
 _SPAN = "array<struct<start:bigint,rank:int,kind:string,end:bigint>>"
 
 
@@ -59,20 +66,42 @@ def spans_by_blob(texts: DataFrame, rules: list) -> DataFrame:
     return by_row.groupBy("blob").agg(F.first("spans").alias("spans"))
 
 
-def scan(versions: DataFrame, path_col: str = "doc_id", text_col: str = "text", rules: list = RULES, rule_version: str = RULE_VERSION, ledger: DataFrame | None = None, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def parted(texts: DataFrame, counted: DataFrame, seen: DataFrame | None, max_filter_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """texts (blob, text) of blobs that are single and unseen for certain, which stay where they are, and the others.
+
+    Blobs of several rows (counted: blob, size) or in seen (blob) fill a blocked Bloom filter that is broadcast. Its size grows with
+    their number up to ``max_filter_bytes``; beyond that more single blobs pass as possible, which costs moving them and changes no result.
+    """
+    apart = counted.where("size > 1").select("blob")
+    if seen is not None:
+        apart = apart.union(counted.where("size = 1").join(seen, "blob", "left_semi").select("blob"))
+    h = F.xxhash64("blob")
+    apart = shared_table(apart.select(h.alias("h")), "apart")
+    blocks = max(1, min(apart.count() // BLOBS_A_BLOCK + 1, max_filter_bytes // (8 * (WORDS + 1))))
+    filter_ = shared_table(bloom_blocks(apart, blocks), "filter")
+    probed = texts.withColumn("h", h).withColumn("block", block_of(F.col("h"), blocks)).join(F.broadcast(filter_), "block", "left")
+    hit = reduce(Column.__and__, [F.coalesce(F.col(f"w{w}"), F.lit(0).cast("long")).bitwiseAND(mask_of(F.col("h"), w)) == mask_of(F.col("h"), w) for w in range(WORDS)])
+    return probed.where(~hit).select("blob", "text"), probed.where(hit).select("blob", "text")
+
+
+def scan(versions: DataFrame, path_col: str = "doc_id", text_col: str = "text", rules: list = RULES, rule_version: str = RULE_VERSION, ledger: DataFrame | None = None, known: DataFrame | None = None, max_filter_bytes: int = 32 << 20) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(report, findings, ledger): spans of every row of versions; findings by blob; the ledger with this run's pairs.
 
     ledger: blob, rule_version of earlier runs. known: the findings of those runs (blob, rule_version, spans).
     """
-    blob = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    paths = shared_table(versions.select(F.col(path_col).alias("path"), blob.alias("blob")), "paths")
-    counted = paths.groupBy("blob").agg(F.min("path").alias("path"), F.count(F.lit(1)).alias("size"))
-    unseen = counted
+    texts = versions.select(F.col(path_col).alias("path"), F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    paths = shared_table(texts.select("path", "blob"), "paths")
+    counted = shared_table(paths.groupBy("blob").agg(F.count(F.lit(1)).alias("size")), "blobs")
+    unseen, seen = counted, None
     if ledger is not None:
-        unseen = unseen.join(ledger.where(F.col("rule_version") == rule_version).select("blob").distinct(), "blob", "left_anti")
-    # One row of each unseen blob is read: joined by blob and path, so that copies of one blob don't meet in one task.
-    texts = versions.select(F.col(path_col).alias("p"), blob.alias("b"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("text != ''")
-    chosen = texts.join(unseen, (texts["b"] == unseen["blob"]) & texts["p"].eqNullSafe(unseen["path"])).select("blob", "text")
+        seen = ledger.where(F.col("rule_version") == rule_version).select("blob").distinct()
+        unseen = counted.join(seen, "blob", "left_anti")
+    alone, others = parted(texts.where("text != ''").select("blob", "text"), counted, seen, max_filter_bytes)
+    # One row of each unseen blob is read: row numbers are unique, so copies of one blob don't meet in one task.
+    others = shared_table(others.withColumn("row", F.monotonically_increasing_id()), "possible")
+    first = others.groupBy("blob").agg(F.min("row").alias("row"))
+    first = shared_table((first if seen is None else first.join(seen, "blob", "left_anti")).select("row"), "first")
+    chosen = alone.unionByName(others.join(first, "row").select("blob", "text"))
     found = spans_by_blob(chosen, rules).withColumn("rule_version", F.lit(rule_version))
     if known is not None:
         found = found.unionByName(known.where(F.col("rule_version") == rule_version))

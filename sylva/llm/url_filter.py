@@ -42,11 +42,11 @@ def _key_hash(host: Column, path: Column) -> Column:
     return F.xxhash64(host, path)
 
 
-def _block(h: Column, blocks: int) -> Column:
+def block_of(h: Column, blocks: int) -> Column:
     return F.pmod(F.shiftrightunsigned(h, 32), F.lit(blocks).cast("long"))
 
 
-def _mask(h: Column, w: int) -> Column:
+def mask_of(h: Column, w: int) -> Column:
     """The bits of a key's hash h that fall into word w of its block; the low half of h, which does not choose the block, gives them."""
     out = F.lit(0).cast("long")
     for i in range(PROBES):
@@ -58,7 +58,7 @@ def _mask(h: Column, w: int) -> Column:
 
 def bloom_blocks(keys: DataFrame, blocks: int) -> DataFrame:
     """The filter as rows (block, w0..w3); keys has a bigint column h."""
-    out = keys.select(_block(F.col("h"), blocks).alias("block"), *[_mask(F.col("h"), w).alias(f"w{w}") for w in range(WORDS)])
+    out = keys.select(block_of(F.col("h"), blocks).alias("block"), *[mask_of(F.col("h"), w).alias(f"w{w}") for w in range(WORDS)])
     return out.groupBy("block").agg(*[F.bit_or(f"w{w}").alias(f"w{w}") for w in range(WORDS)])
 
 
@@ -97,7 +97,7 @@ def judge(
     straight = None
     if blocks * 8 * WORDS <= max_inline_bytes:
         words = bloom_array(filter_, blocks)
-        in_block = lambda h, w: F.element_at(words, (_block(h, blocks) * WORDS + w + 1).cast("int")).bitwiseAND(_mask(h, w)) == _mask(h, w)
+        in_block = lambda h, w: F.element_at(words, (block_of(h, blocks) * WORDS + w + 1).cast("int")).bitwiseAND(mask_of(h, w)) == mask_of(h, w)
         hashes = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: _key_hash(s, p))))
         passes = (F.col("host") != "") & F.exists(hashes, lambda h: reduce(Column.__and__, [in_block(h, w) for w in range(WORDS)]))
         straight = urls.where(~passes).withColumns(named)
@@ -105,8 +105,8 @@ def judge(
     distinct = urls.where("host != ''").groupBy("host", "path").agg(F.count(F.lit(1)).alias("size"))
     keys = keyed(distinct)
     if straight is None:
-        keys = keys.withColumn("h", _key_hash(F.col("key_host"), F.col("key_path"))).withColumn("block", _block(F.col("h"), blocks))
-        fits = [F.col(f"w{w}").bitwiseAND(_mask(F.col("h"), w)) == _mask(F.col("h"), w) for w in range(WORDS)]
+        keys = keys.withColumn("h", _key_hash(F.col("key_host"), F.col("key_path"))).withColumn("block", block_of(F.col("h"), blocks))
+        fits = [F.col(f"w{w}").bitwiseAND(mask_of(F.col("h"), w)) == mask_of(F.col("h"), w) for w in range(WORDS)]
         small = blocks * 8 * (WORDS + 1) <= max_broadcast_bytes
         keys = keys.join(F.broadcast(filter_) if small else filter_, "block").where(reduce(Column.__and__, fits))
     exact = keys.join(rules.withColumnsRenamed({"host": "key_host", "path": "key_path"}), ["key_host", "key_path"])

@@ -477,6 +477,27 @@ def test_secret_scan_evaluates_rules_above_the_ledger_join_only(spark):
     assert any("AKIA" in line for line in plan[:join]) and not any("AKIA" in line for line in plan[join:])
 
 
+def test_secret_scan_moves_possibly_repeated_or_seen_texts_only(spark):
+    rows = [(i, f"text {i} token=abcdef{i}") for i in range(4000)] + [(9000 + i, f"text {i} token=abcdef{i}") for i in range(20)] + [(1, "text 1 token=abcdef1")]
+    texts = docs(spark, rows).selectExpr("unhex(sha2(text, 256)) as blob", "text")
+    counted = texts.groupBy("blob").count().withColumnRenamed("count", "size")
+    seen = docs(spark, rows[30:40]).selectExpr("unhex(sha2(text, 256)) as blob")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        alone, others = secret_scan.parted(texts, counted, seen, 1 << 20)
+        plan = alone._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    moved = {r.text for r in others.collect()}
+    assert alone.count() + others.count() == len(rows) and {t for _, t in rows[:20] + rows[30:40]} <= moved and len(moved) < 60
+    # A filter that is full lets more texts through and changes nothing.
+    wide, tight = (secret_scan.digest(secret_scan.scan(docs(spark, rows), max_filter_bytes=n)[0]) for n in (32 << 20, 1))
+    assert wide.count() == len(rows) and wide.exceptAll(tight).count() == tight.exceptAll(wide).count() == 0
+    assert wide.where("n_assign = 1").count() == len(rows)
+
+
 def test_secret_scan_of_many_matches_in_one_text(spark):
     text = "0123456789abcdef0123456789 " * 200_000
     began = time.time()
